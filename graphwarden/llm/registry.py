@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality, toxicity, warc
+from . import bpe, decontam, jaccard, quality, toxicity, warc
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ def queries() -> dict[str, Query]:
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_decontamination": op2_decontamination,
         "op4_quality": op4_quality,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op9_toxicity": op9_toxicity,
         "op10_warc_archive": op10_warc_archive,
     }
