@@ -74,11 +74,11 @@ def write(pages: DataFrame, path: str | None = None, revisit_bytes: int = REVISI
     )
     placed.select(F.encode(head, "utf-8").alias("header"), "digest").write.parquet(f"{path}/records")
     # one page of each digest hands in the bytes; repeated rows are merged before the shuffle, and the
-    # join on both columns spreads the pages of a hot digest
-    chosen = names.groupBy("digest").agg(F.max("page_id").alias("page_id")).alias("c")
-    once = rows.select("digest", "page_id", "payload").dropDuplicates(["digest", "page_id"]).alias("r")
-    same = (F.col("r.digest") == F.col("c.digest")) & F.col("r.page_id").eqNullSafe(F.col("c.page_id"))
-    once.join(chosen, same, "left_semi").select("digest", "payload").write.parquet(f"{path}/payloads")
+    # join on both columns spreads the pages of a hot digest without a second shuffle of the bytes
+    keyed = rows.withColumn("k", F.coalesce("page_id", F.lit(-(1 << 63))))
+    chosen = keyed.drop("payload").groupBy("digest").agg(F.max("k").alias("k"))
+    once = keyed.select("digest", "k", "payload").dropDuplicates(["digest", "k"])
+    once.join(chosen, ["digest", "k"], "left_semi").select("digest", "payload").write.parquet(f"{path}/payloads")
     return Archive(spark, path)
 
 
