@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, quality, toxicity, warc
+from . import bpe, decontam, jaccard, quality, sufdedup, toxicity, warc
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sufdedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Query]:
         "op2_decontamination": op2_decontamination,
         "op4_quality": op4_quality,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_warc_archive": op10_warc_archive,
     }
