@@ -1,0 +1,492 @@
+"""The operators against brute force, exact round trips and held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from graphwarden.llm import bpe, chat, components, decontam, jaccard, jpeg, licenses, media, quality, registry, sufdedup, toxicity, warc
+from graphwarden.llm.blocks import FOLD, Words, shingles, text_bytes
+
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall(bytes(FOLD[b] for b in (text or "").encode()))
+
+
+@pytest.fixture(scope="module")
+def texts(sf):
+    return duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
+
+
+# -- 1
+@pytest.fixture(scope="module")
+def coders():
+    from tokenizers import Tokenizer
+
+    return bpe.Bpe(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.text("ab'stlmdre <|>endoftxÉßΣ.,!1２́\x1c\xa0", max_size=80))
+def test_bpe_like_the_library(coders, text):
+    own, library = coders
+    want = library.encode(text, add_special_tokens=False).ids
+    ids = np.frombuffer(own.encode(text), "<u4").astype(np.int64)
+    assert ids.tolist() == want
+    data, _ = own.decode(ids, np.array([0, len(ids)]))
+    assert data.tobytes().decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_query(spark, sf, texts, coders):
+    got = {r.doc_id: r for r in registry.op1_bpe_round_trip(spark, sf).collect()}
+    for i, text in texts[:60]:
+        ids = coders[1].encode(text, add_special_tokens=False).ids
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(coders[1].decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+# -- 2
+def contaminated(docs, items, window=10):
+    out = []
+    for text in docs:
+        d, hit, names = words(text), set(), set()
+        for name, item in items:
+            w = words(item)
+            k = min(window, len(w))
+            wanted = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+            for i in range(len(d) - k + 1) if k else ():
+                if tuple(d[i : i + k]) in wanted:
+                    names.add(name)
+                    hit |= set(range(i, i + k))
+        out.append((len(d), len(hit), names))
+    return out
+
+
+def test_decontamination_brute_force():
+    rng = random.Random(3)
+    for _ in range(150):
+        vocabulary = ["a", "B", "cé", "d9", "ß"][: rng.randint(1, 5)]
+        make = lambda n, v=vocabulary: " ".join(rng.choice(v) for _ in range(n))
+        items = [(str(i), rng.choice([None, "", make(rng.randint(1, 30))])) for i in range(rng.randint(0, 5))]
+        docs = [rng.choice([None, "", " ..", make(rng.randint(0, 80))]) for _ in range(6)]
+        window = rng.randint(1, 10)
+        w = Words(*text_bytes(pa.array(docs, pa.string())))
+        hit, found = decontam.Index(items, window).hits(w)
+        n = np.diff(np.concatenate([[0], np.cumsum(hit)])[w.rows])
+        assert [(int(c), int(h), found.get(i, set())) for i, (c, h) in enumerate(zip(w.counts, n))] == contaminated(docs, items, window)
+
+
+def test_decontamination_query_shards_and_removal(spark, sf, texts):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(str(a), b) for a, b in bench.collect()]
+    want = contaminated([t for _, t in texts], items)
+    got = {r.doc_id: r for r in decontam.report(docs, bench).collect()}
+    for (i, _), (n, hit, names) in zip(texts, want):
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated) == (n, hit, len(names), hit > 0)
+        assert got[i].items_sha256 == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+    sharded = decontam.contamination(docs.select("doc_id", "text"), bench, shard_words=200)
+    assert {(r.doc_id, r.n_hit, tuple(sorted(r["items"]))) for r in sharded.collect()} == {(i, h, tuple(sorted(n))) for (i, _), (_, h, n) in zip(texts, want)}
+    clean = decontam.decontaminate(docs, bench).collect()
+    assert not any(h for _, h, _ in contaminated([r.text for r in clean], items))
+    assert {i for (i, _), (n, h, _) in zip(texts, want) if h <= n / 2} == {r.doc_id for r in clean}
+    assert all(r.n_chars == len(r.text) for r in clean)
+
+
+# -- 3
+def test_chat_threads(spark):
+    rows = [
+        (1, 0, "Hello there my friend\n\nHow are you doing today?"), (1, 1, "On Monday u wrote:\n> Hello there my friend\n>\n> How are you doing today?\nFine thanks a lot"),
+        (1, 2, "> > How are you doing today?\n> Fine thanks a lot\ngood to hear"), (1, 3, ">Good, to HEAR!\nyes"), (1, 4, "no quote"), (2, 0, "> unknown\nhi"), (2, 1, "> hi\nwell\n> unknown"), (2, 2, "> a later text"), (2, 3, "a later text"),
+    ]
+    out = {(r.conv_id, r.turn): r for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert [(out[1, t].parent_turn, out[1, t].thread, out[1, t].depth) for t in range(5)] == [(None, 0, 0), (0, 0, 1), (1, 0, 2), (2, 0, 3), (None, 4, 0)]
+    assert [(out[2, t].parent_turn, out[2, t].n_quotes, out[2, t].n_linked) for t in range(4)] == [(None, 1, 0), (0, 2, 1), (None, 1, 0), (None, 0, 0)]
+    assert out[1, 1].text == "Fine thanks a lot" and out[2, 1].text == "well"
+    assert all(">" not in r.text for r in out.values())
+
+
+def test_chat_query_keeps_all_turns(spark, sf):
+    want = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = registry.op3_chat_quotation_linking(spark, sf)
+    assert got.count() == want.count() and got.where("depth = 0 AND thread = turn").count() == want.count()
+
+
+# -- 4, 9
+@pytest.mark.parametrize(("query", "label", "folds", "fold", "least"), [("op4_quality", "quality", 5, 0, 0.97), ("op9_toxicity", "toxic", 4, 2, 0.95)])
+def test_held_out_accuracy(spark, query, label, folds, fold, least):
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in registry.queries()[query](spark, sf).collect()}
+    truth = dict(duckdb.sql(f"SELECT doc_id, {label} FROM '{sf}/labels.parquet'").fetchall())
+    held = {i for i in got if zlib.crc32(str(i).encode()) % folds == fold}
+    assert held == {i for i, r in got.items() if r.held_out}
+    known = [i for i in held if i in truth]
+    assert sum(got[i].predicted == truth[i] for i in known) / len(known) >= least
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+
+
+# -- 5
+def test_media_query(spark, sf, texts):
+    got = {r.doc_id: r for r in registry.op5_progressive_jpeg(spark, sf).collect()}
+    for i, text in texts:
+        raw = text.encode()
+        payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+
+
+def _huffman_writer(bits, table):
+    codes = {s: (c, n) for s, c, n in jpeg._codes(*table)}
+    return lambda s: bits.extend(f"{codes[s][0]:0{codes[s][1]}b}")
+
+
+def progressive(parts, size, script, restart):
+    """A plain scalar writer with zero runs, end-of-band runs and correction bits. parts: (h, v, blocks as
+    rows x columns x 64) with padded units."""
+    width, height = size
+    top = max(p[0] for p in parts), max(p[1] for p in parts)
+    units = -(-width // (8 * top[0])), -(-height // (8 * top[1]))
+    ac = jpeg.canonical({(r << 4) | s: 9 for r in range(16) for s in range(11)})
+    head = b"\xff\xd8" + jpeg._segment(0xDB, bytes([0] + [3] * 64))
+    head += jpeg._segment(0xC2, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(parts)]) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v, _) in enumerate(parts)))
+    head += jpeg._segment(0xC4, b"\x00" + b"".join(jpeg._DC)) + jpeg._segment(0xC4, b"\x10" + b"".join(ac)) + jpeg._segment(0xDD, restart.to_bytes(2, "big"))
+    for comps, ss, se, ah, al in script:
+        head += jpeg._scan_head((comps, ss, se, ah, al))
+        if len(comps) == 1:
+            h, v, b = parts[comps[0]]
+            rows, cols = -(-(-(-height * v // top[1])) // 8), -(-(-(-width * h // top[0])) // 8)
+            mcus = [[(0, b[y][x])] for y in range(rows) for x in range(cols)]
+        else:
+            mcus = [[(c, parts[c][2][y * parts[c][1] + j][x * parts[c][0] + i]) for c in comps for j in range(parts[c][1]) for i in range(parts[c][0])] for y in range(units[1]) for x in range(units[0])]
+        every = restart or len(mcus)
+        for k in range(0, len(mcus), every):
+            bits: list[str] = []
+            dc, put = _huffman_writer(bits, jpeg._DC), _huffman_writer(bits, ac)
+            last, run, pending = Counter(), 0, []
+
+            def flush():
+                nonlocal run, pending
+                if run:
+                    n = run.bit_length() - 1
+                    put(n << 4)
+                    if n:
+                        bits.extend(f"{run - (1 << n):0{n}b}")
+                    bits.extend(pending)
+                run, pending = 0, []
+
+            for mcu in mcus[k : k + every]:
+                for c, block in mcu:
+                    if ss == 0:
+                        v = int(block[0])
+                        if ah:
+                            bits.append(str(v >> al & 1))
+                            continue
+                        d, last[c] = (v >> al) - last[c], v >> al
+                        s = abs(d).bit_length()
+                        dc(s)
+                        if s:
+                            bits.extend(f"{d if d > 0 else d + (1 << s) - 1:0{s}b}")
+                        continue
+                    zeros, fix = 0, []
+                    shown = [abs(int(x)) >> al for x in block[ss : se + 1]]
+                    new = [i for i, a in enumerate(shown) if a and (not ah or a == 1)]
+                    for i, a in enumerate(shown):
+                        sign = int(block[ss + i]) > 0
+                        if ah and a > 1:
+                            fix.append(str(a & 1))
+                            continue
+                        if not a:
+                            zeros += 1
+                            if zeros == 16 and any(j > i for j in new):
+                                flush()
+                                put(0xF0)
+                                bits.extend(fix)
+                                zeros, fix = 0, []
+                            continue
+                        flush()
+                        s = a.bit_length()
+                        put((zeros << 4) | s)
+                        bits.extend(str(int(sign)) if ah else f"{a if sign else (1 << s) - 1 - a:0{s}b}")
+                        bits.extend(fix)
+                        zeros, fix = 0, []
+                    if zeros or fix or (ah and not new and any(a > 1 for a in shown)):
+                        run += 1
+                        pending += fix
+                        if run == 0x7FFF:
+                            flush()
+            flush()
+            text = "".join(bits)
+            text += "1" * (-len(text) % 8)
+            head += int(text or "0", 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00")
+            if k + every < len(mcus):
+                head += bytes([0xFF, 0xD0 + (k // every) % 8])
+    return head + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("sampling", "restart"), [(((1, 1),) * 3, 1), (((2, 2), (1, 1), (1, 1)), 2), (((2, 1), (1, 1), (1, 1)), 0), (((1, 1),), 3)])
+def test_jpeg_general_scans(sampling, restart):
+    rng = np.random.default_rng(7)
+    size = (37, 29)
+    top = max(h for h, _ in sampling), max(v for _, v in sampling)
+    units = -(-size[0] // (8 * top[0])), -(-size[1] // (8 * top[1]))
+    parts = []
+    for h, v in sampling:
+        b = rng.integers(-40, 41, (units[1] * v, units[0] * h, 64)) * (rng.random((units[1] * v, units[0] * h, 64)) < rng.choice([0.02, 0.3, 0.9], (units[1] * v, units[0] * h, 1)))
+        shown = np.zeros(b.shape[:2], bool)
+        shown[: -(-(-(-size[1] * v // top[1])) // 8), : -(-(-(-size[0] * h // top[0])) // 8)] = True
+        b[~shown, 1:] = 0  # blocks beyond the picture have no AC scans
+        parts.append((h, v, b))
+    every = tuple(range(len(parts)))
+    script = [(every, 0, 0, 0, 1)] + [((c,), a, z, 0, 2) for c in every for a, z in ((1, 5), (6, 63))] + [((c,), 1, 63, 2, 1) for c in every] + [(every, 0, 0, 1, 0)] + [((c,), 1, 63, 1, 0) for c in every]
+    raw = progressive(parts, size, script, restart)
+    twice = np.frombuffer(raw + raw, np.uint8)
+    got, pictures = jpeg.read(twice, np.array([0, len(raw), 2 * len(raw)]))
+    want = np.concatenate([b.reshape(-1, 64) for _, _, b in parts])
+    assert (got == np.concatenate([want, want])).all()
+    x = jpeg.tensor(pictures[1], got)
+    assert x.shape == (29, 37, 3) and (x == jpeg.tensor(pictures[0], got)).all()
+
+
+def test_jpeg_samples_are_the_inverse_transform():
+    rng = np.random.default_rng(1)
+    c = rng.integers(-60, 61, (5, 64))
+    block = np.zeros((5, 64))
+    block[:, jpeg.ZIGZAG] = c * 2
+    k = np.arange(8)
+    a = np.where(k[:, None] == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16)
+    want = np.clip(np.einsum("vy,nvu,ux->nyx", a, block.reshape(5, 8, 8), a) + 128, 0, 255)
+    assert np.abs(jpeg.samples(c, np.full(64, 2)).astype(float) - want).max() <= 0.51
+
+
+def test_wide_media():
+    n = jpeg.MAX_ROWS * 192 + 500
+    payload, bounds = media.padded(np.frombuffer(bytes(i % 251 for i in range(n)), np.uint8), np.array([0, n]))
+    raw = jpeg.write(payload.astype(np.int32).reshape(-1, 3, 64) + 2, np.diff(bounds) // 192)[0]
+    c, p = jpeg.read(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert media.payload(p[0], c) == payload.tobytes() and p[0].width == 16
+
+
+# -- 6
+def near_classes(rows):
+    sets = []
+    for i, text in rows:
+        w = words(text)
+        sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])))
+    index, links, parent = defaultdict(list), Counter(), list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (_, s) in enumerate(sets):
+        shared = Counter(j for x in s for j in index[x])
+        for j, n in shared.items():
+            if 5 * n >= 4 * (len(s) + len(sets[j][1]) - n):
+                links[k] += 1
+                links[j] += 1
+                parent[find(k)] = find(j)
+        for x in s:
+            index[x].append(k)
+    groups = defaultdict(list)
+    for k, (i, _) in enumerate(sets):
+        groups[find(k)].append(i)
+    return sorted((i, min(groups[find(k)]), len(groups[find(k)]), links[k]) for k, (i, _) in enumerate(sets))
+
+
+def near_fixture(n=60, seed=5):
+    """Groups of near copies with growing distance, chains and ties at the threshold."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(6):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([5, 12, 60, 200]))]
+        for c in range(n // 6):
+            copy = list(base)
+            for _ in range(c // 2):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+            if g % 2:
+                base = copy
+    return rows
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_jaccard_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rows = near_fixture()
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in got.collect()) == near_classes(rows)
+
+
+def test_jaccard_query(spark, sf, texts):
+    got = registry.op6_ngram_jaccard_join(spark, sf).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in got) == near_classes(texts)
+
+
+def test_forest_recall():
+    depth = jaccard.prefix_depth()
+    assert 1 - (1 - 0.8**depth) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard.TREES
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(7, 7)]
+    parent = list(range(500))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in edges for x in (a, b) if a != b}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- 7
+def repeats(rows, span=400):
+    seen = Counter(b[i : i + span] for _, b in rows for i in range(len(b) - span + 1))
+    out = []
+    for i, b in rows:
+        gone = np.zeros(len(b) + 1, int)
+        for k in range(len(b) - span + 1):
+            if seen[b[k : k + span]] > 1:
+                gone[k] += 1
+                gone[k + span] -= 1
+        gone = np.cumsum(gone[:-1]) > 0
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out.append((i, len(b), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def repeat_fixture():
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdé fgh\n") for _ in range(n))
+    passage, other = noise(700), noise(405)
+    rows = [noise(300) + passage[:k] + noise(50) for k in (399, 400, 401, 600, 700)] + [passage[10:500] + noise(3) + other, noise(500), noise(20) + other + other + noise(20), "ab" * 450, noise(1000)]
+    rows += ["z" * 401, "z" * 400, "z" * 399, "q" * 400, rows[6]]
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_suffix_dedup_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(sufdedup, "HOT", hot)
+    rows = repeat_fixture()
+    got = sufdedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats([(i, t.encode()) for i, t in rows])
+
+
+def test_suffix_dedup_query(spark, sf, texts):
+    got = registry.op7_suffix_dedup(spark, sf).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats([(i, t.encode()) for i, t in texts])
+
+
+def test_bucket_refinement():
+    rng = random.Random(5)
+    for span in (12, 17, 40):
+        for _ in range(30):
+            regions = [bytes(rng.choice(b"ab") for _ in range(rng.randint(span, span + 30))) if rng.random() < 0.7 else b"ab" * rng.randint(span, 60) for _ in range(rng.randint(1, 6))]
+            data, offs = np.frombuffer(b"".join(regions), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in regions])])
+            owned = np.array([o + i for o, r in zip(offs, regions) for i in range(len(r) - span + 1) if rng.random() < 0.6], dtype=np.int64)
+            windows = [data[o : o + span].tobytes() for o in owned]
+            count = Counter(windows)
+            assert sufdedup.equal_windows(data, offs, owned, span).tolist() == [count[x] > 1 for x in windows]
+
+
+# -- 8
+def licensed(text, templates, containment=0.8):
+    """Best containment over all windows of two blocks, as the operator defines them."""
+    w = Words(*text_bytes(pa.array([text], pa.string())))
+    values, _ = shingles(w.hash, w.rows, 5)
+    out = {}
+    for name, t in templates.items():
+        x = Words(*text_bytes(pa.array([t], pa.string())))
+        own = set(shingles(x.hash, x.rows, 5)[0].tolist())
+        half = 1 << int(np.ceil(np.log2(len(own))))
+        best = max((len(own & set(values[a : a + 2 * half].tolist())) / len(own) for a in range(0, len(values), half)), default=0)
+        if best >= containment:
+            out[name] = best
+    return out
+
+
+def test_license_scan_brute_force():
+    rng = random.Random(2)
+    scanner = licenses.Scanner()
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            t = rng.choice(list(licenses.TEMPLATES.values())).split()
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                t[rng.randrange(len(t))] = f"x{rng.randrange(99)}"
+            parts.append(" ".join(f"n{rng.randrange(999)}" for _ in range(rng.randint(0, 200))) + "\n" + " ".join(t))
+        texts.append("\n".join(parts))
+    got = scanner.scan(*text_bytes(pa.array(texts, pa.string())))
+    for text, found in zip(texts, got):
+        assert {n: s for n, s, _, _ in found} == pytest.approx(licensed(text, licenses.TEMPLATES))
+        for _, _, a, b in found:
+            assert 0 <= a < b <= len(text.encode())
+    assert 1 - (1 - 0.8 / 4.2) ** licenses.bands_for() >= licenses.RECALL
+
+
+# -- 10
+def test_warc_round_trip(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = pages.unionAll(pages.limit(5).selectExpr("page_id + 100000", "url", "html"))
+    archive = warc.write(pages)
+    assert archive.payloads.count() == pages.select("html").distinct().count()
+    html = {r.page_id: (r.html or "").encode() for r in pages.collect()}
+    rows = warc.read(archive, with_bytes=True).collect()
+    assert len(rows) == pages.count()
+    for r in rows:
+        assert (r.payload_bytes, r.payload_digest) == (len(html[r.page_id]), hashlib.sha1(html[r.page_id]).hexdigest())
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        length = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        assert rest[length:] == b"\r\n\r\n" and (length == 0) == (r.record_type == "revisit")
+        if length:
+            assert rest[:length].partition(b"\r\n\r\n")[2] == html[r.page_id]
+
+
+def test_warc_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    got = sorted(map(str, (tuple(r) for r in registry.op10_warc_archive(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())))
+    assert got == sorted(map(str, con.execute(registry.oracle_sql()["op10_warc_archive"]).fetchall()))
+
+
+# -- pipeline
+def test_pipeline_like_its_stages(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.run(spark, sf).collect()
+    labels, bench = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    step = [(r.doc_id, r.text) for r in toxicity.reject(docs, labels).collect()]
+    kept = {c for _, c, _, _ in near_classes(step)}
+    step = [(i, t) for i, t in step if i in kept]
+    cut = {i: (n, gone) for i, n, gone, _, _ in repeats([(i, t.encode()) for i, t in step])}
+    left = [i for i, _ in step if cut[i][0] > cut[i][1]]
+    assert {r.doc_id for r in out} <= set(left)
+    items = [(str(a), b) for a, b in bench.collect()]
+    assert not any(h for _, h, _ in contaminated([r.text for r in out], items))
+    own = bpe.loaded(bpe.vocabulary())
+    assert all(bytes(r.ids) == own.encode(r.text) and r.n_tokens == len(r.ids) // 4 for r in out)
+    assert [c for c in corpus_pipeline.run(spark, sf).columns if c not in ("ids", "n_tokens")] == docs.columns
+
+
+def test_quality_features_are_position_free():
+    data, offs = text_bytes(pa.array(["one two THREE 4!", "", "x", "one two THREE 4!"], pa.string()))
+    for f, rows in quality.features(data, offs):
+        assert (f[rows[0] : rows[1]] == f[rows[3] : rows[4]]).all() and rows[1] == rows[2]
