@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import column
 from ..functions.tests import distinct_key, exactly_one, family, total, value_condition
 from ..plans.ir import All, And, Bool, Closed, Count, Expr, Not, Or, Pair, Rel, Source, Test, Xone
 from ..sources.graph import NodeTable, PropertyGraph
@@ -30,7 +31,7 @@ def property_values(properties: dict[str, str], names: tuple[str, ...], whole: b
         kind = properties.get(name)
         if kind is None:
             continue
-        c = F.col(f"`{name}`")
+        c = column(name)
         if kind.startswith("LIST<") and not whole:
             out.append(Values(F.filter(F.coalesce(c, F.array().cast(_array(kind))), lambda v: v.isNotNull()), kind[5:-1]))
         elif kind == "ANY":
@@ -70,7 +71,7 @@ class Conditions:
         return f"__{self.n}"
 
     def nodes(self, t: NodeTable) -> DataFrame:
-        return t.df.withColumn(ID, F.col(f"`{t.key}`").cast("string"))
+        return t.df.withColumn(ID, column(t.key).cast("string"))
 
     # -- conditions
     def on_nodes(self, e: Expr, t: NodeTable, df: DataFrame) -> tuple[DataFrame, Column]:
@@ -105,10 +106,10 @@ class Conditions:
         if e.kind == "label":
             if t.label in e.labels:
                 return F.lit(True)
-            return total(F.arrays_overlap(F.col(f"`{t.labels}`"), F.array(*map(F.lit, e.labels)))) if t.labels else F.lit(False)
+            return total(F.arrays_overlap(column(t.labels), F.array(*map(F.lit, e.labels)))) if t.labels else F.lit(False)
         if e.kind == "key":
-            column = self.node_key if self.node_key in t.df.columns else t.key if self.node_key is None else None
-            return total(F.col(f"`{column}`").cast("string").isin(*[c.value for c in e.values])) if column else F.lit(False)
+            key = self.node_key if self.node_key in t.df.columns else t.key if self.node_key is None else None
+            return total(column(key).cast("string").isin(*[c.value for c in e.values])) if key else F.lit(False)
         return F.lit(False)
 
     def _flag(self, df: DataFrame, starts: DataFrame) -> tuple[DataFrame, Column]:
@@ -265,7 +266,7 @@ class Conditions:
         out = F.lit(True)
         for name in t.properties:
             if name not in e.properties and name != t.key:
-                out = out & F.col(f"`{name}`").isNull()
+                out = out & column(name).isNull()
         types = tuple(sorted({r.type for r in self.graph.rels if r.start == t.label and r.type not in e.rels}))
         if types:
             df, extra = self._flag(df, self.paths.edges(Rel(types), {t.label}))

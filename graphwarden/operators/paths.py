@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import column
 from ..plans.ir import Alt, Rel, Repeat, Seq, Step
 from ..sources.graph import PropertyGraph
 
@@ -41,7 +42,7 @@ class Paths:
             if r.type not in step.types or (starts is not None and a not in starts):
                 continue
             s, e = (r.src, r.dst) if step.out else (r.dst, r.src)
-            s, e = F.col(f"`{s}`").cast("string"), F.col(f"`{e}`").cast("string")
+            s, e = column(s).cast("string"), column(e).cast("string")
             found.append(r.df.select(F.lit(a).alias("sl"), s.alias("sid"), F.lit(b).alias("el"), e.alias("eid")).where("sid IS NOT NULL AND eid IS NOT NULL"))
         return union(found) if found else self.empty()
 
@@ -69,7 +70,7 @@ class Paths:
 
     def _nodes(self, labels: set[str]) -> DataFrame:
         found = [
-            t.df.select(F.lit(t.label).alias("sl"), F.col(f"`{t.key}`").cast("string").alias("sid"), F.lit(t.label).alias("el"), F.col(f"`{t.key}`").cast("string").alias("eid"))
+            t.df.select(F.lit(t.label).alias("sl"), column(t.key).cast("string").alias("sid"), F.lit(t.label).alias("el"), column(t.key).cast("string").alias("eid"))
             for t in self.graph.nodes if t.label in labels
         ]
         return union(found) if found else self.empty()

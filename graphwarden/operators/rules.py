@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import column
 from ..functions.tests import shown, value_condition
 from ..plans.ir import Bool, Count, Focus, Rel, Rule, Source, closed_in, sources_of
 from ..sources.graph import NodeTable, PropertyGraph
@@ -60,11 +61,11 @@ class Engine:
     def _key(self, t: NodeTable, rule: Rule) -> Column:
         for c in (rule.key, self.node_key):
             if c and c in t.df.columns:
-                return F.col(f"`{c}`").cast("string")
+                return column(c).cast("string")
         return F.col(ID)
 
     def _edges(self, r, rule: Rule) -> FocusTable:
-        df = r.df.withColumn(ID, F.concat_ws("->", F.col(f"`{r.src}`").cast("string"), F.col(f"`{r.dst}`").cast("string")))
+        df = r.df.withColumn(ID, F.concat_ws("->", column(r.src).cast("string"), column(r.dst).cast("string")))
         table = NodeTable(r.type, df.drop(r.src, r.dst), ID)
         return FocusTable(table, df.withColumn(KEY, F.col(ID)))
 
@@ -76,10 +77,10 @@ class Engine:
             return df
         parts: list[Column] = []
         if t.labels and labels:
-            parts.append(F.coalesce(F.arrays_overlap(F.col(f"`{t.labels}`"), F.array(*map(F.lit, labels))), F.lit(False)))
+            parts.append(F.coalesce(F.arrays_overlap(column(t.labels), F.array(*map(F.lit, labels))), F.lit(False)))
         for f in focus:
             if f.kind == "subjects" and f.source.hops is None:
-                found = [F.col(f"`{p}`").isNotNull() for p in f.source.properties if p in t.properties]
+                found = [column(p).isNotNull() for p in f.source.properties if p in t.properties]
                 parts += found
             elif f.kind in ("subjects", "objects"):
                 hop = f.source.hops

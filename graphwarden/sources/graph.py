@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SourceError
 from ..functions.datatypes import type_of
+from ..functions.names import column
 from .schema import RelType, Snapshot
 
 
@@ -87,12 +88,12 @@ class PropertyGraph:
             t.properties |= r.properties
         return out
 
-    def observed_types(self, label: str, column: str) -> list[str]:
+    def observed_types(self, label: str, name: str) -> list[str]:
         """Types that occur in a VARIANT column (one aggregate over it)."""
         table = self.table(label)
         if table is None:
             raise SourceError(f"no node table {label}")
-        rows = table.df.select(F.schema_of_variant(F.col(f"`{column}`")).alias("t")).where("t IS NOT NULL").distinct().collect()
+        rows = table.df.select(F.schema_of_variant(column(name)).alias("t")).where("t IS NOT NULL").distinct().collect()
         return sorted(r["t"] for r in rows)
 
 
