@@ -1,4 +1,4 @@
-"""Command line: compile, validate, schema."""
+"""Command line: compile, validate, plan, schema."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from .errors import WardenError
 from .plans.lower import Options
 from .plans.manifest import compile_shapes, load_manifest, read_snapshot
 from .report import render
-from .runner import exit_code, validate
+from .runner import exit_code, plans_text, validate
 from .sources.graph import load_graph
 
 
@@ -40,6 +40,9 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--sample-size", type=int, default=5)
     run.add_argument("--timeout", type=float)
     run.add_argument("--fail-on", choices=["violation", "warning", "info"], default="violation")
+    plan = commands.add_parser("plan", help="print the physical plan of each group of rules")
+    shapes(plan, "+")
+    plan.add_argument("--graph", required=True)
     dump = commands.add_parser("schema", help="print a graph's schema snapshot")
     dump.add_argument("--graph", required=True)
     dump.add_argument("-o", "--output")
@@ -84,6 +87,10 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "schema":
             _write(graph.snapshot().to_json() + "\n", a.output)
             return 0
+        if a.command == "plan":
+            schema = read_snapshot(a.schema) if a.schema else graph.snapshot()
+            _write(plans_text(graph, compile_shapes(a.shapes, schema, _options(a), a.ontology, _fetch)), a.output)
+            return 0
         if bool(a.manifest) == bool(a.shapes):
             raise WardenError("give either shape files or a manifest")
         schema = read_snapshot(a.schema) if a.schema else graph.snapshot()

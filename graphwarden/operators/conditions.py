@@ -127,6 +127,32 @@ class Conditions:
             self.known[key] = df.where(c if wanted else ~c).select(F.lit(t.label).alias("el"), F.col(ID).alias("eid"))
         return self.known[key]
 
+    def failing(self, e: Expr, t: NodeTable, df: DataFrame) -> DataFrame:
+        """The rows for which a condition fails. Where existence along a path decides, this is one semi or
+        anti join: no distinct, no flag column."""
+        if isinstance(e, All) and e.source.hops is not None:
+            return self._with_start(df, self._failing_pairs(e, t), "left_semi")
+        if isinstance(e, Count) and e.source.hops is not None and e.n == (1 if e.least else 0):
+            return self._with_start(df, self._counted_pairs(e, t), "left_anti" if e.least else "left_semi")
+        df, ok = self.on_nodes(e, t, df)
+        return df.where(~ok)
+
+    @staticmethod
+    def _with_start(df: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+        return df.join(pairs.select("sid"), F.col(ID) == F.col("sid"), how)
+
+    def _failing_pairs(self, e: All, t: NodeTable) -> DataFrame:
+        pairs = self.paths.pairs(e.source.hops, t.label)
+        if e.test != Bool(False) or not e.source.nodes:
+            pairs = pairs.join(self._ends(e.source, e.test, t, False), ["el", "eid"], "left_semi")
+        return pairs
+
+    def _counted_pairs(self, e: Count, t: NodeTable) -> DataFrame:
+        pairs = self.paths.pairs(e.source.hops, t.label)
+        if e.filter != Bool(True) or not e.source.nodes:
+            pairs = pairs.join(self._ends(e.source, e.filter, t, True), ["el", "eid"], "left_semi")
+        return pairs
+
     def end_tables(self, source: Source, t: NodeTable) -> list[NodeTable]:
         reached = self.paths.ends(source.hops, {t.label})
         return [x for x in self.graph.nodes if x.label in reached]
@@ -150,28 +176,23 @@ class Conditions:
             for v in property_values(t.properties, e.source.properties, e.source.whole):
                 out = out & F.forall(v.array, tester(e.test, v.kind))
             return df, total(out)
-        pairs = self.paths.pairs(e.source.hops, t.label)
-        if e.test != Bool(False) or not e.source.nodes:
-            pairs = pairs.join(self._ends(e.source, e.test, t, False), ["el", "eid"], "left_semi")
-        df, failing = self._flag(df, pairs)
+        df, failing = self._flag(df, self._failing_pairs(e, t))
         return df, ~failing
 
     def _count(self, e: Count, t: NodeTable, df: DataFrame) -> tuple[DataFrame, Column]:
         if e.source.hops is None:
             n = self._count_values(property_values(t.properties, e.source.properties, e.source.whole), e.filter)
             return df, (n >= e.n) if e.least else (n <= e.n)
-        pairs = self.paths.pairs(e.source.hops, t.label)
         exists = e.n == (1 if e.least else 0)
         if e.source.nodes or exists:
-            if e.filter != Bool(True) or not e.source.nodes:
-                pairs = pairs.join(self._ends(e.source, e.filter, t, True), ["el", "eid"], "left_semi")
+            pairs = self._counted_pairs(e, t)
             if exists:
                 df, some = self._flag(df, pairs)
                 return df, some if e.least else ~some
             counted = pairs.groupBy("sid").agg(F.count_distinct("el", "eid").alias("n"))
         else:
             rows = self._value_rows(e.source, t, e.filter)
-            counted = pairs.join(rows, ["el", "eid"]).groupBy("sid").agg(F.count_distinct("family", "v").alias("n"))
+            counted = self.paths.pairs(e.source.hops, t.label).join(rows, ["el", "eid"]).groupBy("sid").agg(F.count_distinct("family", "v").alias("n"))
         name = self.fresh()
         counted = counted.select(F.col("sid").alias(f"{name}k"), F.col("n").alias(name))
         n = F.coalesce(F.col(name), F.lit(0))

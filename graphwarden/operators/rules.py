@@ -1,7 +1,7 @@
 """Violations of rules as DataFrames.
 
-Columns: rule_id, rule_name, shape, path, constraint, severity, focus_label, focus_key, value, message,
-details. Rules over the same label that need no joins are fused: one scan tests them all."""
+Columns: rule_id, rule_name, shape, path, constraint, severity, focus_label, focus_key, focus_id, value,
+message, details, properties (JSON of the focus, if verbose). Rules over the same label that need no joins are fused: one scan tests them all."""
 
 from __future__ import annotations
 
@@ -17,9 +17,9 @@ from ..sources.graph import NodeTable, PropertyGraph
 from .conditions import ID, Conditions, property_values, tester
 from .paths import union
 
-KEY = "__key"
-COLUMNS = ["rule_id", "rule_name", "shape", "path", "constraint", "severity", "focus_label", "focus_key", "value", "message", "details"]
-SCHEMA = ", ".join(f"{c} string" for c in COLUMNS[:-1]) + ", details array<string>"
+KEY, PROPERTIES = "__key", "__properties"
+COLUMNS = ["rule_id", "rule_name", "shape", "path", "constraint", "severity", "focus_label", "focus_key", "focus_id", "value", "message", "details", "properties"]
+SCHEMA = ", ".join(f"{c} {'array<string>' if c == 'details' else 'string'}" for c in COLUMNS)
 
 
 def _numbered(k: int):
@@ -42,8 +42,8 @@ def joins_needed(rule: Rule) -> bool:
 
 
 class Engine:
-    def __init__(self, graph: PropertyGraph, node_key: str | None = None):
-        self.graph, self.node_key = graph, node_key
+    def __init__(self, graph: PropertyGraph, node_key: str | None = None, verbose: bool = False):
+        self.graph, self.node_key, self.verbose = graph, node_key, verbose
         self.conditions = Conditions(graph, node_key)
 
     # -- focus
@@ -55,9 +55,14 @@ class Engine:
         for t in self.graph.nodes:
             df = self._members(t, rule.focus)
             if df is not None:
-                out.append(FocusTable(t, df.withColumn(KEY, self._key(t, rule))))
+                out.append(FocusTable(t, df.withColumns({KEY: self._key(t, rule), PROPERTIES: self._properties(t)})))
         return out
 
+    def _properties(self, t: NodeTable) -> Column:
+        if not self.verbose:
+            return F.lit(None).cast("string")
+        return F.to_json(F.struct(*(column(c) for c in t.df.columns if c != ID)))
+
     def _key(self, t: NodeTable, rule: Rule) -> Column:
         for c in (rule.key, self.node_key):
             if c and c in t.df.columns:
@@ -67,7 +72,7 @@ class Engine:
     def _edges(self, r, rule: Rule) -> FocusTable:
         df = r.df.withColumn(ID, F.concat_ws("->", column(r.src).cast("string"), column(r.dst).cast("string")))
         table = NodeTable(r.type, df.drop(r.src, r.dst), ID)
-        return FocusTable(table, df.withColumn(KEY, F.col(ID)))
+        return FocusTable(table, df.withColumns({KEY: F.col(ID), PROPERTIES: self._properties(table)}))
 
     def _members(self, t: NodeTable, focus: tuple[Focus, ...]) -> DataFrame | None:
         """A table's focus nodes, each once; None if it can't have any."""
@@ -112,8 +117,9 @@ class Engine:
             message = self._message(message, F.col(KEY), value)
         fixed = {"rule_id": rule.rule_id, "rule_name": rule.name, "shape": rule.shape, "path": rule.path, "constraint": rule.constraint, "severity": rule.severity, "focus_label": label}
         return df.select(
-            *(F.lit(v).cast("string").alias(k) for k, v in fixed.items()), F.col(KEY).alias("focus_key"), value.cast("string").alias("value"), message.alias("message"), details.alias("details")
-        )
+            *(F.lit(v).cast("string").alias(k) for k, v in fixed.items()), F.col(KEY).alias("focus_key"), F.col(ID).alias("focus_id"), value.cast("string").alias("value"), message.alias("message"), details.alias("details"),
+            F.col(PROPERTIES).alias("properties"),
+        )
 
     @staticmethod
     def _no_details() -> Column:
@@ -134,15 +140,15 @@ class Engine:
     def _violations(self, rule: Rule, f: FocusTable) -> DataFrame:
         t = f.table
         if rule.source is None or rule.source.is_self:
-            df, c = self.conditions.on_nodes(rule.holds, t, f.df)
+            df = self.conditions.failing(rule.holds, t, f.df)
             tests = []
             for d in rule.details:
                 df, x = self.conditions.on_nodes(d.holds, t, df)
                 tests.append(x)
             value = F.col(ID) if rule.source is not None else F.lit(None)
-            return self._rows(rule, t.label, df.where(~c), value, self._failed(rule, tests))
+            return self._rows(rule, t.label, df, value, self._failed(rule, tests))
         if rule.source.hops is None:
-            rows = f.df.select(KEY, F.explode(self._failing_values(rule, t)).alias("x"))
+            rows = f.df.select(ID, KEY, PROPERTIES, F.explode(self._failing_values(rule, t)).alias("x"))
             return self._rows(rule, t.label, rows, F.col("x.value"), F.col("x.details"))
         return self._over_hops(rule, f)
 
@@ -179,7 +185,7 @@ class Engine:
         pairs = c.paths.pairs(source.hops, t.label)
         keep = ["sid", "el", "eid", "value", "details"] if source.nodes else ["sid", "value", "details"]
         pairs = pairs.join(bad, ["el", "eid"]).select(*keep).distinct()
-        df = f.df.select(ID, KEY).join(pairs, F.col(ID) == F.col("sid"))
+        df = f.df.select(ID, KEY, PROPERTIES).join(pairs, F.col(ID) == F.col("sid"))
         return self._rows(rule, t.label, df, F.col("value"), F.col("details"))
 
     # -- fused scans
@@ -214,11 +220,11 @@ class Engine:
                 parts.append(F.array_compact(F.array(F.when(~ok, row))))
             else:
                 parts.append(F.transform(self._failing_values(r, t), _numbered(k)))
-        rows = f.df.select(KEY, F.explode(F.concat(*parts)).alias("x")).select(KEY, "x.*")
+        rows = f.df.select(ID, KEY, PROPERTIES, F.explode(F.concat(*parts)).alias("x")).select(ID, KEY, PROPERTIES, "x.*")
         fixed = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(COLUMNS[:6] + ["message"], (r.rule_id, r.name, r.shape, r.path, r.constraint, r.severity, r.message)))) for r in rules))
         rows = rows.withColumn("r", fixed[F.col("k")])
         message = self._message(F.col("r.message"), F.col(KEY), F.col("value")) if any("{" in r.message for r in rules) else F.col("r.message")
-        return rows.select(*(F.col(f"r.{c}") for c in COLUMNS[:6]), F.lit(t.label).alias("focus_label"), F.col(KEY).alias("focus_key"), "value", message.alias("message"), "details")
+        return rows.select(*(F.col(f"r.{c}") for c in COLUMNS[:6]), F.lit(t.label).alias("focus_label"), F.col(KEY).alias("focus_key"), F.col(ID).alias("focus_id"), "value", message.alias("message"), "details", F.col(PROPERTIES).alias("properties"))
 
     # -- results of many rules
     def all_violations(self, rules: list[Rule]) -> DataFrame:

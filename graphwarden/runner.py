@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 import uuid
@@ -110,19 +111,25 @@ def _skipped(r: Rule) -> tuple[str, str | None]:
     return "skipped", r.reason or r.status
 
 
-def _row(row) -> dict:
+def _row(row, rule: Rule, node_key: str | None) -> dict:
     d = row.asDict()
-    return {
-        "ruleId": d["rule_id"], "shape": d["shape"], "path": d["path"], "constraint": d["constraint"], "severity": d["severity"], "focus": {"label": d["focus_label"], "keyValue": d["focus_key"]},
+    if any(f.kind == "relationships" for f in rule.focus):
+        focus = {"type": d["focus_label"], "label": d["focus_label"], "keyValue": d["focus_key"], "elementId": d["focus_id"]}
+    else:
+        focus = {"label": d["focus_label"], "key": rule.key or node_key, "keyValue": d["focus_key"], "elementId": d["focus_id"]}
+    out = {
+        "ruleId": d["rule_id"], "shape": d["shape"], "path": d["path"], "constraint": d["constraint"], "severity": d["severity"], "focus": focus,
         "value": d["value"], "message": d["message"], "details": d["details"],
     }
+    return out if d["properties"] is None else out | {"properties": json.loads(d["properties"])}
 
 
 def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 100, sample_size: int = 5, timeout: float | None = None) -> Report:
     """Run every rule. ``limit``: violations listed for each rule (None or 0: all); ``timeout``: seconds
     for each group of rules that share a scan."""
     began = time.monotonic()
-    engine, spark = Engine(graph, compiled.options.node_key), graph.spark
+    engine, spark = Engine(graph, compiled.options.node_key, compiled.options.verbose), graph.spark
+    rules = {r.rule_id: r for r in compiled.rules}
     results: dict[str, RuleResult] = {}
     for r in compiled.rules:
         status, reason = ("passed", None) if r.status == "compiled" else _skipped(r)
@@ -147,7 +154,7 @@ def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 10
                     try:
                         parts = [frame.where(F.col("rule_id") == i) for i in sorted(counts)]
                         for row in union([p.limit(limit) if limit else p for p in parts]).collect():
-                            results[row["rule_id"]].violations.append(_row(row))
+                            results[row["rule_id"]].violations.append(_row(row, rules[row["rule_id"]], compiled.options.node_key))
                     except Exception as error:
                         for i in counts:
                             results[i].status_reason = "timed out; violations are not listed" if bound.hit else f"violations are not listed: {str(error).splitlines()[0]}"
@@ -159,6 +166,15 @@ def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 10
     return Report([results[r.rule_id] for r in compiled.rules], int((time.monotonic() - began) * 1000))
 
 
+def plans_text(graph: PropertyGraph, compiled: Compilation) -> str:
+    """The physical plan of each group of rules, headed by the rules' names and ids."""
+    out = []
+    for group, plan in _groups(Engine(graph, compiled.options.node_key, compiled.options.verbose), compiled.rules):
+        out += [f"-- name: {r.name}\n-- ruleId: {r.rule_id}" for r in group]
+        out.append(plan()._jdf.queryExecution().explainString(graph.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    return "\n".join(out) + "\n"
+
+
 def _groups(engine: Engine, rules: list[Rule]):
     """Groups of rules with a function that plans them; a plan that fails spoils its group only."""
     from .operators.rules import joins_needed

@@ -188,7 +188,7 @@ def test_reports(spark, files):
     s = report.summary()
     assert (s["rules"], s["passed"], s["failed"], s["violations"]) == (3, 2, 1, 1)
     data = json.loads(render(report, "json"))
-    assert data["rules"][0]["violations"][0]["focus"] == {"label": "Pet", "keyValue": "a"} and data["summary"]["failed"] == 1
+    assert data["rules"][0]["violations"][0]["focus"] == {"label": "Pet", "key": None, "keyValue": "a", "elementId": "a"} and data["summary"]["failed"] == 1
     assert "S.age.minInclusive" in render(report, "table") and "3 rules: 2 passed, 1 failed" in render(report, "table")
     suite = ET.fromstring(render(report, "junit").encode())
     assert suite.get("failures") == "1" and suite.find(".//failure").get("type") == "Warning"
@@ -232,7 +232,12 @@ def test_command_line(files, capsys):
     assert cli.main(["schema", "--graph", g]) == 0 and '"INT32"' in capsys.readouterr().out
     assert cli.main(["validate", s, "--graph", g, "--fail-on", "warning", "--format", "json"]) == 1
     assert json.loads(capsys.readouterr().out)["summary"]["violations"] == 1
-    assert cli.main(["validate", s, "--graph", g]) == 0
+    assert cli.main(["validate", s, "--graph", g]) == 0 and "1 failed" in capsys.readouterr().out
+    assert cli.main(["validate", s, "--graph", g, "--verbose", "--format", "json"]) == 0
+    assert json.loads(capsys.readouterr().out)["rules"][0]["violations"][0]["properties"] == {"id": "a", "age": -1, "name": "x"}
+    assert cli.main(["plan", s, "--graph", g]) == 0
+    text = capsys.readouterr().out
+    assert text.count("-- ruleId: ") == 3 and text.count("Scan parquet") == 2  # one scan, named twice by the plan's listing
     (files / "bad.ttl").write_text("ex:a")
     assert cli.main(["compile", str(files / "bad.ttl")]) == 1 and cli.main(["validate", str(files / "bad.ttl"), "--graph", g]) == 2
     assert cli.main(["validate", "--graph", g]) == 2 and cli.main(["validate", s, "--graph", str(files / "none.json")]) == 2
