@@ -29,14 +29,15 @@ def exactly_one(parts: list[Column]) -> Column:
     return n == 1
 
 
-def value_condition(e: Expr, x: Column, kind: str) -> Column:
-    """A condition of one property value of the neutral type ``kind``."""
+def value_condition(e: Expr, x: Column, kind: str, known: bool = False) -> Column:
+    """A condition of one property value of the neutral type ``kind``. ``known``: the value can't be null;
+    typed tests then need no guard, and simple ones can be pushed down to the scan."""
     if isinstance(e, Bool):
         return F.lit(e.value)
     if isinstance(e, Not):
-        return ~value_condition(e.part, x, kind)
+        return ~value_condition(e.part, x, kind, known)
     if isinstance(e, And | Or | Xone):
-        parts = [value_condition(p, x, kind) for p in e.parts]
+        parts = [value_condition(p, x, kind, known) for p in e.parts]
         if isinstance(e, Xone):
             return exactly_one(parts)
         out = parts[0]
@@ -44,7 +45,9 @@ def value_condition(e: Expr, x: Column, kind: str) -> Column:
             out = out & p if isinstance(e, And) else out | p
         return out
     if isinstance(e, Test):
-        return total(_variant(e, x) if kind == "ANY" else _typed(e, x, kind))
+        if kind == "ANY":
+            return total(_variant(e, x))
+        return _typed(e, x, kind) if known else total(_typed(e, x, kind))
     return F.lit(False)  # conditions of nodes
 
 

@@ -148,6 +148,13 @@ class Engine:
             value = F.col(ID) if rule.source is not None else F.lit(None)
             return self._rows(rule, t.label, df, value, self._failed(rule, tests))
         if rule.source.hops is None:
+            kinds = [(n, t.properties[n]) for n in rule.source.properties if n in t.properties]
+            if len(kinds) == 1 and kinds[0][1] != "ANY" and not kinds[0][1].startswith("LIST<"):
+                # a scalar column: a filter that reaches the scan instead of an exploded array
+                x, kind = column(kinds[0][0]), kinds[0][1]
+                rows = f.df.where(x.isNotNull() & ~value_condition(rule.holds, x, kind, known=True))
+                details = self._failed(rule, [value_condition(d.holds, x, kind) for d in rule.details])
+                return self._rows(rule, t.label, rows, shown(x, kind), details)
             rows = f.df.select(ID, KEY, PROPERTIES, F.explode(self._failing_values(rule, t)).alias("x"))
             return self._rows(rule, t.label, rows, F.col("x.value"), F.col("x.details"))
         return self._over_hops(rule, f)
