@@ -3,12 +3,14 @@ hashes and shingles are computed for a whole block of documents at once."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
@@ -71,17 +73,28 @@ def row_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) ->
         at = to
 
 
-def by_block(column: str, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = BLOCK_BYTES):
-    """A mapInArrow function that applies ``f`` to one block after the other."""
+def in_arrow(df, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema):
+    """``df.mapInArrow`` with bounded memory: batches of at most ``BATCH_BYTES``, and a worker gives what it
+    freed back to the system when its task ends, since it stays for other tasks."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "").removesuffix("b")
+    if not (now.isdigit() and int(now) <= BATCH_BYTES):
+        conf.set(key, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in row_blocks(batch, column, limit):
-                out = f(block)
-                if out is not None:
-                    yield out
+        yield from f(batches)
+        release()
 
-    return run
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def spans(member: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

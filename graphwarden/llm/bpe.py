@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import row_blocks, text_bytes
+from .blocks import in_arrow, row_blocks, text_bytes
 
 #: Code points that the tokenizer's own \s matches (fixed values).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -34,7 +34,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 ODD_SPACE = re.compile("[\\x1c-\\x1f]")
 #: Beyond ASCII and extended Latin.
 UNUSUAL = re.compile("[^\\x00-\u024f]")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,7 +53,7 @@ class _Pairs(dict):
         self.find = find
 
     def __missing__(self, pair: tuple[int, int]) -> bool:
-        if len(self) > 4 * CACHE_ENTRIES:
+        if len(self) >= CACHE_ENTRIES:
             self.clear()
         found = self[pair] = self.find(*pair)
         return found
@@ -112,6 +112,7 @@ class Bpe:
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.compatible = _Pairs(self._fits)
         self.chunks: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.offsets, self.table = self._decode_table(by_id)
 
     def _decode_table(self, by_id: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +165,10 @@ class Bpe:
         known = self.chunks.get(text)
         if known is not None:
             return known
+        known = self.before.get(text)
+        if known is not None:
+            self._remember(text, known)
+            return known
         own = not UNUSUAL.search(text)
         if own and text.isalpha():
             raw = text.encode()
@@ -176,11 +181,15 @@ class Bpe:
                 ids += self.word(raw[:-1].decode("latin-1") + chr(raw[-1] + 256))
             known = array("I", ids).tobytes()
         if len(text) <= 64:
-            if len(self.chunks) >= CACHE_ENTRIES:
-                self.chunks.clear()
-            self.chunks[text] = known
+            self._remember(text, known)
         return known
 
+    def _remember(self, text: str, ids: bytes) -> None:
+        """Two generations bound the memory and keep what is in use."""
+        if len(self.chunks) >= CACHE_ENTRIES:
+            self.before, self.chunks = self.chunks, {}
+        self.chunks[text] = ids
+
     def pieces_of(self, text: str, own: bool) -> list[bytes]:
         """The words of a text without white space. Whether a code point beyond extended Latin is a
         letter or a number depends on the Unicode version, so the tokenizer's own tables decide."""
@@ -256,7 +265,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", n_tok
                     names=[*keep, ids, n_tokens],
                 )
 
-    return df.select(*{c: None for c in [*keep, text]}).mapInArrow(run, schema)
+    return in_arrow(df.select(*{c: None for c in [*keep, text]}), run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -273,7 +282,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                 column = pa.Array.from_buffers(pa.string(), block.num_rows, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), column], names=[*keep, text])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

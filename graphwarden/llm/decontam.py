@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import U64, Words, mix, row_blocks, text_bytes
+from .blocks import U64, Words, in_arrow, mix, row_blocks, text_bytes
 
 WINDOW = 10
 SHARD_WORDS = 250_000
@@ -228,7 +228,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
                 for block in row_blocks(batch, "text"):
                     yield _scan(block, keep, index)
 
-        out = out.mapInArrow(run, out.schema)
+        out = in_arrow(out, run, out.schema)
     return out
 
 
@@ -298,7 +298,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_c
             arrays["n_chars"] = pa.array([len(t) if n else o for t, n, o in zip(texts, counts, old.to_pylist())], old.type)
         return pa.RecordBatch.from_arrays(list(arrays.values()), names=columns).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def _spans(w: Words, hit: np.ndarray, a: int, b: int, base: int) -> list[tuple[int, int]]:

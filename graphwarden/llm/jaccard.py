@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import U64, Words, digests, minhash, mix, row_blocks, row_sum, shingles, text_bytes
+from .blocks import U64, Words, digests, in_arrow, minhash, mix, row_blocks, row_sum, shingles, text_bytes
 from .components import components
 from .storage import materialize
 
@@ -84,7 +84,7 @@ def with_set(df: DataFrame, text: str = "text", out: str = "cls", trees: int = 0
                     columns.append(pa.Array.from_buffers(pa.binary(), block.num_rows, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw)]))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def _label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +191,9 @@ def _class_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct(key.alias("k"), "th")).alias("rep"), F.max("size").alias("size"), F.max("labels").alias("labels")
         ), "sets",
     )
-    labels = sets.select("labels", "cls").mapInArrow(_label_rows, "label long, cls binary")
+    labels = in_arrow(sets.select("labels", "cls"), _label_rows, "label long, cls binary")
     sorted_ = labels.repartitionByRange(F.col("label"), F.col("cls")).sortWithinPartitions("label", "cls")
-    met = materialize(sorted_.mapInArrow(_meetings, "kind int, label long, a binary, b binary"), "meetings")
+    met = materialize(in_arrow(sorted_, _meetings, "kind int, label long, a binary, b binary"), "meetings")
     border = met.where("kind = 1").select("label", "a").distinct()
     across = border.join(border.groupBy("label").agg(F.min("a").alias("b")), "label").select("a", "b")
     groups = components(met.where("kind = 0").select("a", "b").unionAll(across))
@@ -232,12 +232,8 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, the one with the least id; all columns stay."""
     _, info = _class_ids(docs)
-    name = "cls"
-    while name in docs.columns:
-        name += "_"
-    columns = docs.columns
-    marked = with_set(docs, out=name)
-    kept = info.where(F.col("kept_cls") == F.col("cls")).select(F.col("cls").alias(f"{name}k"), F.col("class_id").alias(f"{name}i"))
-    alone = marked.where(F.col(name).isNull()).select(*columns)
-    others = marked.join(kept, F.col(name) == F.col(f"{name}k")).where(F.col("doc_id").eqNullSafe(F.col(f"{name}i")))
-    return others.dropDuplicates([name, "doc_id"]).select(*columns).unionAll(alone)
+    # whatever their names are, the columns travel as one
+    marked = with_set(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text"))
+    kept = info.where(F.col("kept_cls") == F.col("cls")).select("cls", F.col("class_id").alias("kept_id"))
+    others = marked.join(kept, "cls").where(F.col("doc_id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["cls", "doc_id"])
+    return marked.where("cls IS NULL").select("row.*").unionAll(others.select("row.*"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import U64, mix, powers, row_blocks, row_sum, spans, text_bytes
+from .blocks import U64, in_arrow, mix, powers, row_blocks, row_sum, spans, text_bytes
 from .sampling import remainder, sigmoid, training_rows
 
 BUCKETS = 1 << 20
@@ -139,7 +139,7 @@ def add_score(df: DataFrame, w: np.ndarray, text: str = "text", out: str = "scor
                 score = score_block(*text_bytes(block.column(text)), shared.value)
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), pa.array(score)], names=[*keep, out])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.ndarray:

@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import U64, digests, mix, powers, row_blocks, text_bytes
+from .blocks import U64, digests, in_arrow, mix, powers, row_blocks, text_bytes
 from .storage import materialize
 
 SPAN, GRAM = 400, 64
 HOT = 4096
 BLOCK = 1 << 20
-REFINE_BYTES = 3 << 20
+REFINE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(400)
 _T1, _T2 = (_rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1) for _ in range(2))
@@ -156,7 +156,7 @@ def _packed(df: DataFrame, keep: list[str], once: bool = False) -> DataFrame:
                 z = pa.array([pack.compress((x or "").encode()) for x in block.column("text").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), z], names=[*keep, "z"])
 
-    return df.select(*{c: None for c in [*keep, "dig", "text"]}).mapInArrow(run, schema)
+    return in_arrow(df.select(*{c: None for c in [*keep, "dig", "text"]}), run, schema)
 
 
 _FETCH = "h long, nc long, n long, dig binary, lo int, hi int, body binary"
@@ -191,15 +191,16 @@ def equal_windows(data: np.ndarray, offs: np.ndarray, owned: np.ndarray, span: i
     refinement: ``bucket`` holds the identifier of each position's bucket at the present depth, -1 where
     a position is alone in it or the text ends before."""
     n = len(data)
-    alone = np.int64(-1)
-    left = np.repeat(offs[1:], np.diff(offs)) - np.arange(n)
-    depth = 8
+    alone = np.int32(-1)
     if n < span:
         return np.zeros(len(owned), dtype=bool)
+    left = np.repeat(offs[1:].astype(np.int32), np.diff(offs))
+    left -= np.arange(n, dtype=np.int32)
+    depth = 8
     value = np.zeros(n - 7, dtype=U64)
     for k in range(8):
         value |= data[k : n - 7 + k].astype(U64) << U64(8 * (7 - k))
-    at = np.flatnonzero(left[: n - 7] >= depth)
+    at = np.flatnonzero(left[: n - 7] >= depth).astype(np.int32)
     bucket = np.full(n, alone)
 
     def place(at: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -207,16 +208,20 @@ def equal_windows(data: np.ndarray, offs: np.ndarray, owned: np.ndarray, span: i
         bucket.fill(alone)
         if not len(at):
             return at
-        order = np.argsort(keys, kind="stable")
-        s = keys[order]
-        new = np.ones(len(s), dtype=bool)
-        new[1:] = s[1:] != s[:-1]
-        ident = np.cumsum(new) - 1
-        shared = np.bincount(ident)[ident] > 1
-        bucket[at[order[shared]]] = ident[shared]
-        return np.sort(at[order[shared]])
+        order = np.argsort(keys, kind="stable").astype(np.int32)
+        keys = keys[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        del keys
+        ident = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        shared = ~new
+        shared[:-1] |= ~new[1:]
+        at = at[order[shared]]
+        bucket[at] = ident[shared]
+        return np.sort(at)
 
     at = place(at, value[at])
+    del value
     while depth < span:
         step = min(depth, span - depth)
         at = at[left[at] >= depth + step]
@@ -296,7 +301,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _repeats(docs: DataFrame) -> DataFrame:
     """Ranges of window starts that are repeats: dig, spans array<struct<lo, hi>>."""
     rows = docs.select("text", digest(F.col("text")).alias("dig")).where(F.octet_length("text") >= SPAN)
-    found = materialize(rows.mapInArrow(_anchors, "kind int, dig binary, h long, ctx binary, lo int, hi int, at int, n long"), "anchors")
+    found = materialize(in_arrow(rows, _anchors, "kind int, dig binary, h long, ctx binary, lo int, hi int, at int, n long"), "anchors")
     anchors = found.where("kind = 0")
     by_ctx = anchors.groupBy("ctx").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
     by_gram = by_ctx.groupBy("h").agg(F.count(F.lit(1)).alias("nc")).where("nc > 1")
@@ -308,9 +313,9 @@ def _repeats(docs: DataFrame) -> DataFrame:
     chosen = joined.where("nc > 1").groupBy("ctx").agg(F.min(F.struct("dig", "lo", "hi")).alias("r"), F.min("h").alias("h"), F.max("nc").alias("nc"), F.max("total").alias("n"))
     chosen = chosen.groupBy(F.col("r.dig").alias("dig")).agg(F.collect_list(F.struct("h", "nc", "n", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))).alias("wanted"))
     texts = _packed(rows, ["dig"], once=True)
-    fetched = materialize(texts.join(chosen, "dig").dropDuplicates(["dig"]).mapInArrow(_fetch, _FETCH), "contexts")
-    some = fetched.where(F.col("nc") <= HOT).repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_refine, "dig binary, lo int, hi int")
-    windows = fetched.where(F.col("nc") > HOT).mapInArrow(_windows, "w1 long, w2 long, dig binary, lo int, n long")
+    fetched = materialize(in_arrow(texts.join(chosen, "dig").dropDuplicates(["dig"]), _fetch, _FETCH), "contexts")
+    some = in_arrow(fetched.where(F.col("nc") <= HOT).repartition(F.col("h")).sortWithinPartitions("h"), _refine, "dig binary, lo int, hi int")
+    windows = in_arrow(fetched.where(F.col("nc") > HOT), _windows, "w1 long, w2 long, dig binary, lo int, n long")
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     many = windows.where("n = 1").join(twice, ["w1", "w2"], "left_semi").select("dig", "lo", F.col("lo").alias("hi"))
     spans = whole.unionAll(own).unionAll(some).unionAll(many).distinct()
@@ -352,31 +357,31 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
                     schema=pa.schema([*(block.schema.field(c) for c in keep), *(pa.field(c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.field("kept", pa.binary())]),
                 )
 
-    return both.mapInArrow(run, schema)
+    return in_arrow(both, run, schema)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with repeats cut out of the text; characters cut in half go as well, and texts of which
     only white space is left by the cuts are removed. All columns stay; n_chars follows."""
-    mark, columns = "_null_text", docs.columns
-    while mark in columns:
-        mark += "_"
-    cut = repeats_removed(docs.withColumn(mark, F.col("text").isNull()))
-    schema = docs.schema
+    schema, columns = docs.schema, docs.columns
+    # whatever their names are, the other columns travel as one
+    cut = repeats_removed(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns if c != "text"), F.col("text").isNull().alias("null text")).alias("row"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in row_blocks(batch, "kept"):
                 gone = block.column("n_removed").to_pylist()
-                texts = [None if null else x.decode("utf-8", "ignore") for x, null in zip(block.column("kept").to_pylist(), block.column(mark).to_pylist())]
-                arrays = [pa.array(texts, pa.string()) if c == "text" else block.column(c) for c in columns]
-                if "n_chars" in columns:
-                    k = columns.index("n_chars")
-                    arrays[k] = pa.array([len(t) if g else o for t, g, o in zip(texts, gone, arrays[k].to_pylist())], arrays[k].type)
+                *rest, null = block.column("row").flatten()
+                texts = [None if n else x.decode("utf-8", "ignore") for x, n in zip(block.column("kept").to_pylist(), null.to_pylist())]
+                left = iter(rest)
+                arrays = {c: pa.array(texts, pa.string()) if c == "text" else next(left) for c in columns}
+                if "n_chars" in arrays:
+                    old = arrays["n_chars"]
+                    arrays["n_chars"] = pa.array([len(t) if g else o for t, g, o in zip(texts, gone, old.to_pylist())], old.type)
                 keep = [not g or bool(t.strip()) for t, g in zip(texts, gone)]
-                yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(list(arrays.values()), names=columns).filter(pa.array(keep))
 
-    return cut.mapInArrow(run, schema)
+    return in_arrow(cut, run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import FOLD, row_blocks, text_bytes
+from .blocks import FOLD, in_arrow, release, row_blocks, text_bytes
 from .sampling import remainder, sigmoid, training_rows
 
 BITS = 22
@@ -80,8 +80,10 @@ def train(texts: pa.Array, labels: np.ndarray, counts: dict[int, int], rounds: i
         row, h = present(data, offs, every)
         for v in (0, 1):
             df[v] += np.bincount(h[labels[k + row] == v], minlength=1 << BITS).astype(np.int32)
-    ratio = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
-    chosen = np.abs(ratio) >= MIN_Z * np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
+    clean, bad = (x + np.float32(0.5) for x in df.astype(np.float32))
+    ratio = np.log(bad / (n[1] + 1)) - np.log(clean / (n[0] + 1))
+    chosen = np.abs(ratio) >= MIN_Z * np.sqrt(1 / bad + 1 / clean)
+    del df, clean, bad
     rows, cols = [], []
     for k, data, offs in blocks:
         row, h = present(data, offs, chosen)
@@ -126,12 +128,14 @@ def add_score(df: DataFrame, model: Model, text: str = "text", out: str = "score
                 score = score_block(*text_bytes(block.column(text)), model, among)
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), pa.array(score)], names=[*keep, out])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     rows, counts = training_rows(docs, labels, "toxic", per_class, remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    return train(rows.column("text").combine_chunks(), rows.column("label").to_numpy(), counts)
+    model = train(rows.column("text").combine_chunks(), rows.column("label").to_numpy(), counts)
+    release()
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
