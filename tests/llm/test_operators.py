@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -355,6 +356,17 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_intermediate_tables_can_be_cleared(spark):
+    from graphwarden.llm import storage
+
+    kept = storage.materialize(spark.range(3), "kept")
+    assert kept.count() == 3
+    path = storage._written[-1].removeprefix("file:")
+    assert os.path.exists(path)
+    storage.clear(spark)
+    assert not os.path.exists(path) and not storage._written
+
+
 # -- 7
 def repeats(rows, span=400):
     seen = Counter(b[i : i + span] for _, b in rows for i in range(len(b) - span + 1))
