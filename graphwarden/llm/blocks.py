@@ -78,7 +78,7 @@ def in_arrow(df, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     freed back to the system when its task ends, since it stays for other tasks."""
     conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(key, "").removesuffix("b")
+    now = conf.get(key).removesuffix("b")
     if not (now.isdigit() and int(now) <= BATCH_BYTES):
         conf.set(key, f"{BATCH_BYTES}b")
 
