@@ -1,18 +1,23 @@
 """Chat formatting by quotation linking.
 
 A line's quote level is the number of ``>`` that it begins with (blanks between them allowed). Level 0
-is the message's own text; runs of lines of one level are passages. Own texts are indexed by digests of
-their normalised lines, paragraphs and whole; quoted passages look their digests up in the index of
-their conversation, passage first and its lines besides. Each digest is owned by the earliest message
-that holds it, so a phrase repeated in thousands of messages is one row on the index side.
+is the message's own text; runs of lines of one level are passages. A text's units are the whole, its
+paragraphs, lines, sentences and the sentences' parts in each line. Units of own texts are indexed by
+digests of their normalised words under every message that holds them; units of quoted passages look
+their digests up in the index of their conversation. Only digests that are quoted stay in the index.
 
 A message answers the earlier message from which most words of its outermost quotes come (ties: the
-later one). A message that quotes nothing known starts a thread. ``thread`` is the turn that started
+later one): the words of a passage that lie in any unit which that message holds, each counted once. All
+earlier holders take part. A digest with more than ``HOT`` holders isn't joined to each of them: holders
+with the same set of such digests are one class, and the latest earlier member stands for its class,
+since all members are equal in these words. Messages that hold a rarer unit too are counted one by one.
+
+A message that quotes nothing known starts a thread. ``thread`` is the turn that started
 the thread and ``depth`` the number of answers above; ordering by (conv_id, thread, turn) puts every
 answer after what it answers. Roots are found by pointer doubling: joins on (conv_id, turn), a number of
 rounds logarithmic in the depth, and no conversation is ever gathered in one place.
 
-Null and empty texts have no lines. Without a conversation or turn a message can't be linked. Messages
+Turns are integers. Null and empty texts have no lines. Without a conversation or turn a message can't be linked. Messages
 with the same (conv_id, turn) share what is found for any of them. Very long texts are split into lines
 like others; extra columns are passed through, but those named like results are replaced.
 """
@@ -25,6 +30,13 @@ from pyspark.sql import functions as F
 from .storage import materialize
 
 MARKS = r"^(?:[ \t]?>)+"
+PARAGRAPH = r"\n[ \t]*\n"
+SENTENCE = r"(?<=[.!?…])\s+|(?<=[。！？])"
+#: A whole text, its lines, paragraphs, sentences (over line ends) and their parts in each line.
+UNITS = (r"(?!)", r"\n", PARAGRAPH, f"{PARAGRAPH}|{SENTENCE}", rf"\n|{SENTENCE}")
+#: Digests with more holders than this in a conversation are credited by class.
+HOT = 64
+BITS = 6
 ATTRIBUTION = r"(?i)^.{0,200}\b(?:wrote|schrieb|escribió|a écrit)\s*:\s*$"
 _RESULTS = ("parent_turn", "thread", "depth", "n_quotes", "n_linked")
 
@@ -75,10 +87,59 @@ def parsed(messages: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("passages", F.when(F.size("_begins") > 0, passages).otherwise(F.array().cast("array<struct<level:int,body:string>>"))).drop("_lines", "_begins")
 
 
-def _keys(body: Column, paragraphs: bool) -> Column:
-    """Distinct normalised texts to look a body up by: the whole, its lines and paragraphs."""
-    parts = [F.array(body), F.split(body, "\n")] + ([F.split(body, r"\n[ \t]*\n")] if paragraphs else [])
-    return F.array_distinct(F.filter(F.transform(F.concat(*parts), _normal), lambda x: x != ""))
+def _units(body: Column) -> Column:
+    """array<struct<key, s, e>>: the normalised units of a body and the words [s, e) of it that they are."""
+
+    def placed(pattern: str) -> Column:
+        parts = F.filter(F.transform(F.split(body, pattern), _normal), lambda x: x != "")
+        # one entry for each word; the first one of a part names it, and its position is the part's
+        words = F.flatten(F.transform(parts, lambda x: F.transform(F.split(x, " "), lambda w, j: F.struct(F.when(j == 0, x).alias("key")))))
+        at = F.transform(words, lambda x, i: F.struct(x["key"].alias("key"), i.alias("s"), (i + F.size(F.split(x["key"], " "))).alias("e")))
+        return F.filter(at, lambda x: x["key"].isNotNull())
+
+    return F.array_distinct(F.concat(*(placed(x) for x in UNITS)))
+
+
+def _keys(body: Column) -> Column:
+    """Distinct normalised units of a body."""
+    return F.array_distinct(F.filter(F.transform(F.concat(*(F.split(body, x) for x in UNITS)), _normal), lambda x: x != ""))
+
+
+def _covered(spans: DataFrame, by: str) -> DataFrame:
+    """conv_id, turn, ``by``, w: how many words of the message's passages lie in any of the spans."""
+    sets = spans.groupBy("conv_id", "turn", "p", "passage", by).agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("x"))
+    words = F.aggregate(
+        "x", F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")),
+        lambda a, x: F.struct(F.greatest(a["to"], x["e"]).alias("to"), (a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["to"], x["s"]))).alias("n")), lambda a: a["n"],
+    )
+    return sets.select("conv_id", "turn", by, words.alias("w")).groupBy("conv_id", "turn", by).agg(F.sum("w").alias("w"))
+
+
+def _nodes(turn: str, levels: int) -> Column:
+    """The nodes of a turn in a tree whose nodes have 2**BITS children; the root has what is left."""
+    t = F.col(turn).cast("long")
+    return F.inline(
+        F.array(*(
+            F.struct(F.lit(k).alias("at"), (F.shiftright(t, BITS * (k + 1)) if k + 1 < levels else F.lit(0).cast("long")).alias("node"), F.shiftright(t, BITS * k).alias("child"))
+            for k in range(levels)
+        ))
+    )
+
+
+def _latest(votes: DataFrame, members: DataFrame) -> DataFrame:
+    """conv_id, turn, from_turn, w: each vote (conv_id, turn, class, w) with its class's latest member before
+    the turn. At each level of a tree of turns, only one node's children are looked at, so that neither a
+    class nor a conversation is sorted in one place."""
+    lo, hi = members.agg(F.min("from_turn").cast("long"), F.max("from_turn").cast("long")).first()
+    levels = 1
+    while (hi >> BITS * (levels - 1)) - (lo >> BITS * (levels - 1)) >= 1 << BITS:
+        levels += 1
+    tree = members.select("conv_id", "class", "from_turn", _nodes("from_turn", levels)).groupBy("conv_id", "class", "at", "node", "child").agg(F.max("from_turn").alias("last"))
+    tree = tree.groupBy("conv_id", "class", "at", "node").agg(F.collect_list(F.struct("child", "last")).alias("children"))
+    asked = votes.select("*", _nodes("turn", levels)).join(tree, ["conv_id", "class", "at", "node"])
+    last = F.array_max(F.transform(F.filter("children", lambda x: x["child"] < F.col("child")), lambda x: x["last"]))
+    best = asked.select("conv_id", "turn", "class", "w", last.alias("from_turn")).where("from_turn IS NOT NULL")
+    return best.groupBy("conv_id", "turn", "class").agg(F.max("from_turn").alias("from_turn"), F.max("w").alias("w")).drop("class")
 
 
 def links(rows: DataFrame) -> DataFrame:
@@ -86,19 +147,32 @@ def links(rows: DataFrame) -> DataFrame:
     known = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     quoting = materialize(
         known.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("p", "passage")).select(
-            "conv_id", "turn", "p", F.col("passage.level").alias("level"), F.explode_outer(_keys(F.col("passage.body"), False)).alias("key")
-        ).select("conv_id", "turn", "p", "level", _digest(F.col("key")).alias("key"), F.size(F.split("key", " ")).alias("words")), "quotes",
+            "conv_id", "turn", "p", F.col("passage.level").alias("level"), _digest(F.col("passage.body")).alias("passage"), F.explode_outer(_units(F.col("passage.body"))).alias("unit")
+        ).select("conv_id", "turn", "p", "level", "passage", _digest(F.col("unit.key")).alias("key"), "unit.s", "unit.e"), "quotes",
     )
     if quoting.isEmpty():
         return quoting.select("conv_id", "turn", F.col("turn").alias("parent_turn"), F.lit(0).cast("long").alias("n_quotes"), F.lit(0).cast("long").alias("n_linked"))
-    index = known.select("conv_id", "turn", F.explode(_keys(F.col("own"), True)).alias("key"))
-    index = index.groupBy("conv_id", _digest(F.col("key")).alias("key")).agg(F.min("turn").alias("from_turn"))
-    found = quoting.join(index, ["conv_id", "key"], "left").withColumn("from_turn", F.when(F.col("from_turn") < F.col("turn"), F.col("from_turn")))
+    index = known.select("conv_id", F.col("turn").alias("from_turn"), F.explode(_keys(F.col("own"))).alias("key")).withColumn("key", _digest(F.col("key")))
+    held = materialize(index.join(quoting.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi").distinct(), "holders")
+    keys = held.groupBy("conv_id", "key").agg(F.min("from_turn").alias("first"), (F.count(F.lit(1)) > HOT).alias("hot"))
+    found = materialize(quoting.join(keys, ["conv_id", "key"], "left").withColumn("known", F.coalesce(F.col("first") < F.col("turn"), F.lit(False))), "found")
     outer = found.groupBy("conv_id", "turn").agg(F.min("level").alias("least"))
-    votes = found.join(outer, ["conv_id", "turn"]).where("from_turn IS NOT NULL AND level = least")
-    votes = votes.groupBy("conv_id", "turn", "from_turn").agg(F.sum("words").alias("w"))
+    asked = found.join(outer, ["conv_id", "turn"]).where("known AND level = least").select("conv_id", "turn", "p", "passage", "key", "s", "e", "hot")
+    rare, hot = asked.where("NOT hot"), asked.where("hot")
+    spans = rare.join(held, ["conv_id", "key"]).where("from_turn < turn").select("conv_id", "turn", "p", "passage", "from_turn", "s", "e")
+    if hot.isEmpty():
+        votes = _covered(spans, "from_turn")
+    else:
+        spans = materialize(spans, "spans")
+        held = held.join(keys.where("hot"), ["conv_id", "key"], "left_semi")
+        more = spans.select("conv_id", "turn", "from_turn").distinct().join(hot, ["conv_id", "turn"]).join(held, ["conv_id", "from_turn", "key"], "left_semi")
+        members = held.groupBy("conv_id", "from_turn").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        members = materialize(members.withColumn("class", _digest(F.array_join(F.transform("keys", F.hex), ""))), "classes")
+        classes = members.groupBy("conv_id", "class").agg(F.first("keys").alias("keys")).select("conv_id", "class", F.explode("keys").alias("key"))
+        common = _covered(hot.join(classes, ["conv_id", "key"]), "class")
+        votes = _covered(spans.unionByName(more.select(spans.columns)), "from_turn").unionByName(_latest(common, members))
     parent = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("w", "from_turn"))["from_turn"].alias("parent_turn"))
-    counts = found.groupBy("conv_id", "turn").agg(F.count_distinct("p").alias("n_quotes"), F.count_distinct(F.when(F.col("from_turn").isNotNull(), F.col("p"))).alias("n_linked"))
+    counts = found.groupBy("conv_id", "turn").agg(F.count_distinct("p").alias("n_quotes"), F.count_distinct(F.when(F.col("known"), F.col("p"))).alias("n_linked"))
     return counts.join(parent, ["conv_id", "turn"], "left").select("conv_id", "turn", "parent_turn", "n_quotes", "n_linked")
 
 
