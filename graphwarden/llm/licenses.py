@@ -6,7 +6,8 @@ template is looked for in the smallest size whose block holds all its n shingles
 than 4n. A window that contains 80 % of the template then has a Jaccard similarity of more than 0.19
 with it, and with bands of one value each, ``bands_for`` sets their number such that at least one of
 them collides with probability ``RECALL``. A match is a window that contains at least 80 % of a
-template's distinct shingles; it is always verified on the shingles themselves.
+template's distinct shingles; it is always verified on the shingles themselves. A template of fewer than
+five words (``NOTICES``) is one shingle of its own length and is compared with all runs of so many words.
 
 Null, empty and wordless texts match nothing. Texts are scanned whole, whatever their length; repeated
 rows agree, null ids don't matter, extra columns are passed through (those named like results are
@@ -42,8 +43,18 @@ TEMPLATES = {
     "bsd-3-clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "lgpl": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "cc0-1.0-notice": "licensed under CC0 1.0 Universal",
+    "cc0-1.0": "has waived all copyright and related or neighboring rights to",
+    "epl": "This program and the accompanying materials are made available under the terms of the Eclipse Public License",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+#: Notices of fewer than five words.
+NOTICES = {"all-rights-reserved": "All rights reserved."}
 
 
 def bands_for(recall: float = RECALL, containment: float = CONTAINMENT) -> int:
@@ -69,9 +80,13 @@ class Scanner:
         self.a = rng.integers(0, 1 << 31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = rng.integers(0, 1 << 32, n).astype(np.uint32)
         self.templates: list[_Template] = []
+        #: By number of words below ``WORDS``: the templates' shingles.
+        self.short: dict[int, list[tuple[str, np.uint64]]] = {}
         for k, name in enumerate(templates):
             own = np.unique(values[rows[k] : rows[k + 1]])
-            if len(own):
+            if 0 < w.counts[k] < WORDS:
+                self.short.setdefault(int(w.counts[k]), []).append((name, own[0]))
+            elif len(own):
                 self.templates.append(_Template(name, own, int(np.ceil(np.log2(len(own))))))
         self.levels = sorted({t.level for t in self.templates})
         #: By band and level: the templates' values.
@@ -124,13 +139,20 @@ class Scanner:
             old = best[row].get(t.name)
             if old is None or share > old[0]:
                 best[row][t.name] = (share, *span)
+        for n, wanted in self.short.items():
+            values, rows = shingles(w.hash, w.rows, n)
+            for name, value in wanted:
+                for a in np.flatnonzero(values == value):
+                    row = int(np.searchsorted(rows, a, "right")) - 1
+                    at = a - rows[row] + w.rows[row]
+                    best[row].setdefault(name, (1.0, int(w.starts[at] - offs[row]), int(w.ends[at + n - 1] - offs[row])))
         return [[(name, *x) for name, x in sorted(found.items())] for found in best]
 
 
 _TYPE = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text", out: str = "licenses") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES | NOTICES, text: str = "text", out: str = "licenses") -> DataFrame:
     """``docs`` with the licenses found in each text: array<struct<license, containment, start, end>>."""
     keep = [c for c in docs.columns if c not in (out, text)]
     kind = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
