@@ -9,6 +9,11 @@ them collides with probability ``RECALL``. A match is a window that contains at
 template's distinct shingles; it is always verified on the shingles themselves. A template of fewer than
 five words (``NOTICES``) is one shingle of its own length and is compared with all runs of so many words.
 
+A text has one entry for each place of a template, with the template's best containment in any of the
+text's windows. Places are disjoint runs of at most a window's length, inside of matching windows, that
+contain at least 80 % of the shingles: each ends as early as it can, and is then widened by further
+shingles of the same copy.
+
 Null, empty and wordless texts match nothing. Texts are scanned whole, whatever their length; repeated
 rows agree, null ids don't matter, extra columns are passed through (those named like results are
 replaced). An empty table gives an empty result.
@@ -67,6 +72,8 @@ def bands_for(recall: float = RECALL, containment: float = CONTAINMENT) -> int:
 class _Template:
     name: str
     shingles: np.ndarray  # sorted, distinct
+    first: np.ndarray  # where the template has each first
+    last: np.ndarray
     level: int  # the block has 2**level shingles
 
 
@@ -83,11 +90,12 @@ class Scanner:
         #: By number of words below ``WORDS``: the templates' shingles.
         self.short: dict[int, list[tuple[str, np.uint64]]] = {}
         for k, name in enumerate(templates):
-            own = np.unique(values[rows[k] : rows[k + 1]])
+            own, front = np.unique(values[rows[k] : rows[k + 1]], return_index=True)
+            back = rows[k + 1] - rows[k] - 1 - np.unique(values[rows[k] : rows[k + 1]][::-1], return_index=True)[1]
             if 0 < w.counts[k] < WORDS:
                 self.short.setdefault(int(w.counts[k]), []).append((name, own[0]))
             elif len(own):
-                self.templates.append(_Template(name, own, int(np.ceil(np.log2(len(own))))))
+                self.templates.append(_Template(name, own, front, back, int(np.ceil(np.log2(len(own))))))
         self.levels = sorted({t.level for t in self.templates})
         #: By band and level: the templates' values.
         self.wanted = [{v: [(k, self._value(t.shingles, i).min()) for k, t in enumerate(self.templates) if t.level == v] for v in self.levels} for i in range(n)]
@@ -121,39 +129,78 @@ class Scanner:
                         found.add((k, int(starts[at]), int(min(starts[at] + (2 << level), end))))
         return found
 
+    def places(self, t: _Template, part: np.ndarray) -> list[tuple[int, int]]:
+        """First and last shingle of the disjoint copies of a template in ``part``."""
+        at = np.flatnonzero(np.isin(part, t.shingles))
+        ids = np.searchsorted(t.shingles, part[at]).tolist()
+        need, window, out = int(np.ceil(CONTAINMENT * len(t.shingles) - 1e-9)), 2 << t.level, []
+        count: dict[int, int] = {}
+        first, i, at = 0, 0, at.tolist()
+        begin = 0  # what comes before belongs to other copies
+        while i < len(at):
+            count[ids[i]] = count.get(ids[i], 0) + 1
+            while at[i] - at[first] >= window or count[ids[first]] > 1:  # leave what is too far away or comes again
+                count[ids[first]] -= 1
+                if not count[ids[first]]:
+                    del count[ids[first]]
+                first += 1
+            if len(count) >= need:
+                last = i  # a copy goes on as long as it goes on in the template
+                while last + 1 < len(at) and at[last + 1] - at[first] < window and t.last[ids[last + 1]] > t.first[ids[last]]:
+                    last += 1
+                while first > begin and at[last] - at[first - 1] < window and t.first[ids[first - 1]] < t.last[ids[first]]:
+                    first -= 1
+                out.append((at[first], at[last]))
+                i = last + 1
+                while i < len(at) and at[i] < at[last] + WORDS:  # they share words with this copy
+                    i += 1
+                begin = first = i
+                count = {}
+            else:
+                i += 1
+        return out
+
     def scan(self, data: np.ndarray, offs: np.ndarray) -> list[list[tuple[str, float, int, int]]]:
-        """For each text its (template, best containment, start byte, end byte), by template."""
+        """For each text its (template, best containment, start byte, end byte), by template and place."""
         w = Words(data, offs)
         values, rows = shingles(w.hash, w.rows, WORDS)
-        best: list[dict[str, tuple[float, int, int]]] = [{} for _ in range(len(offs) - 1)]
+        best: list[dict[str, float]] = [{} for _ in range(len(offs) - 1)]
+        found: list[list[tuple[str, int, int]]] = [[] for _ in range(len(offs) - 1)]
+        regions: list[tuple[int, int, int, int]] = []  # row, template and matching windows that overlap or touch
         for k, a, b in sorted(self.candidates(values, rows)):
             t = self.templates[k]
-            part = values[a:b]
-            held = np.isin(part, t.shingles)
-            share = len(np.unique(part[held])) / len(t.shingles)
+            share = np.isin(t.shingles, values[a:b]).sum() / len(t.shingles)
             if share < CONTAINMENT:
                 continue
             row = int(np.searchsorted(rows, a, "right")) - 1
-            at = np.flatnonzero(held) + a - rows[row] + w.rows[row]
-            span = (int(w.starts[at[0]] - offs[row]), int(w.ends[min(at[-1] + WORDS, w.rows[row + 1]) - 1] - offs[row]))
-            old = best[row].get(t.name)
-            if old is None or share > old[0]:
-                best[row][t.name] = (share, *span)
+            best[row][t.name] = max(share, best[row].get(t.name, 0.0))
+            if regions and regions[-1][:2] == (row, k) and a <= regions[-1][3]:
+                regions[-1] = (row, k, regions[-1][2], max(b, regions[-1][3]))
+            else:
+                regions.append((row, k, a, b))
+        for row, k, a, b in regions:
+            for first, last in self.places(self.templates[k], values[a:b]):
+                at = a - rows[row] + w.rows[row]
+                end = min(at + last + WORDS, w.rows[row + 1]) - 1
+                found[row].append((self.templates[k].name, int(w.starts[at + first] - offs[row]), int(w.ends[end] - offs[row])))
         for n, wanted in self.short.items():
             values, rows = shingles(w.hash, w.rows, n)
             for name, value in wanted:
+                end = -1
                 for a in np.flatnonzero(values == value):
                     row = int(np.searchsorted(rows, a, "right")) - 1
                     at = a - rows[row] + w.rows[row]
-                    best[row].setdefault(name, (1.0, int(w.starts[at] - offs[row]), int(w.ends[at + n - 1] - offs[row])))
-        return [[(name, *x) for name, x in sorted(found.items())] for found in best]
+                    if at >= end:
+                        best[row][name], end = 1.0, at + n
+                        found[row].append((name, int(w.starts[at] - offs[row]), int(w.ends[end - 1] - offs[row])))
+        return [[(name, float(best[row][name]), a, b) for name, a, b in sorted(x)] for row, x in enumerate(found)]
 
 
 _TYPE = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES | NOTICES, text: str = "text", out: str = "licenses") -> DataFrame:
-    """``docs`` with the licenses found in each text: array<struct<license, containment, start, end>>."""
+    """``docs`` with the places of licenses in each text: array<struct<license, containment, start, end>>."""
     keep = [c for c in docs.columns if c not in (out, text)]
     kind = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, kind)])
@@ -169,10 +216,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES | NOTICES, text:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_licenses, licenses (comma-joined), containment and span of each."""
-    found = scan(docs.select("doc_id", "text"))
+    """One row per document: doc_id, n_licenses, licenses (comma-joined), containment and the spans of each,
+    joined by ``;`` within a license."""
+    found = scan(docs.select("doc_id", "text"), out="places").withColumn("names", F.array_distinct("places.license"))
+    span = lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))
     return found.select(
-        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", "licenses.license").alias("licenses"),
-        F.array_min("licenses.containment").alias("least_containment"),
-        F.concat_ws(",", F.transform("licenses", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))).alias("spans"),
+        "doc_id", F.size("names").cast("long").alias("n_licenses"), F.concat_ws(",", "names").alias("licenses"),
+        F.array_min("places.containment").alias("least_containment"),
+        F.concat_ws(",", F.transform("names", lambda n: F.concat_ws(";", F.transform(F.filter("places", lambda x: x["license"] == n), span)))).alias("spans"),
     )
