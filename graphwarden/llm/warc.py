@@ -3,7 +3,8 @@
 An archive is two tables in the shared folder: ``payloads`` holds each distinct payload once under its
 SHA-256, ``records`` holds every record's exact header bytes with the digest that it needs. Original
 records are header + payload + two line ends, rebuilt by a join on the digest; the digest, the length
-and the SHA-1 written in the header are verified on reading.
+and the SHA-1 written in the header are verified on reading. The query rebuilds every record and takes length
+and SHA-1 of the payload from the rebuilt bytes (a revisit's from the payload that it refers to).
 
 All of it is native: digests, sizes and headers are SQL expressions, and a group of equal payloads is
 only ever aggregated (one row for each digest and task reaches the shuffle).
@@ -87,17 +88,17 @@ def _field(head: Column, name: str) -> Column:
 
 
 def read(archive: Archive, with_bytes: bool = False) -> DataFrame:
-    """Parsed records. Each stored payload is read and verified once; with ``with_bytes`` the original
-    record's bytes are rebuilt as well (column ``record``)."""
+    """Parsed records. Each stored payload is read and verified; with ``with_bytes`` the original record's
+    bytes are rebuilt as well (column ``record``), their length is compared with the header's, and length and
+    SHA-1 of the payload are those of the rebuilt bytes."""
     sound = F.unhex(F.sha2("payload", 256)) == F.col("digest")
     stored = archive.payloads.select(
         F.when(sound, F.col("digest")).otherwise(F.raise_error(F.lit("a stored payload doesn't match its digest"))).alias("digest"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
-        *(["payload"] if with_bytes else []),
+        *(["payload"] if with_bytes else [F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")]),
     )
     head = F.decode("header", "utf-8")
     records = archive.records.select(
-        "digest", *(["header"] if with_bytes else []),
+        "digest", *(["header", F.octet_length(F.substring_index(head, LINE * 2, 1)).alias("top"), F.regexp_extract(head, r"\r\nContent-Length: (\d+)", 1).alias("length")] if with_bytes else []),
         _field(head, "WARC-Type").alias("record_type"),
         F.regexp_extract(head, r"\r\nWARC-Record-ID: <urn:page:(-?\d+)>", 1).alias("id"),
         F.regexp_extract(head, r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>", 1).alias("to"),
@@ -105,14 +106,20 @@ def read(archive: Archive, with_bytes: bool = False) -> DataFrame:
         F.regexp_extract(head, r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]*)", 1).alias("sha1"),
     )
     both = records.join(stored, "digest", "left")
+    if with_bytes:
+        revisit, size = F.col("record_type") == "revisit", F.octet_length("header")
+        rebuilt = F.concat("header", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n"))
+        whole = (F.octet_length(rebuilt) - F.col("top") - 2 * len(LINE * 2)).cast("string") == F.col("length")
+        both = both.withColumn("record", F.when(whole, rebuilt).otherwise(F.raise_error(F.lit("a record's length isn't that of its header")).cast("binary")))
+        held = F.when(revisit, F.col("payload")).otherwise(F.col("record").substr(size + 1, F.octet_length("record") - size - len(LINE * 2)))
+        both = both.withColumn("held", held).withColumns({"payload_bytes": F.octet_length("held").cast("long"), "payload_digest": F.sha1("held")})
     checked = F.when(F.col("payload_digest").eqNullSafe(F.col("sha1")), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's payload is missing or wrong")))
-    rebuilt = F.concat("header", F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n"))
     return both.select(
         F.expr("try_cast(id AS bigint)").alias("page_id"), "url", "payload_bytes", checked.alias("payload_digest"), "record_type",
-        F.expr("try_cast(to AS bigint)").alias("refers_to"), *([rebuilt.alias("record")] if with_bytes else []),
+        F.expr("try_cast(to AS bigint)").alias("refers_to"), *(["record"] if with_bytes else []),
     )
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Write the archive, read it back: one row per page."""
-    return read(write(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Write the archive, rebuild its records: one row per page."""
+    return read(write(pages), with_bytes=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
