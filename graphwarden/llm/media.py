@@ -108,10 +108,11 @@ def feature(rgb: np.ndarray) -> str:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes and digests of what was read back."""
-    read = decode(encode(docs.select("doc_id", "text")))
+    """One row per document: doc_id, n_bytes and digests of what was read back, the RGB tensor included."""
+    read = decode(encode(docs.select("doc_id", "text")), tensors=True)
     tail = F.substring("payload", -16, 16)
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.octet_length("rgb").cast("long").alias("rgb_bytes"), F.sha2("rgb", 256).alias("rgb_sha256"),
     )
