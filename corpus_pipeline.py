@@ -24,7 +24,7 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 400-byte string that starts elsewhere too are cut out."""
+    """Passages of over 50 words that start elsewhere too are cut out."""
     return sufdedup.deduplicate(docs)
 
 

@@ -1,28 +1,35 @@
-"""Exact repeated-substring removal with bucket-pointer refinement.
+"""Exact removal of repeated passages with bucket-pointer refinement.
 
-Every byte covered by a ``SPAN``-byte string that also starts anywhere else, in any text, is removed.
+A ``Rule`` names the unit (bytes, or words between ASCII white space) and how many units make a repeat:
+every unit covered by a string of ``span`` units that also starts anywhere else, in any text, is removed.
 
-1. *Anchors* make the problem local: of the q-grams in a SPAN-byte window the one with the least hash
+1. *Anchors* make the problem local: of the q-grams in a window of span units the one with the least hash
    (the leftmost of equal ones) is the window's anchor. Equal windows have equal anchors at the same
    offset, so each window belongs to one q-gram bucket, and only windows of a bucket can be equal.
-   Neighbouring windows with one anchor form a *context*: the bytes that they span.
-2. Equal contexts are counted by digest (pre-aggregated, so copies cost one row for each task). All
-   windows of a context that occurs twice are repeats.
-3. Where a bucket holds several different contexts, one text of each is fetched, and bucket-pointer
-   refinement compares their windows: buckets of equal 8-byte prefixes get identifiers, positions are
-   sorted on the identifiers at their own and a later offset, which doubles the depth, and the new
-   identifiers are used for the next doubling; positions alone in their bucket drop out.
-   A bucket with more contexts than one task should hold (``HOT``) is refined by the cluster instead:
-   its windows are the rows of a pre-aggregated count.
-
-Null and empty texts have no bytes; texts shorter than SPAN keep all. Results depend on the texts
-alone: repeated rows and null ids are ordinary copies, and extra columns don't matter. Texts of any
-length work; an empty table gives an empty result.
+   Neighbouring windows with one anchor form a *context*: the units that they span.
+2. Equal contexts are counted by a cryptographic digest (BLAKE2b; pre-aggregated, so copies cost one row
+   for each task). All windows of a context that occurs twice are repeats.
+3. Where a bucket holds several different contexts, one text of each is fetched. A bucket with more
+   contexts than one task should hold (``HOT``) is first refined over the cluster: its windows are
+   halved by their anchors' offsets, and each half is dealt anew by the units that all its windows share
+   besides the anchor. A half of one offset holds equal windows only, so this ends.
+4. Bucket-pointer refinement sorts the positions of each bucket's contexts: q-gram buckets are refined by
+   sorting on the bucket pointers of later offsets; each refinement writes its pointers and depths back
+   at once, and the refinements after it, of the same pass too, look up what was written. Neighbours in
+   the order are compared unit by unit.
+
+Words are told apart by 64-bit hashes; the white space between them doesn't matter. Null and empty texts
+have no units; texts shorter than a span keep all. Results depend on the texts alone: repeated rows and
+null ids are ordinary copies, and extra columns don't matter. Texts of any length work; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +38,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import U64, digests, in_arrow, mix, powers, row_blocks, text_bytes
+from .blocks import U64, in_arrow, mix, powers, row_blocks, spans, text_bytes
 from .storage import materialize
 
-SPAN, GRAM = 400, 64
-HOT = 4096
+
+@dataclass(frozen=True)
+class Rule:
+    """Repeats of ``span`` units, found by q-grams of ``gram`` units; ``words`` instead of bytes."""
+
+    span: int
+    gram: int
+    words: bool = False
+
+    @property
+    def offsets(self) -> int:
+        """How many offsets an anchor can have in a window."""
+        return self.span - self.gram + 1
+
+    @property
+    def least_bytes(self) -> int:
+        return 2 * self.span - 1 if self.words else self.span
+
+
+#: Repeats of 400 bytes, and passages of over 50 words.
+BYTES, PASSAGES = Rule(400, 64), Rule(51, 8, True)
+HOT = 256
 BLOCK = 1 << 20
 REFINE_BYTES = 1 << 20
+SLICES = 4
 
 _rng = np.random.default_rng(400)
-_T1, _T2 = (_rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1) for _ in range(2))
+_TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+_SOLID = np.ones(256, dtype=bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
 
 
 def digest(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
-def _sums(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(table[data] * powers(len(data) + 1)[0][: len(data)], out=total[1:])
+def _sums(values: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(values) + 1, dtype=U64)
+    terms = _TABLE[values] if values.dtype == np.uint8 else values
+    np.cumsum(terms * powers(len(values) + 1)[0][: len(values)], out=total[1:])
     return total
 
 
+def units(data: np.ndarray, offs: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's units (bytes, or word hashes), their offsets by row, and where each begins and ends."""
+    if not rule.words:
+        at = np.arange(len(data) + 1)
+        return data, offs, at[:-1], at[1:]
+    starts, ends = spans(_SOLID[data], offs)
+    total = _sums(data)
+    return mix((total[ends] - total[starts]) * powers(len(data) + 1)[1][starts]), np.searchsorted(starts, offs), starts, ends
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of each run of ``width`` keys."""
     n = len(keys) - width + 1
@@ -64,23 +105,19 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def contexts(data: np.ndarray, offs: np.ndarray, span: int = SPAN, gram: int = GRAM) -> dict[str, np.ndarray]:
+def contexts(values: np.ndarray, offs: np.ndarray, rule: Rule) -> dict[str, np.ndarray]:
     """A block's contexts: row, first and last window start, anchor (offsets in the row), the anchor's
-    hash and two digests of the context."""
-    width = span - gram + 1
-    rows = len(offs) - 1
-    empty = {k: np.zeros(0, np.int64) for k in ("row", "lo", "hi", "at")} | {k: np.zeros(0, U64) for k in ("h", "d1", "d2")}
-    if len(data) < span:
+    hash, and where the context begins in the block."""
+    span, gram = rule.span, rule.gram
+    empty = {k: np.zeros(0, np.int64) for k in ("row", "lo", "hi", "at", "begin")} | {"h": np.zeros(0, U64)}
+    if len(values) < span:
         return empty
-    down = powers(len(data) + 1)[1]
-    total = _sums(data, _T1)
-    grams = mix((total[gram:] - total[:-gram]) * down[: len(data) - gram + 1])
-    bits = U64(max(24, len(data).bit_length()))
-    place = np.arange(len(grams), dtype=U64)
-    keys = ((grams >> bits) << bits) | place
-    anchor = (_least(keys, width) & ((U64(1) << bits) - U64(1))).astype(np.int64)
-    length = np.diff(offs)
-    row = np.repeat(np.arange(rows), length)[: len(anchor)]
+    total = _sums(values)
+    grams = mix((total[gram:] - total[:-gram]) * powers(len(values) + 1)[1][: len(values) - gram + 1])
+    bits = U64(max(24, len(values).bit_length()))
+    keys = ((grams >> bits) << bits) | np.arange(len(grams), dtype=U64)
+    anchor = (_least(keys, rule.offsets) & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(anchor)]
     start = np.arange(len(anchor))
     valid = start + span <= offs[1:][row]
     start, anchor, row = start[valid], anchor[valid], row[valid]
@@ -91,26 +128,34 @@ def contexts(data: np.ndarray, offs: np.ndarray, span: int = SPAN, gram: int = G
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     lo, hi, at, row = start[first], start[last], anchor[first], row[first]
-    total2 = _sums(data, _T2)
-    shape = ((hi - lo).astype(U64) << U64(32)) | (at - lo).astype(U64)
-    d1, d2 = (mix(mix((t[hi + span] - t[lo]) * down[lo]) + mix(shape + U64(k))) for k, t in ((1, total), (2, total2)))
     base = offs[row]
-    return {"row": row, "lo": lo - base, "hi": hi - base, "at": at - base, "h": grams[at], "d1": d1, "d2": d2}
+    return {"row": row, "lo": lo - base, "hi": hi - base, "at": at - base, "h": grams[at], "begin": lo}
 
 
-_ANCHOR = pa.schema([("kind", pa.int32()), ("dig", pa.binary()), ("h", pa.int64()), ("ctx", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("n", pa.int64())])
+def _binary(raw: bytes, size: int) -> pa.Array:
+    n = len(raw) // size
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * size), pa.py_buffer(raw)])
 
 
-def _anchor_block(block: pa.RecordBatch) -> pa.RecordBatch:
+_ANCHOR = pa.schema([("kind", pa.int32()), ("r", pa.int32()), ("dig", pa.binary()), ("h", pa.int64()), ("ctx", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("n", pa.int64())])
+
+
+def _anchor_block(block: pa.RecordBatch, r: int, rule: Rule) -> pa.RecordBatch:
     """Kind 0: the different contexts of each text and how often they occur in it. Kind 1: windows known
     to be repeats because their context occurs twice in the text."""
-    data, offs = text_bytes(block.column("text"))
-    c = contexts(data, offs)
-    by = np.lexsort((c["lo"], c["d2"], c["d1"], c["row"]))
-    c = {k: v[by] for k, v in c.items()}
+    values, offs, _, _ = units(*text_bytes(block.column("text")), rule)
+    c = contexts(values, offs, rule)
+    item, raw, salt = values.dtype.itemsize, memoryview(np.ascontiguousarray(values)).cast("B"), bytes([r])
+    sums = b"".join(
+        blake2b(raw[a:b], digest_size=16, salt=salt).digest()
+        for a, b in zip((c["begin"] * item).tolist(), ((c["begin"] + c["hi"] - c["lo"] + rule.span) * item).tolist())
+    )
+    d = np.frombuffer(sums, U64).reshape(-1, 2)
+    by = np.lexsort((c["lo"], d[:, 1], d[:, 0], c["row"]))
+    c, d = {k: v[by] for k, v in c.items()}, d[by]
     n = len(by)
     new = np.ones(n, dtype=bool)
-    new[1:] = (c["row"][1:] != c["row"][:-1]) | (c["d1"][1:] != c["d1"][:-1]) | (c["d2"][1:] != c["d2"][:-1])
+    new[1:] = (c["row"][1:] != c["row"][:-1]) | (d[1:] != d[:-1]).any(1)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, n))
     again = np.flatnonzero(np.repeat(count > 1, count))
@@ -121,23 +166,16 @@ def _anchor_block(block: pa.RecordBatch) -> pa.RecordBatch:
     begin = np.flatnonzero(start)
     end = np.append(begin[1:], len(again))[: len(begin)] - 1
     dig = block.column("dig")
-    ctx = digests(c["d1"][first], c["d2"][first])
     k0, k1 = len(first), len(begin)
-    none = pa.nulls(k1, pa.binary())
+    h = mix(c["h"][first] + U64(r)).view(np.int64)
     parts = [
-        [np.zeros(k0), dig.take(pa.array(c["row"][first])), c["h"][first].view(np.int64), ctx, c["lo"][first], c["hi"][first], c["at"][first], count],
-        [np.ones(k1), dig.take(pa.array(row[begin])), np.zeros(k1), none, lo[begin], hi[end], np.zeros(k1), np.ones(k1)],
+        [np.zeros(k0), np.full(k0, r), dig.take(pa.array(c["row"][first])), h, _binary(d[first].tobytes(), 16), c["lo"][first], c["hi"][first], c["at"][first], count],
+        [np.ones(k1), np.full(k1, r), dig.take(pa.array(row[begin])), np.zeros(k1), pa.nulls(k1, pa.binary()), lo[begin], hi[end], np.zeros(k1), np.ones(k1)],
     ]
     arrays = [pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(np.asarray(x).astype(f.type.to_pandas_dtype())) for x in pair]) for f, pair in zip(_ANCHOR, zip(*parts))]
     return pa.RecordBatch.from_arrays(arrays, schema=_ANCHOR)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in row_blocks(batch, "text", BLOCK):
-            yield _anchor_block(block)
-
-
 def _packed(df: DataFrame, keep: list[str], once: bool = False) -> DataFrame:
     """The kept columns and each text compressed (column z); ``once``: equal texts of a task only once."""
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("z", T.BinaryType())])
@@ -159,213 +197,289 @@ def _packed(df: DataFrame, keep: list[str], once: bool = False) -> DataFrame:
     return in_arrow(df.select(*{c: None for c in [*keep, "dig", "text"]}), run, schema)
 
 
-_FETCH = "h long, nc long, n long, dig binary, lo int, hi int, body binary"
+_CONTEXT = "r int, h long, nc long, n long, dig binary, lo int, hi int, at int, first int, last int, ctx binary, body binary"
+_CONTEXT_TYPES = {
+    "r": pa.int32(), "h": pa.int64(), "nc": pa.int64(), "n": pa.int64(), "dig": pa.binary(), "lo": pa.int32(), "hi": pa.int32(), "at": pa.int32(), "first": pa.int32(), "last": pa.int32(),
+    "ctx": pa.binary(), "body": pa.binary(),
+}
+
 
+def _contexts_out(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _CONTEXT_TYPES.values())], names=list(_CONTEXT_TYPES))
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the chosen contexts."""
+
+def _fetch(rules: tuple[Rule, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chosen contexts with their units (column body); first and last are the anchor offsets of the bucket."""
     unpack = zstandard.ZstdDecompressor()
-    names = ["h", "nc", "n", "dig", "lo", "hi", "body"]
     for batch in batches:
         out: list[tuple] = []
         size = 0
         for dig, z, wanted in zip(batch.column("dig").to_pylist(), batch.column("z").to_pylist(), batch.column("wanted").to_pylist()):
             raw = unpack.decompress(z) if z else b""
+            data = np.frombuffer(raw, np.uint8)
+            held = {}
             for w in wanted:
-                out.append((w["h"], w["nc"], w["n"], dig, w["lo"], w["hi"], raw[w["lo"] : w["hi"] + SPAN]))
-                size += len(out[-1][-1])
+                r = w["r"]
+                if r not in held:
+                    values = units(data, np.array([0, len(data)]), rules[r])[0] if rules[r].words else data
+                    held[r] = memoryview(np.ascontiguousarray(values)).cast("B"), values.dtype.itemsize
+                view, item = held[r]
+                body = bytes(view[w["lo"] * item : (w["hi"] + rules[r].span) * item])
+                out.append((r, w["h"], w["nc"], w["n"], dig, w["lo"], w["hi"], w["at"], 0, rules[r].offsets - 1, None, body))
+                size += len(body)
             if size > BLOCK:
-                yield _rows(out, names)
+                yield _contexts_out(out)
                 out, size = [], 0
         if out:
-            yield _rows(out, names)
+            yield _contexts_out(out)
 
 
-def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+def _halves(rules: tuple[Rule, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of large buckets, their windows halved by anchor offset; each half belongs to the bucket of the
+    units that all windows of such offsets share."""
+    for batch in batches:
+        out: list[tuple] = []
+        for c in batch.to_pylist():
+            rule = rules[c["r"]]
+            item = 8 if rule.words else 1
+            middle = (c["first"] + c["last"]) // 2
+            for first, last in ((c["first"], middle), (middle + 1, c["last"])):
+                lo, hi = max(c["lo"], c["at"] - last), min(c["hi"], c["at"] - first)
+                if first > last or lo > hi:
+                    continue
+                body = c["body"][(lo - c["lo"]) * item : (hi + rule.span - c["lo"]) * item]
+                shared = c["body"][(c["at"] - first - c["lo"]) * item : (c["at"] + rule.span - last - c["lo"]) * item]
+                key = blake2b(shared, digest_size=8, key=f"{c['r']} {first} {last} {c['h']}".encode()).digest()
+                ctx = blake2b(body, digest_size=16).digest()
+                out.append((c["r"], int.from_bytes(key, "little", signed=True), 0, c["n"], c["dig"], lo, hi, c["at"], first, last, ctx, body))
+        if out:
+            yield _contexts_out(out)
 
 
-def equal_windows(data: np.ndarray, offs: np.ndarray, owned: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Of the owned window starts, which have an equal window at another owned start. Bucket-pointer
-    refinement: ``bucket`` holds the identifier of each position's bucket at the present depth, -1 where
-    a position is alone in it or the text ends before."""
-    n = len(data)
-    alone = np.int32(-1)
+def equal_windows(values: np.ndarray, offs: np.ndarray, span: int, tag: np.ndarray | None = None) -> np.ndarray:
+    """Which of the positions with ``span`` units in their row have an equal window elsewhere. Only positions of
+    equal ``tag`` are compared.
+
+    Bucket-pointer refinement: ``order`` holds the positions by bucket, ``pointer`` each position's bucket (its
+    last place in the order) and ``depth`` how many units the bucket's members are known to share."""
+    n = len(values)
     if n < span:
-        return np.zeros(len(owned), dtype=bool)
-    left = np.repeat(offs[1:].astype(np.int32), np.diff(offs))
-    left -= np.arange(n, dtype=np.int32)
-    depth = 8
-    value = np.zeros(n - 7, dtype=U64)
-    for k in range(8):
-        value |= data[k : n - 7 + k].astype(U64) << U64(8 * (7 - k))
-    at = np.flatnonzero(left[: n - 7] >= depth).astype(np.int32)
-    bucket = np.full(n, alone)
-
-    def place(at: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Give the positions the identifiers of their keys' buckets; returns those that share one."""
-        bucket.fill(alone)
-        if not len(at):
-            return at
-        order = np.argsort(keys, kind="stable").astype(np.int32)
-        keys = keys[order]
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = keys[1:] != keys[:-1]
-        del keys
-        ident = np.cumsum(new, dtype=np.int32) - np.int32(1)
-        shared = ~new
-        shared[:-1] |= ~new[1:]
-        at = at[order[shared]]
-        bucket[at] = ident[shared]
-        return np.sort(at)
-
-    at = place(at, value[at])
-    del value
-    while depth < span:
-        step = min(depth, span - depth)
-        at = at[left[at] >= depth + step]
-        later = bucket[at + step]
-        at, later = at[later != alone], later[later != alone]
-        at = place(at, (bucket[at].astype(U64) << U64(32)) | later.astype(U64))
-        depth += step
-    mine = bucket[owned]
-    counts = np.bincount(mine[mine != alone], minlength=1) if (mine != alone).any() else np.zeros(1, np.int64)
-    return (mine != alone) & (counts[np.maximum(mine, 0)] > 1)
-
-
-_SPANS = pa.schema([("dig", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())])
-
-
-def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: repeats among the windows of the contexts, as ranges of window starts."""
+        return np.zeros(n, dtype=bool)
+    left = (np.repeat(offs[1:], np.diff(offs)) - np.arange(n)).astype(np.int32)
+    q = 7 if values.dtype == np.uint8 else 1
+    first = np.zeros(n, dtype=U64)  # q units, nothing after the row's end
+    for k in range(q):
+        there = np.flatnonzero(left > k)
+        first[there] |= (values[there + k].astype(U64) + U64(q > 1)) << U64(9 * (q - 1 - k))
+    order = (np.argsort(first, kind="stable") if tag is None else np.lexsort((first, tag))).astype(np.int32)
+    depth = np.full(n, q, dtype=np.int32)
+    pointer = np.empty(n, dtype=np.int32)
+
+    def point(places: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Write the pointers of the buckets that begin where ``new`` is set; returns who shares a bucket."""
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(new)))
+        pointer[order[places]] = np.repeat(places[begin + size - 1], size)
+        return np.repeat(size > 1, size)
+
+    new = np.ones(n, dtype=bool)
+    for key in (first,) if tag is None else (first, tag):
+        new[1:] &= key[order[1:]] == key[order[:-1]]
+    new[1:] = ~new[1:]
+    every = np.arange(n, dtype=np.int32)
+    places = every[point(every, new)]
+    while True:
+        places = places[depth[order[places]] < span]
+        if not len(places):
+            break
+        bucket = pointer[order[places]]
+        cuts = np.unique(np.searchsorted(bucket, bucket[np.linspace(0, len(bucket) - 1, SLICES + 1).astype(int)[1:-1]], "right"))
+        still = []
+        for part in np.split(places, cuts):
+            if not len(part):
+                continue
+            at = order[part]
+            known, goes_on = depth[at], depth[at] < left[at]
+            after = np.where(goes_on, at + known, 0)
+            later = np.where(goes_on, pointer[after], -1)  # a row's end comes first
+            known = np.where(goes_on, known + depth[after], span)
+            own = pointer[at]
+            by = np.lexsort((later, own))
+            at, later, own = at[by], later[by], own[by]
+            order[part] = at
+            depth[at] = known[by]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (own[1:] != own[:-1]) | (later[1:] != later[:-1])
+            still.append(part[point(part, new)])
+        places = np.concatenate(still)
+    pair = np.flatnonzero((left[order[:-1]] >= span) & (left[order[1:]] >= span))
+    for k in [span - q, *range(0, span - q, q)]:
+        a, b = order[pair] + k, order[pair + 1] + k
+        pair = pair[first[a] == first[b]]
+    if tag is not None:
+        pair = pair[tag[order[pair]] == tag[order[pair + 1]]]
+    hit = np.zeros(n, dtype=bool)
+    hit[order[pair]] = hit[order[pair + 1]] = True
+    return hit
+
+
+_SPANS = pa.schema([("r", pa.int32()), ("dig", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def _repeats_in(t: pa.Table, rule: Rule) -> pa.RecordBatch:
+    """Repeats among the windows of whole buckets of contexts, as ranges of window starts."""
+    data, offs = text_bytes(t.column("body"))
+    if rule.words:
+        data, offs = np.frombuffer(data.tobytes(), U64), offs // 8
+    lo, at, h = (t.column(k).to_numpy().astype(np.int64) for k in ("lo", "at", "h"))
+    row = np.repeat(np.arange(len(lo)), np.diff(offs))
+    place = lo[row] + np.arange(len(data)) - offs[:-1][row]
+    tag = mix(h.view(U64)[row] + mix((at[row] - place).astype(U64)))
+    hit = np.flatnonzero(equal_windows(data, offs, rule.span, tag) & (t.column("n").to_numpy() == 1)[row])
+    row, start = row[hit], place[hit]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    pick = pa.array(row[first])
+    return pa.RecordBatch.from_arrays(
+        [t.column("r").combine_chunks().take(pick), t.column("dig").combine_chunks().take(pick), pa.array(start[first].astype(np.int32)), pa.array(start[last].astype(np.int32))], schema=_SPANS
+    )
+
+
+def _refine(rules: tuple[Rule, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by rule and bucket: the repeats of buckets, about ``REFINE_BYTES`` at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        data, offs = text_bytes(t.column("body"))
-        lo, hi = t.column("lo").to_numpy().astype(np.int64), t.column("hi").to_numpy().astype(np.int64)
-        count = hi - lo + 1
-        row = np.repeat(np.arange(len(count)), count)
-        rel = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        hit = equal_windows(data, offs, offs[:-1][row] + rel) & (t.column("n").to_numpy() == 1)[row]
-        row, start = row[hit], (lo[row] + rel)[hit]
-        new = np.ones(len(row), dtype=bool)
-        new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(row))[: len(first)] - 1
-        dig = t.column("dig").combine_chunks().take(pa.array(row[first]))
-        return pa.RecordBatch.from_arrays([dig, pa.array(start[first].astype(np.int32)), pa.array(start[last].astype(np.int32))], schema=_SPANS)
+        return _repeats_in(pa.Table.from_batches(held).combine_chunks(), rules[held[0].column("r")[0].as_py()])
 
     before = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column("h").to_numpy()
-        cuts = [0, *np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
+        r, h = batch.column("r").to_numpy(), batch.column("h").to_numpy()
+        cuts = [0, *np.flatnonzero((h[1:] != h[:-1]) | (r[1:] != r[:-1])) + 1, len(h)]
         _, offs = text_bytes(batch.column("body"))
         at = 0
         for a, b in zip(cuts[:-1], cuts[1:]):  # a bucket is never divided
-            if size >= REFINE_BYTES and not (a == 0 and h[0] == before):
-                if a > at:
-                    held.append(batch.slice(at, a - at))
-                    at = a
-                yield flush()
-                held, size = [], 0
+            goes_on = a == 0 and (r[0], h[0]) == before
+            if (held or a > at) and not goes_on:
+                now = r[a - 1] if a else before[0]
+                if size >= REFINE_BYTES or r[a] != now:
+                    if a > at:
+                        held.append(batch.slice(at, a - at))
+                        at = a
+                    yield flush()
+                    held, size = [], 0
             size += int(offs[b] - offs[a])
         held.append(batch.slice(at))
-        before = h[-1]
+        before = (r[-1], h[-1])
     if held:
         yield flush()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of a context as a row: two digests, the text and the start."""
-    for batch in batches:
-        for block in row_blocks(batch, "body", BLOCK >> 3):
-            data, offs = text_bytes(block.column("body"))
-            lo, hi = (block.column(k).to_numpy().astype(np.int64) for k in ("lo", "hi"))
-            count = hi - lo + 1
-            row = np.repeat(np.arange(len(count)), count)
-            rel = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            at = offs[:-1][row] + rel
-            down = powers(len(data) + 1)[1]
-            d = [mix((t[at + SPAN] - t[at]) * down[at]).view(np.int64) for t in (_sums(data, _T1), _sums(data, _T2))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d[0]), pa.array(d[1]), block.column("dig").take(pa.array(row)), pa.array((lo[row] + rel).astype(np.int32)), block.column("n").take(pa.array(row))],
-                names=["w1", "w2", "dig", "lo", "n"],
-            )
-
-
-def _repeats(docs: DataFrame) -> DataFrame:
-    """Ranges of window starts that are repeats: dig, spans array<struct<lo, hi>>."""
-    rows = docs.select("text", digest(F.col("text")).alias("dig")).where(F.octet_length("text") >= SPAN)
-    found = materialize(in_arrow(rows, _anchors, "kind int, dig binary, h long, ctx binary, lo int, hi int, at int, n long"), "anchors")
+def _repeats(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Ranges of window starts that are repeats: dig, spans array<struct<r, lo, hi>>; r is the rule's place."""
+
+    def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in row_blocks(batch, "text", BLOCK):
+                for r, rule in enumerate(rules):
+                    yield _anchor_block(block, r, rule)
+
+    rows = docs.select("text", digest(F.col("text")).alias("dig")).where(F.octet_length("text") >= min(r.least_bytes for r in rules))
+    found = materialize(in_arrow(rows, anchors_of, "kind int, r int, dig binary, h long, ctx binary, lo int, hi int, at int, n long"), "anchors")
     anchors = found.where("kind = 0")
     by_ctx = anchors.groupBy("ctx").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
     by_gram = by_ctx.groupBy("h").agg(F.count(F.lit(1)).alias("nc")).where("nc > 1")
     wanted = by_ctx.join(by_gram, "h", "left").where("n > 1 OR nc IS NOT NULL").select("ctx", F.col("n").alias("total"), F.coalesce("nc", F.lit(0)).alias("nc"))
-    joined = materialize(anchors.select("ctx", "dig", "h", "lo", "hi").join(wanted, "ctx"), "repeats")
-    whole = joined.where("total > 1").select("dig", "lo", "hi")
-    own = found.where("kind = 1").select("dig", "lo", "hi")
+    joined = materialize(anchors.select("ctx", "r", "dig", "h", "lo", "hi", "at").join(wanted, "ctx"), "repeats")
+    out = ["r", "dig", "lo", "hi"]
+    parts = [joined.where("total > 1").select(*out), found.where("kind = 1").select(*out)]
     # one text of each context in a bucket with several
-    chosen = joined.where("nc > 1").groupBy("ctx").agg(F.min(F.struct("dig", "lo", "hi")).alias("r"), F.min("h").alias("h"), F.max("nc").alias("nc"), F.max("total").alias("n"))
-    chosen = chosen.groupBy(F.col("r.dig").alias("dig")).agg(F.collect_list(F.struct("h", "nc", "n", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))).alias("wanted"))
+    several = joined.where("nc > 1").groupBy("ctx").agg(F.min(F.struct("dig", "lo", "hi", "at", "r")).alias("c"), F.min("h").alias("h"), F.max("nc").alias("nc"), F.max("total").alias("n"))
+    chosen = several.groupBy(F.col("c.dig").alias("dig")).agg(F.collect_list(F.struct("c.r", "h", "nc", "n", "c.lo", "c.hi", "c.at")).alias("wanted"))
     texts = _packed(rows, ["dig"], once=True)
-    fetched = materialize(in_arrow(texts.join(chosen, "dig").dropDuplicates(["dig"]), _fetch, _FETCH), "contexts")
-    some = in_arrow(fetched.where(F.col("nc") <= HOT).repartition(F.col("h")).sortWithinPartitions("h"), _refine, "dig binary, lo int, hi int")
-    windows = in_arrow(fetched.where(F.col("nc") > HOT), _windows, "w1 long, w2 long, dig binary, lo int, n long")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    many = windows.where("n = 1").join(twice, ["w1", "w2"], "left_semi").select("dig", "lo", F.col("lo").alias("hi"))
-    spans = whole.unionAll(own).unionAll(some).unionAll(many).distinct()
-    return spans.groupBy("dig").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-
-
-def repeats_removed(docs: DataFrame) -> DataFrame:
+    hot = materialize(in_arrow(texts.join(chosen, "dig").dropDuplicates(["dig"]), lambda b: _fetch(rules, b), _CONTEXT), "contexts")
+    cold = []
+    while True:
+        cold.append(hot.where(F.col("nc") <= HOT))
+        hot = hot.where(F.col("nc") > HOT)
+        if hot.isEmpty():
+            break
+        halves = materialize(in_arrow(hot, lambda b: _halves(rules, b), _CONTEXT), "halves")
+        counts = halves.groupBy("h", "ctx").agg(F.sum("n").alias("total"))
+        parts.append(halves.where("n = 1").join(counts.where("total > 1"), ["h", "ctx"], "left_semi").select(*out))
+        several = counts.groupBy("h").agg(F.count(F.lit(1)).alias("several")).where("several > 1")
+        one = halves.dropDuplicates(["h", "ctx"]).join(counts, ["h", "ctx"]).join(several, "h")
+        hot = materialize(one.withColumns({"nc": F.col("several"), "n": F.col("total")}).select(*_CONTEXT_TYPES), "contexts")
+    cold_rows = reduce(DataFrame.unionAll, cold).repartition(F.col("h")).sortWithinPartitions("r", "h")
+    parts.append(in_arrow(cold_rows, lambda b: _refine(rules, b), "r int, dig binary, lo int, hi int"))
+    every = reduce(DataFrame.unionAll, parts).distinct()
+    return every.groupBy("dig").agg(F.collect_list(F.struct("r", "lo", "hi")).alias("spans"))
+
+
+def _covered(n: int, lo: np.ndarray, hi: np.ndarray, span: int) -> np.ndarray:
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, hi + span, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def repeats_removed(docs: DataFrame, rule: Rule = BYTES, marks: tuple[Rule, ...] = ()) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the other bytes, binary)
-    in place of text."""
-    keep = [c for c in docs.columns if c not in ("text", "dig", "z", "spans", "n_bytes", "n_removed", "n_spans", "kept")]
+    in place of text, and marked: for each rule of ``marks`` how many units its repeats cover; these stay.
+
+    With words, a run goes from the first byte of its first word to the last byte of its last."""
+    rules = (rule, *marks)
+    extra = ("n_bytes", "n_removed", "n_spans", "kept", "marked")
+    keep = [c for c in docs.columns if c not in ("text", "dig", "z", "spans", *extra)]
     marked = docs.select(*keep, "text", digest(F.col("text")).alias("dig"))
-    both = _packed(marked, [*keep, "dig"]).join(_repeats(docs), "dig", "left").select(*keep, "z", "spans")
-    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    both = _packed(marked, [*keep, "dig"]).join(_repeats(docs, rules), "dig", "left").select(*keep, "z", "spans")
+    types = [*(T.StructField(c, T.LongType()) for c in extra[:3]), T.StructField("kept", T.BinaryType()), T.StructField("marked", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *types])
+    arrow = [pa.int64()] * 3 + [pa.binary(), pa.list_(pa.int64())]
+
+    def one(raw: bytes, found: tuple[np.ndarray, ...]) -> tuple:
+        data = np.frombuffer(raw, np.uint8)
+        rows = []
+        for r, each in enumerate(rules):
+            mine = found[0] == r
+            if not mine.any():
+                rows.append(None)
+                continue
+            values, _, starts, ends = units(data, np.array([0, len(data)]), each)
+            rows.append((_covered(len(values), found[1][mine], found[2][mine], each.span), starts, ends))
+        counts = [0 if x is None else int(x[0].sum()) for x in rows[1:]]
+        if rows[0] is None:
+            return len(raw), 0, 0, raw, counts
+        gone, starts, ends = rows[0]
+        begin = np.flatnonzero(gone & np.append(True, ~gone[:-1]))
+        end = np.flatnonzero(gone & np.append(~gone[1:], True))
+        cut = _covered(len(data), starts[begin], ends[end], 0)
+        return len(raw), int(cut.sum()), len(begin), data[~cut].tobytes(), counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        nothing = (np.zeros(0, np.int64),) * 3
         for batch in batches:
             for block in row_blocks(batch, "z"):
-                bodies, sizes, removed, runs = [], [], [], []
                 lists = block.column("spans")
-                for k, z in enumerate(block.column("z").to_pylist()):
-                    raw = unpack.decompress(z)
-                    sizes.append(len(raw))
-                    if not lists[k].is_valid:
-                        bodies.append(raw)
-                        removed.append(0)
-                        runs.append(0)
-                        continue
-                    pairs = lists[k].values.flatten()
-                    edge = np.zeros(len(raw) + 1, dtype=np.int64)
-                    np.add.at(edge, pairs[0].to_numpy(), 1)
-                    np.add.at(edge, pairs[1].to_numpy() + SPAN, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    bodies.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-                    removed.append(int(gone.sum()))
-                    runs.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [*(block.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(bodies, pa.binary())],
-                    schema=pa.schema([*(block.schema.field(c) for c in keep), *(pa.field(c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.field("kept", pa.binary())]),
-                )
+                rows = [one(unpack.decompress(z), tuple(x.to_numpy() for x in lists[k].values.flatten()) if lists[k].is_valid else nothing) for k, z in enumerate(block.column("z").to_pylist())]
+                made = [pa.array(x, t) for x, t in zip(zip(*rows), arrow)]
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), *made], schema=pa.schema([*(block.schema.field(c) for c in keep), *zip(extra, arrow)]))
 
     return in_arrow(both, run, schema)
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, rule: Rule = PASSAGES) -> DataFrame:
     """``docs`` with repeats cut out of the text; characters cut in half go as well, and texts of which
     only white space is left by the cuts are removed. All columns stay; n_chars follows."""
     schema, columns = docs.schema, docs.columns
     # whatever their names are, the other columns travel as one
-    cut = repeats_removed(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns if c != "text"), F.col("text").isNull().alias("null text")).alias("row"), "text"))
+    cut = repeats_removed(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns if c != "text"), F.col("text").isNull().alias("null text")).alias("row"), "text"), rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,5 +499,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return repeats_removed(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 by repeats of 400 bytes, and
+    n_passage_words: its words in passages of over 50 words that repeat (only reported: the 400 bytes decide)."""
+    both = repeats_removed(docs.select("doc_id", "text"), BYTES, (PASSAGES,))
+    return both.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("marked")[0].alias("n_passage_words"))

@@ -392,17 +392,75 @@ def repeat_fixture():
     return [(i, t) for i, t in enumerate(rows)]
 
 
+def passages(rows, span=51):
+    """Bytes without each run of words that ``span`` repeated words cover, and how many words they are."""
+    found = [[(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\v\f\r]+", b)] for _, b in rows]
+    listed = [[b[s:e] for s, e in at] for (_, b), at in zip(rows, found)]
+    seen = Counter(tuple(w[k : k + span]) for w in listed for k in range(len(w) - span + 1))
+    out = {}
+    for (i, b), at, w in zip(rows, found, listed):
+        gone = [False] * len(w)
+        for k in range(len(w) - span + 1):
+            if seen[tuple(w[k : k + span])] > 1:
+                gone[k : k + span] = [True] * span
+        left, begin = b"", 0
+        for k, (s, e) in enumerate(at):
+            if gone[k] and (k == 0 or not gone[k - 1]):
+                left += b[begin:s]
+            if gone[k]:
+                begin = e
+        out.setdefault(i, (left + b[begin:], sum(gone)))
+    return out
+
+
+def passage_fixture():
+    """Passages of 49 to 60 words, most below 400 bytes, planted in texts of different words."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh\u00e9\u65e5") for _ in range(n))
+    prose = lambda n: " ".join(word(rng.randint(1, 6)) for _ in range(n))
+    planted = [prose(n) for n in (49, 50, 51, 52, 55, 60)] + [" ".join(rng.choice("xyz") for _ in range(51))]
+    rows = [(i, f"{prose(rng.randint(0, 90))} {planted[i % 7]}\n{prose(rng.randint(0, 90))}") for i in range(28)]
+    rows += [(28, planted[3]), (29, planted[4] + " " + planted[5].replace(" ", "\n")), (30, prose(400)), (31, "a " * 300), (32, "b " * 51), (33, "c " * 50), (34, ""), (35, rows[2][1])]
+    return rows, planted
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_suffix_dedup_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(sufdedup, "HOT", hot)
-    rows = repeat_fixture()
+    rows = repeat_fixture() + [(100 + i, t) for i, t in passage_fixture()[0]]
     got = sufdedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats([(i, t.encode()) for i, t in rows])
+    rows = [(i, t.encode()) for i, t in rows]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats(rows)
+    assert {r.doc_id: r.n_passage_words for r in got} == {i: n for i, (_, n) in passages(rows).items()}
 
 
 def test_suffix_dedup_query(spark, sf, texts):
     got = registry.op7_suffix_dedup(spark, sf).collect()
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats([(i, t.encode()) for i, t in texts])
+    rows = [(i, t.encode()) for i, t in texts]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats(rows)
+    assert {r.doc_id: r.n_passage_words for r in got} == {i: n for i, (_, n) in passages(rows).items()}
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_passages_are_cut(spark, monkeypatch, hot):
+    monkeypatch.setattr(sufdedup, "HOT", hot)
+    rows, planted = passage_fixture()
+    got = {r.doc_id: r.text for r in sufdedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = {i: t.decode() for i, (t, n) in passages([(i, t.encode()) for i, t in rows]).items()}
+    assert got == {i: t for i, t in expected.items() if t.strip() or not rows[i][1].strip()}
+    assert not any(p in t for p in planted[2:] for t in got.values()) and len([1 for t in got.values() if planted[1] in t]) == 4
+    assert got[30] == rows[30][1]
+
+
+def test_a_hot_bucket_is_dealt_anew(spark, monkeypatch):
+    """Many texts around one gram that differ before and after it, some of them in pairs."""
+    monkeypatch.setattr(sufdedup, "HOT", 4)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    core, near = noise(380), [noise(40) for _ in range(4)]
+    rows = [(i, noise(60) + near[i % 4][: i % 37] + core + near[i % 3][: i % 31] + noise(60)) for i in range(120)]
+    got = sufdedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats([(i, t.encode()) for i, t in rows])
 
 
 def test_bucket_refinement():
@@ -410,11 +468,16 @@ def test_bucket_refinement():
     for span in (12, 17, 40):
         for _ in range(30):
             regions = [bytes(rng.choice(b"ab") for _ in range(rng.randint(span, span + 30))) if rng.random() < 0.7 else b"ab" * rng.randint(span, 60) for _ in range(rng.randint(1, 6))]
-            data, offs = np.frombuffer(b"".join(regions), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in regions])])
-            owned = np.array([o + i for o, r in zip(offs, regions) for i in range(len(r) - span + 1) if rng.random() < 0.6], dtype=np.int64)
-            windows = [data[o : o + span].tobytes() for o in owned]
+            offs = np.concatenate([[0], np.cumsum([len(r) for r in regions])])
+            windows = [r[i : i + span] if i + span <= len(r) else None for r in regions for i in range(len(r))]
             count = Counter(windows)
-            assert sufdedup.equal_windows(data, offs, owned, span).tolist() == [count[x] > 1 for x in windows]
+            expected = [x is not None and count[x] > 1 for x in windows]
+            data = np.frombuffer(b"".join(regions), np.uint8)
+            assert sufdedup.equal_windows(data, offs, span).tolist() == expected
+            assert sufdedup.equal_windows(data.astype(np.uint64) + np.uint64(1), offs, span).tolist() == expected
+            tag = np.repeat(np.arange(len(regions)) % 2, np.diff(offs)).astype(np.uint64)
+            tagged = Counter(zip(windows, tag))
+            assert sufdedup.equal_windows(data, offs, span, tag).tolist() == [x is not None and tagged[x, t] > 1 for x, t in zip(windows, tag)]
 
 
 # -- 8
@@ -488,8 +551,8 @@ def test_pipeline_like_its_stages(spark, sf):
     step = [(r.doc_id, r.text) for r in toxicity.reject(docs, labels).collect()]
     kept = {c for _, c, _, _ in near_classes(step)}
     step = [(i, t) for i, t in step if i in kept]
-    cut = {i: (n, gone) for i, n, gone, _, _ in repeats([(i, t.encode()) for i, t in step])}
-    left = [i for i, _ in step if cut[i][0] > cut[i][1]]
+    cut = {i: t.decode() for i, (t, _) in passages([(i, t.encode()) for i, t in step]).items()}
+    left = [i for i, t in step if cut[i].strip() or not t.strip()]
     assert {r.doc_id for r in out} <= set(left)
     items = [(str(a), b) for a, b in bench.collect()]
     assert not any(h for _, h, _ in contaminated([r.text for r in out], items))
