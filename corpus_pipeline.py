@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphwarden.llm import bpe, decontam, jaccard, sufdedup, toxicity
-from graphwarden.llm.storage import materialize, table
+from graphwarden.llm.storage import clear, materialize, table, written
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows after the last stage; what the stages wrote besides is deleted."""
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear(spark, mark, but=docs)
     return docs

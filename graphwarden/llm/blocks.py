@@ -4,10 +4,13 @@ hashes and shingles are computed for a whole block of documents at once."""
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
@@ -73,20 +76,32 @@ def row_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) ->
         at = to
 
 
-def in_arrow(df, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema):
-    """``df.mapInArrow`` with bounded memory: batches of at most ``BATCH_BYTES``, and a worker gives what it
-    freed back to the system when its task ends, since it stays for other tasks."""
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by name, whatever signs are in it."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in names]
+
+
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name and with bounded memory: batches of at most ``BATCH_BYTES``
+    (for this, the session's setting is lowered where it is higher; the README says so), and a worker gives
+    what it freed back to the system when its task ends, since it stays for other tasks."""
     conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(key).removesuffix("b")
     if not (now.isdigit() and int(now) <= BATCH_BYTES):
         conf.set(key, f"{BATCH_BYTES}b")
 
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    names, out = df.columns, [x.name for x in fields]
+    places = [f"c{k}" for k in range(len(fields))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(batches)
+        for block in f(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays([block.column(x) for x in out], names=places)
         release()
 
-    return df.mapInArrow(run, schema)
+    typed = T.StructType([T.StructField(p, x.dataType, x.nullable) for p, x in zip(places, fields)])
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, typed).toDF(*out)
 
 
 def release() -> None:

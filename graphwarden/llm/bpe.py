@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import in_arrow, row_blocks, text_bytes
+from .blocks import in_arrow, quoted, row_blocks, text_bytes
 
 #: Code points that the tokenizer's own \s matches (fixed values).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -265,7 +265,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", n_tok
                     names=[*keep, ids, n_tokens],
                 )
 
-    return in_arrow(df.select(*{c: None for c in [*keep, text]}), run, schema)
+    return in_arrow(df.select(*quoted({c: None for c in [*keep, text]})), run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

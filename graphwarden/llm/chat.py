@@ -37,7 +37,7 @@ UNITS = (r"(?!)", r"\n", PARAGRAPH, f"{PARAGRAPH}|{SENTENCE}", rf"\n|{SENTENCE}"
 #: Digests with more holders than this in a conversation are credited by class.
 HOT = 64
 BITS = 6
-ATTRIBUTION = r"(?i)^.{0,200}\b(?:wrote|schrieb|escribió|a écrit)\s*:\s*$"
+ATTRIBUTION = r"(?i)^.*\b(?:wrote|schrieb|escribió|a écrit)\s*:\s*$"
 _RESULTS = ("parent_turn", "thread", "depth", "n_quotes", "n_linked")
 
 

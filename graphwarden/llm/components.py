@@ -6,17 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Node and least node of its component (columns node, root) for all nodes of the undirected edges
     (columns a, b). Loops are dropped, repeated edges don't matter; no edges, no rows."""
     up = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     state = None
-    for _ in range(max_rounds):
+    while True:  # the rounds are logarithmic in the longest chain
         # large star: the greater neighbours of a node go to its least neighbour
         both = up.unionAll(up.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -24,13 +24,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: a node and its lesser neighbours go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        up = materialize(
+        before, up = up, materialize(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges"
         )
+        discard(before)
         now = up.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return up.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(up.select("v", "v").distinct().toDF("node", "root"))

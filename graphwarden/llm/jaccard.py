@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import U64, Words, digests, in_arrow, minhash, mix, row_blocks, row_sum, shingles, text_bytes
+from .blocks import U64, Words, digests, in_arrow, minhash, mix, quoted, row_blocks, row_sum, shingles, text_bytes
 from .components import components
 from .storage import materialize
 
@@ -233,7 +233,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, the one with the least id; all columns stay."""
     _, info = _class_ids(docs)
     # whatever their names are, the columns travel as one
-    marked = with_set(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text"))
+    marked = with_set(docs.select(F.struct(*quoted(docs.columns)).alias("row"), "doc_id", "text"))
     kept = info.where(F.col("kept_cls") == F.col("cls")).select("cls", F.col("class_id").alias("kept_id"))
     others = marked.join(kept, "cls").where(F.col("doc_id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["cls", "doc_id"])
     return marked.where("cls IS NULL").select("row.*").unionAll(others.select("row.*"))

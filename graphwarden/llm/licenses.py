@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Words, in_arrow, row_blocks, shingles, text_bytes
+from .blocks import Words, in_arrow, quoted, row_blocks, shingles, text_bytes
 
 WORDS, CONTAINMENT, RECALL = 5, 0.8, 0.9999
 #: Headers, grants and one-line notices of common licenses (fixed texts).
@@ -212,7 +212,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES | NOTICES, text:
                 found = [[dict(zip(("license", "containment", "start", "end"), x)) for x in row] for row in scanner.scan(*text_bytes(block.column(text)))]
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), pa.array(found, _TYPE)], names=[*keep, out])
 
-    return in_arrow(docs.select(*keep, text), run, schema)
+    return in_arrow(docs.select(*quoted([*keep, text])), run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

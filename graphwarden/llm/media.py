@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jpeg
-from .blocks import in_arrow, row_blocks, text_bytes
+from .blocks import in_arrow, quoted, row_blocks, text_bytes
 
 UNIT = 192
 BLOCK = 512 << 10
@@ -50,7 +50,7 @@ def encode(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame
                 files = jpeg.write(payload.astype(np.int32).reshape(-1, 3, 64) + 2, np.diff(bounds) // UNIT)
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), pa.array(np.diff(offs)), pa.array(files, pa.binary())], names=[*keep, "n_bytes", media])
 
-    return in_arrow(df.select(*keep, text), run, schema)
+    return in_arrow(df.select(*quoted([*keep, text])), run, schema)
 
 
 def decode(df: DataFrame, media: str = "media", tensors: bool = False) -> DataFrame:

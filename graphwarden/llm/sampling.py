@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts beyond this many bytes are scored, but not learnt from.
+MAX_BYTES = 32 << 10
+
+
 def remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a missing id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column) -> tuple[pa.Table, dict[int, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column, max_bytes: int = MAX_BYTES) -> tuple[pa.Table, dict[int, int]]:
     """Texts and labels of at most ``per_class`` documents of each label among the rows to learn from,
     those with the smallest id hashes, and how many rows each label has in all. Rows without a label
-    or an id are left out; of an id's contradictory labels the largest counts."""
+    or an id are left out, as are chosen texts of over ``max_bytes``; of an id's contradictory labels the
+    largest counts, of its texts the least."""
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64(F.col("doc_id")), F.col("doc_id")]
@@ -24,9 +29,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     for value in (0, 1):
         part = marked.where(F.col("label") == value).orderBy(*order).limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
-    # at most 2 * per_class ids: a proven bound for the broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(4 * per_class)
-    return rows.toArrow(), counts
+    # at most 2 * per_class ids: a proven bound for the broadcast, and with max_bytes for what the driver reads
+    rows = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return one.orderBy(*order).select("doc_id", "text", "label").toArrow(), counts
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

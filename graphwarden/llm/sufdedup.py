@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import U64, in_arrow, mix, powers, row_blocks, spans, text_bytes
+from .blocks import U64, in_arrow, mix, powers, quoted, row_blocks, spans, text_bytes
 from .storage import materialize
 
 
@@ -194,7 +194,7 @@ def _packed(df: DataFrame, keep: list[str], once: bool = False) -> DataFrame:
                 z = pa.array([pack.compress((x or "").encode()) for x in block.column("text").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), z], names=[*keep, "z"])
 
-    return in_arrow(df.select(*{c: None for c in [*keep, "dig", "text"]}), run, schema)
+    return in_arrow(df.select(*quoted({c: None for c in [*keep, "dig", "text"]})), run, schema)
 
 
 _CONTEXT = "r int, h long, nc long, n long, dig binary, lo int, hi int, at int, first int, last int, ctx binary, body binary"
@@ -436,8 +436,8 @@ def repeats_removed(docs: DataFrame, rule: Rule = BYTES, marks: tuple[Rule, ...]
     rules = (rule, *marks)
     extra = ("n_bytes", "n_removed", "n_spans", "kept", "marked")
     keep = [c for c in docs.columns if c not in ("text", "dig", "z", "spans", *extra)]
-    marked = docs.select(*keep, "text", digest(F.col("text")).alias("dig"))
-    both = _packed(marked, [*keep, "dig"]).join(_repeats(docs, rules), "dig", "left").select(*keep, "z", "spans")
+    marked = docs.select(*quoted([*keep, "text"]), digest(F.col("text")).alias("dig"))
+    both = _packed(marked, [*keep, "dig"]).join(_repeats(docs, rules), "dig", "left").select(*quoted([*keep, "z", "spans"]))
     types = [*(T.StructField(c, T.LongType()) for c in extra[:3]), T.StructField("kept", T.BinaryType()), T.StructField("marked", T.ArrayType(T.LongType()))]
     schema = T.StructType([*(docs.schema[c] for c in keep), *types])
     arrow = [pa.int64()] * 3 + [pa.binary(), pa.list_(pa.int64())]
@@ -479,7 +479,7 @@ def deduplicate(docs: DataFrame, rule: Rule = PASSAGES) -> DataFrame:
     only white space is left by the cuts are removed. All columns stay; n_chars follows."""
     schema, columns = docs.schema, docs.columns
     # whatever their names are, the other columns travel as one
-    cut = repeats_removed(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns if c != "text"), F.col("text").isNull().alias("null text")).alias("row"), "text"), rule)
+    cut = repeats_removed(docs.select(F.struct(*quoted(c for c in columns if c != "text"), F.col("text").isNull().alias("null text")).alias("row"), "text"), rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -147,6 +147,6 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 def reject(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``docs`` without those predicted toxic; all columns stay."""
     name = "_score"
-    while name in docs.columns:
+    while name in {c.lower() for c in docs.columns}:
         name += "_"
     return add_score(docs, fit(docs, labels, per_class), out=name).where(F.col(name) < THRESHOLD).drop(name)

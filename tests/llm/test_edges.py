@@ -5,11 +5,11 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from graphwarden.llm import bpe, chat, decontam, jaccard, licenses, media, quality, sufdedup, toxicity, warc
+from graphwarden.llm import blocks, bpe, chat, decontam, jaccard, licenses, media, quality, sufdedup, toxicity, warc
 
 LONG = "lorem ipsum dolor sit amet consectetur " * 9000
 ROWS = [(1, "Alpha beta gamma delta epsilon zeta eta theta."), (1, "Alpha beta gamma delta epsilon zeta eta theta."), (2, None), (3, ""), (4, "  \n\t "), (None, "x"), (None, None), (5, LONG), (6, LONG), (7, "ΑΒΓ ñandú 日本語 😀\0end")]
-CLASHES = ["cls", "dig", "z", "row", "score", "kept", "wanted", "labels", "h", "k", "null text", "n_chars"]
+CLASHES = ["a.b", "x`y", "cls", "dig", "z", "row", "score", "kept", "wanted", "labels", "h", "k", "null text", "n_chars"]
 KEPT = {"documents": 10}
 
 
@@ -44,6 +44,10 @@ STAGES = {
     "keep_one": lambda d, s: jaccard.keep_one(d),
     "deduplicate": lambda d, s: sufdedup.deduplicate(d),
     "decontaminate": lambda d, s: decontam.decontaminate(d, s["bench"]),
+    "encode": lambda d, s: bpe.encode(d, bpe.vocabulary()).drop("ids", "n_tokens"),
+    "score": lambda d, s: quality.add_score(d, quality.fit(d, s["labels"])).drop("score").withColumn("score", F.lit("q")).select(*blocks.quoted(d.columns)),
+    "licenses": lambda d, s: licenses.scan(d).drop("licenses").select(*blocks.quoted(d.columns)) if "text" in licenses.scan(d).columns else d,
+    "media": lambda d, s: media.decode(media.encode(d)).select(*blocks.quoted(c for c in d.columns if c != "text"), F.lit(None).cast("string").alias("text")).select(*blocks.quoted(d.columns)),
 }
 
 
