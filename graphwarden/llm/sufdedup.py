@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import U64, in_arrow, mix, powers, quoted, row_blocks, spans, text_bytes
-from .storage import materialize
+from .storage import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ _ANCHOR = pa.schema([("kind", pa.int32()), ("r", pa.int32()), ("dig", pa.binary(
 
 def _anchor_block(block: pa.RecordBatch, r: int, rule: Rule) -> pa.RecordBatch:
     """Kind 0: the different contexts of each text and how often they occur in it. Kind 1: windows known
-    to be repeats because their context occurs twice in the text."""
+    to be repeats because their context occurs twice in the text or the text twice in the task."""
     values, offs, _, _ = units(*text_bytes(block.column("text")), rule)
     c = contexts(values, offs, rule)
     item, raw, salt = values.dtype.itemsize, memoryview(np.ascontiguousarray(values)).cast("B"), bytes([r])
@@ -176,6 +176,15 @@ def _anchor_block(block: pa.RecordBatch, r: int, rule: Rule) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_ANCHOR)
 
 
+def _whole(block: pa.RecordBatch, r: int, rule: Rule) -> pa.RecordBatch:
+    """Rows of kind 1: all windows of each text."""
+    count = np.diff(units(*text_bytes(block.column("text")), rule)[1])
+    at = np.flatnonzero(count >= rule.span)
+    n = len(at)
+    columns = [np.ones(n), np.full(n, r), block.column("dig").take(pa.array(at)), np.zeros(n), pa.nulls(n, pa.binary()), np.zeros(n), count[at] - rule.span, np.zeros(n), np.ones(n)]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.astype(f.type.to_pandas_dtype())) for f, x in zip(_ANCHOR, columns)], schema=_ANCHOR)
+
+
 def _packed(df: DataFrame, keep: list[str], once: bool = False) -> DataFrame:
     """The kept columns and each text compressed (column z); ``once``: equal texts of a task only once."""
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("z", T.BinaryType())])
@@ -209,7 +218,7 @@ def _contexts_out(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _fetch(rules: tuple[Rule, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chosen contexts with their units (column body); first and last are the anchor offsets of the bucket."""
+    """The chosen contexts with their bytes (column body); first and last are the anchor offsets of the bucket."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         out: list[tuple] = []
@@ -221,10 +230,8 @@ def _fetch(rules: tuple[Rule, ...], batches: Iterator[pa.RecordBatch]) -> Iterat
             for w in wanted:
                 r = w["r"]
                 if r not in held:
-                    values = units(data, np.array([0, len(data)]), rules[r])[0] if rules[r].words else data
-                    held[r] = memoryview(np.ascontiguousarray(values)).cast("B"), values.dtype.itemsize
-                view, item = held[r]
-                body = bytes(view[w["lo"] * item : (w["hi"] + rules[r].span) * item])
+                    held[r] = units(data, np.array([0, len(data)]), rules[r])[2:]
+                body = raw[held[r][0][w["lo"]] : held[r][1][w["hi"] + rules[r].span - 1]]
                 out.append((r, w["h"], w["nc"], w["n"], dig, w["lo"], w["hi"], w["at"], 0, rules[r].offsets - 1, None, body))
                 size += len(body)
             if size > BLOCK:
@@ -240,17 +247,18 @@ def _halves(rules: tuple[Rule, ...], batches: Iterator[pa.RecordBatch]) -> Itera
     for batch in batches:
         out: list[tuple] = []
         for c in batch.to_pylist():
-            rule = rules[c["r"]]
-            item = 8 if rule.words else 1
+            rule, raw = rules[c["r"]], c["body"]
+            values, _, starts, ends = units(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), rule)
             middle = (c["first"] + c["last"]) // 2
             for first, last in ((c["first"], middle), (middle + 1, c["last"])):
                 lo, hi = max(c["lo"], c["at"] - last), min(c["hi"], c["at"] - first)
                 if first > last or lo > hi:
                     continue
-                body = c["body"][(lo - c["lo"]) * item : (hi + rule.span - c["lo"]) * item]
-                shared = c["body"][(c["at"] - first - c["lo"]) * item : (c["at"] + rule.span - last - c["lo"]) * item]
+                begin, end = lo - c["lo"], hi + rule.span - c["lo"]
+                body, own = raw[starts[begin] : ends[end - 1]], values[begin:end].tobytes()
+                shared = values[c["at"] - first - c["lo"] : c["at"] + rule.span - last - c["lo"]].tobytes()
                 key = blake2b(shared, digest_size=8, key=f"{c['r']} {first} {last} {c['h']}".encode()).digest()
-                ctx = blake2b(body, digest_size=16).digest()
+                ctx = blake2b(own, digest_size=16).digest()
                 out.append((c["r"], int.from_bytes(key, "little", signed=True), 0, c["n"], c["dig"], lo, hi, c["at"], first, last, ctx, body))
         if out:
             yield _contexts_out(out)
@@ -258,7 +266,7 @@ def _halves(rules: tuple[Rule, ...], batches: Iterator[pa.RecordBatch]) -> Itera
 
 def equal_windows(values: np.ndarray, offs: np.ndarray, span: int, tag: np.ndarray | None = None) -> np.ndarray:
     """Which of the positions with ``span`` units in their row have an equal window elsewhere. Only positions of
-    equal ``tag`` are compared.
+    equal ``tag`` (a number from 0 on) are compared.
 
     Bucket-pointer refinement: ``order`` holds the positions by bucket, ``pointer`` each position's bucket (its
     last place in the order) and ``depth`` how many units the bucket's members are known to share."""
@@ -266,12 +274,18 @@ def equal_windows(values: np.ndarray, offs: np.ndarray, span: int, tag: np.ndarr
     if n < span:
         return np.zeros(n, dtype=bool)
     left = (np.repeat(offs[1:], np.diff(offs)) - np.arange(n)).astype(np.int32)
-    q = 7 if values.dtype == np.uint8 else 1
+    bits = 0 if tag is None else int(tag.max()).bit_length()
+    q = 1 if values.dtype != np.uint8 else max(1, min(7, (63 - bits) // 9))
     first = np.zeros(n, dtype=U64)  # q units, nothing after the row's end
     for k in range(q):
         there = np.flatnonzero(left > k)
         first[there] |= (values[there + k].astype(U64) + U64(q > 1)) << U64(9 * (q - 1 - k))
-    order = (np.argsort(first, kind="stable") if tag is None else np.lexsort((first, tag))).astype(np.int32)
+    if values.dtype == np.uint8 and 9 * q + bits <= 64:
+        keys = [first if tag is None else (tag.astype(U64) << U64(9 * q)) | first]
+        order = np.argsort(keys[0]).astype(np.int32)
+    else:
+        keys = [first] if tag is None else [first, tag]
+        order = np.lexsort(keys).astype(np.int32)
     depth = np.full(n, q, dtype=np.int32)
     pointer = np.empty(n, dtype=np.int32)
 
@@ -283,9 +297,11 @@ def equal_windows(values: np.ndarray, offs: np.ndarray, span: int, tag: np.ndarr
         return np.repeat(size > 1, size)
 
     new = np.ones(n, dtype=bool)
-    for key in (first,) if tag is None else (first, tag):
-        new[1:] &= key[order[1:]] == key[order[:-1]]
+    for key in keys:
+        key = key[order]
+        new[1:] &= key[1:] == key[:-1]
     new[1:] = ~new[1:]
+    del keys, key
     every = np.arange(n, dtype=np.int32)
     places = every[point(every, new)]
     while True:
@@ -304,7 +320,7 @@ def equal_windows(values: np.ndarray, offs: np.ndarray, span: int, tag: np.ndarr
             later = np.where(goes_on, pointer[after], -1)  # a row's end comes first
             known = np.where(goes_on, known + depth[after], span)
             own = pointer[at]
-            by = np.lexsort((later, own))
+            by = np.argsort((own.astype(np.int64) << 32) + later)
             at, later, own = at[by], later[by], own[by]
             order[part] = at
             depth[at] = known[by]
@@ -328,14 +344,13 @@ _SPANS = pa.schema([("r", pa.int32()), ("dig", pa.binary()), ("lo", pa.int32()),
 
 def _repeats_in(t: pa.Table, rule: Rule) -> pa.RecordBatch:
     """Repeats among the windows of whole buckets of contexts, as ranges of window starts."""
-    data, offs = text_bytes(t.column("body"))
-    if rule.words:
-        data, offs = np.frombuffer(data.tobytes(), U64), offs // 8
+    values, offs, _, _ = units(*text_bytes(t.column("body")), rule)
     lo, at, h = (t.column(k).to_numpy().astype(np.int64) for k in ("lo", "at", "h"))
     row = np.repeat(np.arange(len(lo)), np.diff(offs))
-    place = lo[row] + np.arange(len(data)) - offs[:-1][row]
-    tag = mix(h.view(U64)[row] + mix((at[row] - place).astype(U64)))
-    hit = np.flatnonzero(equal_windows(data, offs, rule.span, tag) & (t.column("n").to_numpy() == 1)[row])
+    place = lo[row] + np.arange(len(values)) - offs[:-1][row]
+    bucket = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
+    tag = bucket[row] * (2 * rule.span + 1) + at[row] - place + rule.span
+    hit = np.flatnonzero(equal_windows(values, offs, rule.span, tag) & (t.column("n").to_numpy() == 1)[row])
     row, start = row[hit], place[hit]
     new = np.ones(len(row), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
@@ -384,16 +399,25 @@ def _repeats(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Ranges of window starts that are repeats: dig, spans array<struct<r, lo, hi>>; r is the rule's place."""
 
     def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for block in row_blocks(batch, "text", BLOCK):
+                new = []
+                for d in block.column("dig").to_pylist():
+                    new.append(d not in seen)
+                    seen.add(d)
+                again = block.filter(pa.array([not x for x in new]))
+                block = block.filter(pa.array(new))
                 for r, rule in enumerate(rules):
+                    if again.num_rows:  # all windows of a text that comes twice are repeats
+                        yield _whole(again, r, rule)
                     yield _anchor_block(block, r, rule)
 
     rows = docs.select("text", digest(F.col("text")).alias("dig")).where(F.octet_length("text") >= min(r.least_bytes for r in rules))
     found = materialize(in_arrow(rows, anchors_of, "kind int, r int, dig binary, h long, ctx binary, lo int, hi int, at int, n long"), "anchors")
     anchors = found.where("kind = 0")
     by_ctx = anchors.groupBy("ctx").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
-    by_gram = by_ctx.groupBy("h").agg(F.count(F.lit(1)).alias("nc")).where("nc > 1")
+    by_gram = materialize(by_ctx.groupBy("h").agg(F.count(F.lit(1)).alias("nc")).where("nc > 1"), "grams")
     wanted = by_ctx.join(by_gram, "h", "left").where("n > 1 OR nc IS NOT NULL").select("ctx", F.col("n").alias("total"), F.coalesce("nc", F.lit(0)).alias("nc"))
     joined = materialize(anchors.select("ctx", "r", "dig", "h", "lo", "hi", "at").join(wanted, "ctx"), "repeats")
     out = ["r", "dig", "lo", "hi"]
@@ -403,21 +427,24 @@ def _repeats(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     chosen = several.groupBy(F.col("c.dig").alias("dig")).agg(F.collect_list(F.struct("c.r", "h", "nc", "n", "c.lo", "c.hi", "c.at")).alias("wanted"))
     texts = _packed(rows, ["dig"], once=True)
     hot = materialize(in_arrow(texts.join(chosen, "dig").dropDuplicates(["dig"]), lambda b: _fetch(rules, b), _CONTEXT), "contexts")
+    temporary = [found, by_gram, joined, hot]
     cold = []
     while True:
         cold.append(hot.where(F.col("nc") <= HOT))
         hot = hot.where(F.col("nc") > HOT)
         if hot.isEmpty():
             break
-        halves = materialize(in_arrow(hot, lambda b: _halves(rules, b), _CONTEXT), "halves")
+        temporary.append(halves := materialize(in_arrow(hot, lambda b: _halves(rules, b), _CONTEXT), "halves"))
         counts = halves.groupBy("h", "ctx").agg(F.sum("n").alias("total"))
         parts.append(halves.where("n = 1").join(counts.where("total > 1"), ["h", "ctx"], "left_semi").select(*out))
         several = counts.groupBy("h").agg(F.count(F.lit(1)).alias("several")).where("several > 1")
         one = halves.dropDuplicates(["h", "ctx"]).join(counts, ["h", "ctx"]).join(several, "h")
-        hot = materialize(one.withColumns({"nc": F.col("several"), "n": F.col("total")}).select(*_CONTEXT_TYPES), "contexts")
+        temporary.append(hot := materialize(one.withColumns({"nc": F.col("several"), "n": F.col("total")}).select(*_CONTEXT_TYPES), "contexts"))
     cold_rows = reduce(DataFrame.unionAll, cold).repartition(F.col("h")).sortWithinPartitions("r", "h")
     parts.append(in_arrow(cold_rows, lambda b: _refine(rules, b), "r int, dig binary, lo int, hi int"))
-    every = reduce(DataFrame.unionAll, parts).distinct()
+    every = materialize(reduce(DataFrame.unionAll, parts).distinct(), "spans")
+    for df in temporary:
+        discard(df)
     return every.groupBy("dig").agg(F.collect_list(F.struct("r", "lo", "hi")).alias("spans"))
 
 
