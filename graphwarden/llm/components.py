@@ -19,7 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:  # the rounds are logarithmic in the longest chain
         # large star: the greater neighbours of a node go to its least neighbour
         both = up.unionAll(up.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the least neighbours are written, so that both sides of the join are plain: a node of very many
+        # neighbours can then be dealt to several tasks
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its lesser neighbours go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -28,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges"
         )
         discard(before)
+        discard(least)
         now = up.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             break

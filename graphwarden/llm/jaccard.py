@@ -7,9 +7,11 @@
    meets in some trie with the target probability. Labels are range-sorted over the cluster, so a
    prefix held by very many sets is spread over tasks and scanned as a stream; each set is linked to
    the first one of its prefix.
-3. Sets that meet directly or through others form a candidate group. Its texts are fetched once and all
-   its pairs are verified exactly; large groups are cut into blocks, and each pair of blocks is a task.
-   Only degrees and spanning links leave a task, never all pairs.
+3. Sets that meet directly or through others form a candidate group. Its texts are fetched once,
+   compressed, and all its pairs are verified exactly. A group of more blocks than ``SPREAD`` may be a mere
+   chain of neighbours: there only sets that share a prefix are compared, trie by trie, and a pair that
+   shares several counts in the first of them. Large groups and prefixes are cut into blocks, and each pair
+   of blocks is a task. Only degrees and spanning links leave a task, never all pairs.
 
 Class: connected component over verified links (Jaccard >= 0.8); its id is the least doc_id in it.
 n_links: the other documents linked with this one, copies included.
@@ -26,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +41,9 @@ WORDS = 5
 THRESHOLD = (4, 5)  # 0.8
 TREES, DEEPEST, RECALL = 20, 8, 0.9999
 BLOCK_SETS, BLOCK_TEXT = 256, 8 << 20
+SPREAD = 20
 _COLUMNS = 1 << 15
-_NO_ID = -(1 << 63)
+_NO_ID = (1 << 63) - 1
 
 
 def prefix_depth(threshold: float = 0.8, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
@@ -95,7 +99,8 @@ def _label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, offs = text_bytes(part.column("labels"))
             label = np.frombuffer(data.tobytes(), "<i8")
             rows = np.repeat(np.arange(part.num_rows), np.diff(offs) // 8)
-            yield pa.RecordBatch.from_arrays([pa.array(label), part.column("cls").take(pa.array(rows))], names=["label", "cls"])
+            tree = np.arange(len(label)) - np.repeat(offs[:-1], np.diff(offs) // 8) // 8
+            yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(label), part.column("cls").take(pa.array(rows))], names=["tree", "label", "cls"])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +133,13 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verify(table: pa.Table) -> pa.Table:
     """Exact links within a block or between two blocks: for each linked set the number of documents
     linked to it and the least set that it is connected with here."""
+    unpack = zstandard.ZstdDecompressor()
     ids = table.column("cls").to_pylist()
     order = sorted({c: k for k, c in enumerate(ids)}.items())  # one row of each set, by digest
     rows = np.array([k for _, k in order])
     part = table.take(pa.array(rows))
     block, copies = part.column("blk").to_numpy(), part.column("copies").to_numpy()
-    w = Words(*text_bytes(part.column("text")))
+    w = Words(*text_bytes(pa.array([unpack.decompress(z) for z in part.column("z").to_pylist()], pa.binary())))
     values, bounds = shingles(w.hash, w.rows, WORDS)
     m = len(rows)
     row = np.repeat(np.arange(m), np.diff(bounds))
@@ -161,6 +167,11 @@ def verify(table: pa.Table) -> pa.Table:
     link &= np.triu(np.ones((m, m), dtype=bool), 1)
     if len(table) and table.column("i")[0].as_py() != table.column("j")[0].as_py():
         link &= block[:, None] != block[None, :]
+    tree = part.column("tree")[0].as_py() if m else -1
+    if tree > 0:  # pairs that share a prefix in an earlier trie are counted there
+        label = np.frombuffer(b"".join(part.column("labels").to_pylist()), "<i8").reshape(m, -1)[:, :tree]
+        for i in np.flatnonzero(link.any(1)):
+            link[i] &= ~(label == label[i]).any(1)
     link |= link.T
     label = np.arange(m)
     while True:
@@ -175,48 +186,86 @@ def verify(table: pa.Table) -> pa.Table:
         "cls": pa.array([order[k][0] for k in at], pa.binary()),
         "head": pa.array([order[label[k]][0] for k in at], pa.binary()),
         "links": pa.array((link[at] * copies[None, :]).sum(1), pa.int64()),
-        "multi": pa.array(part.column("nblk").to_numpy()[at] > 1),
+        "multi": pa.array((part.column("nblk").to_numpy()[at] > 1) | (tree >= 0)),
     })
 
 
+def _key() -> Column:
+    return F.coalesce("doc_id", F.lit(_NO_ID))
+
+
+def _blocks(rows: DataFrame, by: str) -> DataFrame:
+    """For each group: its sets (n) and the blocks that they are cut into (nblk)."""
+    counted = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    return counted.withColumn("nblk", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_TEXT)).cast("int"))
+
+
+def _texts(docs: DataFrame, key: Column) -> DataFrame:
+    """Compressed texts by the key and the text's hash, each once in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        seen: set[tuple] = set()
+        for batch in batches:
+            for block in row_blocks(batch, "text"):
+                new = []
+                for x in zip(block.column("th").to_pylist(), block.column("k").to_pylist()):
+                    new.append(x not in seen)
+                    seen.add(x)
+                block = block.filter(pa.array(new))
+                z = [pack.compress(x.encode()) for x in block.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([block.column("th"), block.column("k"), pa.array(z, pa.binary())], names=["th", "k", "z"])
+
+    rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("th"), key.alias("k"))
+    return in_arrow(rows, run, "th long, k long, z binary")
+
+
 def _class_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' (doc_id, cls) and, for each set: class_id, class_size, n_links of its documents,
     and kept_cls, the set of the document that gives the class its id."""
     depth = prefix_depth()
     sig = with_set(docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.octet_length("text").cast("long").alias("size")), trees=TREES, depth=depth)
     sig = materialize(sig, "sets")
-    key = F.coalesce("doc_id", F.lit(_NO_ID))
+    key = _key()
     sets = materialize(
         sig.where("cls IS NOT NULL").groupBy("cls").agg(
             F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct(key.alias("k"), "th")).alias("rep"), F.max("size").alias("size"), F.max("labels").alias("labels")
         ), "sets",
     )
-    labels = in_arrow(sets.select("labels", "cls"), _label_rows, "label long, cls binary")
-    sorted_ = labels.repartitionByRange(F.col("label"), F.col("cls")).sortWithinPartitions("label", "cls")
+    labels = in_arrow(sets.select("labels", "cls"), _label_rows, "tree int, label long, cls binary")
+    sorted_ = labels.drop("tree").repartitionByRange(F.col("label"), F.col("cls")).sortWithinPartitions("label", "cls")
     met = materialize(in_arrow(sorted_, _meetings, "kind int, label long, a binary, b binary"), "meetings")
     border = met.where("kind = 1").select("label", "a").distinct()
     across = border.join(border.groupBy("label").agg(F.min("a").alias("b")), "label").select("a", "b")
     groups = components(met.where("kind = 0").select("a", "b").unionAll(across))
-    member = groups.withColumnRenamed("node", "cls").join(sets.drop("labels"), "cls")
-    blocks = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    blocks = blocks.select("root", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_TEXT)).cast("int").alias("nblk"))
-    member = member.join(blocks, "root").select("cls", "root", "copies", "nblk", F.col("rep.k").alias("k"), F.col("rep.th").alias("th"), F.pmod(F.xxhash64("cls"), F.col("nblk")).cast("int").alias("blk"))
-    texts = docs.select("text", F.xxhash64("text").alias("th"), key.alias("k"))
-    fetched = texts.join(member, ["th", "k"])
-    other = F.explode(F.sequence(F.lit(0), F.col("nblk") - 1))
-    paired = fetched.select("cls", "root", "copies", "nblk", "blk", "text", other.alias("o"))
-    paired = paired.select("cls", "root", "copies", "nblk", "blk", "text", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-    verified = materialize(paired.groupBy("root", "i", "j").applyInArrow(verify, "cls binary, head binary, links long, multi boolean"), "links")
+    member = materialize(groups.withColumnRenamed("node", "cls").join(sets, "cls").select("cls", "root", "copies", "size", "rep", "labels"), "members")
+    blocks = materialize(_blocks(member, "root").select("root", "nblk"), "blocks")
+    member = member.join(blocks, "root")
+    whole = member.where(F.col("nblk") <= SPREAD).select("cls", "rep", "copies", F.col("root").alias("node"), "nblk", F.lit(-1).alias("tree"), F.lit(None).cast("binary").alias("labels"))
+    chained = materialize(member.where(F.col("nblk") > SPREAD).drop("nblk"), "chained")
+    parts = whole
+    if not chained.isEmpty():
+        prefixes = in_arrow(chained.select("labels", "cls"), _label_rows, "tree int, label long, cls binary")
+        nodes = prefixes.join(chained, "cls").withColumn("node", F.encode(F.hex("label"), "utf-8"))
+        sizes = materialize(_blocks(nodes, "node").where("n > 1").select("node", "nblk"), "nodes")
+        parts = parts.unionAll(nodes.join(sizes, "node").select("cls", "rep", "copies", "node", "nblk", "tree", "labels"))
+    places = parts.groupBy("rep").agg(F.collect_list(F.struct("cls", "copies", "node", "nblk", "tree", "labels")).alias("places"))
+    texts = _texts(docs, key)
+    fetched = texts.join(places.select("rep.k", "rep.th", "places"), ["th", "k"]).dropDuplicates(["th", "k"]).select("z", F.explode("places").alias("p")).select("z", "p.*")
+    fetched = fetched.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nblk")).cast("int"))
+    paired = fetched.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1))).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).drop("o")
+    verified = materialize(paired.groupBy("node", "i", "j").applyInArrow(verify, "cls binary, head binary, links long, multi boolean"), "links")
     large = components(verified.where("multi").select(F.col("cls").alias("a"), F.col("head").alias("b")))
     root = verified.where("NOT multi").select("cls", F.col("head").alias("root")).unionAll(large.select("node", "root"))
     links = verified.groupBy("cls").agg(F.sum("links").alias("links"))
-    info = sets.select("cls", "copies", "first_id").join(root, "cls", "left").join(links, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    info = sets.select("cls", "copies", "first_id", "rep").join(root, "cls", "left").join(links, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "cls")
-    classes = info.groupBy("root").agg(F.min(order).alias("m"), F.sum("copies").alias("class_size"))
+    info = materialize(info, "roots")
+    classes = materialize(info.groupBy("root").agg(F.min(order).alias("m"), F.sum("copies").alias("class_size")), "classes")
     info = info.join(classes, "root").select(
-        "cls", F.col("m.first_id").alias("class_id"), "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("m.cls").alias("kept_cls")
+        "cls", F.col("m.first_id").alias("class_id"), "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("m.cls").alias("kept_cls"), "rep"
     )
-    return sig.select("doc_id", "cls"), materialize(info, "classes")
+    return sig.select("doc_id", "cls", "th"), materialize(info, "classes")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -231,9 +280,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, the one with the least id; all columns stay."""
-    _, info = _class_ids(docs)
+    rows, info = _class_ids(docs)
+    one = info.where(F.col("kept_cls") == F.col("cls")).select(F.col("rep.k").alias("k"), F.col("rep.th").alias("th"), F.lit(True).alias("one"))
+    wordless = rows.where("cls IS NULL").select(_key().alias("k"), F.coalesce("th", F.lit(0)).alias("th"), F.lit(False).alias("one")).distinct()
     # whatever their names are, the columns travel as one
-    marked = with_set(docs.select(F.struct(*quoted(docs.columns)).alias("row"), "doc_id", "text"))
-    kept = info.where(F.col("kept_cls") == F.col("cls")).select("cls", F.col("class_id").alias("kept_id"))
-    others = marked.join(kept, "cls").where(F.col("doc_id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["cls", "doc_id"])
-    return marked.where("cls IS NULL").select("row.*").unionAll(others.select("row.*"))
+    marked = docs.select(F.struct(*quoted(docs.columns)).alias("row"), _key().alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
+    found = marked.join(one.unionAll(wordless), ["k", "th"])
+    # rows of one id and text are sorted next to each other by the join
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("k", "th").orderBy("th"))).where("NOT one OR nth = 1").select("row.*")

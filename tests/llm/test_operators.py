@@ -321,9 +321,10 @@ def near_fixture(n=60, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_jaccard_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "spread"), [(256, 20), (3, 20), (3, 1)])
+def test_jaccard_brute_force(spark, monkeypatch, block, spread):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard, "SPREAD", spread)
     rows = near_fixture()
     got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in got.collect()) == near_classes(rows)
@@ -334,6 +335,14 @@ def test_jaccard_query(spark, sf, texts):
     assert sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in got) == near_classes(texts)
 
 
+def test_one_of_each_class_stays(spark):
+    rows = [*near_fixture(), (None, "x y"), (None, "x y"), (7, "x y"), (90, None), (90, None), (91, "!"), (91, "!")]
+    rows += [rows[0], rows[0]]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    least = {c for _, c, _, _ in near_classes(near_fixture())}
+    assert sorted(r.doc_id for r in got) == sorted([*least - {7}, *({7} & least), 7, 90, 90, 91, 91])
+
+
 def test_forest_recall():
     depth = jaccard.prefix_depth()
     assert 1 - (1 - 0.8**depth) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard.TREES
