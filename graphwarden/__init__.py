@@ -1,6 +1,7 @@
 """Shape validation of property graphs held in Spark DataFrames."""
 
-from .errors import CompileError, ManifestError, SourceError, WardenError
+from .database import Database
+from .errors import ClosedError, CompileError, ManifestError, SourceError, WardenError
 from .operators.rules import Engine
 from .plans.lower import Options
 from .plans.manifest import Compilation, compile_shapes, load_manifest
@@ -11,6 +12,6 @@ from .sources.schema import Snapshot
 from .sources.shapes import Document
 
 __all__ = [
-    "CompileError", "Compilation", "Document", "Engine", "ManifestError", "NodeTable", "Options", "PropertyGraph", "RelTable", "Report", "Snapshot", "SourceError", "WardenError",
+    "ClosedError", "CompileError", "Compilation", "Database", "Document", "Engine", "ManifestError", "NodeTable", "Options", "PropertyGraph", "RelTable", "Report", "Snapshot", "SourceError", "WardenError",
     "compile_shapes", "exit_code", "load_graph", "load_manifest", "render", "validate",
 ]

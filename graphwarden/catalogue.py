@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalogue_surface
 from .operators.rules import Engine
 from .plans.lower import Options
 from .plans.manifest import Compilation, compile_shapes
@@ -228,7 +229,7 @@ CASES["fused_scan"] = _FUSED
 def summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each rule of the fused case, silent rules included."""
     engine, c = compiled(spark, sf_dir, _FUSED)
-    return engine.summary(c.rules)
+    return engine.summary(c.rules).drop("sample")
 
 
 _SUMMARY_SQL = f"""SELECT r.rule_id, 'Violation' AS severity, count(v.rule_id) AS violation_count
@@ -237,8 +238,8 @@ LEFT JOIN ({_FUSED.sql}) v ON r.rule_id = v.rule_id GROUP BY 1"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(case) for name, case in CASES.items()} | {"summary_all": summary_all}
+    return {name: _query(case) for name, case in CASES.items()} | {"summary_all": summary_all} | catalogue_surface.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: case.sql for name, case in CASES.items()} | {"summary_all": _SUMMARY_SQL}
+    return {name: case.sql for name, case in CASES.items()} | {"summary_all": _SUMMARY_SQL} | catalogue_surface.oracle_sql()

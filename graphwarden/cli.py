@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from pathlib import Path
 
@@ -45,6 +46,7 @@ def _parser() -> argparse.ArgumentParser:
     plan.add_argument("--graph", required=True)
     dump = commands.add_parser("schema", help="print a graph's schema snapshot")
     dump.add_argument("--graph", required=True)
+    dump.add_argument("--observed", action="store_true", help="also the types that occur in properties without a declared one (reads the data)")
     dump.add_argument("-o", "--output")
     return top
 
@@ -85,7 +87,8 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         graph = load_graph(_session(), a.graph)
         if a.command == "schema":
-            _write(graph.snapshot().to_json() + "\n", a.output)
+            text = graph.snapshot().to_json()
+            _write((json.dumps({"schema": json.loads(text), "observedTypes": graph.observed()}, indent=2) if a.observed else text) + "\n", a.output)
             return 0
         if a.command == "plan":
             schema = read_snapshot(a.schema) if a.schema else graph.snapshot()

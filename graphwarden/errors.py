@@ -21,3 +21,7 @@ class ManifestError(WardenError):
 
 class SourceError(WardenError):
     """A graph, table or file that can't be opened."""
+
+
+class ClosedError(WardenError):
+    """A call on a database that was closed."""

@@ -15,7 +15,7 @@ from ..errors import CompileError
 from ..sources.turtle import RDF, XSD, Iri, Literal
 
 INTEGER_TYPES = {"INT64": 64, "INT32": 32, "INT16": 16, "INT8": 8, "UINT64": -64, "UINT32": -32, "UINT16": -16, "UINT8": -8}
-NEUTRAL = {*INTEGER_TYPES, "STRING", "DOUBLE", "FLOAT", "DECIMAL", "BOOLEAN", "DATE", "LOCAL_DATETIME", "ZONED_DATETIME", "LOCAL_TIME", "ZONED_TIME", "DURATION", "POINT", "BLOB", "ANY"}
+NEUTRAL = {*INTEGER_TYPES, "STRING", "DOUBLE", "FLOAT", "DECIMAL", "BOOLEAN", "DATE", "LOCAL_DATETIME", "ZONED_DATETIME", "LOCAL_TIME", "ZONED_TIME", "DURATION", "DURATION_DAY_TIME", "DURATION_YEAR_MONTH", "POINT", "BLOB", "ANY"}
 
 
 def _signed(bits: int) -> tuple[int, int]:
@@ -31,7 +31,7 @@ _INTEGERS = {
 _OTHERS = {
     **dict.fromkeys(("string", "normalizedString", "token", "anyURI"), ("STRING",)), "boolean": ("BOOLEAN",), "date": ("DATE",),
     "dateTime": ("ZONED_DATETIME", "LOCAL_DATETIME"), "dateTimeStamp": ("ZONED_DATETIME",), "time": ("LOCAL_TIME", "ZONED_TIME"),
-    **dict.fromkeys(("duration", "dayTimeDuration", "yearMonthDuration"), ("DURATION",)),
+    "duration": ("DURATION", "DURATION_DAY_TIME", "DURATION_YEAR_MONTH"), "dayTimeDuration": ("DURATION_DAY_TIME",), "yearMonthDuration": ("DURATION_YEAR_MONTH",),
     "decimal": ("DECIMAL", "DOUBLE", "FLOAT"), "double": ("DOUBLE", "FLOAT"), "float": ("DOUBLE", "FLOAT"),
 }
 
@@ -76,7 +76,7 @@ def type_of(dt: T.DataType, metadata: dict | None = None) -> str:
     for kind, name in (
         (T.StringType, "STRING"), (T.LongType, "INT64"), (T.IntegerType, "INT32"), (T.ShortType, "INT16"), (T.ByteType, "INT8"), (T.DoubleType, "DOUBLE"), (T.FloatType, "FLOAT"),
         (T.DecimalType, "DECIMAL"), (T.BooleanType, "BOOLEAN"), (T.DateType, "DATE"), (T.TimestampNTZType, "LOCAL_DATETIME"), (T.TimestampType, "ZONED_DATETIME"),
-        (T.DayTimeIntervalType, "DURATION"), (T.YearMonthIntervalType, "DURATION"), (T.BinaryType, "BLOB"),
+        (T.DayTimeIntervalType, "DURATION_DAY_TIME"), (T.YearMonthIntervalType, "DURATION_YEAR_MONTH"), (T.BinaryType, "BLOB"),
     ):
         if isinstance(dt, kind):
             return name
@@ -190,7 +190,7 @@ def comparable(c: Constant, neutral: str) -> bool:
     """Whether values of the type have an order with the constant."""
     return {
         "String": neutral == "STRING", "Integer": neutral in _NUMBERS, "Decimal": neutral in _NUMBERS, "Double": neutral in _NUMBERS, "Boolean": neutral == "BOOLEAN", "Date": neutral == "DATE",
-        "LocalDateTime": neutral == "LOCAL_DATETIME", "ZonedDateTime": neutral == "ZONED_DATETIME", "Time": neutral == "LOCAL_TIME", "DayTime": neutral == "DURATION", "YearMonth": neutral == "DURATION",
+        "LocalDateTime": neutral == "LOCAL_DATETIME", "ZonedDateTime": neutral == "ZONED_DATETIME", "Time": neutral == "LOCAL_TIME", "DayTime": neutral == "DURATION_DAY_TIME", "YearMonth": neutral == "DURATION_YEAR_MONTH",
     }.get(c.kind, False)
 
 

@@ -1,13 +1,16 @@
 """Violations of rules as DataFrames.
 
-Columns: rule_id, rule_name, shape, path, constraint, severity, focus_label, focus_key, focus_id, value,
-message, details, properties (JSON of the focus, if verbose). Rules over the same label that need no joins are fused: one scan tests them all."""
+Columns: rule_id, rule_name, shape, path, constraint, severity, focus_label (of a node with several labels
+the first that is targeted), focus_key, focus_id, focus_start and focus_end (the endpoints' keys of a
+relationship), value, value_label and value_key (if the value is a node), message, details, properties (JSON of
+the focus, if verbose). Rules over the same label that need no joins are fused: one scan tests them all."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
@@ -17,8 +20,9 @@ from ..sources.graph import NodeTable, PropertyGraph
 from .conditions import ID, Conditions, property_values, tester
 from .paths import union
 
-KEY, PROPERTIES = "__key", "__properties"
-COLUMNS = ["rule_id", "rule_name", "shape", "path", "constraint", "severity", "focus_label", "focus_key", "focus_id", "value", "message", "details", "properties"]
+KEY, LABEL, START, END, PROPERTIES = "__key", "__label", "__start", "__end", "__properties"
+CARRIED = [ID, KEY, LABEL, START, END, PROPERTIES]
+COLUMNS = ["rule_id", "rule_name", "shape", "path", "constraint", "severity", "focus_label", "focus_key", "focus_id", "focus_start", "focus_end", "value", "value_label", "value_key", "message", "details", "properties"]
 SCHEMA = ", ".join(f"{c} {'array<string>' if c == 'details' else 'string'}" for c in COLUMNS)
 
 
@@ -26,6 +30,16 @@ def _numbered(k: int):
     return lambda x: F.struct(F.lit(k).alias("k"), x["value"].alias("value"), x["details"].alias("details"))
 
 
+def _nothing() -> Column:
+    return F.lit(None).cast("string")
+
+
+def first_of_each(rows: DataFrame, n: int) -> DataFrame:
+    """The first n violations of each rule; each task hands on n rows of a rule at most."""
+    order = Window.partitionBy("rule_id").orderBy("focus_label", "focus_key", "focus_id", "value")
+    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
+
+
 @dataclass
 class FocusTable:
     """Focus nodes (or relationships) of one table: a frame with the columns __id and __key."""
@@ -42,8 +56,10 @@ def joins_needed(rule: Rule) -> bool:
 
 
 class Engine:
-    def __init__(self, graph: PropertyGraph, node_key: str | None = None, verbose: bool = False):
-        self.graph, self.node_key, self.verbose = graph, node_key, verbose
+    """``only``: violations of this node table alone (the others still serve as what paths lead to)."""
+
+    def __init__(self, graph: PropertyGraph, node_key: str | None = None, verbose: bool = False, only: str | None = None):
+        self.graph, self.node_key, self.verbose, self.only = graph, node_key, verbose, only
         self.conditions = Conditions(graph, node_key)
 
     # -- focus
@@ -53,26 +69,39 @@ class Engine:
             return [self._edges(r, rule) for r in self.graph.rels if r.type in types]
         out = []
         for t in self.graph.nodes:
-            df = self._members(t, rule.focus)
+            df = self._members(t, rule.focus) if self.only in (None, t.label) else None
             if df is not None:
-                out.append(FocusTable(t, df.withColumns({KEY: self._key(t, rule), PROPERTIES: self._properties(t)})))
+                out.append(FocusTable(t, df.withColumns({KEY: self._key(t, rule.key), LABEL: self._label(t, rule), START: _nothing(), END: _nothing(), PROPERTIES: self._properties(t)})))
         return out
 
+    @staticmethod
+    def _label(t: NodeTable, rule: Rule) -> Column:
+        wanted = [x for f in rule.focus if f.kind == "labels" for x in f.labels]
+        if not t.labels or not wanted:
+            return F.lit(t.label)
+        carried = [F.when(F.lit(x == t.label) | F.coalesce(F.array_contains(column(t.labels), x), F.lit(False)), F.lit(x)) for x in wanted]
+        return F.coalesce(*carried, F.lit(t.label))
+
     def _properties(self, t: NodeTable) -> Column:
         if not self.verbose:
             return F.lit(None).cast("string")
         return F.to_json(F.struct(*(column(c) for c in t.df.columns if c != ID)))
 
-    def _key(self, t: NodeTable, rule: Rule) -> Column:
-        for c in (rule.key, self.node_key):
+    def _key(self, t: NodeTable, own: str | None = None) -> Column:
+        for c in (own, self.node_key):
             if c and c in t.df.columns:
                 return column(c).cast("string")
         return F.col(ID)
 
     def _edges(self, r, rule: Rule) -> FocusTable:
-        df = r.df.withColumn(ID, F.concat_ws("->", column(r.src).cast("string"), column(r.dst).cast("string")))
-        table = NodeTable(r.type, df.drop(r.src, r.dst), ID)
-        return FocusTable(table, df.withColumns({KEY: F.col(ID), PROPERTIES: self._properties(table)}))
+        """Relationships are told apart by their key column; without one, parallel ones by a hash of their properties."""
+        start, end = column(r.src).cast("string"), column(r.dst).cast("string")
+        ends = F.concat_ws("->", start, end)
+        others = [column(c) for c in r.df.columns if c not in (r.src, r.dst)]
+        own = column(r.key).cast("string") if r.key else F.concat(ends, F.lit("#"), F.hex(F.xxhash64(*others))) if others else ends
+        df = r.df.withColumns({ID: own, KEY: ends, START: start, END: end, LABEL: F.lit(r.type)})
+        table = NodeTable(r.type, df.drop(r.src, r.dst, KEY, START, END, LABEL), ID)
+        return FocusTable(table, df.withColumn(PROPERTIES, self._properties(table)))
 
     def _members(self, t: NodeTable, focus: tuple[Focus, ...]) -> DataFrame | None:
         """A table's focus nodes, each once; None if it can't have any."""
@@ -111,14 +140,16 @@ class Engine:
             out = F.replace(out, F.lit(mark), F.coalesce(c, F.lit("")))
         return out
 
-    def _rows(self, rule: Rule, label: str, df: DataFrame, value: Column, details: Column) -> DataFrame:
+    def _rows(self, rule: Rule, df: DataFrame, value: Column, details: Column, node: tuple[Column, Column] | None = None) -> DataFrame:
+        """``node``: label and key of the value, if it is a node."""
         message = F.lit(rule.message)
         if "{" in rule.message:
             message = self._message(message, F.col(KEY), value)
-        fixed = {"rule_id": rule.rule_id, "rule_name": rule.name, "shape": rule.shape, "path": rule.path, "constraint": rule.constraint, "severity": rule.severity, "focus_label": label}
+        fixed = {"rule_id": rule.rule_id, "rule_name": rule.name, "shape": rule.shape, "path": rule.path, "constraint": rule.constraint, "severity": rule.severity}
+        label, key = node or (_nothing(), _nothing())
         return df.select(
-            *(F.lit(v).cast("string").alias(k) for k, v in fixed.items()), F.col(KEY).alias("focus_key"), F.col(ID).alias("focus_id"), value.cast("string").alias("value"), message.alias("message"), details.alias("details"),
-            F.col(PROPERTIES).alias("properties"),
+            *(F.lit(v).cast("string").alias(k) for k, v in fixed.items()), F.col(LABEL).alias("focus_label"), F.col(KEY).alias("focus_key"), F.col(ID).alias("focus_id"), F.col(START).alias("focus_start"), F.col(END).alias("focus_end"),
+            value.cast("string").alias("value"), label.alias("value_label"), key.alias("value_key"), message.alias("message"), details.alias("details"), F.col(PROPERTIES).alias("properties"),
         )
 
     @staticmethod
@@ -145,20 +176,25 @@ class Engine:
             for d in rule.details:
                 df, x = self.conditions.on_nodes(d.holds, t, df)
                 tests.append(x)
-            value = F.col(ID) if rule.source is not None else F.lit(None)
-            return self._rows(rule, t.label, df, value, self._failed(rule, tests))
+            failed = self._failed(rule, tests)
+            return self._rows(rule, df, F.lit(None), failed) if rule.source is None else self._rows(rule, df, F.col(ID), failed, (F.col(LABEL), F.col(KEY)))
         if rule.source.hops is None:
-            kinds = [(n, t.properties[n]) for n in rule.source.properties if n in t.properties]
-            if len(kinds) == 1 and kinds[0][1] != "ANY" and not kinds[0][1].startswith("LIST<"):
-                # a scalar column: a filter that reaches the scan instead of an exploded array
-                x, kind = column(kinds[0][0]), kinds[0][1]
-                rows = f.df.where(x.isNotNull() & ~value_condition(rule.holds, x, kind, known=True))
-                details = self._failed(rule, [value_condition(d.holds, x, kind) for d in rule.details])
-                return self._rows(rule, t.label, rows, shown(x, kind), details)
-            rows = f.df.select(ID, KEY, PROPERTIES, F.explode(self._failing_values(rule, t)).alias("x"))
-            return self._rows(rule, t.label, rows, F.col("x.value"), F.col("x.details"))
+            if one := self._scalar(rule, t):
+                return self._rows(rule, f.df.where(one[0]), one[1], one[2])
+            rows = f.df.select(*CARRIED, F.explode(self._failing_values(rule, t)).alias("x"))
+            return self._rows(rule, rows, F.col("x.value"), F.col("x.details"))
         return self._over_hops(rule, f)
 
+    def _scalar(self, rule: Rule, t: NodeTable) -> tuple[Column, Column, Column] | None:
+        """For values of one scalar column: a filter that reaches the scan instead of an exploded array, the value
+        and the details."""
+        kinds = [(n, t.properties[n]) for n in rule.source.properties if n in t.properties]
+        if len(kinds) != 1 or kinds[0][1] == "ANY" or kinds[0][1].startswith("LIST<"):
+            return None
+        x, kind = column(kinds[0][0]), kinds[0][1]
+        details = self._failed(rule, [value_condition(d.holds, x, kind) for d in rule.details])
+        return x.isNotNull() & ~value_condition(rule.holds, x, kind, known=True), shown(x, kind), details
+
     def _failing_values(self, rule: Rule, t: NodeTable) -> Column:
         """array<struct<value, details>> of a focus's distinct values that fail."""
         parts = []
@@ -182,7 +218,7 @@ class Engine:
                 for d in rule.details:
                     df, x = c.on_nodes(d.holds, end, df)
                     tests.append(x)
-                found.append(df.where(~ok).select(F.lit(end.label).alias("el"), F.col(ID).alias("eid"), F.col(ID).alias("value"), self._failed(rule, tests).alias("details")))
+                found.append(df.where(~ok).select(F.lit(end.label).alias("el"), F.col(ID).alias("eid"), F.col(ID).alias("value"), self._key(end).alias("vk"), self._failed(rule, tests).alias("details")))
             else:
                 rows = c.nodes(end).select(ID, F.explode(self._failing_values(rule, end)).alias("x"))
                 found.append(rows.select(F.lit(end.label).alias("el"), F.col(ID).alias("eid"), F.col("x.value").alias("value"), F.col("x.details").alias("details")))
@@ -190,10 +226,10 @@ class Engine:
             return self.empty()
         bad = union(found)
         pairs = c.paths.pairs(source.hops, t.label)
-        keep = ["sid", "el", "eid", "value", "details"] if source.nodes else ["sid", "value", "details"]
+        keep = ["sid", "el", "eid", "value", "vk", "details"] if source.nodes else ["sid", "value", "details"]
         pairs = pairs.join(bad, ["el", "eid"]).select(*keep).distinct()
-        df = f.df.select(ID, KEY, PROPERTIES).join(pairs, F.col(ID) == F.col("sid"))
-        return self._rows(rule, t.label, df, F.col("value"), F.col("details"))
+        df = f.df.select(*CARRIED).join(pairs, F.col(ID) == F.col("sid"))
+        return self._rows(rule, df, F.col("value"), F.col("details"), (F.col("el"), F.col("vk")) if source.nodes else None)
 
     # -- fused scans
     def fused(self, rules: list[Rule]) -> list[tuple[list[Rule], DataFrame]]:
@@ -218,30 +254,47 @@ class Engine:
         return out
 
     def _scan(self, rules: list[Rule], f: FocusTable) -> DataFrame:
-        t, parts = f.table, []
+        t, parts, filters = f.table, [], []
         for k, r in enumerate(rules):
             if r.source is None or r.source.is_self:
                 _, ok = self.conditions.on_nodes(r.holds, t, f.df)
                 tests = [self.conditions.on_nodes(d.holds, t, f.df)[1] for d in r.details]
-                row = F.struct(F.lit(k).alias("k"), (F.col(ID) if r.source is not None else F.lit(None).cast("string")).alias("value"), self._failed(r, tests).alias("details"))
-                parts.append(F.array_compact(F.array(F.when(~ok, row))))
+                row = F.struct(F.lit(k).alias("k"), (F.col(ID) if r.source is not None else _nothing()).alias("value"), self._failed(r, tests).alias("details"))
+                parts.append(F.array(F.when(~ok, row)))
+                filters.append(~ok)
+            elif one := self._scalar(r, t):
+                parts.append(F.array(F.when(one[0], F.struct(F.lit(k).alias("k"), one[1].alias("value"), one[2].alias("details")))))
+                filters.append(one[0])
             else:
                 parts.append(F.transform(self._failing_values(r, t), _numbered(k)))
-        rows = f.df.select(ID, KEY, PROPERTIES, F.explode(F.concat(*parts)).alias("x")).select(ID, KEY, PROPERTIES, "x.*")
-        fixed = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(COLUMNS[:6] + ["message"], (r.rule_id, r.name, r.shape, r.path, r.constraint, r.severity, r.message)))) for r in rules))
+        # if every rule has a plain condition, rows that break none of them are dropped at the scan
+        df = f.df.where(reduce(Column.__or__, filters)) if len(filters) == len(rules) else f.df
+        rows = df.select(*CARRIED, F.explode(F.array_compact(F.concat(*parts))).alias("x")).select(*CARRIED, "x.*")
+        fixed = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(COLUMNS[:6] + ["message"], (r.rule_id, r.name, r.shape, r.path, r.constraint, r.severity, r.message))), F.lit(r.source is not None and r.source.is_self).alias("self")) for r in rules))
         rows = rows.withColumn("r", fixed[F.col("k")])
         message = self._message(F.col("r.message"), F.col(KEY), F.col("value")) if any("{" in r.message for r in rules) else F.col("r.message")
-        return rows.select(*(F.col(f"r.{c}") for c in COLUMNS[:6]), F.lit(t.label).alias("focus_label"), F.col(KEY).alias("focus_key"), F.col(ID).alias("focus_id"), "value", message.alias("message"), "details", F.col(PROPERTIES).alias("properties"))
+        node = lambda c: F.when(F.col("r.self"), F.col(c))
+        return rows.select(
+            *(F.col(f"r.{c}") for c in COLUMNS[:6]), F.col(LABEL).alias("focus_label"), F.col(KEY).alias("focus_key"), F.col(ID).alias("focus_id"), F.col(START).alias("focus_start"), F.col(END).alias("focus_end"),
+            "value", node(LABEL).alias("value_label"), node(KEY).alias("value_key"), message.alias("message"), "details", F.col(PROPERTIES).alias("properties"),
+        )
 
     # -- results of many rules
     def all_violations(self, rules: list[Rule]) -> DataFrame:
         frames = [df for _, df in self.fused(rules)]
         return union(frames) if frames else self.empty()
 
-    def summary(self, rules: list[Rule]) -> DataFrame:
-        """One row for each compiled rule, silent ones included: rule_id, severity, violation_count."""
+    def summary(self, rules: list[Rule], sample_size: int = 5) -> DataFrame:
+        """One row for each compiled rule, silent ones included: rule_id, severity, violation_count, sample (the
+        focuses of its first violations by label, key and id)."""
         rows = self.all_violations(rules)
         counts = rows.groupBy("rule_id").agg(F.count(F.lit(1)).alias("violation_count"))
+        focus = F.struct("nth", F.col("focus_label").alias("label"), F.col("focus_key").alias("key"), F.col("focus_id").alias("id"))
+        listed = first_of_each(rows, sample_size).groupBy("rule_id").agg(F.sort_array(F.collect_list(focus)).alias("listed"))
+        counts = counts.join(listed, "rule_id", "left")
         every = self.graph.spark.createDataFrame([(r.rule_id, r.severity) for r in rules if r.status == "compiled"], "rule_id string, severity string")
-        return every.join(counts, "rule_id", "left").select("rule_id", "severity", F.coalesce("violation_count", F.lit(0)).cast("long").alias("violation_count"))
+        return every.join(counts, "rule_id", "left").select(
+            "rule_id", "severity", F.coalesce("violation_count", F.lit(0)).cast("long").alias("violation_count"),
+            F.transform(F.coalesce("listed", F.array()), lambda x: F.struct(x["label"].alias("label"), x["key"].alias("key"), x["id"].alias("id"))).alias("sample"),
+        )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from ..errors import CompileError
 from ..functions.datatypes import Constant, DatatypeCheck
 
 
@@ -247,6 +248,36 @@ def sources_of(e: Expr) -> list[Source]:
     return []
 
 
+def scope_faults(e: Expr, nodes: bool) -> list[str]:
+    """What a condition asks of its variable that the variable can't have: properties, hops and labels belong
+    to nodes only. ``nodes``: whether the variable stands for a node."""
+    if isinstance(e, Bool):
+        return []
+    if isinstance(e, Not):
+        return scope_faults(e.part, nodes)
+    if isinstance(e, And | Or | Xone):
+        return [x for p in e.parts for x in scope_faults(p, nodes)]
+    if isinstance(e, Test):
+        wrong = e.kind in ("label", "key") and not nodes
+        return [f"a {e.kind} test of a literal"] if wrong else []
+    if isinstance(e, Closed):
+        return [] if nodes else ["a closed test of a literal"]
+    sources = [e.left, e.right] if isinstance(e, Pair) else [e.source]
+    out = [f"values of a literal ({s.hops or s.properties})" for s in sources if not s.is_self and not nodes]
+    if isinstance(e, Pair):
+        return out
+    inner = e.test if isinstance(e, All) else e.filter
+    return out + scope_faults(inner, nodes if e.source.is_self else e.source.nodes)
+
+
+def check_scope(rule: Rule) -> None:
+    """Every variable of a rule must be bound to something that can answer its tests."""
+    start = rule.source is None or rule.source.is_self or rule.source.nodes
+    for e in (rule.holds, *(d.holds for d in rule.details)):
+        if faults := scope_faults(e, start):
+            raise CompileError(f"{rule.file}:{rule.line}: {rule.rule_id or rule.constraint}: {faults[0]}")
+
+
 def pairs_of(e: Expr) -> list[Pair]:
     if isinstance(e, Pair):
         return [e]

@@ -13,7 +13,7 @@ from ..errors import CompileError, ManifestError
 from ..sources.schema import Snapshot
 from ..sources.shapes import Document, ShapesGraph, load
 from .ast import ANNOTATIONS, Shapes
-from .ir import Repeat, Rule, Step, pairs_of, sources_of
+from .ir import Repeat, Rule, Step, check_scope, pairs_of, sources_of
 from .lower import Lowering, Options
 
 VERSION = "0.1.0"
@@ -148,6 +148,9 @@ def compile_shapes(
     shapes = Shapes(graph, options.annotations or ANNOTATIONS, extra)
     lowered = Lowering(shapes, schema, options).run()
     _assign_names(lowered.rules)
+    for r in lowered.rules:
+        if r.status == "compiled":
+            check_scope(r)
     rules = sorted(lowered.rules, key=lambda r: r.rule_id)
     kept = {"documents": [{"name": s.name, "text": s.text, "syntax": s.syntax} if isinstance(s, Document) else {"path": str(s)} for s in sources], "ontology": [{"name": s.name, "text": s.text, "syntax": s.syntax} if isinstance(s, Document) else {"path": str(s)} for s in ontology or []]}
     return Compilation(rules, lowered.diagnostics, inputs, options, schema.digest() if schema else None, kept)

@@ -1,95 +1,136 @@
-"""Reports as text: table, JSON, JUnit XML and SARIF 2.1.0."""
+"""Reports as text: a table, JSON, JUnit XML and SARIF 2.1.0 (their keys and element names are the formats')."""
 
 from __future__ import annotations
 
 import json
-from xml.sax.saxutils import quoteattr
+import xml.etree.ElementTree as ET
+from collections import defaultdict
+from itertools import groupby
 
 from .plans.manifest import VERSION
-from .runner import TOOL, Report, RuleResult
+from .runner import TOOL, Report, RuleResult, focus_name
 
-LISTED = 10
+SHOWN = 10
+#: Statuses in the order of the table's sections, with their headings.
+SECTIONS = {"failed": "violated", "error": "could not run", "timeout": "ran out of time", "skipped": "not run", "guaranteed-by-schema": "settled by the schema", "passed": "kept"}
+_SARIF_LEVELS = defaultdict(lambda: "error", Warning="warning", Info="note")
 
 
-def _line(v: dict) -> str:
-    text = f"{v['focus']['label']} {v['focus']['keyValue']}: {v['message']}"
-    return text if v["value"] is None else f"{text} (value: {v['value']})"
+def describe(violation: dict) -> str:
+    """One violation as a line of text."""
+    label, key = focus_name(violation["focus"])
+    value = violation["value"]
+    if isinstance(value, dict):
+        value = f"{value['label']} {value['keyValue']}"
+    return f"{label} {key} - {violation['message']}" + ("" if value is None else f" [{value}]")
+
+
+def excerpt(r: RuleResult) -> list[str]:
+    """The first violations of a rule, then how many are left out and what the runner says."""
+    lines = [describe(v) for v in r.violations[:SHOWN]]
+    left = (r.violation_count or 0) - len(lines)
+    if lines and left > 0:
+        lines.append(f"and {left} others")
+    return lines + ([r.status_reason] if r.status_reason else [])
 
 
 def table(report: Report) -> str:
-    out = [f"{'STATUS':<10}  {'SEVERITY':<9}  {'VIOLATIONS':>10}  {'TIME(ms)':>8}  RULE"]
+    """A heading with the totals, then a section for each status that occurs; rules by name."""
+    totals = report.summary()
+    seconds = report.duration_ms / 1000
+    lines = [f"{TOOL}: {totals['rules']} rules, {totals['violations']} violations, {seconds:.1f} s, {'complete' if report.complete else 'incomplete'}"]
+    by_status = defaultdict(list)
     for r in report.rules:
-        n = "-" if r.violation_count is None else str(r.violation_count)
-        out.append(f"{r.status.replace('-by-schema', ''):<10}  {r.severity:<9}  {n:>10}  {r.duration_ms:>8}  {r.name}")
-        shown = r.violations[:LISTED]
-        out += [f"            - {_line(v)}" for v in shown]
-        if shown and r.violation_count and r.violation_count > len(shown):
-            out.append(f"            … {r.violation_count - len(shown)} more")
-        if r.status_reason:
-            out.append(f"            ({r.status_reason})")
-    s = report.summary()
-    out.append(
-        f"\n{s['rules']} rules: {s['passed']} passed, {s['failed']} failed, {s['timeouts']} timed out, {s['errors']} errors, {s['skipped']} skipped, "
-        f"{s['guaranteedBySchema']} guaranteed by schema; {s['violations']} violations in {s['durationMs']} ms\n"
-    )
-    return "\n".join(out)
-
-
-def _text(s: str) -> str:
-    """Attribute or element text without control characters."""
-    return "".join(c for c in str(s) if c in "\n\r\t" or ord(c) >= 32)
+        by_status[r.status].append(r)
+    for status, heading in SECTIONS.items():
+        found = sorted(by_status[status], key=lambda r: r.name)
+        if not found:
+            continue
+        lines += ["", f"== {heading}: {len(found)}"]
+        for r in found:
+            amount = f", {r.violation_count} x" if r.violation_count else ""
+            lines.append(f"{r.name} <{r.severity}{amount}> {r.file}:{r.line}, {r.duration_ms} ms")
+            lines += [f"    {x}" for x in excerpt(r)]
+    return "\n".join(lines) + "\n"
+
+
+def _printable(text: object) -> str:
+    """Text without the characters that XML 1.0 forbids."""
+    allowed = lambda c: c in "\t\n\r" or " " <= c <= "퟿" or "" <= c <= "�" or c >= "\U00010000"
+    return "".join(filter(allowed, str(text)))
+
+
+def _element(parent: ET.Element, tag: str, text: str | None = None, **attributes: object) -> ET.Element:
+    out = ET.SubElement(parent, tag, {k: _printable(v) for k, v in attributes.items()})
+    out.text = None if text is None else _printable(text)
+    return out
 
 
 def junit(report: Report) -> str:
-    s = report.summary()
-    seconds = lambda ms: f"{ms / 1000:.3f}"
-    q = lambda x: quoteattr(_text(x))
-    totals = f'tests="{s["rules"]}" failures="{s["failed"]}" errors="{s["timeouts"] + s["errors"]}" skipped="{s["skipped"]}" time="{seconds(s["durationMs"])}"'
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', f'<testsuites name="{TOOL}" {totals}>', f'  <testsuite name="{TOOL} (spark)" {totals}>']
-    for r in report.rules:
-        out.append(f'    <testcase name={q(r.name)} classname={q(r.shape)} time="{seconds(r.duration_ms)}" file={q(r.file)} line="{r.line}">')
-        if r.status == "failed":
-            body = [_line(v) for v in r.violations[:LISTED]] + ([r.status_reason] if r.status_reason else [])
-            escaped = quoteattr(_text("\n".join(body)), {"'": "&apos;"})[1:-1].replace("&#10;", "\n").replace("&#13;", "\r").replace("&#9;", "\t")
-            out.append(f"      <failure type={q(r.severity)} message={q(f'{r.violation_count} violations of {r.constraint}')}>{escaped}</failure>")
-        elif r.status == "timeout":
-            out.append('      <error type="timeout" message="timed out"/>')
-        elif r.status == "error":
-            out.append(f'      <error type="error" message={q(r.status_reason or "failed to run")}/>')
-        elif r.status == "skipped":
-            out.append(f"      <skipped message={q(r.status_reason or 'skipped')}/>")
-        out.append("    </testcase>")
-    return "\n".join([*out, "  </testsuite>", "</testsuites>", ""])
+    """A suite for each shape, a test case for each of its rules."""
+    root = ET.Element("testsuites", name=TOOL)
+    ordered = sorted(report.rules, key=lambda r: (r.shape, r.rule_id))
+    for shape, rules in groupby(ordered, key=lambda r: r.shape):
+        rules = list(rules)
+        number = lambda *statuses: sum(r.status in statuses for r in rules)  # noqa: E731, B023
+        suite = _element(
+            root, "testsuite", name=shape, tests=len(rules), failures=number("failed"), errors=number("error", "timeout"), skipped=number("skipped"), time=sum(r.duration_ms for r in rules) / 1000
+        )
+        for r in rules:
+            case = _element(suite, "testcase", classname=shape, name=r.name, file=r.file, line=r.line, time=r.duration_ms / 1000)
+            if r.status == "failed":
+                _element(case, "failure", "\n".join(excerpt(r)), type=r.severity, message=f"{r.constraint}: {r.violation_count}")
+            elif r.status in ("error", "timeout"):
+                _element(case, "error", r.status_reason, type=r.status, message=r.status_reason or SECTIONS[r.status])
+            elif r.status == "skipped":
+                _element(case, "skipped", message=r.status_reason or SECTIONS["skipped"])
+    ET.indent(root)
+    return ET.tostring(root, encoding="unicode", xml_declaration=True) + "\n"
+
+
+class _Sarif:
+    def __init__(self, report: Report):
+        self.report = report
+        self.index = {r.rule_id: k for k, r in enumerate(report.rules)}
+
+    def descriptor(self, r: RuleResult) -> dict:
+        about = {"shape": r.shape, "constraint": r.constraint} | ({"path": r.path} if r.path else {})
+        return {"id": r.rule_id, "name": r.name, "shortDescription": {"text": r.message}, "defaultConfiguration": {"level": _SARIF_LEVELS[r.severity]}, "properties": about}
+
+    def result(self, r: RuleResult, violation: dict | None) -> dict:
+        region = {"physicalLocation": {"artifactLocation": {"uri": r.file.replace("\\", "/")}, "region": {"startLine": r.line}}}
+        out = {"ruleId": r.rule_id, "ruleIndex": self.index[r.rule_id], "kind": "fail", "level": _SARIF_LEVELS[r.severity], "locations": [region], "occurrenceCount": 1}
+        if violation is None:  # the runner lists none
+            return out | {"message": {"text": f"{r.name}: {r.violation_count} violations"}, "occurrenceCount": max(1, r.violation_count or 1)}
+        label, key = focus_name(violation["focus"])
+        region["logicalLocations"] = [{"name": key, "kind": "element", "fullyQualifiedName": f"{label}/{key}"}]
+        extra = {k: violation[k] for k in ("focus", "value", "details") if violation[k]}
+        return out | {"message": {"text": violation["message"]}, "properties": extra}
+
+    def notification(self, r: RuleResult) -> dict:
+        return {"level": "error", "message": {"text": r.status_reason or SECTIONS[r.status]}, "associatedRule": {"id": r.rule_id, "index": self.index[r.rule_id]}}
+
+    def log(self) -> dict:
+        rules = self.report.rules
+        broken = [self.notification(r) for r in rules if r.status in ("error", "timeout")]
+        found = [self.result(r, v) for r in rules if r.status == "failed" for v in r.violations or [None]]
+        driver = {"name": TOOL, "semanticVersion": VERSION, "rules": [self.descriptor(r) for r in rules]}
+        run = {"tool": {"driver": driver}, "results": found, "invocations": [{"executionSuccessful": not broken, "toolExecutionNotifications": broken}]}
+        return {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}
 
 
 def sarif(report: Report) -> dict:
-    level = lambda r: {"Warning": "warning", "Info": "note"}.get(r.severity, "error")
-
-    def result(k: int, r: RuleResult, text: str, properties: dict) -> dict:
-        place = {"physicalLocation": {"artifactLocation": {"uri": r.file.replace("\\", "/")}, "region": {"startLine": r.line}}}
-        return {"ruleId": r.name, "ruleIndex": k, "level": level(r), "message": {"text": text}, "locations": [place], "properties": {**properties, "violationCount": r.violation_count}}
-
-    results, notes = [], []
-    for k, r in enumerate(report.rules):
-        if r.status == "failed":
-            results += [result(k, r, v["message"], {"focus": v["focus"], "value": v["value"], "details": v["details"]}) for v in r.violations] or [result(k, r, f"{r.violation_count} violations of {r.name}", {})]
-        elif r.status in ("timeout", "error"):
-            notes.append({"level": "error", "message": {"text": f"{r.name}: {r.status_reason or 'timed out'}"}, "associatedRule": {"id": r.name, "index": k}})
-    rules = [
-        {"id": r.name, "shortDescription": {"text": r.message}, "defaultConfiguration": {"level": level(r)}, "properties": {"ruleId": r.rule_id, "shape": r.shape, "path": r.path, "constraint": r.constraint}}
-        for r in report.rules
-    ]
-    run = {"tool": {"driver": {"name": TOOL, "version": VERSION, "rules": rules}}, "invocations": [{"executionSuccessful": report.complete, "toolExecutionNotifications": notes}], "results": results}
-    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}
+    return _Sarif(report).log()
+
+
+def _json(data: dict) -> str:
+    return json.dumps(data, indent=2, ensure_ascii=False) + "\n"
+
+
+FORMATS = {"table": table, "json": lambda r: _json(r.to_dict()), "junit": junit, "sarif": lambda r: _json(sarif(r))}
 
 
 def render(report: Report, form: str = "table") -> str:
-    if form == "table":
-        return table(report)
-    if form == "json":
-        return json.dumps(report.to_dict(), indent=2, ensure_ascii=False) + "\n"
-    if form == "junit":
-        return junit(report)
-    if form == "sarif":
-        return json.dumps(sarif(report), indent=2, ensure_ascii=False) + "\n"
-    raise ValueError(f"unknown report format {form!r}")
+    if form not in FORMATS:
+        raise ValueError(f"unknown report format {form!r}")
+    return FORMATS[form](report)

@@ -11,8 +11,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators.paths import union
-from .operators.rules import Engine
+from .operators.rules import Engine, first_of_each
 from .plans.ir import Rule
 from .plans.manifest import VERSION, Compilation
 from .sources.graph import PropertyGraph
@@ -114,18 +113,34 @@ def _skipped(r: Rule) -> tuple[str, str | None]:
 def _row(row, rule: Rule, node_key: str | None) -> dict:
     d = row.asDict()
     if any(f.kind == "relationships" for f in rule.focus):
-        focus = {"type": d["focus_label"], "label": d["focus_label"], "keyValue": d["focus_key"], "elementId": d["focus_id"]}
+        focus = {"type": d["focus_label"], "startKey": d["focus_start"], "endKey": d["focus_end"], "elementId": d["focus_id"]}
     else:
         focus = {"label": d["focus_label"], "key": rule.key or node_key, "keyValue": d["focus_key"], "elementId": d["focus_id"]}
+    value = d["value"] if d["value_label"] is None else {"label": d["value_label"], "keyValue": d["value_key"], "elementId": d["value"]}
     out = {
         "ruleId": d["rule_id"], "shape": d["shape"], "path": d["path"], "constraint": d["constraint"], "severity": d["severity"], "focus": focus,
-        "value": d["value"], "message": d["message"], "details": d["details"],
+        "value": value, "message": d["message"], "details": d["details"],
     }
     return out if d["properties"] is None else out | {"properties": json.loads(d["properties"])}
 
 
+def focus_name(focus: dict) -> tuple[str, str]:
+    """Label and key of a node, type and endpoints of a relationship."""
+    return (focus["type"], f"{focus['startKey']}->{focus['endKey']}") if "type" in focus else (str(focus["label"]), str(focus["keyValue"]))
+
+
+def _cause(error: Exception) -> str:
+    """The first line of what went wrong at the bottom of an error."""
+    java = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    while java is not None and java.getCause() is not None:
+        java = java.getCause()
+    text = (java.getMessage() if java is not None else None) or str(error)
+    return next((x for x in text.splitlines() if x.strip()), type(error).__name__)
+
+
 def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 100, sample_size: int = 5, timeout: float | None = None) -> Report:
-    """Run every rule. ``limit``: violations listed for each rule (None or 0: all); ``timeout``: seconds
+    """Run every rule. ``limit``: violations listed for each rule (None or 0: all, for graphs whose
+    violations fit in the driver; ``Engine.all_violations`` has them as a table); ``timeout``: seconds
     for each group of rules that share a scan."""
     began = time.monotonic()
     engine, spark = Engine(graph, compiled.options.node_key, compiled.options.verbose), graph.spark
@@ -143,7 +158,7 @@ def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 10
             except Exception as error:
                 for r in group:
                     results[r.rule_id].status = "timeout" if bound.hit else "error"
-                    results[r.rule_id].status_reason = None if bound.hit else str(error).splitlines()[0]
+                    results[r.rule_id].status_reason = None if bound.hit else _cause(error)
                 counts = None
             if counts is not None:
                 for r in group:
@@ -152,16 +167,15 @@ def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 10
                         results[r.rule_id].status = "failed"
                 if counts:
                     try:
-                        parts = [frame.where(F.col("rule_id") == i) for i in sorted(counts)]
-                        for row in union([p.limit(limit) if limit else p for p in parts]).collect():
+                        for row in (first_of_each(frame, limit) if limit else frame).collect():
                             results[row["rule_id"]].violations.append(_row(row, rules[row["rule_id"]], compiled.options.node_key))
                     except Exception as error:
                         for i in counts:
-                            results[i].status_reason = "timed out; violations are not listed" if bound.hit else f"violations are not listed: {str(error).splitlines()[0]}"
+                            results[i].status_reason = "timed out; violations are not listed" if bound.hit else f"violations are not listed: {_cause(error)}"
         for r in group:
             x = results[r.rule_id]
             x.duration_ms = int((time.monotonic() - start) * 1000)
-            x.violations.sort(key=lambda v: (str(v["focus"]["label"]), str(v["focus"]["keyValue"]), str(v["value"])))
+            x.violations.sort(key=lambda v: focus_name(v["focus"]) + (str(v["value"]),))
             x.sample = [v["focus"] for v in x.violations[:sample_size]]
     return Report([results[r.rule_id] for r in compiled.rules], int((time.monotonic() - began) * 1000))
 

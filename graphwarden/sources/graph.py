@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from ..errors import SourceError
 from ..functions.datatypes import type_of
@@ -39,7 +40,8 @@ class NodeTable:
 
 @dataclass
 class RelTable:
-    """Relationships of one type between two labels; src and dst hold the endpoints' keys."""
+    """Relationships of one type between two labels; src and dst hold the endpoints' keys. ``key``: a column
+    that identifies a relationship, where there is one."""
 
     type: str
     start: str
@@ -47,9 +49,10 @@ class RelTable:
     df: DataFrame
     src: str = "src"
     dst: str = "dst"
+    key: str | None = None
 
     def __post_init__(self) -> None:
-        for c in (self.src, self.dst):
+        for c in (self.src, self.dst, *([self.key] if self.key else [])):
             if c not in self.df.columns:
                 raise SourceError(f"relationship table {self.type} has no column {c}")
 
@@ -88,6 +91,10 @@ class PropertyGraph:
             t.properties |= r.properties
         return out
 
+    def observed(self) -> dict[str, list[str]]:
+        """For each property without a declared type (``Label.name``), the types that occur in it."""
+        return {f"{n.label}.{p}": self.observed_types(n.label, p) for n in self.nodes for p, kind in sorted(n.properties.items()) if kind == "ANY" and isinstance(n.df.schema[p].dataType, VariantType)}
+
     def observed_types(self, label: str, name: str) -> list[str]:
         """Types that occur in a VARIANT column (one aggregate over it)."""
         table = self.table(label)
@@ -101,7 +108,7 @@ def load_graph(spark: SparkSession, source: str | dict, base_dir: str | None = N
     """A graph from a configuration (JSON file or dict):
 
     {"nodes": [{"label", "table" | "path" (+"format", "options") | "sql", "key", "labels"}],
-     "rels":  [{"type", "from", "to", the same source fields, "src", "dst"}]}
+     "rels":  [{"type", "from", "to", the same source fields, "src", "dst", "key"}]}
 
     ``table`` names a catalog table, ``path`` a file for spark.read, ``sql`` any query."""
     if isinstance(source, str):
@@ -128,7 +135,7 @@ def load_graph(spark: SparkSession, source: str | dict, base_dir: str | None = N
     try:
         return PropertyGraph(
             [NodeTable(n["label"], frame(n), n.get("key", "id"), n.get("labels")) for n in source.get("nodes", [])],
-            [RelTable(r["type"], r["from"], r["to"], frame(r), r.get("src", "src"), r.get("dst", "dst")) for r in source.get("rels", [])],
+            [RelTable(r["type"], r["from"], r["to"], frame(r), r.get("src", "src"), r.get("dst", "dst"), r.get("key")) for r in source.get("rels", [])],
         )
     except KeyError as error:
         raise SourceError(f"graph configuration lacks {error}") from error

@@ -18,8 +18,7 @@ def batch_violations(graph: PropertyGraph, label: str, batch: DataFrame, compile
     """Violations of the rules that focus on the label, for the nodes of a batch."""
     nodes = [replace(n, df=batch) if n.label == label else n for n in graph.nodes]
     rules = [r for r in compiled.rules if r.status == "compiled" and any(label in f.labels for f in r.focus)]
-    out = Engine(PropertyGraph(nodes, graph.rels), compiled.options.node_key).all_violations(rules)
-    return out.where(out.focus_label == label)
+    return Engine(PropertyGraph(nodes, graph.rels), compiled.options.node_key, only=label).all_violations(rules)
 
 
 def validate_stream(stream: DataFrame, graph: PropertyGraph, label: str, compiled: Compilation, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
