@@ -91,7 +91,7 @@ _:p <http://www.w3.org/ns/shacl#minInclusive> "10"^^<http://www.w3.org/2001/XMLS
 """
 
 
-@query(_found("<http://example.org/S>/<http://example.org/p_size>/<http://www.w3.org/ns/shacl#minInclusive>", "Part", "p_partkey", "FROM part WHERE p_size < 10"))
+@query(_found("<http://example.org/S>/<http://example.org/p_size>/sh:minInclusive", "Part", "p_partkey", "FROM part WHERE p_size < 10"))
 def source_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _violations(spark, sf_dir, [_document(_NT, "shapes.nt", "nt")])
 
