@@ -6,9 +6,10 @@ consecutive words of an item, or the whole of a shorter item) ends wherever that
 window's. Words that can't be part of a window are skipped beforehand: a window's neighbouring words
 are neighbours in some item too, so only runs of known neighbours are streamed.
 
-Benchmarks are cut into shards of at most ``SHARD_WORDS`` words of whole items, and only one shard's
-automaton is broadcast for each pass over the documents; passes are narrow and chained, so no text is
-shuffled and a benchmark of any size works.
+Benchmarks are dealt into shards of about ``SHARD_BYTES`` of whole items, whose automata are built by the
+executors and written; each is read and broadcast for a pass of its own over the documents, so the driver
+and a Python worker hold one at a time. Passes are narrow and chained: no text is shuffled, and the work
+grows with documents times shards. An item longer than a shard is a shard of its own size.
 
 A null or empty text has no words. An item without words has no window; items that share an id count
 once, an item without an id is named "null". Repeated documents, null ids and extra columns don't
@@ -17,18 +18,22 @@ matter: rows are independent. A column named like a result is replaced by it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import U64, Words, in_arrow, mix, row_blocks, text_bytes
+from .blocks import U64, Words, in_arrow, mix, quoted, row_blocks, text_bytes
+from .storage import materialize
 
 WINDOW = 10
-SHARD_WORDS = 250_000
+SHARD_BYTES = 1 << 20
 _BITS = 20
 
 
@@ -194,36 +199,43 @@ def _runs(member: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts, stops
 
 
-def shards(bench: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> list[Index]:
-    """Automata of whole items with at most ``shard_words`` words each (or one longer item). Only one
-    shard's texts are in the driver's memory at a time."""
-    rows = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").toLocalIterator()
-    out, held, words = [], [], 0
-    for name, text in rows:
-        n = len((text or "").split())
-        if held and words + n > shard_words:
-            out.append(Index(held, window))
-            held, words = [], 0
-        held.append((name, text))
-        words += n
-    return [*out, Index(held, window)] if held else out
+def shards(bench: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> Iterator[Broadcast]:
+    """The shards' automata (pickled), one after the other; one of no items if there is none."""
+    context = bench.sparkSession.sparkContext
+    items = bench.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // shard_bytes))
+
+    def build(t: pa.Table) -> pa.Table:
+        found = sorted(zip(t.column("name").to_pylist(), t.column("text").to_pylist()))
+        return pa.table({"shard": t.column("shard").slice(0, 1), "automaton": pa.array([pickle.dumps(Index(found, window))], pa.binary())})
+
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(n)))
+    built = materialize(dealt.groupBy("shard").applyInArrow(build, "shard long, automaton binary"), "automata")
+    numbers = [r["shard"] for r in built.select("shard").orderBy("shard").collect()]
+    for k in numbers:
+        yield context.broadcast(bytes(built.where(F.col("shard") == k).first()["automaton"]))
+    if not numbers:
+        yield context.broadcast(pickle.dumps(Index([], window)))
 
 
 _HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit (words in a window), items (ids of items with windows in the text,
     unordered) and hits (byte ranges of the maximal runs of hit words)."""
-    spark = docs.sparkSession
+    return _contamination(docs, shards(bench, window, shard_bytes))
+
+
+def _contamination(docs: DataFrame, parts: Iterable[Broadcast]) -> DataFrame:
     own = ("n_words", "n_hit", "items", "hits")
     out = docs.drop(*own).select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast(_HITS).alias("hits"))
     keep = [c for c in out.columns if c not in own]
-    for index in [*shards(bench, window, shard_words)] or [Index([], window)]:
-        shared = spark.sparkContext.broadcast(index)
+    for shared in parts:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = pickle.loads(shared.value)
             for batch in batches:
                 for block in row_blocks(batch, "text"):
                     yield _scan(block, keep, index)
@@ -254,23 +266,25 @@ def _scan(block: pa.RecordBatch, keep: list[str], index: Index) -> pa.RecordBatc
     )
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` without the runs of hit words, however long; documents with more than ``max_coverage``
     of their words hit are removed. Cutting a run out can bring the halves of another window together,
     so changed texts are scanned again until nothing is hit. Other columns stay; ``n_chars`` follows."""
-    spark, columns = docs.sparkSession, docs.columns
-    parts = [spark.sparkContext.broadcast(x) for x in shards(bench, window, shard_words)]
+    columns = docs.columns
+    parts = [*shards(bench, window, shard_bytes)]
+    if len(parts) > 1:
+        return _in_rounds(docs, parts, max_coverage)
+    shared = parts[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pickle.loads(shared.value)
         for batch in batches:
             for block in row_blocks(batch, "text"):
-                yield clean(block)
+                yield clean(block, index)
 
-    def clean(block: pa.RecordBatch) -> pa.RecordBatch:
+    def clean(block: pa.RecordBatch, index: Index) -> pa.RecordBatch:
         w = Words(*text_bytes(block.column("text")))
-        hit = np.zeros(len(w.hash), dtype=bool)
-        for part in parts:
-            hit |= part.value.hits(w)[0]
+        hit = index.hits(w)[0]
         if not hit.any():
             return block
         texts = block.column("text").to_pylist()
@@ -284,12 +298,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_c
             raw = texts[row].encode()
             spans = _spans(w, hit, a, b, w.offs[row])
             while spans:
-                raw = b"".join(raw[x:y] for x, y in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(raw)]))
+                raw = _without(raw, spans)
                 again = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                more = np.zeros(len(again.hash), dtype=bool)
-                for part in parts:
-                    more |= part.value.hits(again)[0]
-                spans = _spans(again, more, 0, len(more), 0)
+                spans = _spans(again, index.hits(again)[0], 0, len(again.hash), 0)
             texts[row] = raw.decode()
         arrays = {c: block.column(c) for c in columns}
         arrays["text"] = pa.array(texts, pa.string())
@@ -301,6 +312,40 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_c
     return in_arrow(docs, run, docs.schema)
 
 
+def _in_rounds(docs: DataFrame, parts: list[Broadcast], max_coverage: float) -> DataFrame:
+    """The same over several shards: all shards mark the texts before any is cut, and only cut texts go into the
+    next round."""
+    columns = docs.columns
+    # whatever their names are, the columns travel as one
+    rows = docs.select(F.struct(*quoted(columns)).alias("row"), "text")
+    marked = materialize(_contamination(rows, parts), "marked")
+    out = [marked.where("n_hit = 0").select("row", "text", F.lit(False).alias("cut"))]
+    todo = marked.where((F.col("n_hit") > 0) & (F.col("n_hit") <= max_coverage * F.col("n_words")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in row_blocks(batch, "text"):
+                hits = block.column("hits").to_pylist()
+                texts = [_without(t.encode(), [(h["start"], h["end"]) for h in spans]).decode() for t, spans in zip(block.column("text").to_pylist(), hits)]
+                yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    while not todo.isEmpty():
+        cut = in_arrow(todo.select("row", "text", "hits"), run, T.StructType([marked.schema["row"], marked.schema["text"]]))
+        again = materialize(_contamination(cut, parts), "marked")
+        out.append(again.where("n_hit = 0").select("row", "text", F.lit(True).alias("cut")))
+        todo = again.where("n_hit > 0")
+    every = reduce(DataFrame.unionAll, out)
+    value = {c: F.col("row").getField(c) for c in columns}
+    value["text"] = F.col("text")
+    if "n_chars" in value:
+        value["n_chars"] = F.when(F.col("cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(value["n_chars"])
+    return every.select(*(x.alias(c) for c, x in value.items()))
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    return b"".join(raw[x:y] for x, y in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(raw)]))
+
+
 def _spans(w: Words, hit: np.ndarray, a: int, b: int, base: int) -> list[tuple[int, int]]:
     starts, stops = _runs(hit[a:b], np.array([0, b - a]))
     return [(int(w.starts[a + x] - base), int(w.ends[a + y - 1] - base)) for x, y in zip(starts, stops)]

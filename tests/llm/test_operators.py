@@ -95,12 +95,14 @@ def test_decontamination_query_shards_and_removal(spark, sf, texts):
     for (i, _), (n, hit, names) in zip(texts, want):
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated) == (n, hit, len(names), hit > 0)
         assert got[i].items_sha256 == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-    sharded = decontam.contamination(docs.select("doc_id", "text"), bench, shard_words=200)
+    sharded = decontam.contamination(docs.select("doc_id", "text"), bench, shard_bytes=1000)
     assert {(r.doc_id, r.n_hit, tuple(sorted(r["items"]))) for r in sharded.collect()} == {(i, h, tuple(sorted(n))) for (i, _), (_, h, n) in zip(texts, want)}
     clean = decontam.decontaminate(docs, bench).collect()
     assert not any(h for _, h, _ in contaminated([r.text for r in clean], items))
     assert {i for (i, _), (n, h, _) in zip(texts, want) if h <= n / 2} == {r.doc_id for r in clean}
     assert all(r.n_chars == len(r.text) for r in clean)
+    rounds = decontam.decontaminate(docs, bench, shard_bytes=6000)  # several shards: marked by all, then cut
+    assert sorted(map(str, rounds.collect())) == sorted(map(str, clean))
 
 
 # -- 3
