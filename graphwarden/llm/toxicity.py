@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes
 log-count ratios.
 
-Characters are UTF-8 bytes, A-Z folded, any white space one blank. A feature is an n-gram of 4 to 6
-bytes, hashed into a table; its value is the log-count ratio r of its presence in toxic against clean
+Characters are Unicode's, A-Z folded, any ASCII white space one blank. A feature is an n-gram of 4 to 6
+characters, hashed into a table; its value is the log-count ratio r of its presence in toxic against clean
 texts, as in naive Bayes, and a logistic regression learns one weight for each. Features whose
 ratio is not significantly different from 0 are left out. A text's score is the logistic function of the intercept plus
 the sum of weight times r over the distinct features that occur in it.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import FOLD, in_arrow, release, row_blocks, text_bytes
+from .blocks import in_arrow, release, row_blocks, text_bytes
 from .sampling import remainder, sigmoid, training_rows
 
 BITS = 22
@@ -33,18 +33,29 @@ FOLDS, HELD_OUT = 4, 2
 #: Least ratio in units of its standard error.
 MIN_Z = 3.0
 
-_BYTE = FOLD.copy()
-_BYTE[[9, 10, 11, 12, 13]] = 32
+_FOLDED = np.arange(0x110000, dtype=np.uint32)
+_FOLDED[65:91] += 32
+_FOLDED[[9, 10, 11, 12, 13]] = 32
 
 
-def grams(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def characters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points of a block of UTF-8 and their offsets by row; what isn't UTF-8 is U+FFFD."""
+    raw = data.tobytes()
+    try:
+        codes = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        return _FOLDED[codes], np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
+    except UnicodeDecodeError:
+        rows = [np.frombuffer(raw[a:b].decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(offs[:-1], offs[1:])]
+        return _FOLDED[np.concatenate(rows)], np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+
+def grams(codes: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Buckets of all n-grams of one size after the other, and whether each lies within one text."""
-    b = _BYTE[data].astype(np.uint32)
-    left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(data))
-    h = np.zeros(len(data), dtype=np.uint32)
+    left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(codes))
+    h = np.zeros(len(codes), dtype=np.uint32)
     for n in range(1, max(SIZES) + 1):
-        if n <= len(data):
-            h = h[: len(data) - n + 1] * np.uint32(0x01000193) + b[n - 1 :]
+        if n <= len(codes):
+            h = h[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :]
         else:
             h = h[:0]
         if n in SIZES:
@@ -60,6 +71,7 @@ class Model:
 
 def present(data: np.ndarray, offs: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, bucket) pairs of a block's n-grams for which ``among`` is true."""
+    data, offs = characters(data, offs)
     keys = [np.zeros(0, np.int64)]
     for h, inside in grams(data, offs):
         at = np.flatnonzero(among[h] & inside)
