@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)

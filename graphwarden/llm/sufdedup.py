@@ -26,7 +26,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from hashlib import blake2b
@@ -63,8 +63,8 @@ class Rule:
 #: Repeats of 400 bytes, and passages of over 50 words.
 BYTES, PASSAGES = Rule(400, 64), Rule(51, 8, True)
 HOT = 256
-BLOCK = 1 << 20
-REFINE_BYTES = 1 << 20
+BLOCK = 1 << 19
+REFINE_BYTES = 1 << 19
 SLICES = 4
 
 _rng = np.random.default_rng(400)
@@ -460,13 +460,17 @@ def repeats_removed(docs: DataFrame, rule: Rule = BYTES, marks: tuple[Rule, ...]
     in place of text, and marked: for each rule of ``marks`` how many units its repeats cover; these stay.
 
     With words, a run goes from the first byte of its first word to the last byte of its last."""
-    rules = (rule, *marks)
     extra = ("n_bytes", "n_removed", "n_spans", "kept", "marked")
     keep = [c for c in docs.columns if c not in ("text", "dig", "z", "spans", *extra)]
+    types = [*(T.StructField(c, T.LongType()) for c in extra[:3]), T.StructField("kept", T.BinaryType()), T.StructField("marked", T.ArrayType(T.LongType()))]
+    return _removed(docs, keep, (rule, *marks), T.StructType([*(docs.schema[c] for c in keep), *types]), None)
+
+
+def _removed(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...], schema: T.StructType, shape: Callable[[pa.RecordBatch], pa.RecordBatch] | None) -> DataFrame:
+    """``repeats_removed`` with each batch put into another shape before it leaves its worker."""
+    extra = ("n_bytes", "n_removed", "n_spans", "kept", "marked")
     marked = docs.select(*quoted([*keep, "text"]), digest(F.col("text")).alias("dig"))
     both = _packed(marked, [*keep, "dig"]).join(_repeats(docs, rules), "dig", "left").select(*quoted([*keep, "z", "spans"]))
-    types = [*(T.StructField(c, T.LongType()) for c in extra[:3]), T.StructField("kept", T.BinaryType()), T.StructField("marked", T.ArrayType(T.LongType()))]
-    schema = T.StructType([*(docs.schema[c] for c in keep), *types])
     arrow = [pa.int64()] * 3 + [pa.binary(), pa.list_(pa.int64())]
 
     def one(raw: bytes, found: tuple[np.ndarray, ...]) -> tuple:
@@ -492,11 +496,12 @@ def repeats_removed(docs: DataFrame, rule: Rule = BYTES, marks: tuple[Rule, ...]
         unpack = zstandard.ZstdDecompressor()
         nothing = (np.zeros(0, np.int64),) * 3
         for batch in batches:
-            for block in row_blocks(batch, "z"):
+            for block in row_blocks(batch, "z", BLOCK >> 1):
                 lists = block.column("spans")
                 rows = [one(unpack.decompress(z), tuple(x.to_numpy() for x in lists[k].values.flatten()) if lists[k].is_valid else nothing) for k, z in enumerate(block.column("z").to_pylist())]
                 made = [pa.array(x, t) for x, t in zip(zip(*rows), arrow)]
-                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), *made], schema=pa.schema([*(block.schema.field(c) for c in keep), *zip(extra, arrow)]))
+                out = pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), *made], schema=pa.schema([*(block.schema.field(c) for c in keep), *zip(extra, arrow)]))
+                yield out if shape is None else shape(out)
 
     return in_arrow(both, run, schema)
 
@@ -506,23 +511,21 @@ def deduplicate(docs: DataFrame, rule: Rule = PASSAGES) -> DataFrame:
     only white space is left by the cuts are removed. All columns stay; n_chars follows."""
     schema, columns = docs.schema, docs.columns
     # whatever their names are, the other columns travel as one
-    cut = repeats_removed(docs.select(F.struct(*quoted(c for c in columns if c != "text"), F.col("text").isNull().alias("null text")).alias("row"), "text"), rule)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in row_blocks(batch, "kept"):
-                gone = block.column("n_removed").to_pylist()
-                *rest, null = block.column("row").flatten()
-                texts = [None if n else x.decode("utf-8", "ignore") for x, n in zip(block.column("kept").to_pylist(), null.to_pylist())]
-                left = iter(rest)
-                arrays = {c: pa.array(texts, pa.string()) if c == "text" else next(left) for c in columns}
-                if "n_chars" in arrays:
-                    old = arrays["n_chars"]
-                    arrays["n_chars"] = pa.array([len(t) if g else o for t, g, o in zip(texts, gone, old.to_pylist())], old.type)
-                keep = [not g or bool(t.strip()) for t, g in zip(texts, gone)]
-                yield pa.RecordBatch.from_arrays(list(arrays.values()), names=columns).filter(pa.array(keep))
-
-    return in_arrow(cut, run, schema)
+    rows = docs.select(F.struct(*quoted(c for c in columns if c != "text"), F.col("text").isNull().alias("null text")).alias("row"), "text")
+
+    def shape(block: pa.RecordBatch) -> pa.RecordBatch:
+        gone = block.column("n_removed").to_pylist()
+        *rest, null = block.column("row").flatten()
+        texts = [None if n else x.decode("utf-8", "ignore") for x, n in zip(block.column("kept").to_pylist(), null.to_pylist())]
+        left = iter(rest)
+        arrays = {c: pa.array(texts, pa.string()) if c == "text" else next(left) for c in columns}
+        if "n_chars" in arrays:
+            old = arrays["n_chars"]
+            arrays["n_chars"] = pa.array([len(t) if g else o for t, g, o in zip(texts, gone, old.to_pylist())], old.type)
+        keep = [not g or bool(t.strip()) for t, g in zip(texts, gone)]
+        return pa.RecordBatch.from_arrays(list(arrays.values()), names=columns).filter(pa.array(keep))
+
+    return _removed(rows, ["row"], (rule,), schema, shape)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -33,20 +33,27 @@ FOLDS, HELD_OUT = 4, 2
 #: Least ratio in units of its standard error.
 MIN_Z = 3.0
 
-_FOLDED = np.arange(0x110000, dtype=np.uint32)
+_FOLDED = np.arange(128, dtype=np.uint32)
 _FOLDED[65:91] += 32
 _FOLDED[[9, 10, 11, 12, 13]] = 32
 
 
+def _folded(codes: np.ndarray) -> np.ndarray:
+    out = codes.copy()
+    ascii = out < 128
+    out[ascii] = _FOLDED[out[ascii]]
+    return out
+
+
 def characters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Folded code points of a block of UTF-8 and their offsets by row; what isn't UTF-8 is U+FFFD."""
     raw = data.tobytes()
     try:
         codes = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
-        return _FOLDED[codes], np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
+        return _folded(codes), np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
     except UnicodeDecodeError:
         rows = [np.frombuffer(raw[a:b].decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(offs[:-1], offs[1:])]
-        return _FOLDED[np.concatenate(rows)], np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        return _folded(np.concatenate(rows)), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
 def grams(codes: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -65,9 +72,16 @@ def grams(codes: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 
 @dataclass
 class Model:
-    weights: np.ndarray  # weight * r by bucket; 0: no feature
+    buckets: np.ndarray  # of the features, sorted
+    weights: np.ndarray  # weight * r of each
     intercept: float
 
+    def among(self) -> np.ndarray:
+        """Which buckets are features."""
+        out = np.zeros(1 << BITS, dtype=bool)
+        out[self.buckets] = True
+        return out
+
 
 def present(data: np.ndarray, offs: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, bucket) pairs of a block's n-grams for which ``among`` is true."""
@@ -84,7 +98,7 @@ def present(data: np.ndarray, offs: np.ndarray, among: np.ndarray) -> tuple[np.n
 def train(texts: pa.Array, labels: np.ndarray, counts: dict[int, int], rounds: int = 150, l2: float = 1e-3) -> Model:
     n = [int((labels == v).sum()) for v in (0, 1)]
     if not all(n):
-        return Model(np.zeros(1 << BITS, np.float32), -40.0)
+        return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
     blocks = [(k, *text_bytes(texts.slice(k, 200))) for k in range(0, len(texts), 200)]
     every = np.ones(1 << BITS, dtype=bool)
     df = np.zeros((2, 1 << BITS), dtype=np.int32)
@@ -115,26 +129,24 @@ def train(texts: pa.Array, labels: np.ndarray, counts: dict[int, int], rounds: i
         b2 += e.sum() ** 2
         w -= 0.1 * g / np.sqrt(g2)
         b -= 0.1 * e.sum() / np.sqrt(b2)
-    out = np.zeros(1 << BITS, np.float32)
-    out[ids] = w * r
     prior = np.log(max(1, counts.get(1, 0)) / max(1, counts.get(0, 0))) - np.log(n[1] / n[0])
-    return Model(out, float(b + prior))
+    return Model(ids.astype(np.int64), w * r, float(b + prior))
 
 
 def score_block(data: np.ndarray, offs: np.ndarray, model: Model, among: np.ndarray) -> np.ndarray:
     row, h = present(data, offs, among)
-    return sigmoid(np.bincount(row, model.weights[h].astype(np.float64), len(offs) - 1) + model.intercept)
+    return sigmoid(np.bincount(row, model.weights[np.searchsorted(model.buckets, h)], len(offs) - 1) + model.intercept)
 
 
 def add_score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``df`` with the score of each text."""
     keep = [c for c in df.columns if c != out]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
+    shared = df.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the training sample's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        among = model.weights != 0
+        among = model.among()
         for batch in batches:
             for block in row_blocks(batch, text):
                 score = score_block(*text_bytes(block.column(text)), model, among)

@@ -101,7 +101,7 @@ def test_naive_bayes_scaled_regression():
     model = toxicity.train(pa.array(texts, pa.string()), np.array(labels), counts)
     asked = ["", "an AWFUL house", "плохо\tплохо", "日本語です good", "wretch", "x" * 3]
     want = [1 / (1 + math.exp(-(sum(w[g] * ratio[g] for g in _grams(t) if g in w) + b))) for t in asked]
-    got = toxicity.score_block(*text_bytes(pa.array(asked, pa.string())), model, model.weights != 0)
+    got = toxicity.score_block(*text_bytes(pa.array(asked, pa.string())), model, model.among())
     assert got.tolist() == pytest.approx(want, rel=1e-3, abs=1e-4)
 
 
