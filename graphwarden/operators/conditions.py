@@ -71,7 +71,7 @@ class Conditions:
         return f"__{self.n}"
 
     def nodes(self, t: NodeTable) -> DataFrame:
-        return t.df.withColumn(ID, column(t.key).cast("string"))
+        return t.df.withColumn(ID, column(t.key).cast(self.graph.key_type(t.label)))
 
     # -- conditions
     def on_nodes(self, e: Expr, t: NodeTable, df: DataFrame) -> tuple[DataFrame, Column]:
@@ -168,7 +168,7 @@ class Conditions:
             for v in property_values(end.properties, source.properties, source.whole):
                 hit = hit | F.exists(v.array, tester(test, v.kind, wanted))
             found.append(self.nodes(end).where(hit).select(F.lit(end.label).alias("el"), F.col(ID).alias("eid")))
-        return union(found) if found else self.paths.empty().select("el", "eid")
+        return union(found) if found else self.paths.empty({t.label}).select("el", "eid")
 
     def _all(self, e: All, t: NodeTable, df: DataFrame) -> tuple[DataFrame, Column]:
         if e.source.hops is None:
@@ -205,7 +205,7 @@ class Conditions:
             for v in property_values(end.properties, source.properties, source.whole):
                 text = F.transform(F.filter(v.array, tester(test, v.kind)), keyed(v.kind, "string"))
                 found.append(self.nodes(end).select(F.lit(end.label).alias("el"), F.col(ID).alias("eid"), F.lit(family(v.kind)).alias("family"), F.explode(text).alias("v")))
-        return union(found) if found else self.graph.spark.createDataFrame([], "el string, eid string, family string, v string")
+        return union(found) if found else self.graph.spark.createDataFrame([], f"el string, eid {self.graph.key_type(t.label)}, family string, v string")
 
     @staticmethod
     def _count_values(values: list[Values], test: Expr) -> Column:

@@ -1,4 +1,4 @@
-"""Paths as joins: pairs of (start label, start id, end label, end id)."""
+"""Paths as joins: pairs of (start label, start id, end label, end id); ids have the graph's key type."""
 
 from __future__ import annotations
 
@@ -8,17 +8,17 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import SourceError
 from ..functions.names import column
 from ..plans.ir import Alt, Rel, Repeat, Seq, Step
 from ..sources.graph import PropertyGraph
 
-PAIR = "sl string, sid string, el string, eid string"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration with a reliable checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise SourceError("repeated paths need spark.checkpoint.dir: a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphwarden-"))
     return df.checkpoint()
 
@@ -31,20 +31,21 @@ class Paths:
     def __init__(self, graph: PropertyGraph):
         self.graph = graph
 
-    def empty(self) -> DataFrame:
-        return self.graph.spark.createDataFrame([], PAIR)
+    def empty(self, labels: set[str]) -> DataFrame:
+        kind = self.graph.key_type(next(iter(labels), ""))
+        return self.graph.spark.createDataFrame([], f"sl string, sid {kind}, el string, eid {kind}")
 
-    def edges(self, step: Rel, starts: set[str] | None = None) -> DataFrame:
-        """Pairs of one hop. Tables that can't start at any of the labels are left out."""
+    def edges(self, step: Rel, starts: set[str]) -> DataFrame:
+        """Pairs of one hop from the labels."""
         found = []
         for r in self.graph.rels:
             a, b = (r.start, r.end) if step.out else (r.end, r.start)
-            if r.type not in step.types or (starts is not None and a not in starts):
+            if r.type not in step.types or a not in starts:
                 continue
             s, e = (r.src, r.dst) if step.out else (r.dst, r.src)
-            s, e = column(s).cast("string"), column(e).cast("string")
+            s, e = column(s).cast(self.graph.key_type(a)), column(e).cast(self.graph.key_type(b))
             found.append(r.df.select(F.lit(a).alias("sl"), s.alias("sid"), F.lit(b).alias("el"), e.alias("eid")).where("sid IS NOT NULL AND eid IS NOT NULL"))
-        return union(found) if found else self.empty()
+        return union(found) if found else self.empty(starts)
 
     def ends(self, step: Step, starts: set[str]) -> set[str]:
         """Labels that a step from the labels can reach."""
@@ -70,10 +71,10 @@ class Paths:
 
     def _nodes(self, labels: set[str]) -> DataFrame:
         found = [
-            t.df.select(F.lit(t.label).alias("sl"), column(t.key).cast("string").alias("sid"), F.lit(t.label).alias("el"), column(t.key).cast("string").alias("eid"))
+            t.df.withColumn("sid", column(t.key).cast(self.graph.key_type(t.label))).select(F.lit(t.label).alias("sl"), "sid", F.lit(t.label).alias("el"), F.col("sid").alias("eid"))
             for t in self.graph.nodes if t.label in labels
         ]
-        return union(found) if found else self.empty()
+        return union(found) if found else self.empty(labels)
 
     def _extend(self, step: Step, before: DataFrame | None, labels: set[str]) -> DataFrame:
         """Pairs so far (none: every node of the labels with itself) followed by a step."""

@@ -91,7 +91,7 @@ class Engine:
         for c in (own, self.node_key):
             if c and c in t.df.columns:
                 return column(c).cast("string")
-        return F.col(ID)
+        return F.col(ID).cast("string")
 
     def _edges(self, r, rule: Rule) -> FocusTable:
         """Relationships are told apart by their key column; without one, parallel ones by a hash of their properties."""
@@ -148,7 +148,7 @@ class Engine:
         fixed = {"rule_id": rule.rule_id, "rule_name": rule.name, "shape": rule.shape, "path": rule.path, "constraint": rule.constraint, "severity": rule.severity}
         label, key = node or (_nothing(), _nothing())
         return df.select(
-            *(F.lit(v).cast("string").alias(k) for k, v in fixed.items()), F.col(LABEL).alias("focus_label"), F.col(KEY).alias("focus_key"), F.col(ID).alias("focus_id"), F.col(START).alias("focus_start"), F.col(END).alias("focus_end"),
+            *(F.lit(v).cast("string").alias(k) for k, v in fixed.items()), F.col(LABEL).alias("focus_label"), F.col(KEY).alias("focus_key"), F.col(ID).cast("string").alias("focus_id"), F.col(START).alias("focus_start"), F.col(END).alias("focus_end"),
             value.cast("string").alias("value"), label.alias("value_label"), key.alias("value_key"), message.alias("message"), details.alias("details"), F.col(PROPERTIES).alias("properties"),
         )
 
@@ -218,7 +218,7 @@ class Engine:
                 for d in rule.details:
                     df, x = c.on_nodes(d.holds, end, df)
                     tests.append(x)
-                found.append(df.where(~ok).select(F.lit(end.label).alias("el"), F.col(ID).alias("eid"), F.col(ID).alias("value"), self._key(end).alias("vk"), self._failed(rule, tests).alias("details")))
+                found.append(df.where(~ok).select(F.lit(end.label).alias("el"), F.col(ID).alias("eid"), F.col(ID).cast("string").alias("value"), self._key(end).alias("vk"), self._failed(rule, tests).alias("details")))
             else:
                 rows = c.nodes(end).select(ID, F.explode(self._failing_values(rule, end)).alias("x"))
                 found.append(rows.select(F.lit(end.label).alias("el"), F.col(ID).alias("eid"), F.col("x.value").alias("value"), F.col("x.details").alias("details")))
@@ -259,7 +259,7 @@ class Engine:
             if r.source is None or r.source.is_self:
                 _, ok = self.conditions.on_nodes(r.holds, t, f.df)
                 tests = [self.conditions.on_nodes(d.holds, t, f.df)[1] for d in r.details]
-                row = F.struct(F.lit(k).alias("k"), (F.col(ID) if r.source is not None else _nothing()).alias("value"), self._failed(r, tests).alias("details"))
+                row = F.struct(F.lit(k).alias("k"), (F.col(ID).cast("string") if r.source is not None else _nothing()).alias("value"), self._failed(r, tests).alias("details"))
                 parts.append(F.array(F.when(~ok, row)))
                 filters.append(~ok)
             elif one := self._scalar(r, t):
@@ -275,7 +275,7 @@ class Engine:
         message = self._message(F.col("r.message"), F.col(KEY), F.col("value")) if any("{" in r.message for r in rules) else F.col("r.message")
         node = lambda c: F.when(F.col("r.self"), F.col(c))
         return rows.select(
-            *(F.col(f"r.{c}") for c in COLUMNS[:6]), F.col(LABEL).alias("focus_label"), F.col(KEY).alias("focus_key"), F.col(ID).alias("focus_id"), F.col(START).alias("focus_start"), F.col(END).alias("focus_end"),
+            *(F.col(f"r.{c}") for c in COLUMNS[:6]), F.col(LABEL).alias("focus_label"), F.col(KEY).alias("focus_key"), F.col(ID).cast("string").alias("focus_id"), F.col(START).alias("focus_start"), F.col(END).alias("focus_end"),
             "value", node(LABEL).alias("value_label"), node(KEY).alias("value_key"), message.alias("message"), "details", F.col(PROPERTIES).alias("properties"),
         )
 

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import VariantType
+from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, IntegralType, StringType, TimestampNTZType, TimestampType, VariantType
 
 from ..errors import SourceError
 from ..functions.datatypes import type_of
@@ -61,10 +61,22 @@ class RelTable:
         return {f.name: type_of(f.dataType, f.metadata) for f in self.df.schema.fields if f.name not in (self.src, self.dst)}
 
 
+def _common(types: list[DataType]) -> str:
+    """The type in which keys of these types are compared: their own if it is one, text otherwise."""
+    if all(isinstance(t, IntegralType) for t in types):
+        return "bigint"
+    plain = isinstance(types[0], StringType | DateType | TimestampType | TimestampNTZType | DecimalType | BooleanType)
+    return types[0].simpleString() if plain and len(set(types)) == 1 else "string"
+
+
 @dataclass
 class PropertyGraph:
+    """Keys are compared in their own type where all tables that relationships connect agree on it, as text
+    otherwise."""
+
     nodes: list[NodeTable] = field(default_factory=list)
     rels: list[RelTable] = field(default_factory=list)
+    key_types: dict[str, str] = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         labels = [n.label for n in self.nodes]
@@ -74,6 +86,19 @@ class PropertyGraph:
             for x in (r.start, r.end):
                 if x not in labels:
                     raise SourceError(f"relationship table {r.type} ends at unknown label {x}")
+        self.key_types = self._key_types()
+
+    def _key_types(self) -> dict[str, str]:
+        found = [({n.label}, [n.df.schema[n.key].dataType]) for n in self.nodes]
+        for r in self.rels:
+            met = [x for x in found if x[0] & {r.start, r.end}]
+            found = [x for x in found if x not in met]
+            found.append((set().union(*(x[0] for x in met)), [t for x in met for t in x[1]] + [r.df.schema[c].dataType for c in (r.src, r.dst)]))
+        return {label: kind for labels, kind in ((x[0], _common(x[1])) for x in found) for label in labels}
+
+    def key_type(self, label: str) -> str:
+        """The type of a label's keys in plans."""
+        return self.key_types.get(label, "string")
 
     def table(self, label: str) -> NodeTable | None:
         return next((n for n in self.nodes if n.label == label), None)

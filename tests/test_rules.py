@@ -298,3 +298,35 @@ def test_stream(spark, tmp_path):
     query = validate_stream(stream, graph, "Pet", compiled, lambda df, n: seen.extend((r.rule_id, r.focus_key) for r in df.collect()), str(tmp_path / "cp"), availableNow=True)
     query.awaitTermination(60)
     assert sorted(seen) == [("ex:S/ex:age/sh:minInclusive", "a"), ("ex:S/ex:livesIn/sh:minCount", "b")]
+
+
+def _berths(spark, berth_key, ship_key):
+    berths = NodeTable("Berth", spark.createDataFrame([(7,), (8,), (9,)], "id int").select(F.col("id").cast(berth_key)))
+    ships = NodeTable("Ship", spark.createDataFrame([(1,), (2,), (3,)], "id int").select(F.col("id").cast(ship_key)))
+    moored = spark.createDataFrame([(1, 7), (2, 8), (2, 9), (2, 9)], "src int, dst int").select(F.col("src").cast(ship_key), F.col("dst").cast("bigint"))
+    return PropertyGraph([berths, ships, NodeTable("Log", spark.createDataFrame([("x",)], "id string"))], [RelTable("MOORED_AT", "Ship", "Berth", moored)])
+
+
+@pytest.mark.parametrize("berth_key, ship_key, kind", [("int", "bigint", "bigint"), ("smallint", "int", "bigint"), ("string", "int", "string"), ("int", "string", "string"), ("int", "decimal(9,0)", "string")])
+def test_key_types(spark, berth_key, ship_key, kind):
+    graph = _berths(spark, berth_key, ship_key)
+    assert {graph.key_type("Ship"), graph.key_type("Berth")} == {kind} and graph.key_type("Log") == "string"
+    shapes = shape(
+        "sh:property [ sh:path ex:mooredAt ; sh:minCount 1 ; sh:maxCount 1 ] ; sh:property [ sh:path ( ex:mooredAt [ sh:inversePath ex:mooredAt ] ) ; sh:maxCount 0 ] ; sh:property [ sh:path [ sh:zeroOrMorePath ex:mooredAt ] ; sh:class ex:Berth ]",
+        "sh:targetClass ex:Ship",
+    )
+    got = sorted(tuple(sorted(x)) for x in found(run(graph, shapes)).values())
+    assert got == [("1", "2"), ("1", "2", "3"), ("2",), ("3",)]
+
+
+def test_native_keys_reach_the_scan(spark, tmp_path):
+    spark.range(100).write.parquet(f"{tmp_path}/ships")
+    spark.range(100).selectExpr("id AS src", "id + 1000 AS dst").write.parquet(f"{tmp_path}/moored")
+    ships, moored = spark.read.parquet(f"{tmp_path}/ships"), spark.read.parquet(f"{tmp_path}/moored")
+    graph = PropertyGraph([NodeTable("Ship", ships), NodeTable("Berth", ships.selectExpr("id + 1000 AS id"))], [RelTable("MOORED_AT", "Ship", "Berth", moored)])
+    from graphwarden.operators.rules import Engine
+
+    rules = compile_shapes([Document("s.ttl", HEAD + shape("sh:property [ sh:path ex:mooredAt ; sh:maxCount 1 ]", "sh:targetClass ex:Ship"))], graph.snapshot(), Options()).rules
+    plan = Engine(graph).all_violations(rules)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "[" in line]
+    assert joins and not any("cast(" in line for line in joins)
