@@ -2,11 +2,14 @@
 
 1. Each text is reduced to the set of its word 5-gram hashes. Texts with the same words are one
    *set*, found by a digest and counted.
-2. The forest: each of ``TREES`` tries holds a label of MinHash values for each set. Labels are matched
-   on prefixes, which are shortened from ``DEEPEST`` values on until a pair of sets at the threshold
-   meets in some trie with the target probability. Labels are range-sorted over the cluster, so a
-   prefix held by very many sets is spread over tasks and scanned as a stream; each set is linked to
-   the first one of its prefix.
+2. The forest: each of ``TREES`` tries holds a label of ``DEEPEST`` MinHash values (16 bits each) for each
+   set. Labels are range-sorted over the cluster: a sorted list of labels is a trie, in which the sets that
+   share a prefix stand side by side, and a prefix held by very many sets is spread over tasks and scanned
+   as a stream. Each set's matched prefix is shortened from the whole label on until any partner that a set
+   of its size can have meets it in some trie with the target probability: sets of one to three shingles
+   can only have equal ones and keep the whole label, those of six and seven match on 5 and 6 values, most
+   others on 4. Two sets meet where they share the longer one of their two prefixes; at each length, each
+   set is linked to the first one of its prefix.
 3. Sets that meet directly or through others form a candidate group. Its texts are fetched once,
    compressed, and all its pairs are verified exactly. A group of more blocks than ``SPREAD`` may be a mere
    chain of neighbours: there only sets that share a prefix are compared, trie by trie, and a pair that
@@ -46,14 +49,44 @@ _COLUMNS = 1 << 15
 _NO_ID = (1 << 63) - 1
 
 
-def prefix_depth(threshold: float = 0.8, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
-    """The longest label prefix with which a pair at the threshold still meets with probability ``recall``."""
+def prefix_depth(similarity: float = 0.8, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
+    """The longest label prefix with which a pair of this similarity still meets with probability ``recall``."""
     depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def least_similarity(n: int) -> float:
+    """The least Jaccard similarity of at least the threshold that a set of n shingles can have with any set."""
+    low, high = THRESHOLD
+    # a partner has m shingles and t common ones, and t is at least low / (low + high) of n + m
+    partners = range(-(-low * n // high), high * n // low + 1)
+    common = [(n + m, -(-low * (n + m) // (low + high))) for m in partners]
+    return min(t / (both - t) for both, t in common)
+
+
+#: By number of shingles: the matched prefix. From 20 on, some partner is at the threshold itself.
+DEPTHS = np.array([prefix_depth(least_similarity(n)) for n in range(1, 21)], dtype=np.int32)
+HALF = 4  # values in each of a label's two 64-bit halves; no matched prefix is shorter
+
+
+def set_depths(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The matched prefix of each row's set of shingle hashes. Rows of many shingles, distinct or not, get the
+    shortest one, which is never wrong."""
+    n = np.diff(bounds)
+    small = np.flatnonzero(n < len(DEPTHS))
+    rows = np.repeat(np.arange(len(small)), n[small])
+    v = values[np.repeat(bounds[:-1][small] - (np.cumsum(n[small]) - n[small]), n[small]) + np.arange(len(rows))]
+    by = np.lexsort((v, rows))
+    v, rows = v[by], rows[by]
+    new = np.ones(len(v), dtype=bool)
+    new[1:] = (v[1:] != v[:-1]) | (rows[1:] != rows[:-1])
+    distinct = n.copy()
+    distinct[small] = np.bincount(rows[new], minlength=len(small))
+    return DEPTHS[np.clip(distinct, 1, len(DEPTHS)) - 1]
+
+
 def word_digests(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each row's word sequence."""
     at = np.arange(len(w.hash)) - np.repeat(w.rows[:-1], w.counts)
@@ -66,11 +99,12 @@ def _digest_column(w: Words) -> pa.Array:
     return pa.array(d.to_pylist(), pa.binary(), mask=w.counts == 0) if (w.counts == 0).any() else d
 
 
-def with_set(df: DataFrame, text: str = "text", out: str = "cls", trees: int = 0, depth: int = 0) -> DataFrame:
-    """``df`` with the digest of each text's words (null: no words) and, if trees are asked for, the
-    forest's label prefixes (column labels: packed 64-bit integers)."""
+def with_set(df: DataFrame, text: str = "text", out: str = "cls", trees: int = 0) -> DataFrame:
+    """``df`` with the digest of each text's words (null: no words) and, if trees are asked for, the forest's
+    labels (column labels: two packed 64-bit halves for each trie) and the length of the matched prefix
+    (column depth)."""
     keep = [c for c in df.columns if c != text or not trees]
-    extra = [T.StructField(out, T.BinaryType())] + [T.StructField("labels", T.BinaryType())] * bool(trees)
+    extra = [T.StructField(out, T.BinaryType())] + [T.StructField("labels", T.BinaryType()), T.StructField("depth", T.IntegerType())] * bool(trees)
     schema = T.StructType([df.schema[c] for c in keep] + extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,55 +113,83 @@ def with_set(df: DataFrame, text: str = "text", out: str = "cls", trees: int = 0
                 w = Words(*text_bytes(block.column(text)))
                 columns = [*(block.column(c) for c in keep), _digest_column(w)]
                 if trees:
-                    values = minhash(*shingles(w.hash, w.rows, WORDS), trees * depth).astype(U64).reshape(-1, trees, depth)
-                    label = np.broadcast_to(mix(np.arange(1, trees + 1, dtype=U64)), values.shape[:2]).copy()
-                    for j in range(depth):
-                        label = mix(label * U64(0x9E3779B97F4A7C15) + values[:, :, j])
-                    raw = label.astype("<u8").tobytes()
-                    bounds = np.arange(block.num_rows + 1, dtype=np.int32) * trees * 8
-                    columns.append(pa.Array.from_buffers(pa.binary(), block.num_rows, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw)]))
+                    grams = shingles(w.hash, w.rows, WORDS)
+                    values = minhash(*grams, trees * DEEPEST)
+                    halves = np.empty((block.num_rows, trees, 2), dtype="<u8")
+                    for t in range(trees):
+                        # a constant of the trie keeps the tries apart and prefixes as they are
+                        digits = (mix(values[:, t * DEEPEST : (t + 1) * DEEPEST].astype(U64)) >> U64(48)).reshape(-1, 2, HALF)
+                        halves[:, t] = mix(np.array([t + 1], U64))
+                        for j in range(HALF):
+                            halves[:, t] ^= digits[:, :, j] << U64(16 * (HALF - 1 - j))
+                    bounds = np.arange(block.num_rows + 1, dtype=np.int32) * trees * 16
+                    columns.append(pa.Array.from_buffers(pa.binary(), block.num_rows, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(halves.tobytes())]))
+                    columns.append(pa.array(set_depths(*grams)))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return in_arrow(df, run, schema)
 
 
 def _label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each set and trie."""
+    """One row for each set and trie; label and low are the halves of the label."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             data, offs = text_bytes(part.column("labels"))
-            label = np.frombuffer(data.tobytes(), "<i8")
-            rows = np.repeat(np.arange(part.num_rows), np.diff(offs) // 8)
-            tree = np.arange(len(label)) - np.repeat(offs[:-1], np.diff(offs) // 8) // 8
-            yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(label), part.column("cls").take(pa.array(rows))], names=["tree", "label", "cls"])
+            halves = np.frombuffer(data.tobytes(), "<i8").reshape(-1, 2)
+            n = np.diff(offs) // 16
+            rows = pa.array(np.repeat(np.arange(part.num_rows), n))
+            tree = np.arange(len(halves)) - np.repeat(offs[:-1], n) // 16
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tree.astype(np.int32)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), part.column("depth").take(rows), part.column("cls").take(rows)],
+                names=["tree", "label", "low", "depth", "cls"],
+            )
+
+
+_ROWS = "tree int, label long, low long, depth int, cls binary"
+_MET = pa.schema([("kind", pa.int32()), ("label", pa.int64()), ("low", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted labels: each set with the first one of its prefix in this partition (kind 0), and the
-    partition's first and last prefix with their first sets (kind 1), which may go on in the next."""
-    label_type = pa.schema([("kind", pa.int32()), ("label", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-    head_label, head = None, None
+    """From sorted labels, at each prefix length: the sets whose own prefix is no longer, each with the first
+    of them that shares the prefix in this partition (kind 0), and the partition's first and last prefix with
+    their first sets (kind: the length), which may go on in the next. Pairs that meet at a shorter length are
+    left to it."""
+
+    def border(level: int, label: int, low: int, cls: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((level, label, low, cls, cls), _MET)], schema=_MET)
+
+    heads: dict[int, tuple[int, int, bytes, int]] = {}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        label = batch.column("label").to_numpy()
-        new = np.ones(len(label), dtype=bool)
-        new[1:] = label[1:] != label[:-1]
-        new[0] = head is None or label[0] != head_label
-        cls = batch.column("cls")
-        first = np.maximum.accumulate(np.where(new, np.arange(len(label)), -1))
-        if head is None:
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array(label[:1]), cls.slice(0, 1), cls.slice(0, 1)], schema=label_type)
-        member = np.flatnonzero(~new)
-        own, carried = member[first[member] >= 0], member[first[member] < 0]
-        for at, b in ((own, cls.take(pa.array(first[own]))), (carried, pa.array([head] * len(carried), pa.binary()))):
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(label[at]), cls.take(pa.array(at)), b], schema=label_type)
-        if first[-1] >= 0:
-            head_label, head = label[-1], cls[int(first[-1])].as_py()
-    if head is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([head_label], pa.int64()), pa.array([head], pa.binary()), pa.array([head], pa.binary())], schema=label_type)
+        every, cls = batch.column("depth").to_numpy(), batch.column("cls")
+        for level in sorted(set(DEPTHS.tolist())):
+            at = np.flatnonzero(every <= level)
+            if not len(at):
+                continue
+            label, low = batch.column("label").to_numpy()[at], batch.column("low").to_numpy()[at]
+            low = low >> (16 * (2 * HALF - level)) if level > HALF else np.zeros_like(low)
+            depth = every[at]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (label[1:] != label[:-1]) | (low[1:] != low[:-1])
+            if level in heads:
+                new[0] = (label[0], low[0]) != heads[level][:2]
+            else:
+                yield border(level, label[0], low[0], cls[int(at[0])].as_py())
+            first = np.maximum.accumulate(np.where(new, np.arange(len(at)), -1))
+            met = np.flatnonzero(~new)
+            carried = first[met] < 0
+            head_depth = np.where(carried, heads[level][3] if level in heads else 0, depth[first[met]])
+            met, carried = (x[np.maximum(depth[met], head_depth) == level] for x in (met, carried))
+            own = met[~carried]
+            for member, b in ((own, cls.take(pa.array(at[first[own]]))), (met[carried], pa.array([heads[level][2]] * int(carried.sum()) if carried.any() else [], pa.binary()))):
+                if len(member):
+                    none = pa.nulls(len(member), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(member), np.int32)), none, none, cls.take(pa.array(at[member])), b], schema=_MET)
+            if first[-1] >= 0:
+                k = int(first[-1])
+                heads[level] = int(label[k]), int(low[k]), cls[int(at[k])].as_py(), int(depth[k])
+    for level, (label, low, head, _) in heads.items():
+        yield border(level, label, low, head)
 
 
 def verify(table: pa.Table) -> pa.Table:
@@ -169,7 +231,7 @@ def verify(table: pa.Table) -> pa.Table:
         link &= block[:, None] != block[None, :]
     tree = part.column("tree")[0].as_py() if m else -1
     if tree > 0:  # pairs that share a prefix in an earlier trie are counted there
-        label = np.frombuffer(b"".join(part.column("labels").to_pylist()), "<i8").reshape(m, -1)[:, :tree]
+        label = np.frombuffer(b"".join(part.column("labels").to_pylist()), "<i8").reshape(m, -1)[:, : 2 * tree : 2]
         for i in np.flatnonzero(link.any(1)):
             link[i] &= ~(label == label[i]).any(1)
     link |= link.T
@@ -223,29 +285,28 @@ def _texts(docs: DataFrame, key: Column) -> DataFrame:
 def _class_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' (doc_id, cls) and, for each set: class_id, class_size, n_links of its documents,
     and kept_cls, the set of the document that gives the class its id."""
-    depth = prefix_depth()
-    sig = with_set(docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.octet_length("text").cast("long").alias("size")), trees=TREES, depth=depth)
+    sig = with_set(docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.octet_length("text").cast("long").alias("size")), trees=TREES)
     sig = materialize(sig, "sets")
     key = _key()
     sets = materialize(
         sig.where("cls IS NOT NULL").groupBy("cls").agg(
-            F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct(key.alias("k"), "th")).alias("rep"), F.max("size").alias("size"), F.max("labels").alias("labels")
+            F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct(key.alias("k"), "th")).alias("rep"), F.max("size").alias("size"), F.max("labels").alias("labels"), F.max("depth").alias("depth")
         ), "sets",
     )
-    labels = in_arrow(sets.select("labels", "cls"), _label_rows, "tree int, label long, cls binary")
-    sorted_ = labels.drop("tree").repartitionByRange(F.col("label"), F.col("cls")).sortWithinPartitions("label", "cls")
-    met = materialize(in_arrow(sorted_, _meetings, "kind int, label long, a binary, b binary"), "meetings")
-    border = met.where("kind = 1").select("label", "a").distinct()
-    across = border.join(border.groupBy("label").agg(F.min("a").alias("b")), "label").select("a", "b")
+    labels = in_arrow(sets.select("labels", "depth", "cls"), _label_rows, _ROWS).drop("tree")
+    sorted_ = labels.repartitionByRange("label", "low", "cls").sortWithinPartitions("label", "low", "cls")
+    met = materialize(in_arrow(sorted_, _meetings, "kind int, label long, low long, a binary, b binary"), "meetings")
+    border = met.where("kind > 0").select("kind", "label", "low", "a").distinct()
+    across = border.join(border.groupBy("kind", "label", "low").agg(F.min("a").alias("b")), ["kind", "label", "low"]).select("a", "b")
     groups = components(met.where("kind = 0").select("a", "b").unionAll(across))
-    member = materialize(groups.withColumnRenamed("node", "cls").join(sets, "cls").select("cls", "root", "copies", "size", "rep", "labels"), "members")
+    member = materialize(groups.withColumnRenamed("node", "cls").join(sets, "cls").select("cls", "root", "copies", "size", "rep", "labels", "depth"), "members")
     blocks = materialize(_blocks(member, "root").select("root", "nblk"), "blocks")
     member = member.join(blocks, "root")
     whole = member.where(F.col("nblk") <= SPREAD).select("cls", "rep", "copies", F.col("root").alias("node"), "nblk", F.lit(-1).alias("tree"), F.lit(None).cast("binary").alias("labels"))
     chained = materialize(member.where(F.col("nblk") > SPREAD).drop("nblk"), "chained")
     parts = whole
     if not chained.isEmpty():
-        prefixes = in_arrow(chained.select("labels", "cls"), _label_rows, "tree int, label long, cls binary")
+        prefixes = in_arrow(chained.select("labels", "depth", "cls"), _label_rows, _ROWS).select("tree", "label", "cls")
         nodes = prefixes.join(chained, "cls").withColumn("node", F.encode(F.hex("label"), "utf-8"))
         sizes = materialize(_blocks(nodes, "node").where("n > 1").select("node", "nblk"), "nodes")
         parts = parts.unionAll(nodes.join(sizes, "node").select("cls", "rep", "copies", "node", "nblk", "tree", "labels"))

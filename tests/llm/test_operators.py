@@ -348,6 +348,65 @@ def test_one_of_each_class_stays(spark):
 def test_forest_recall():
     depth = jaccard.prefix_depth()
     assert 1 - (1 - 0.8**depth) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard.TREES
+    for n in range(1, 60):
+        # by the definition: the least similarity of two sets of n and m shingles of which t are common
+        least = min(t / (n + m - t) for m in range(1, 2 * n + 2) for t in range(1, min(n, m) + 1) if 5 * t >= 4 * (n + m - t))
+        assert least == jaccard.least_similarity(n)
+        matched = int(jaccard.DEPTHS[min(n, 20) - 1])
+        assert matched == jaccard.prefix_depth(least) and 1 - (1 - least**matched) ** jaccard.TREES >= jaccard.RECALL
+
+
+def test_matched_prefixes_of_sets():
+    texts = ["", "a", "a b c d e", "a b c d e f g h i j", " ".join("abcdefghijk"), "x " * 10, "x " * 400, " ".join(f"w{i}" for i in range(30))]
+    w = Words(*text_bytes(pa.array([t.encode() for t in texts], pa.binary())))
+    assert jaccard.set_depths(*shingles(w.hash, w.rows, 5))[1:].tolist() == [8, 8, 5, 6, 8, 4, 4]
+
+
+def test_meetings_in_sorted_labels(spark):
+    """Sets are connected as by all pairs that share the longer one of their two prefixes."""
+    rng, depths = random.Random(8), sorted(set(jaccard.DEPTHS.tolist()))
+    sets = []
+    for i in range(500):
+        digits = [rng.randrange(2)] * 3 + [rng.randrange(3) for _ in range(5)]
+        sets.append((sum(d << (16 * (3 - k)) for k, d in enumerate(digits[:4])), sum(d << (16 * (3 - k)) for k, d in enumerate(digits[4:])), rng.choice(depths), i.to_bytes(4, "big"), digits))
+    want = {frozenset((a[3], b[3])) for a in sets for b in sets if a[3] < b[3] and a[4][: max(a[2], b[2])] == b[4][: max(a[2], b[2])]}
+    for parts in (1, 7):
+        rows = spark.createDataFrame([s[:4] for s in sets], "label long, low long, depth int, cls binary")
+        rows = rows.repartitionByRange(parts, "label", "low", "cls").sortWithinPartitions("label", "low", "cls")
+        met = rows.mapInArrow(jaccard._meetings, "kind int, label long, low long, a binary, b binary").collect()
+        ends = defaultdict(list)
+        for r in met:
+            if r.kind:
+                ends[r.kind, r.label, r.low].append(bytes(r.a))
+        got = {frozenset((bytes(r.a), bytes(r.b))) for r in met if not r.kind} | {frozenset((min(v), x)) for v in ends.values() for x in v if x != min(v)}
+
+        def roots(edges):
+            parent = {s[3]: s[3] for s in sets}
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in (sorted(e) for e in edges):
+                a, b = sorted((find(a), find(b)))
+                parent[b] = a
+            return {x: find(x) for x in parent}
+
+        assert got <= want and roots(got) == roots(want) and len(set(roots(want).values())) > 20
+
+
+def test_jaccard_of_small_sets(spark):
+    rng = random.Random(2)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(rng.randint(1, 26))]
+        for _ in range(8):
+            cut = rng.choice([0, 0, 1, 1, 2, 3])
+            end = [f"n{rng.randrange(10**6)}" for _ in range(rng.choice([0, 0, 1, 2]))]
+            rows.append((len(rows), " ".join(base[: max(1, len(base) - cut)] + end)))
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in got.collect()) == near_classes(rows)
 
 
 def test_components(spark):
