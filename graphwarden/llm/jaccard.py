@@ -10,11 +10,12 @@
    can only have equal ones and keep the whole label, those of six and seven match on 5 and 6 values, most
    others on 4. Two sets meet where they share the longer one of their two prefixes; at each length, each
    set is linked to the first one of its prefix.
-3. Sets that meet directly or through others form a candidate group. Its texts are fetched once,
-   compressed, and all its pairs are verified exactly. A group of more blocks than ``SPREAD`` may be a mere
-   chain of neighbours: there only sets that share a prefix are compared, trie by trie, and a pair that
-   shares several counts in the first of them. Large groups and prefixes are cut into blocks, and each pair
-   of blocks is a task. Only degrees and spanning links leave a task, never all pairs.
+3. Sets that meet directly or through others form a candidate group. The pairs of a group that share a prefix
+   of ``HALF`` values in some trie are verified exactly, in groups of any size. How their texts get together
+   depends on the size alone: the texts of a group are fetched once, compressed; in a group of more blocks than
+   ``SPREAD``, which may be a mere chain of neighbours, they go to each shared prefix, and a pair that shares
+   several counts in the first of them. Large groups and prefixes are cut into blocks, and each pair of blocks
+   is a task. Only degrees and spanning links leave a task, never all pairs.
 
 Class: connected component over verified links (Jaccard >= 0.8); its id is the least doc_id in it.
 n_links: the other documents linked with this one, copies included.
@@ -230,10 +231,13 @@ def verify(table: pa.Table) -> pa.Table:
     if len(table) and table.column("i")[0].as_py() != table.column("j")[0].as_py():
         link &= block[:, None] != block[None, :]
     tree = part.column("tree")[0].as_py() if m else -1
-    if tree > 0:  # pairs that share a prefix in an earlier trie are counted there
-        label = np.frombuffer(b"".join(part.column("labels").to_pylist()), "<i8").reshape(m, -1)[:, : 2 * tree : 2]
+    if m:
+        label = np.frombuffer(b"".join(part.column("labels").to_pylist()), "<i8").reshape(m, -1)[:, ::2]
         for i in np.flatnonzero(link.any(1)):
-            link[i] &= ~(label == label[i]).any(1)
+            if tree < 0:  # a whole group: pairs that share a prefix in some trie
+                link[i] &= (label == label[i]).any(1)
+            else:  # one prefix: pairs that share one in an earlier trie are counted there
+                link[i] &= ~(label[:, :tree] == label[i, :tree]).any(1)
     link |= link.T
     label = np.arange(m)
     while True:
@@ -302,7 +306,7 @@ def _class_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     member = materialize(groups.withColumnRenamed("node", "cls").join(sets, "cls").select("cls", "root", "copies", "size", "rep", "labels", "depth"), "members")
     blocks = materialize(_blocks(member, "root").select("root", "nblk"), "blocks")
     member = member.join(blocks, "root")
-    whole = member.where(F.col("nblk") <= SPREAD).select("cls", "rep", "copies", F.col("root").alias("node"), "nblk", F.lit(-1).alias("tree"), F.lit(None).cast("binary").alias("labels"))
+    whole = member.where(F.col("nblk") <= SPREAD).select("cls", "rep", "copies", F.col("root").alias("node"), "nblk", F.lit(-1).alias("tree"), "labels")
     chained = materialize(member.where(F.col("nblk") > SPREAD).drop("nblk"), "chained")
     parts = whole
     if not chained.isEmpty():

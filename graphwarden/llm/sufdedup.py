@@ -114,7 +114,7 @@ def contexts(values: np.ndarray, offs: np.ndarray, rule: Rule) -> dict[str, np.n
         return empty
     total = _sums(values)
     grams = mix((total[gram:] - total[:-gram]) * powers(len(values) + 1)[1][: len(values) - gram + 1])
-    bits = U64(max(24, len(values).bit_length()))
+    bits = U64(32)  # of the hash as many decide, whatever the block's length is; then the leftmost place
     keys = ((grams >> bits) << bits) | np.arange(len(grams), dtype=U64)
     anchor = (_least(keys, rule.offsets) & ((U64(1) << bits) - U64(1))).astype(np.int64)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(anchor)]
@@ -530,6 +530,7 @@ def deduplicate(docs: DataFrame, rule: Rule = PASSAGES) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 by repeats of 400 bytes, and
-    n_passage_words: its words in passages of over 50 words that repeat (only reported: the 400 bytes decide)."""
+    n_passage_words: its words in passages of over 50 words that repeat (only reported: the 400 bytes decide).
+    Both rules share one pass over the texts, one table of anchors and every shuffle."""
     both = repeats_removed(docs.select("doc_id", "text"), BYTES, (PASSAGES,))
     return both.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("marked")[0].alias("n_passage_words"))

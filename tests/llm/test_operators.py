@@ -332,6 +332,16 @@ def test_jaccard_brute_force(spark, monkeypatch, block, spread):
     assert sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in got.collect()) == near_classes(rows)
 
 
+def test_links_do_not_depend_on_the_transport(spark, monkeypatch):
+    """With a forest so thin that pairs are missed, whole groups and prefixes miss the same ones."""
+    monkeypatch.setattr(jaccard, "TREES", 2)
+    rows, got = near_fixture(150, seed=11), []
+    for spread in (20, 0):
+        monkeypatch.setattr(jaccard, "SPREAD", spread)
+        got.append(sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got[0] == got[1] and got[0] != near_classes(rows)
+
+
 def test_jaccard_query(spark, sf, texts):
     got = registry.op6_ngram_jaccard_join(spark, sf).collect()
     assert sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in got) == near_classes(texts)
