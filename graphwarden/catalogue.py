@@ -91,7 +91,6 @@ CASES: dict[str, Case] = {
     ),
     "datatype_range": _simple("Part", "ex:p_partkey", "sh:datatype xsd:byte", "sh:datatype", "p_partkey", "part", "p_partkey NOT BETWEEN -128 AND 127", "p_partkey"),
     "datatype_any": _simple("Part", "ex:any", "sh:datatype xsd:integer", "sh:datatype", "p_partkey", "part", "p_size % 3 <> 0", None),
-    "datatype_guaranteed": _simple("Part", "ex:p_size", "sh:datatype xsd:int", "sh:datatype", "p_partkey", "part", "false"),
     "compare_any": _simple("Part", "ex:any", "sh:minInclusive 1000", "sh:minInclusive", "p_partkey", "part", "NOT CASE p_size % 3 WHEN 0 THEN p_partkey >= 1000 WHEN 1 THEN false ELSE p_retailprice >= 1000 END", None),
     "node_kind": _simple("Nation", "ex:n_name", "sh:nodeKind sh:IRI ; w:property \"n_name\"", "sh:nodeKind", "n_nationkey", "nation", "true", "n_name"),
     "class_relationship": Case(

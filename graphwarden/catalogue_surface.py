@@ -3,8 +3,6 @@ interfaces. Facts about a compilation are rows whose SQL states them; everything
 
 from __future__ import annotations
 
-import contextlib
-import io
 import json
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
@@ -13,17 +11,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cli
 from .database import Database
-from .errors import ClosedError, CompileError, ManifestError
-from .functions.xsdregex import translate
+from .errors import ClosedError
 from .operators.rules import Engine
-from .plans.ir import Closed, Count, Pair, Rel, Source, Test, and_, scope_faults
 from .plans.lower import Options
 from .plans.manifest import compile_shapes, load_manifest
 from .report import render, sarif
-from .runner import exit_code, plans_text, validate
-from .sources.graph import NodeTable, PropertyGraph, load_graph
+from .runner import exit_code, validate
+from .sources.graph import NodeTable, PropertyGraph, RelTable, load_graph
 from .sources.retail import retail_graph
 from .sources.schema import Snapshot
 from .sources.shapes import Document
@@ -64,14 +59,6 @@ def _found(rule: str, label: str, key: str, rest: str) -> str:
     return f"SELECT '{rule}' AS rule_id, '{label}' AS focus_label, CAST({key} AS VARCHAR) AS focus_key {rest}"
 
 
-def _problem(body: str, **options) -> str | None:
-    try:
-        compile_shapes([_document(body)], None, Options(**options))
-    except CompileError as error:
-        return str(error).splitlines()[0].partition(": ")[2]
-    return None
-
-
 QUERIES: dict[str, tuple[Query, str]] = {}
 
 
@@ -155,109 +142,6 @@ def schema_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, [(p["name"], p["type"]) for p in part["properties"]] + [("observed", ",".join(graph.observed()["Part.any"]))], "name string, type string")
 
 
-# -- what compilation says
-@query(_values("what, rejected", ("node target", True), ("repeated sequence", True), ("recursive shape", True), ("language tags", True), ("no convention", True), ("plain", False)))
-def rejected_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = {
-        "node target": ("ex:S sh:targetNode ex:n ; sh:closed true .", {}), "repeated sequence": (_property("Order", "[ sh:oneOrMorePath (ex:placedBy ex:inNation) ]", "sh:minCount 1"), {}),
-        "recursive shape": ("ex:S sh:targetClass ex:Order ; sh:node ex:S .", {}), "language tags": (_property("Part", "ex:p_name", "sh:uniqueLang true"), {}),
-        "no convention": (_property("Part", "ex:p_name", "sh:minCount 1"), {"strict": True}), "plain": (_property("Part", "ex:p_name", "sh:minCount 1"), {}),
-    }
-    return _facts(spark, [(k, _problem(t, **o) is not None) for k, (t, o) in texts.items()], "what string, rejected boolean")
-
-
-@query(_values("constraint_name, status", ("sh:uniqueLang", "unsupported"), ("sh:minCount", "compiled"), ("sh:node", "unsupported")))
-def lenient_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = _property("Part", "ex:p_name", "sh:uniqueLang true ; sh:minCount 1") + " ex:R sh:targetClass ex:Part ; sh:node ex:R ."
-    c = compile_shapes([_document(text)], retail_graph(spark, sf_dir).snapshot(), Options(lenient=True))
-    return _facts(spark, [(r.constraint, r.status) for r in c.rules], "constraint_name string, status string")
-
-
-_PATTERNS = {"a(b": False, "a(?=b)": False, "a**": False, "a{2,1}": False, r"(a)\2": False, r"\q": False, "[a": False, r"^(a|b)\1$": True, "[a-z-[aeiou]]+": True, r"\p{Lu}{2,3}?": True}
-
-
-@query(_values("pattern, valid", *_PATTERNS.items()))
-def pattern_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def valid(pattern: str) -> bool:
-        try:
-            return translate(pattern) is not None
-        except CompileError:
-            return False
-
-    return _facts(spark, [(p, valid(p)) for p in _PATTERNS], "pattern string, valid boolean")
-
-
-@query(_values("condition, faults", ("label of a literal", 1), ("values of a literal", 2), ("closed literal", 1), ("nodes over hops", 0)))
-def free_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tests of a variable that nothing binds to a node are found before anything runs."""
-    hop, own = Source(Rel(("R",))), Source(None, ("p",))
-    asked = {
-        "label of a literal": Count(own, Test("label", labels=("A",)), True, 1), "values of a literal": Count(own, and_((Pair(own, own, "equals"),)), True, 1),
-        "closed literal": Count(own, Closed((), ()), True, 1), "nodes over hops": Count(hop, and_((Count(own, Test("length", op=">=", n=1), True, 1), Closed((), ()))), True, 1),
-    }
-    return _facts(spark, [(k, len(scope_faults(e, True))) for k, e in asked.items()], "condition string, faults int")
-
-
-_MANIFEST = [
-    ("S.c_acctbal.minInclusive", "ex:S/ex:c_acctbal/sh:minInclusive", "compiled", "scan", None, "Warning"), ("S.inNation.minCount", "ex:S/ex:inNation/sh:minCount", "compiled", "scan+expand", None, "Violation"),
-    ("T.next_plus.maxCount", "ex:T/ex:next+/sh:maxCount", "compiled", "unbounded-path", 7, "Violation"), ("P.p_size.datatype", "ex:P/ex:p_size/sh:datatype", "guaranteed-by-schema", "scan", None, "Violation"),
-]
-_MANIFEST_SHAPES = (
-    "ex:S sh:targetClass ex:Customer ; sh:property [ sh:path ex:c_acctbal ; sh:minInclusive 0 ; sh:severity sh:Warning ] ; sh:property [ sh:path ex:inNation ; sh:minCount 1 ] . "
-    "ex:T sh:targetClass ex:Turn ; sh:property [ sh:path [ sh:oneOrMorePath ex:next ] ; sh:maxCount 3 ] . ex:P sh:targetClass ex:Part ; sh:property [ sh:path ex:p_size ; sh:datatype xsd:int ] ."
-)
-
-
-@query(_values("name, rule_id, status, cost, depth, severity", *_MANIFEST))
-def manifest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names, ids, costs and depths of a manifest that was loaded again."""
-    schema = retail_graph(spark, sf_dir).snapshot()
-    c = compile_shapes([_document(_MANIFEST_SHAPES)], schema, Options(max_path_depth=7))
-    rules = load_manifest(c.to_json(), schema).manifest()["rules"]
-    return _facts(spark, [(r["name"], r["ruleId"], r["status"], r["costClass"], r["pathDepthCap"], r["severity"]) for r in rules], "name string, rule_id string, status string, cost string, depth int, severity string")
-
-
-@query(_values("place, rule_id", (1, "ex:P/ex:p_size/sh:datatype"), (2, "ex:S/ex:c_acctbal/sh:minInclusive"), (3, "ex:S/ex:inNation/sh:minCount"), (4, "ex:T/ex:next+/sh:maxCount")))
-def rule_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = compile_shapes([_document(_MANIFEST_SHAPES)], retail_graph(spark, sf_dir).snapshot())
-    return _facts(spark, [(k, r.rule_id) for k, r in enumerate(c.rules, 1)], "place int, rule_id string")
-
-
-@query(_values("change, same", ("moved", True), ("blank shapes swapped", True), ("other bound", False), ("manifest of other shapes", False)))
-def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def prints(*bodies: str) -> list:
-        inner = " ; ".join(f"sh:property [ {b} ]" for b in bodies)
-        return [(r.rule_id, r.fingerprint) for r in compile_shapes([_document(_property("Order", "ex:placedBy", f"sh:class ex:Customer ; sh:node [ {inner} ]"))]).rules]
-
-    a, b = "sh:path ex:c_acctbal ; sh:minInclusive 0", "sh:path ex:c_name ; sh:minCount 1"
-    first = compile_shapes([_document(_property("Part", "ex:p_size", "sh:minInclusive 1"))])
-    moved = compile_shapes([_document("\n\n" + _property("Part", "ex:p_size", "sh:minInclusive 1"))])
-    other = first.to_json().replace(first.rules[0].fingerprint, "0" * 16)
-    try:
-        loaded = load_manifest(other) is not None
-    except ManifestError:
-        loaded = False
-    same = lambda x, y: [r.fingerprint for r in x.rules] == [r.fingerprint for r in y.rules]
-    rows = [("moved", same(first, moved)), ("blank shapes swapped", prints(a, b) == prints(b, a)), ("other bound", prints(a, b) == prints(a.replace("0", "1"), b)), ("manifest of other shapes", loaded)]
-    return _facts(spark, rows, "change string, same boolean")
-
-
-@query(_values("label, property", ("Nation", "n_name"), ("Region", "r_name")))
-def recommended_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = 'ex:S sh:targetClass ex:Nation ; w:key "n_name" ; sh:property [ sh:path ex:n_name ; sh:minLength 1 ] . ex:T sh:targetClass ex:Region ; sh:property [ sh:path ex:r_name ; sh:minLength 1 ] .'
-    c = compile_shapes([_document(text)], retail_graph(spark, sf_dir).snapshot(), Options(node_key="r_name"))
-    return _facts(spark, [(k["label"], k["property"]) for k in c.recommended_keys], "label string, property string")
-
-
-@query(_values("rule_id, scans", ("ex:S/ex:c_acctbal/sh:maxInclusive", 1), ("ex:S/ex:c_acctbal/sh:minInclusive", 1)))
-def plans_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that share a focus share one plan with one scan."""
-    graph = retail_graph(spark, sf_dir)
-    text = plans_text(graph, compile_shapes([_document(_property("Customer", "ex:c_acctbal", "sh:minInclusive 0 ; sh:maxInclusive 9"))], graph.snapshot()))
-    ids = [x.partition(": ")[2] for x in text.splitlines() if x.startswith("-- ruleId")]
-    return _facts(spark, [(i, text.count("\n(1) Scan parquet")) for i in ids], "rule_id string, scans int")
-
-
 # -- paths, targets and mappings
 @query(_found("ex:S/ex:inRegion|^ex:inNation/sh:maxCount", "Nation", "n_nationkey", "FROM nation WHERE 1 + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) > 60"))
 def path_many_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,6 +200,89 @@ def duration_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _violations(spark, sf_dir, [_document(text)], graph=PropertyGraph([NodeTable("Order", orders, "o_orderkey")]))
 
 
+# -- structs, maps and lists of structs
+def _addressed(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Suppliers with their address as a struct and their accounts as a map, orders with their lines as structs."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    address = F.when(F.col("s_acctbal") > 0, F.struct("s_nationkey", F.struct(F.col("s_name").alias("name"), F.length("s_name").alias("length")).alias("owner")))
+    funds = F.map_from_arrays(F.array(F.lit("total"), F.when(F.col("s_nationkey") < 12, F.lit("low")).otherwise(F.lit("high"))), F.array("s_acctbal", F.col("s_acctbal") / 2))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_quantity", "l_returnflag")).alias("lines"))
+    return PropertyGraph([NodeTable("Supplier", supplier.select("s_suppkey", address.alias("address"), funds.alias("funds")), "s_suppkey"), NodeTable("Order", lines, "l_orderkey")])
+
+
+@query(_found("ex:S/ex:address/ex:s_nationkey/sh:maxInclusive", "Supplier", "s_suppkey", "FROM supplier WHERE s_acctbal > 0 AND s_nationkey > 20") + " UNION ALL "
+       + _found("ex:S/ex:address/ex:owner/ex:name/sh:pattern", "Supplier", "s_suppkey", "FROM supplier WHERE s_acctbal > 0 AND NOT regexp_matches(s_name, '[02468]$')"))
+def struct_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of structs, also of structs within structs, read by their way."""
+    text = 'ex:S sh:targetClass ex:Supplier ; sh:property [ sh:path (ex:address ex:s_nationkey) ; sh:maxInclusive 20 ] ; sh:property [ sh:path (ex:address ex:owner ex:name) ; sh:pattern "[02468]$" ] .'
+    return _violations(spark, sf_dir, [_document(text)], graph=_addressed(spark, sf_dir))
+
+
+@query("SELECT rule_id, CAST(k AS VARCHAR) AS focus_key, CAST(value AS VARCHAR) AS value FROM (SELECT 'ex:S/ex:address/sh:minCount' AS rule_id, s_suppkey AS k, NULL AS value FROM supplier WHERE s_acctbal <= 0 "
+       "UNION ALL SELECT 'ex:S/ex:address/sh:nodeKind', s_suppkey, '{\"s_nationkey\":' || s_nationkey || ',\"owner\":{\"name\":\"' || s_name || '\",\"length\":' || length(s_name) || '}}' FROM supplier WHERE s_acctbal > 0)")
+def struct_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole structs: whether there is one, and how one is shown."""
+    text = "ex:S sh:targetClass ex:Supplier ; sh:property [ sh:path ex:address ; sh:minCount 1 ; sh:nodeKind sh:IRI ] ."
+    return _violations(spark, sf_dir, [_document(text)], ["rule_id", "focus_key", "value"], graph=_addressed(spark, sf_dir))
+
+
+@query(_found("ex:S/ex:funds/ex:high/sh:maxCount", "Supplier", "s_suppkey", "FROM supplier WHERE s_nationkey >= 12") + " UNION ALL " + _found("ex:S/ex:funds/ex:low/sh:minInclusive", "Supplier", "s_suppkey", "FROM supplier WHERE s_nationkey < 12 AND s_acctbal / 2 < 100"))
+def map_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a map are properties, absent ones without a value."""
+    text = "ex:S sh:targetClass ex:Supplier ; sh:property [ sh:path (ex:funds ex:high) ; sh:maxCount 0 ] ; sh:property [ sh:path (ex:funds ex:low) ; sh:minInclusive 100 ] ."
+    return _violations(spark, sf_dir, [_document(text)], graph=_addressed(spark, sf_dir))
+
+
+@query(_found("ex:S/ex:lines/ex:l_returnflag/sh:maxCount", "Order", "l_orderkey", "FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 2)") + " UNION ALL "
+       + _found("ex:S/ex:lines/sh:minCount", "Order", "l_orderkey", "FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT (l_partkey, l_quantity, l_returnflag)) < 4)"))
+def listed_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of structs: distinct structs, and the distinct values of one of their fields."""
+    text = "ex:S sh:targetClass ex:Order ; sh:property [ sh:path (ex:lines ex:l_returnflag) ; sh:maxCount 2 ] ; sh:property [ sh:path ex:lines ; sh:minCount 4 ] ."
+    return _violations(spark, sf_dir, [_document(text)], graph=_addressed(spark, sf_dir))
+
+
+@query(_found("ex:S/ex:inNation/sh:class", "Customer", "c_custkey", "FROM customer WHERE c_nationkey < 5") + " UNION ALL " + _found("ex:S/ex:c_acctbal/sh:minInclusive", "Customer", "c_custkey", "FROM customer WHERE c_acctbal < -700"))
+def source_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources without a path: a database driver's query in four partitions, and a table of it in one."""
+    read = lambda name, columns, **more: {"format": "dbapi", "schema": columns, "options": {"module": "duckdb", "query": f"SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')", **more}}
+    bounds = {"partitionColumn": "c_custkey", "lowerBound": 0, "upperBound": 1500, "numPartitions": 4}
+    graph = load_graph(spark, {
+        "nodes": [{"label": "Customer", "key": "c_custkey", **read("customer", "c_custkey bigint, c_acctbal double", **bounds)}, {"label": "Nation", "key": "n_nationkey", **read("nation", "n_nationkey bigint, n_name string")}, {"label": "Old", "key": "n_nationkey", **read("nation", "n_nationkey bigint")}],
+        "rels": [{"type": "IN_NATION", "from": "Customer", "to": x, "src": "c_custkey", "dst": "c_nationkey", **read("customer", "c_custkey bigint, c_nationkey bigint", query=f"SELECT * FROM read_parquet('{sf_dir}/customer.parquet') WHERE c_nationkey {c} 5")} for x, c in (("Nation", ">="), ("Old", "<"))],
+    })
+    return _violations(spark, sf_dir, [_document("ex:S sh:targetClass ex:Customer ; sh:property [ sh:path ex:inNation ; sh:class ex:Nation ] ; sh:property [ sh:path ex:c_acctbal ; sh:minInclusive -700 ] .")], graph=graph)
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS focus_start, l_returnflag AS value, count(*) AS n, count(*) AS ids, count(*) FILTER (k = 1) AS plain FROM "
+       "(SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus, l_returnflag) AS k FROM lineitem WHERE l_returnflag <> 'N') GROUP BY ALL")
+def parallel_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal parallel relationships have ids of their own: ``ids`` counts different ones, ``plain`` those without a number."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linestatus", "l_returnflag")
+    status = NodeTable("Status", items.select("l_linestatus").distinct(), "l_linestatus")
+    graph = PropertyGraph([NodeTable("Order", spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey"), status], [RelTable("HAS", "Order", "Status", items, "l_orderkey", "l_linestatus")])
+    rows = _violations(spark, sf_dir, [_document('ex:S w:targetRelationship "HAS" ; sh:property [ sh:path ex:l_returnflag ; sh:in ("N") ] .')], ["focus_start", "value", "focus_id"], graph=graph)
+    plain = F.count(F.when(~F.col("focus_id").contains("."), 1))
+    return rows.groupBy("focus_start", "value").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("focus_id").alias("ids"), plain.alias("plain"))
+
+
+@query(_found("ex:S/ex:p_size/sh:maxInclusive", "Part", "p_partkey", "FROM part WHERE p_size > 47"))
+def lenient_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lenient: node targets, recursive shapes and language tags are left out, everything else runs."""
+    text = "ex:S sh:targetClass ex:Part ; sh:property [ sh:path ex:p_size ; sh:maxInclusive 47 ; sh:uniqueLang true ] . ex:R sh:targetClass ex:Part ; sh:node ex:R . ex:T sh:targetNode ex:p1 ; sh:property [ sh:path ex:p_size ; sh:maxCount 0 ] ."
+    return _violations(spark, sf_dir, [_document(text)], lenient=True)
+
+
+@query("SELECT * FROM (SELECT 1 AS place, 'C.c_acctbal.minInclusive' AS name, CAST(c_custkey AS VARCHAR) AS focus_key FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 2, 'P.p_size.maxExclusive', CAST(p_partkey AS VARCHAR) FROM part WHERE p_size >= 40)")
+def manifest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest written and loaded again, its rules run in their order, strictly named by the schema."""
+    graph = retail_graph(spark, sf_dir)
+    text = "ex:P sh:targetClass ex:Part ; sh:property [ sh:path ex:p_size ; sh:maxExclusive 40 ] . ex:C sh:targetClass ex:Customer ; sh:property [ sh:path ex:c_acctbal ; sh:minInclusive 0 ] ."
+    written = compile_shapes([_document(text)], graph.snapshot(), Options(strict=True)).to_json()
+    c = load_manifest(written, graph.snapshot())
+    place = F.create_map(*(F.lit(x) for k, r in enumerate(c.rules, 1) for x in (r.rule_id, k)))
+    return Engine(graph).all_violations(c.rules).select(place[F.col("rule_id")].alias("place"), F.col("rule_name").alias("name"), "focus_key")
+
+
 # -- summaries and reports
 _RULES = "ex:S sh:targetClass ex:Customer ; sh:property [ sh:path ex:c_acctbal ; sh:minInclusive 0 ; sh:severity sh:Warning ] ; sh:property [ sh:path ex:c_mktsegment ; sh:maxLength 8 ] ; sh:property [ sh:path ex:c_name ; sh:minCount 1 ] ; sh:property [ sh:path ex:c_custkey ; sh:datatype xsd:long ] ."
 _COUNTED = """(SELECT 'ex:S/ex:c_acctbal/sh:minInclusive' AS rule_id, 'Warning' AS severity, count(*) AS n FROM customer WHERE c_acctbal < 0
@@ -383,13 +350,6 @@ def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- interfaces
-@query(_values("call, code", ("compile", 0), ("compile nothing", 1), ("no such graph", 2)))
-def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = {"compile": ["compile", str(SHAPES / "orders.ttl")], "compile nothing": ["compile", str(SHAPES / "none.ttl")], "no such graph": ["validate", str(SHAPES / "orders.ttl"), "--graph", str(SHAPES / "none.json")]}
-    with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
-        return _facts(spark, [(k, cli.main(a)) for k, a in calls.items()], "call string, code int")
-
-
 @query("SELECT 'violations' AS what, count(*) AS n FROM customer WHERE c_acctbal <= 0 UNION ALL SELECT 'labels', 2 UNION ALL SELECT 'refused when closed', 1")
 def database_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph opened, asked, and closed."""

@@ -15,7 +15,7 @@ from ..errors import CompileError
 from ..sources.turtle import RDF, XSD, Iri, Literal
 
 INTEGER_TYPES = {"INT64": 64, "INT32": 32, "INT16": 16, "INT8": 8, "UINT64": -64, "UINT32": -32, "UINT16": -16, "UINT8": -8}
-NEUTRAL = {*INTEGER_TYPES, "STRING", "DOUBLE", "FLOAT", "DECIMAL", "BOOLEAN", "DATE", "LOCAL_DATETIME", "ZONED_DATETIME", "LOCAL_TIME", "ZONED_TIME", "DURATION", "DURATION_DAY_TIME", "DURATION_YEAR_MONTH", "POINT", "BLOB", "ANY"}
+NEUTRAL = {*INTEGER_TYPES, "STRING", "DOUBLE", "FLOAT", "DECIMAL", "BOOLEAN", "DATE", "LOCAL_DATETIME", "ZONED_DATETIME", "LOCAL_TIME", "ZONED_TIME", "DURATION", "DURATION_DAY_TIME", "DURATION_YEAR_MONTH", "POINT", "BLOB", "ANY", "STRUCT", "OTHER"}
 
 
 def _signed(bits: int) -> tuple[int, int]:
@@ -57,11 +57,15 @@ def datatype_check(iri: str) -> DatatypeCheck:
 
 
 def neutral_type(text: str) -> str:
-    """A type name as annotations and snapshots write it: any case, blanks for underscores, LIST<...>."""
+    """A type name as annotations and snapshots write it: any case, blanks for underscores, LIST<...>, MAP<...> (of
+    the values)."""
     name = re.sub(r"\s+", "_", text.strip().upper())
-    m = re.fullmatch(r"LIST<_?(.*?)_?>", name)
+    m = re.fullmatch(r"LIST<_?(.*)_?>", name)
     if m:
-        return f"LIST<{neutral_type(m[1])}>"
+        return f"LIST<{neutral_type(m[1].strip('_'))}>"
+    m = re.fullmatch(r"MAP<_?(.*)_?>", name)
+    if m or name == "MAP":
+        return f"MAP<{neutral_type(m[1].strip('_'))}>" if m else name
     if name not in NEUTRAL:
         raise CompileError(f"unknown type `{text}`")
     return name
@@ -82,7 +86,13 @@ def type_of(dt: T.DataType, metadata: dict | None = None) -> str:
             return name
     if type(dt).__name__ == "TimeType":
         return "LOCAL_TIME"
-    return "ANY"
+    if isinstance(dt, T.StructType):
+        return "STRUCT"
+    if isinstance(dt, T.MapType):
+        return f"MAP<{type_of(dt.valueType)}>" if isinstance(dt.keyType, T.StringType) else "MAP"
+    if isinstance(dt, T.NullType):
+        return "STRING"
+    return "ANY" if isinstance(dt, T.VariantType) else "OTHER"
 
 
 def column_verdict(check: DatatypeCheck, neutral: str) -> str:

@@ -123,7 +123,7 @@ def shown(x: Column, kind: str) -> Column:
 
 def family(kind: str) -> str:
     """Types whose values are compared with each other."""
-    return "INT" if kind in INTEGER_TYPES else "FLOAT" if kind in ("DOUBLE", "FLOAT", "DECIMAL") else kind
+    return "INT" if kind in INTEGER_TYPES else "FLOAT" if kind in ("DOUBLE", "FLOAT", "DECIMAL") else "MAP" if kind.startswith("MAP") else kind
 
 
 def distinct_key(x: Column, kind: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column
+from ..functions.nested import nested
 from ..functions.tests import distinct_key, exactly_one, family, total, value_condition
 from ..plans.ir import All, And, Bool, Closed, Count, Expr, Not, Or, Pair, Rel, Source, Test, Xone
 from ..sources.graph import NodeTable, PropertyGraph
@@ -25,15 +26,15 @@ class Values:
     kind: str
 
 
-def property_values(properties: dict[str, str], names: tuple[str, ...], whole: bool = False) -> list[Values]:
+def property_values(t: NodeTable, names: tuple[str, ...], whole: bool = False) -> list[Values]:
     out = []
     for name in names:
-        kind = properties.get(name)
+        kind = t.properties.get(name)
         if kind is None:
             continue
-        c = column(name)
+        c = t.value(name)
         if kind.startswith("LIST<") and not whole:
-            out.append(Values(F.filter(F.coalesce(c, F.array().cast(_array(kind))), lambda v: v.isNotNull()), kind[5:-1]))
+            out.append(Values(F.filter(F.coalesce(c, F.array()), lambda v: v.isNotNull()), kind[5:-1]))
         elif kind == "ANY":
             inner = F.when(F.schema_of_variant(c).startswith("ARRAY<"), F.try_variant_get(c, "$", "array<variant>")).otherwise(F.array(c))
             out.append(Values(F.filter(inner, lambda v: v.isNotNull() & (F.schema_of_variant(v) != "VOID")), kind))
@@ -42,14 +43,6 @@ def property_values(properties: dict[str, str], names: tuple[str, ...], whole: b
     return out
 
 
-_SQL = {"STRING": "string", "INT64": "bigint", "INT32": "int", "INT16": "smallint", "INT8": "tinyint", "DOUBLE": "double", "FLOAT": "float", "BOOLEAN": "boolean", "DATE": "date", "LOCAL_DATETIME": "timestamp_ntz", "ZONED_DATETIME": "timestamp"}
-
-
-def _array(kind: str) -> str:
-    inner = kind[5:-1]
-    return f"array<{_SQL.get(inner, 'string')}>"
-
-
 def tester(test: Expr, kind: str, wanted: bool = True):
     """A function of one value for the higher-order functions."""
     return (lambda x: value_condition(test, x, kind)) if wanted else (lambda x: ~value_condition(test, x, kind))
@@ -165,7 +158,7 @@ class Conditions:
                 found.append(self.holding(test, end, wanted))
                 continue
             hit = F.lit(False)
-            for v in property_values(end.properties, source.properties, source.whole):
+            for v in property_values(end, source.properties, source.whole):
                 hit = hit | F.exists(v.array, tester(test, v.kind, wanted))
             found.append(self.nodes(end).where(hit).select(F.lit(end.label).alias("el"), F.col(ID).alias("eid")))
         return union(found) if found else self.paths.empty({t.label}).select("el", "eid")
@@ -173,7 +166,7 @@ class Conditions:
     def _all(self, e: All, t: NodeTable, df: DataFrame) -> tuple[DataFrame, Column]:
         if e.source.hops is None:
             out = F.lit(True)
-            for v in property_values(t.properties, e.source.properties, e.source.whole):
+            for v in property_values(t, e.source.properties, e.source.whole):
                 out = out & F.forall(v.array, tester(e.test, v.kind))
             return df, total(out)
         df, failing = self._flag(df, self._failing_pairs(e, t))
@@ -181,7 +174,7 @@ class Conditions:
 
     def _count(self, e: Count, t: NodeTable, df: DataFrame) -> tuple[DataFrame, Column]:
         if e.source.hops is None:
-            n = self._count_values(property_values(t.properties, e.source.properties, e.source.whole), e.filter)
+            n = self._count_values(property_values(t, e.source.properties, e.source.whole), e.filter)
             return df, (n >= e.n) if e.least else (n <= e.n)
         exists = e.n == (1 if e.least else 0)
         if e.source.nodes or exists:
@@ -202,7 +195,7 @@ class Conditions:
         """el, eid, family, v (text) of the values at path ends that satisfy a test."""
         found = []
         for end in self.end_tables(source, t):
-            for v in property_values(end.properties, source.properties, source.whole):
+            for v in property_values(end, source.properties, source.whole):
                 text = F.transform(F.filter(v.array, tester(test, v.kind)), keyed(v.kind, "string"))
                 found.append(self.nodes(end).select(F.lit(end.label).alias("el"), F.col(ID).alias("eid"), F.lit(family(v.kind)).alias("family"), F.explode(text).alias("v")))
         return union(found) if found else self.graph.spark.createDataFrame([], f"el string, eid {self.graph.key_type(t.label)}, family string, v string")
@@ -242,7 +235,7 @@ class Conditions:
 
     @staticmethod
     def _pair_values(e: Pair, t: NodeTable) -> Column:
-        left, right = (property_values(t.properties, s.properties, s.whole) for s in (e.left, e.right))
+        left, right = (property_values(t, s.properties, s.whole) for s in (e.left, e.right))
         numeric = ("INT", "FLOAT")
 
         def merged(values: list[Values], to: str | None) -> dict[str, Column]:
@@ -273,7 +266,7 @@ class Conditions:
         out = F.lit(True)
         for k, x in a.items():
             for m, y in b.items():
-                if k == m and k not in ("ANY", "BLOB") and not k.startswith("LIST<"):
+                if k == m and k not in ("ANY", "BLOB") and not nested(k) and not k.startswith("LIST<"):
                     # every value on the left against the least on the right
                     top, low = F.array_max(x), F.array_min(y)
                     out = out & F.coalesce(top < low if e.op == "lessThan" else top <= low, F.lit(True))
@@ -285,8 +278,8 @@ class Conditions:
 
     def _closed(self, e: Closed, t: NodeTable, df: DataFrame) -> tuple[DataFrame, Column]:
         out = F.lit(True)
-        for name in t.properties:
-            if name not in e.properties and name != t.key:
+        for name in t.df.columns:  # a column counts as named if one of its fields is
+            if name in t.properties and name != t.key and not any(p == name or p.startswith(f"{name}.") for p in e.properties):
                 out = out & column(name).isNull()
         types = tuple(sorted({r.type for r in self.graph.rels if r.start == t.label and r.type not in e.rels}))
         if types:

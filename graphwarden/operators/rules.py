@@ -12,7 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
+from ..functions import nested
 from ..functions.names import column
 from ..functions.tests import shown, value_condition
 from ..plans.ir import Bool, Count, Focus, Rel, Rule, Source, closed_in, sources_of
@@ -23,6 +25,8 @@ from .paths import union
 KEY, LABEL, START, END, PROPERTIES = "__key", "__label", "__start", "__end", "__properties"
 CARRIED = [ID, KEY, LABEL, START, END, PROPERTIES]
 COLUMNS = ["rule_id", "rule_name", "shape", "path", "constraint", "severity", "focus_label", "focus_key", "focus_id", "focus_start", "focus_end", "value", "value_label", "value_key", "message", "details", "properties"]
+#: Equal relationships made anew at a time.
+BLOCK = 1 << 16
 SCHEMA = ", ".join(f"{c} {'array<string>' if c == 'details' else 'string'}" for c in COLUMNS)
 
 
@@ -46,6 +50,8 @@ class FocusTable:
 
     table: NodeTable
     df: DataFrame
+    #: Whether rows of the same id may be different relationships.
+    equal_rows: bool = False
 
 
 def joins_needed(rule: Rule) -> bool:
@@ -94,14 +100,16 @@ class Engine:
         return F.col(ID).cast("string")
 
     def _edges(self, r, rule: Rule) -> FocusTable:
-        """Relationships are told apart by their key column; without one, parallel ones by a hash of their properties."""
+        """Relationships are told apart by their key column; without one, parallel ones by a hash of their properties,
+        and equal ones by a number (``_told_apart``)."""
         start, end = column(r.src).cast("string"), column(r.dst).cast("string")
         ends = F.concat_ws("->", start, end)
-        others = [column(c) for c in r.df.columns if c not in (r.src, r.dst)]
+        others = [nested.flat(column(f.name), f.dataType) for f in r.df.schema.fields if f.name not in (r.src, r.dst)]
+        others = [F.to_json(F.struct(c)) if isinstance(f.dataType, VariantType) else c for c, f in zip(others, (f for f in r.df.schema.fields if f.name not in (r.src, r.dst)))]
         own = column(r.key).cast("string") if r.key else F.concat(ends, F.lit("#"), F.hex(F.xxhash64(*others))) if others else ends
         df = r.df.withColumns({ID: own, KEY: ends, START: start, END: end, LABEL: F.lit(r.type)})
         table = NodeTable(r.type, df.drop(r.src, r.dst, KEY, START, END, LABEL), ID)
-        return FocusTable(table, df.withColumn(PROPERTIES, self._properties(table)))
+        return FocusTable(table, df.withColumn(PROPERTIES, self._properties(table)), r.key is None)
 
     def _members(self, t: NodeTable, focus: tuple[Focus, ...]) -> DataFrame | None:
         """A table's focus nodes, each once; None if it can't have any."""
@@ -114,7 +122,7 @@ class Engine:
             parts.append(F.coalesce(F.arrays_overlap(column(t.labels), F.array(*map(F.lit, labels))), F.lit(False)))
         for f in focus:
             if f.kind == "subjects" and f.source.hops is None:
-                found = [column(p).isNotNull() for p in f.source.properties if p in t.properties]
+                found = [t.value(p).isNotNull() for p in f.source.properties if p in t.properties]
                 parts += found
             elif f.kind in ("subjects", "objects"):
                 hop = f.source.hops
@@ -165,9 +173,22 @@ class Engine:
         """All violations of one rule."""
         if rule.status != "compiled":
             return self.empty()
-        found = [self._violations(rule, f) for f in self.focus(rule)]
+        found = [self._told_apart(self._violations(rule, f), f) for f in self.focus(rule)]
         return union(found) if found else self.empty()
 
+    @staticmethod
+    def _told_apart(rows: DataFrame, f: FocusTable) -> DataFrame:
+        """Violations of equal parallel relationships without a key, their ids numbered from the second on. Equal
+        rows are counted, before they are shuffled too, and made again from the count in blocks: no window has to
+        hold them. Equal relationships break the same rules, so a number means the same in all of them."""
+        if not f.equal_rows:
+            return rows
+        counted = rows.groupBy(*COLUMNS).agg(F.count(F.lit(1)).alias("__n"))
+        counted = counted.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / BLOCK).cast("long"))))
+        each = F.sequence(F.col("__b") * BLOCK + 1, F.least(F.col("__n"), (F.col("__b") + 1) * BLOCK))
+        told = F.when(F.col("__k") == 1, F.col("focus_id")).otherwise(F.concat("focus_id", F.lit("."), F.col("__k").cast("string")))
+        return counted.withColumn("__k", F.explode(each)).withColumn("focus_id", told).select(*COLUMNS)
+
     def _violations(self, rule: Rule, f: FocusTable) -> DataFrame:
         t = f.table
         if rule.source is None or rule.source.is_self:
@@ -191,18 +212,18 @@ class Engine:
         kinds = [(n, t.properties[n]) for n in rule.source.properties if n in t.properties]
         if len(kinds) != 1 or kinds[0][1] == "ANY" or kinds[0][1].startswith("LIST<"):
             return None
-        x, kind = column(kinds[0][0]), kinds[0][1]
+        x, kind = t.value(kinds[0][0]), kinds[0][1]
         details = self._failed(rule, [value_condition(d.holds, x, kind) for d in rule.details])
         return x.isNotNull() & ~value_condition(rule.holds, x, kind, known=True), shown(x, kind), details
 
     def _failing_values(self, rule: Rule, t: NodeTable) -> Column:
         """array<struct<value, details>> of a focus's distinct values that fail."""
         parts = []
-        for v in property_values(t.properties, rule.source.properties, rule.source.whole):
+        for v in property_values(t, rule.source.properties, rule.source.whole):
             parts.append(F.transform(F.filter(v.array, tester(rule.holds, v.kind, False)), self._explained(rule, v.kind)))
         if not parts:
             return F.array().cast("array<struct<value:string,details:array<string>>>")
-        single = len(parts) == 1 and not any(k.startswith("LIST<") or k == "ANY" for n, k in t.properties.items() if n in rule.source.properties)
+        single = len(parts) == 1 and not any(k.startswith("LIST<") or k == "ANY" for n in rule.source.properties if (k := t.properties.get(n)))
         return parts[0] if single else F.array_distinct(F.concat(*parts))
 
     def _explained(self, rule: Rule, kind: str):
@@ -249,7 +270,7 @@ class Engine:
             if len(group) == 1:
                 out.append((group, self.violations(group[0])))
                 continue
-            frames = [self._scan(group, f) for f in self.focus(group[0])]
+            frames = [self._told_apart(self._scan(group, f), f) for f in self.focus(group[0])]
             out.append((group, union(frames) if frames else self.empty()))
         return out
 

@@ -4,15 +4,16 @@
 from __future__ import annotations
 
 import json
+from importlib import import_module
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, IntegralType, StringType, TimestampNTZType, TimestampType, VariantType
 
 from ..errors import SourceError
-from ..functions.datatypes import type_of
+from ..functions import nested
 from ..functions.names import column
 from .schema import RelType, Snapshot
 
@@ -33,9 +34,13 @@ class NodeTable:
                 raise SourceError(f"node table {self.label} has no column {c}")
 
     @property
-    def properties(self) -> dict[str, str]:
-        """Column names and neutral types."""
-        return {f.name: type_of(f.dataType, f.metadata) for f in self.df.schema.fields if f.name != self.labels}
+    def properties(self) -> nested.Properties:
+        """Names and neutral types of columns and of their fields."""
+        return nested.properties(self.df.schema, (self.labels,))
+
+    def value(self, name: str) -> Column:
+        """A property's column; structs and maps as text."""
+        return nested.flat(*nested.find(self.df.schema, name))
 
 
 @dataclass
@@ -58,7 +63,7 @@ class RelTable:
 
     @property
     def properties(self) -> dict[str, str]:
-        return {f.name: type_of(f.dataType, f.metadata) for f in self.df.schema.fields if f.name not in (self.src, self.dst)}
+        return nested.properties(self.df.schema, (self.src, self.dst))
 
 
 def _common(types: list[DataType]) -> str:
@@ -129,13 +134,26 @@ class PropertyGraph:
         return sorted(r["t"] for r in rows)
 
 
+def registered(spark: SparkSession, name: str) -> str:
+    """Registers a Python data source (``module:Class``) and returns the format that it answers to."""
+    module, _, kind = name.partition(":")
+    found = getattr(import_module(module), kind)
+    spark.dataSource.register(found)
+    return found.name()
+
+
 def load_graph(spark: SparkSession, source: str | dict, base_dir: str | None = None) -> PropertyGraph:
     """A graph from a configuration (JSON file or dict):
 
     {"nodes": [{"label", "table" | "path" (+"format", "options") | "sql", "key", "labels"}],
      "rels":  [{"type", "from", "to", the same source fields, "src", "dst", "key"}]}
 
-    ``table`` names a catalog table, ``path`` a file for spark.read, ``sql`` any query."""
+    where a source may also be {"format" | "source", "options", "schema"}.
+
+    ``table`` names a catalog table, ``path`` a file or folder for spark.read, ``sql`` any query. A source with a
+    ``format`` and ``options`` needs no path: JDBC tables with partition bounds, or a Python data source, which
+    ``source`` names as ``module:Class`` and which is registered first. ``schema`` is a DDL string, for formats
+    that have none of their own. Options that are numbers or objects are handed on as text."""
     if isinstance(source, str):
         base_dir = base_dir or str(Path(source).resolve().parent)
         try:
@@ -150,10 +168,23 @@ def load_graph(spark: SparkSession, source: str | dict, base_dir: str | None = N
                 return spark.table(spec["table"])
             if "sql" in spec:
                 return spark.sql(spec["sql"], **views)
-            path = spec["path"]
+            kind = spec.get("format", "parquet")
+            if "source" in spec:
+                kind = registered(spark, spec["source"])
+            elif kind == "dbapi":
+                kind = registered(spark, "graphwarden.sources.dbapi:DbApi")
+            options = {k: v if isinstance(v, str) else json.dumps(v) for k, v in spec.get("options", {}).items()}
+            reader = spark.read.format(kind).options(**options)
+            if "schema" in spec:
+                reader = reader.schema(spec["schema"])
+            path = spec.get("path")
+            if path is None:
+                if not {"format", "source"} & set(spec):
+                    raise SourceError("it has neither table, sql, path, format nor source")
+                return reader.load()
             if base_dir and "://" not in path and not path.startswith("/"):
                 path = f"{base_dir}/{path}"
-            return spark.read.format(spec.get("format", "parquet")).options(**spec.get("options", {})).load(path)
+            return reader.load(path)
         except Exception as error:
             raise SourceError(f"can't open {spec}: {str(error).splitlines()[0]}") from error
 

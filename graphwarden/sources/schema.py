@@ -8,13 +8,14 @@ from dataclasses import dataclass, field
 
 from ..errors import CompileError
 from ..functions.datatypes import neutral_type
+from ..functions.nested import Properties
 
 
 @dataclass
 class RelType:
     name: str
     endpoints: list[tuple[str, str]] = field(default_factory=list)
-    properties: dict[str, str] = field(default_factory=dict)
+    properties: dict[str, str] = field(default_factory=Properties)
 
 
 @dataclass
@@ -51,10 +52,10 @@ class Snapshot:
             problems.extend(f"schema snapshot: unknown field `{k}` in {where}" for k in sorted(set(x) - known))
 
         def properties(x: dict, where: str) -> dict[str, str]:
-            found: dict[str, str] = {}
+            found = Properties()
             for p in x.get("properties", []):
                 fields(p, {"name", "type"}, where)
-                if p["name"] in found:
+                if p["name"] in dict.keys(found):
                     problems.append(f"schema snapshot: duplicate property `{p['name']}` of {where}")
                 try:
                     found[p["name"]] = neutral_type(p["type"])
