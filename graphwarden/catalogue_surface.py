@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from .database import Database
 from .errors import ClosedError
+from .operators.paths import shared_folder
 from .operators.rules import Engine
 from .plans.lower import Options
 from .plans.manifest import compile_shapes, load_manifest
 from .report import render, sarif
 from .runner import exit_code, validate
+from .sources import ntriples
 from .sources.graph import NodeTable, PropertyGraph, RelTable, load_graph
 from .sources.retail import retail_graph
 from .sources.schema import Snapshot
@@ -283,6 +285,25 @@ def manifest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(graph).all_violations(c.rules).select(place[F.col("rule_id")].alias("place"), F.col("rule_name").alias("name"), "focus_key")
 
 
+# -- triples as data
+_TRIPLES = "ex:S sh:targetClass ex:Vendor ; sh:property [ sh:path ex:balance ; sh:minInclusive 0 ] ; sh:property [ sh:path ex:phone ; sh:pattern \"7$\" ; sh:maxCount 0 ] ; sh:property [ sh:path (ex:inNation ex:label) ; sh:in (\"FRANCE\" \"PERU\" \"CHINA\") ] ."
+
+
+@query("SELECT * FROM (SELECT 'ex:S/ex:balance/sh:minInclusive' AS rule_id, 'v' || s_suppkey AS focus_key FROM supplier WHERE s_acctbal < 0 "
+       "UNION ALL SELECT 'ex:S/ex:phone/sh:maxCount', 'v' || s_suppkey FROM supplier UNION ALL SELECT 'ex:S/ex:phone/sh:pattern', 'v' || s_suppkey FROM supplier WHERE NOT s_name LIKE '%7' "
+       "UNION ALL SELECT 'ex:S/ex:inNation/ex:label/sh:in', 'v' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name NOT IN ('FRANCE', 'PERU', 'CHINA'))")
+def source_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and nations written as N-Triples, read again as a graph."""
+    folder = shared_folder(spark)
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").withColumn("iri", F.concat(F.lit("v"), "s_suppkey"))
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("iri", F.concat(F.lit("n"), "n_nationkey"))
+    ntriples.write(supplier, f"{folder}/supplier", F.col("iri"), "Vendor", {"balance": "s_acctbal", "phone": "s_name"})
+    ntriples.write(nation, f"{folder}/nation", F.col("iri"), "Nation", {"label": "n_name"})
+    ntriples.write_links(supplier.select("iri", F.concat(F.lit("n"), "s_nationkey").alias("to")), f"{folder}/links", F.col("iri"), "inNation", F.col("to"))
+    graph = load_graph(spark, ntriples.project(spark, ntriples.read(spark, [f"{folder}/{x}" for x in ("supplier", "nation", "links")]), f"{folder}/graph"))
+    return _violations(spark, sf_dir, [_document(_TRIPLES)], ["rule_id", "focus_key"], graph=graph, node_key="@name")
+
+
 # -- summaries and reports
 _RULES = "ex:S sh:targetClass ex:Customer ; sh:property [ sh:path ex:c_acctbal ; sh:minInclusive 0 ; sh:severity sh:Warning ] ; sh:property [ sh:path ex:c_mktsegment ; sh:maxLength 8 ] ; sh:property [ sh:path ex:c_name ; sh:minCount 1 ] ; sh:property [ sh:path ex:c_custkey ; sh:datatype xsd:long ] ."
 _COUNTED = """(SELECT 'ex:S/ex:c_acctbal/sh:minInclusive' AS rule_id, 'Warning' AS severity, count(*) AS n FROM customer WHERE c_acctbal < 0

@@ -13,6 +13,7 @@ from .plans.manifest import compile_shapes, load_manifest, read_snapshot
 from .report import render
 from .runner import exit_code, plans_text, validate
 from .sources.graph import load_graph
+from .sources.ntriples import project, read
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -48,6 +49,11 @@ def _parser() -> argparse.ArgumentParser:
     dump.add_argument("--graph", required=True)
     dump.add_argument("--observed", action="store_true", help="also the types that occur in properties without a declared one (reads the data)")
     dump.add_argument("-o", "--output")
+    load = commands.add_parser("import", help="turn N-Triples into node and relationship tables and write their graph configuration")
+    load.add_argument("triples", nargs="+")
+    load.add_argument("--folder", required=True, help="where the tables go; a folder that the cluster shares")
+    load.add_argument("--drop-malformed", action="store_true")
+    load.add_argument("-o", "--output", help="the graph configuration (JSON)")
     return top
 
 
@@ -85,6 +91,11 @@ def main(argv: list[str] | None = None) -> int:
             schema = read_snapshot(a.schema) if a.schema else None
             _write(compile_shapes(a.shapes, schema, _options(a), a.ontology, _fetch).to_json(), a.output)
             return 0
+        if a.command == "import":
+            spark = _session()
+            config = project(spark, read(spark, a.triples, "DROPMALFORMED" if a.drop_malformed else "FAILFAST"), a.folder)
+            _write(json.dumps(config, indent=2) + "\n", a.output)
+            return 0
         graph = load_graph(_session(), a.graph)
         if a.command == "schema":
             text = graph.snapshot().to_json()

@@ -43,6 +43,12 @@ def property_values(t: NodeTable, names: tuple[str, ...], whole: bool = False) -
     return out
 
 
+def has_value(t: NodeTable, name: str) -> Column:
+    """Whether a property has a value: empty lists, and lists of nulls, have none."""
+    x = t.value(name)
+    return total(F.exists(x, lambda v: v.isNotNull())) if t.properties[name].startswith("LIST<") else x.isNotNull()
+
+
 def tester(test: Expr, kind: str, wanted: bool = True):
     """A function of one value for the higher-order functions."""
     return (lambda x: value_condition(test, x, kind)) if wanted else (lambda x: ~value_condition(test, x, kind))
@@ -278,9 +284,9 @@ class Conditions:
 
     def _closed(self, e: Closed, t: NodeTable, df: DataFrame) -> tuple[DataFrame, Column]:
         out = F.lit(True)
-        for name in t.df.columns:  # a column counts as named if one of its fields is
-            if name in t.properties and name != t.key and not any(p == name or p.startswith(f"{name}.") for p in e.properties):
-                out = out & column(name).isNull()
+        for name in t.df.columns:  # a column counts as named if one of its fields is; no predicate is called @
+            if name in t.properties and name != t.key and not name.startswith("@") and not any(p == name or p.startswith(f"{name}.") for p in e.properties):
+                out = out & ~has_value(t, name)
         types = tuple(sorted({r.type for r in self.graph.rels if r.start == t.label and r.type not in e.rels}))
         if types:
             df, extra = self._flag(df, self.paths.edges(Rel(types), {t.label}))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SourceError
@@ -13,6 +14,18 @@ from ..functions.names import column
 from ..plans.ir import Alt, Rel, Repeat, Seq, Step
 from ..sources.graph import PropertyGraph
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate tables in the cluster's shared one; of our own only in tests on this machine."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise SourceError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphwarden-"))
+        found = sc.getCheckpointDir()
+    return f"{found}/graphwarden-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration with a reliable checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext

@@ -19,7 +19,7 @@ from ..functions.names import column
 from ..functions.tests import shown, value_condition
 from ..plans.ir import Bool, Count, Focus, Rel, Rule, Source, closed_in, sources_of
 from ..sources.graph import NodeTable, PropertyGraph
-from .conditions import ID, Conditions, property_values, tester
+from .conditions import ID, Conditions, has_value, property_values, tester
 from .paths import union
 
 KEY, LABEL, START, END, PROPERTIES = "__key", "__label", "__start", "__end", "__properties"
@@ -122,7 +122,7 @@ class Engine:
             parts.append(F.coalesce(F.arrays_overlap(column(t.labels), F.array(*map(F.lit, labels))), F.lit(False)))
         for f in focus:
             if f.kind == "subjects" and f.source.hops is None:
-                found = [t.value(p).isNotNull() for p in f.source.properties if p in t.properties]
+                found = [has_value(t, p) for p in f.source.properties if p in t.properties]
                 parts += found
             elif f.kind in ("subjects", "objects"):
                 hop = f.source.hops

@@ -21,12 +21,13 @@ from .schema import RelType, Snapshot
 @dataclass
 class NodeTable:
     """Nodes of one label. ``key``: the column that identifies a node. ``labels``: a column with all
-    labels of a node, for nodes that carry more than the table's own."""
+    labels of a node, for nodes that carry more than the table's own; ``carries``: those that occur in it."""
 
     label: str
     df: DataFrame
     key: str = "id"
     labels: str | None = None
+    carries: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         for c in (self.key, *([self.labels] if self.labels else [])):
@@ -113,11 +114,16 @@ class PropertyGraph:
         return self.nodes[0].df.sparkSession
 
     def snapshot(self) -> Snapshot:
-        """The schema, from column types alone: no data is read."""
-        out = Snapshot({n.label: n.properties for n in self.nodes})
+        """The schema, from column types alone: no data is read. A label that nodes of other tables carry has
+        their properties and relationships too; tables with such nodes leave decisions to the data."""
+        out = Snapshot({n.label: n.properties for n in self.nodes}, enforced=not any(n.labels for n in self.nodes))
+        also = {n.label: (n.label, *n.carries) for n in self.nodes}
+        for n in self.nodes:
+            for x in n.carries:
+                out.nodes.setdefault(x, nested.Properties()).update(n.properties)
         for r in self.rels:
             t = out.rels.setdefault(r.type, RelType(r.type))
-            t.endpoints.append((r.start, r.end))
+            t.endpoints += [(a, b) for a in also[r.start] for b in also[r.end]]
             t.properties |= r.properties
         return out
 
@@ -145,7 +151,7 @@ def registered(spark: SparkSession, name: str) -> str:
 def load_graph(spark: SparkSession, source: str | dict, base_dir: str | None = None) -> PropertyGraph:
     """A graph from a configuration (JSON file or dict):
 
-    {"nodes": [{"label", "table" | "path" (+"format", "options") | "sql", "key", "labels"}],
+    {"nodes": [{"label", "table" | "path" (+"format", "options") | "sql", "key", "labels", "carries"}],
      "rels":  [{"type", "from", "to", the same source fields, "src", "dst", "key"}]}
 
     where a source may also be {"format" | "source", "options", "schema"}.
@@ -190,7 +196,7 @@ def load_graph(spark: SparkSession, source: str | dict, base_dir: str | None = N
 
     try:
         return PropertyGraph(
-            [NodeTable(n["label"], frame(n), n.get("key", "id"), n.get("labels")) for n in source.get("nodes", [])],
+            [NodeTable(n["label"], frame(n), n.get("key", "id"), n.get("labels"), tuple(n.get("carries", ()))) for n in source.get("nodes", [])],
             [RelTable(r["type"], r["from"], r["to"], frame(r), r.get("src", "src"), r.get("dst", "dst"), r.get("key")) for r in source.get("rels", [])],
         )
     except KeyError as error:
