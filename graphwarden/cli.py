@@ -41,6 +41,7 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--limit", type=int, default=100, help="violations listed for each rule; 0: all")
     run.add_argument("--sample-size", type=int, default=5)
     run.add_argument("--timeout", type=float)
+    run.add_argument("--workers", type=int, default=1, help="groups of rules that run at the same time")
     run.add_argument("--fail-on", choices=["violation", "warning", "info"], default="violation")
     plan = commands.add_parser("plan", help="print the physical plan of each group of rules")
     shapes(plan, "+")
@@ -109,7 +110,7 @@ def main(argv: list[str] | None = None) -> int:
             raise WardenError("give either shape files or a manifest")
         schema = read_snapshot(a.schema) if a.schema else graph.snapshot()
         compiled = load_manifest(Path(a.manifest).read_text(encoding="utf-8"), schema) if a.manifest else compile_shapes(a.shapes, schema, _options(a), a.ontology, _fetch)
-        report = validate(graph, compiled, a.limit or None, a.sample_size, a.timeout)
+        report = validate(graph, compiled, a.limit or None, a.sample_size, a.timeout, a.workers)
         _write(render(report, a.format), a.output)
         return exit_code(report, a.fail_on)
     except (WardenError, OSError, ValueError) as error:

@@ -42,7 +42,7 @@ class Database:
         return compile_shapes(shapes, self.schema(), options, ontology)
 
     def validate(self, shapes: Compilation | list[str | Document], options: Options | None = None, **more) -> Report:
-        """``more``: limit, sample_size and timeout, as for ``graphwarden.validate``."""
+        """``more``: limit, sample_size, timeout and workers, as for ``graphwarden.validate``."""
         return validate(self.graph, shapes if isinstance(shapes, Compilation) else self.compile(shapes, options), **more)
 
     def close(self) -> None:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import threading
 import time
-import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jobs import Limit, at_once
 from .operators.rules import Engine, first_of_each
 from .plans.ir import Rule
 from .plans.manifest import VERSION, Compilation
@@ -79,29 +79,6 @@ def exit_code(report: Report, fail_on: str = "violation") -> int:
     return 0 if report.complete else 3
 
 
-class _Limit:
-    """Cancels the Spark jobs of a block that runs too long."""
-
-    def __init__(self, spark, seconds: float | None):
-        self.sc, self.seconds, self.tag, self.hit = spark.sparkContext, seconds, f"graphwarden-{uuid.uuid4().hex}", False
-
-    def __enter__(self):
-        if self.seconds:
-            self.sc.addJobTag(self.tag)
-            self.timer = threading.Timer(self.seconds, self._stop)
-            self.timer.start()
-        return self
-
-    def _stop(self) -> None:
-        self.hit = True
-        self.sc.cancelJobsWithTag(self.tag)
-
-    def __exit__(self, *_) -> None:
-        if self.seconds:
-            self.timer.cancel()
-            self.sc.removeJobTag(self.tag)
-
-
 def _skipped(r: Rule) -> tuple[str, str | None]:
     if r.status == "guaranteed-by-schema":
         return "guaranteed-by-schema", None
@@ -138,22 +115,27 @@ def _cause(error: Exception) -> str:
     return next((x for x in text.splitlines() if x.strip()), type(error).__name__)
 
 
-def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 100, sample_size: int = 5, timeout: float | None = None) -> Report:
-    """Run every rule. ``limit``: violations listed for each rule (None or 0: all, for graphs whose
-    violations fit in the driver; ``Engine.all_violations`` has them as a table); ``timeout``: seconds
-    for each group of rules that share a scan."""
+def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 100, sample_size: int = 5, timeout: float | None = None, workers: int = 1) -> Report:
+    """Run every rule. ``limit``: violations listed for each rule (None or 0: all, for graphs whose violations fit in
+    the driver; ``sources.sink`` writes them as a table instead); ``timeout``: seconds for each group of rules that
+    share a scan; ``workers``: groups that run at the same time, each from a thread of its own in a scheduler pool
+    of its own. What is set for the calling thread (tags, descriptions) holds for all of them, so cancelling the
+    caller's tag cancels them all; a group's timeout cancels that group's jobs alone."""
     began = time.monotonic()
-    engine, spark = Engine(graph, compiled.options.node_key, compiled.options.verbose), graph.spark
+    spark = graph.spark
+    engine = lambda: Engine(graph, compiled.options.node_key, compiled.options.verbose)
     rules = {r.rule_id: r for r in compiled.rules}
     results: dict[str, RuleResult] = {}
     for r in compiled.rules:
         status, reason = ("passed", None) if r.status == "compiled" else _skipped(r)
         results[r.rule_id] = RuleResult(r.name, r.rule_id, r.shape, r.path, r.constraint, r.severity, status, r.message, r.file, r.line, reason)
-    for group, plan in _groups(engine, compiled.rules):
+
+    def run(group: list[Rule], plan) -> None:
         start = time.monotonic()
-        with _Limit(spark, timeout) as bound:
+        with Limit(spark, timeout) as bound:
             try:
                 frame: DataFrame = plan()
+                bound.check()
                 counts = {x["rule_id"]: x["n"] for x in frame.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).collect()}
             except Exception as error:
                 for r in group:
@@ -167,6 +149,7 @@ def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 10
                         results[r.rule_id].status = "failed"
                 if counts:
                     try:
+                        bound.check()
                         for row in (first_of_each(frame, limit) if limit else frame).collect():
                             results[row["rule_id"]].violations.append(_row(row, rules[row["rule_id"]], compiled.options.node_key))
                     except Exception as error:
@@ -177,20 +160,23 @@ def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 10
             x.duration_ms = int((time.monotonic() - start) * 1000)
             x.violations.sort(key=lambda v: focus_name(v["focus"]) + (str(v["value"]),))
             x.sample = [v["focus"] for v in x.violations[:sample_size]]
+
+    at_once(spark, [lambda g=g, p=p: run(g, p) for g, p in _groups(engine, compiled.rules)], workers)
     return Report([results[r.rule_id] for r in compiled.rules], int((time.monotonic() - began) * 1000))
 
 
 def plans_text(graph: PropertyGraph, compiled: Compilation) -> str:
     """The physical plan of each group of rules, headed by the rules' names and ids."""
     out = []
-    for group, plan in _groups(Engine(graph, compiled.options.node_key, compiled.options.verbose), compiled.rules):
+    for group, plan in _groups(lambda: Engine(graph, compiled.options.node_key, compiled.options.verbose), compiled.rules):
         out += [f"-- name: {r.name}\n-- ruleId: {r.rule_id}" for r in group]
         out.append(plan()._jdf.queryExecution().explainString(graph.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
     return "\n".join(out) + "\n"
 
 
-def _groups(engine: Engine, rules: list[Rule]):
-    """Groups of rules with a function that plans them; a plan that fails spoils its group only."""
+def _groups(engine: Callable[[], Engine], rules: list[Rule]):
+    """Groups of rules with a function that plans them, by an engine of its own; a plan that fails spoils its
+    group only."""
     from .operators.rules import joins_needed
 
     fused: dict[tuple, list[Rule]] = {}
@@ -198,4 +184,4 @@ def _groups(engine: Engine, rules: list[Rule]):
         if r.status == "compiled":
             fused.setdefault((r.focus, r.key) if not joins_needed(r) else (r.rule_id,), []).append(r)
     for group in fused.values():
-        yield group, lambda group=group: engine.all_violations(group)
+        yield group, lambda group=group: engine().all_violations(group)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SourceError
 from ..functions.names import column
+from ..jobs import at_once
 from .turtle import RDF, XSD
 
 TYPE = RDF + "type"
@@ -151,6 +152,7 @@ def project(spark: SparkSession, triples: DataFrame, folder: str, resource: str
     sets = nodes.groupBy("label").agg(F.array_distinct(F.flatten(F.collect_set("labels"))).alias("carried")).collect()
 
     config: dict = {"nodes": [], "rels": []}
+    writes = []
     for k, t in enumerate(sorted(sets)):
         names = defaultdict(set)
         for p, rows in columns[t.label].items():
@@ -162,10 +164,11 @@ def project(spark: SparkSession, triples: DataFrame, folder: str, resource: str
         for p, kinds in sorted(columns[t.label].items()):
             kind = kinds[0].type if len(kinds) == 1 and kinds[0].ok else "variant"
             aggregates.append(F.collect_list(F.when(F.col("p") == p, _value(kind))).alias(kinds[0].name))
-        wide = rows.groupBy(F.col("s").alias("@id")).agg(*aggregates)
-        kept(wide.withColumn("@name", local_name(F.col("`@id`"))), f"label-{k}")
+        wide = rows.groupBy(F.col("s").alias("@id")).agg(*aggregates).withColumn("@name", local_name(F.col("`@id`")))
+        writes.append(lambda wide=wide, k=k: kept(wide, f"label-{k}"))
         config["nodes"].append({"label": t.label, "path": f"{where}label-{k}", "key": "@id", "labels": "@labels", "carries": sorted(set(t.carried) - {t.label})})
 
+    at_once(spark, writes, 8)
     ends = [nodes.select(F.col("id").alias(c), F.col("label").alias(x)) for c, x in (("s", "from"), ("o", "to"))]
     rels = links.where(F.col("p") != TYPE).join(ends[0], "s").join(ends[1], "o")
     rels = rels.select(F.col("s").alias("src"), F.col("o").alias("dst"), "p", upper_snake(local_name(F.col("p"))).alias("type"), "from", "to")

@@ -188,7 +188,7 @@ def components(spark, tmp_path_factory):
     graph = imported(spark, folder, "\n".join(t for t, *_ in COMPONENTS.values()))
     shapes = ["ex:Marked sh:property [ sh:path ex:mark ; sh:minCount 1 ] .", "ex:Pier a rdfs:Class , sh:NodeShape ; sh:property [ sh:path ex:planks ; sh:minCount 1 ] ."]
     shapes += [f"ex:C{k} {body} ." for k, (_, body, _) in enumerate(COMPONENTS.values()) if body]
-    report = validate(graph, compile_shapes([Document("s.ttl", HEAD + "\n".join(shapes))], graph.snapshot(), Options(node_key="@name")))
+    report = validate(graph, compile_shapes([Document("s.ttl", HEAD + "\n".join(shapes))], graph.snapshot(), Options(node_key="@name")), workers=4)
     assert not [(r.rule_id, r.status_reason) for r in report.rules if r.status == "error"]
     return found(report)
 
