@@ -147,8 +147,9 @@ class Conditions:
         return pairs
 
     def _counted_pairs(self, e: Count, t: NodeTable) -> DataFrame:
-        pairs = self.paths.pairs(e.source.hops, t.label)
-        if e.filter != Bool(True) or not e.source.nodes:
+        plain = e.filter == Bool(True) and e.source.nodes
+        pairs = self.paths.pairs(e.source.hops, t.label, (e.n if e.least else e.n + 1) if plain else None)
+        if not plain:
             pairs = pairs.join(self._ends(e.source, e.filter, t, True), ["el", "eid"], "left_semi")
         return pairs
 
@@ -188,7 +189,7 @@ class Conditions:
             if exists:
                 df, some = self._flag(df, pairs)
                 return df, some if e.least else ~some
-            counted = pairs.groupBy("sid").agg(F.count_distinct("el", "eid").alias("n"))
+            counted = self._ends_counted(pairs, t, e)
         else:
             rows = self._value_rows(e.source, t, e.filter)
             counted = self.paths.pairs(e.source.hops, t.label).join(rows, ["el", "eid"]).groupBy("sid").agg(F.count_distinct("family", "v").alias("n"))
@@ -197,6 +198,14 @@ class Conditions:
         n = F.coalesce(F.col(name), F.lit(0))
         return df.join(counted, F.col(ID) == F.col(f"{name}k"), "left").drop(f"{name}k"), (n >= e.n) if e.least else (n <= e.n)
 
+    def _ends_counted(self, pairs: DataFrame, t: NodeTable, e: Count) -> DataFrame:
+        """sid and n, the number of different ends. Where only one or two matter, the least and the greatest tell:
+        one row of each start leaves a task, however many relationships a hub has."""
+        if (e.n if e.least else e.n + 1) == 2:
+            end = F.struct("el", "eid") if len(self.paths.ends(e.source.hops, {t.label})) > 1 else F.col("eid")
+            return pairs.groupBy("sid").agg((F.min(end) != F.max(end)).cast("int").alias("n")).withColumn("n", F.col("n") + 1)
+        return pairs.groupBy("sid").agg(F.count_distinct("el", "eid").alias("n"))
+
     def _value_rows(self, source: Source, t: NodeTable, test: Expr) -> DataFrame:
         """el, eid, family, v (text) of the values at path ends that satisfy a test."""
         found = []

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SourceError
@@ -27,13 +27,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration with a reliable checkpoint in the cluster's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        if not sc.master.startswith("local"):
-            raise SourceError("repeated paths need spark.checkpoint.dir: a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphwarden-"))
-    return df.checkpoint()
+    """Cut the lineage of an iteration with a table in the cluster's shared folder; it outlives lost executors, and
+    how many rows it has is in its footers."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables of repeated paths by application: plans that are lazy read them.
+_written: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables of repeated paths, once no result that reads them is needed."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -78,10 +89,49 @@ class Paths:
             out |= front
         return out
 
-    def pairs(self, step: Step, label: str) -> DataFrame:
-        """Pairs of a whole path from the nodes of a label; parallel ways may repeat a pair."""
+    def pairs(self, step: Step, label: str, enough: int | None = None) -> DataFrame:
+        """Pairs of a whole path from the nodes of a label; parallel ways may repeat a pair. ``enough``: so many
+        different ends of a start will do; starts of a repeated path that have them go no further."""
+        if isinstance(step, Repeat) and step.most > 1:
+            return self._closure(step, {label}, enough)
         return self._extend(step, None, {label})
 
+    def _closure(self, step: Repeat, labels: set[str], enough: int | None) -> DataFrame:
+        """Pairs within ``step.most`` hops from all nodes of the labels, in a number of rounds that is the logarithm
+        of it: what is 1 to 2k hops away is at most k hops away, or k hops from a node that is exactly k hops away.
+        Each pair has its least distance, so every round joins only pairs of distance k with known ones. With
+        ``enough``, a start keeps its nearest ends only: those of a start that has too few are complete."""
+        on = ["sl", "sid", "el", "eid"]
+        every = labels | self.ends(Repeat(step.part, 1, step.most), labels)
+        known = self.edges(step.part, every).distinct().withColumn("d", F.lit(1))
+        if enough is not None:
+            known = cut(self._nearest(known, enough))
+        else:
+            known = cut(known)
+        reached = 1
+        while reached < step.most:
+            more = min(reached, step.most - reached)
+            front = known.where(F.col("d") == reached)
+            if enough is not None:
+                full = known.groupBy("sl", "sid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough)
+                front = front.join(full, ["sl", "sid"], "left_anti")
+            ahead = known.where(F.col("d") <= more).select(F.col("sl").alias("el"), F.col("sid").alias("eid"), F.col("el").alias("nl"), F.col("eid").alias("nid"), F.col("d").alias("nd"))
+            new = front.join(ahead, ["el", "eid"]).groupBy("sl", "sid", F.col("nl").alias("el"), F.col("nid").alias("eid")).agg(F.min(F.col("d") + F.col("nd")).alias("d"))
+            new = cut(new.join(known, on, "left_anti"))
+            if new.isEmpty():
+                break
+            known = known.unionAll(new)
+            if enough is not None:
+                known = cut(self._nearest(known, enough))
+            reached += more
+        found = known.where(F.col("sl").isin(*labels)).select(*on)
+        return found.unionAll(self._nodes(labels)).distinct() if step.least == 0 else found
+
+    @staticmethod
+    def _nearest(known: DataFrame, n: int) -> DataFrame:
+        near = Window.partitionBy("sl", "sid").orderBy("d", "el", "eid")
+        return known.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= n).drop("nth")
+
     def _nodes(self, labels: set[str]) -> DataFrame:
         found = [
             t.df.withColumn("sid", column(t.key).cast(self.graph.key_type(t.label))).select(F.lit(t.label).alias("sl"), "sid", F.lit(t.label).alias("el"), F.col("sid").alias("eid"))

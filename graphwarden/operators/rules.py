@@ -3,7 +3,8 @@
 Columns: rule_id, rule_name, shape, path, constraint, severity, focus_label (of a node with several labels
 the first that is targeted), focus_key, focus_id, focus_start and focus_end (the endpoints' keys of a
 relationship), value, value_label and value_key (if the value is a node), message, details, properties (JSON of
-the focus, if verbose). Rules over the same label that need no joins are fused: one scan tests them all."""
+the focus, if verbose). Rules over the same label that need no joins are fused: one scan tests them all; rules over the nodes at
+the end of one path share the path."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ from pyspark.sql.types import VariantType
 from ..functions import nested
 from ..functions.names import column
 from ..functions.tests import shown, value_condition
-from ..plans.ir import Bool, Count, Focus, Rel, Rule, Source, closed_in, sources_of
+from ..plans.ir import Bool, Count, Focus, Rel, Rule, Source, Step, closed_in, sources_of
 from ..sources.graph import NodeTable, PropertyGraph
 from .conditions import ID, Conditions, has_value, property_values, tester
 from .paths import union
@@ -61,6 +62,14 @@ def joins_needed(rule: Rule) -> bool:
     return any(s.hops is not None for s in hops) or any(closed_in(e) for e in exprs)
 
 
+def way(rule: Rule) -> Step | None:
+    """The path of a rule that only asks for the nodes at its end: counts of them, or a condition of each."""
+    if rule.source is not None:
+        return rule.source.hops if rule.source.nodes else None
+    e = rule.holds
+    return e.source.hops if isinstance(e, Count) and e.source.nodes and not rule.details else None
+
+
 class Engine:
     """``only``: violations of this node table alone (the others still serve as what paths lead to)."""
 
@@ -265,7 +274,15 @@ class Engine:
                 alone.append(r)
             else:
                 groups.setdefault((r.focus, r.key), []).append(r)
-        out = [([r], self.violations(r)) for r in alone]
+        out, ways = [], {}
+        for r in alone:
+            ways.setdefault((r.focus, r.key, way(r)) if way(r) else (r.rule_id,), []).append(r)
+        for group in ways.values():
+            if len(group) == 1:
+                out.append((group, self.violations(group[0])))
+            else:
+                frames = [self._along(group, f) for f in self.focus(group[0])]
+                out.append((group, union(frames) if frames else self.empty()))
         for group in groups.values():
             if len(group) == 1:
                 out.append((group, self.violations(group[0])))
@@ -274,6 +291,69 @@ class Engine:
             out.append((group, union(frames) if frames else self.empty()))
         return out
 
+    def _along(self, rules: list[Rule], f: FocusTable) -> DataFrame:
+        """Rules over the nodes at the end of one path: its pairs are found once, different ones are counted in one
+        aggregate with a condition for each rule, and pairs whose end fails are listed from the same exchange."""
+        c, t, hops = self.conditions, f.table, way(rules[0])
+        counts = [(k, r) for k, r in enumerate(rules) if r.source is None]
+        values = [(k, r) for k, r in enumerate(rules) if r.source is not None]
+        wanted = [r.holds.n if r.holds.least else r.holds.n + 1 for _, r in counts]
+        enough = max(wanted) if not values and all(r.holds.filter == Bool(True) for _, r in counts) else None
+        pairs = c.paths.pairs(hops, t.label, enough).select("sid", "el", "eid")
+        pairs = pairs.distinct() if counts else pairs
+        filtered = [(k, r) for k, r in counts if r.holds.filter != Bool(True)]
+        marked = pairs
+        if filtered or values:
+            ends = []
+            for end in c.end_tables(Source(hops), t):
+                df, flags, failed = c.nodes(end), [], []
+                for k, r in filtered:
+                    df, x = c.on_nodes(r.holds.filter, end, df)
+                    flags.append(x.alias(f"f{k}"))
+                for k, r in values:
+                    df, x = c.on_nodes(r.holds, end, df)
+                    tests = []
+                    for d in r.details:
+                        df, y = c.on_nodes(d.holds, end, df)
+                        tests.append(y)
+                    failed.append(F.when(~x, F.struct(F.lit(k).alias("k"), self._failed(r, tests).alias("details"))))
+                failed = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<struct<k:int,details:array<string>>>")
+                df = df.select(F.lit(end.label).alias("el"), F.col(ID).alias("eid"), self._key(end).alias("vk"), *flags, failed.alias("failed"))
+                telling = F.size("failed") > 0
+                for k, _ in filtered:
+                    telling = telling | F.col(f"f{k}")
+                ends.append(df.where(telling))
+            if ends:
+                marked = pairs.join(union(ends), ["el", "eid"], "left")
+        found = []
+        if counts:
+            number = lambda k, r: F.count(F.lit(1)) if r.holds.filter == Bool(True) else F.count(F.when(F.col(f"f{k}"), 1)) if f"f{k}" in marked.columns else F.sum(F.lit(0))
+            counted = (marked if filtered else pairs).groupBy("sid").agg(*(number(k, r).alias(f"n{k}") for k, r in counts))
+            df = f.df.select(*CARRIED).join(counted, F.col(ID) == F.col("sid"), "left")
+            n = lambda k: F.coalesce(F.col(f"n{k}"), F.lit(0))
+            broken = [F.when(n(k) < r.holds.n if r.holds.least else n(k) > r.holds.n, F.lit(k)) for k, r in counts]
+            rows = df.select(*CARRIED, F.explode(F.array_compact(F.array(*broken))).alias("k"))
+            found.append(rows.select(*CARRIED, "k", _nothing().alias("value"), self._no_details().alias("details"), _nothing().alias("vl"), _nothing().alias("vk")))
+        if values and "failed" in marked.columns:
+            bad = marked.where(F.size("failed") > 0).select("sid", "el", "eid", "vk", F.explode("failed").alias("x"))
+            bad = bad if counts else bad.distinct()  # few of the pairs
+            df = f.df.select(*CARRIED).join(bad, F.col(ID) == F.col("sid"))
+            found.append(df.select(*CARRIED, F.col("x.k").alias("k"), F.col("eid").cast("string").alias("value"), F.col("x.details").alias("details"), F.col("el").alias("vl"), "vk"))
+        if not found:
+            return self.empty()
+        return self._named(rules, union(found), F.col("vl"), F.col("vk"))
+
+    def _named(self, rules: list[Rule], rows: DataFrame, label: Column, key: Column) -> DataFrame:
+        """Rows with the place k of their rule as violations; ``label`` and ``key``: those of a value that is a node."""
+        names = COLUMNS[:6] + ["message"]
+        fixed = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(names, (r.rule_id, r.name, r.shape, r.path, r.constraint, r.severity, r.message)))) for r in rules))
+        rows = rows.withColumns({"vl": label, "vk": key}).withColumn("r", fixed[F.col("k")])
+        message = self._message(F.col("r.message"), F.col(KEY), F.col("value")) if any("{" in r.message for r in rules) else F.col("r.message")
+        return rows.select(
+            *(F.col(f"r.{c}") for c in COLUMNS[:6]), F.col(LABEL).alias("focus_label"), F.col(KEY).alias("focus_key"), F.col(ID).cast("string").alias("focus_id"), F.col(START).alias("focus_start"), F.col(END).alias("focus_end"),
+            "value", F.col("vl").alias("value_label"), F.col("vk").alias("value_key"), message.alias("message"), "details", F.col(PROPERTIES).alias("properties"),
+        )
+
     def _scan(self, rules: list[Rule], f: FocusTable) -> DataFrame:
         t, parts, filters = f.table, [], []
         for k, r in enumerate(rules):
@@ -291,14 +371,8 @@ class Engine:
         # if every rule has a plain condition, rows that break none of them are dropped at the scan
         df = f.df.where(reduce(Column.__or__, filters)) if len(filters) == len(rules) else f.df
         rows = df.select(*CARRIED, F.explode(F.array_compact(F.concat(*parts))).alias("x")).select(*CARRIED, "x.*")
-        fixed = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(COLUMNS[:6] + ["message"], (r.rule_id, r.name, r.shape, r.path, r.constraint, r.severity, r.message))), F.lit(r.source is not None and r.source.is_self).alias("self")) for r in rules))
-        rows = rows.withColumn("r", fixed[F.col("k")])
-        message = self._message(F.col("r.message"), F.col(KEY), F.col("value")) if any("{" in r.message for r in rules) else F.col("r.message")
-        node = lambda c: F.when(F.col("r.self"), F.col(c))
-        return rows.select(
-            *(F.col(f"r.{c}") for c in COLUMNS[:6]), F.col(LABEL).alias("focus_label"), F.col(KEY).alias("focus_key"), F.col(ID).cast("string").alias("focus_id"), F.col(START).alias("focus_start"), F.col(END).alias("focus_end"),
-            "value", node(LABEL).alias("value_label"), node(KEY).alias("value_key"), message.alias("message"), "details", F.col(PROPERTIES).alias("properties"),
-        )
+        own = F.array(*(F.lit(r.source is not None and r.source.is_self) for r in rules))[F.col("k")]
+        return self._named(rules, rows, F.when(own, F.col(LABEL)), F.when(own, F.col(KEY)))
 
     # -- results of many rules
     def all_violations(self, rules: list[Rule]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import Limit, at_once
-from .operators.rules import Engine, first_of_each
+from .operators.rules import Engine, first_of_each, joins_needed, way
 from .plans.ir import Rule
 from .plans.manifest import VERSION, Compilation
 from .sources.graph import PropertyGraph
@@ -177,11 +177,9 @@ def plans_text(graph: PropertyGraph, compiled: Compilation) -> str:
 def _groups(engine: Callable[[], Engine], rules: list[Rule]):
     """Groups of rules with a function that plans them, by an engine of its own; a plan that fails spoils its
     group only."""
-    from .operators.rules import joins_needed
-
     fused: dict[tuple, list[Rule]] = {}
     for r in rules:
         if r.status == "compiled":
-            fused.setdefault((r.focus, r.key) if not joins_needed(r) else (r.rule_id,), []).append(r)
+            fused.setdefault((r.focus, r.key) if not joins_needed(r) else (r.focus, r.key, way(r)) if way(r) else (r.rule_id,), []).append(r)
     for group in fused.values():
         yield group, lambda group=group: engine().all_violations(group)

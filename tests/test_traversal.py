@@ -1,0 +1,145 @@
+"""Paths as plans: repeated paths against a search, counts that stop early, rules that share a path."""
+
+import random
+import re
+
+import pytest
+
+from graphwarden import Document, Engine, NodeTable, Options, PropertyGraph, RelTable, compile_shapes, validate
+from graphwarden.operators import paths
+from graphwarden.operators.paths import Paths
+from graphwarden.plans.ir import Rel, Repeat
+
+from test_rules import HEAD, found, rel
+
+
+def reach(edges, start, most):
+    """Nodes one to ``most`` hops away, breadth first."""
+    out, front = set(), {start}
+    for _ in range(most):
+        front = {b for a in front for b in edges.get(a, ())} - out
+        out |= front
+    return out
+
+
+def network(spark, seed, n=40, degree=1.3):
+    """Two labels and three tables of one relationship type, with cycles, loops and parallel relationships."""
+    rng = random.Random(seed)
+    a, b = [f"a{i}" for i in range(n)], [f"b{i}" for i in range(n // 2)]
+    tables = {("A", "A"): [], ("A", "B"): [], ("B", "A"): []}
+    for _ in range(int(n * degree)):
+        tables["A", "A"].append((rng.choice(a), rng.choice(a)))
+    for _ in range(n // 3):
+        tables["A", "B"].append((rng.choice(a), rng.choice(b)))
+        tables["B", "A"].append((rng.choice(b), rng.choice(a)))
+    tables["A", "A"] += tables["A", "A"][:5]
+    edges = {}
+    for rows in tables.values():
+        for s, e in rows:
+            edges.setdefault(s, set()).add(e)
+    graph = PropertyGraph(
+        [NodeTable("A", spark.createDataFrame([(x,) for x in a], "id string")), NodeTable("B", spark.createDataFrame([(x,) for x in b], "id string"))],
+        [rel(spark, "TO", s, e, rows) for (s, e), rows in tables.items()],
+    )
+    return graph, edges, a, b
+
+
+@pytest.mark.parametrize("seed, most, least", [(1, 10, 1), (2, 3, 1), (3, 7, 0), (4, 2, 0), (5, 12, 1)])
+def test_closure_like_a_search(spark, seed, most, least):
+    graph, edges, a, _ = network(spark, seed)
+    want = {(x, y) for x in a for y in reach(edges, x, most)} | ({(x, x) for x in a} if least == 0 else set())
+    rows = [(r.sid, r.eid) for r in Paths(graph).pairs(Repeat(Rel(("TO",)), least, most), "A").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    back = {(x, y) for y in [*edges, *{z for v in edges.values() for z in v}] for x in reach(edges, y, most) if x.startswith("a")}
+    got = {(r.sid, r.eid) for r in Paths(graph).pairs(Repeat(Rel(("TO",), False), 1, most), "A").collect()}
+    assert got == {(x, y) for x, y in back}
+
+
+@pytest.mark.parametrize("enough", [1, 2, 4, 9])
+@pytest.mark.parametrize("least", [0, 1])
+def test_starts_that_have_enough_stop(spark, enough, least):
+    """Below the bound the ends are complete, from it on there are at least so many."""
+    graph, edges, a, _ = network(spark, 7, n=60)
+    got = {x: set() for x in a}
+    for r in Paths(graph).pairs(Repeat(Rel(("TO",)), least, 9), "A", enough).collect():
+        got[r.sid].add(r.eid)
+    for x in a:
+        want = reach(edges, x, 9) | ({x} if least == 0 else set())
+        assert got[x] <= want and (got[x] == want or len(got[x]) >= enough), x
+        assert len(got[x]) <= enough + 1
+
+
+@pytest.mark.parametrize("bound", [0, 1, 2, 5])
+def test_bounded_counts(spark, bound):
+    """Hubs, parallel relationships and ends of two labels, against plain counting."""
+    rng = random.Random(bound)
+    hub = [("h0", f"x{rng.randrange(3) if k % 2 else k}") for k in range(400)] + [("h1", "x1")] * 300 + [("h2", "x1"), ("h2", "x2")] * 90 + [(f"h{i}", f"x{rng.randrange(9)}") for i in range(3, 40) for _ in range(i % 7)]
+    other = [("h2", "x1"), ("h5", "x2"), ("h6", "x6")]
+    nodes = lambda label, names: NodeTable(label, spark.createDataFrame([(x,) for x in sorted(names)], "id string"))
+    graph = PropertyGraph([nodes("H", {f"h{i}" for i in range(45)}), nodes("X", {f"x{i}" for i in range(400)}), nodes("Y", {f"x{i}" for i in range(9)})], [rel(spark, "TO", "H", "X", hub), rel(spark, "TO", "H", "Y", other)])
+    count = {f"h{i}": len({("X", e) for s, e in hub if s == f"h{i}"} | {("Y", e) for s, e in other if s == f"h{i}"}) for i in range(45)}
+    for test in ("maxCount", "minCount"):
+        text = HEAD + f"ex:S sh:targetClass ex:H ; sh:property [ sh:path ex:to ; sh:{test} {bound} ] ."
+        broken = sorted(h for h, n in count.items() if (n > bound if test == "maxCount" else n < bound))
+        assert found(validate(graph, compile_shapes([Document("s.ttl", text)], graph.snapshot()), limit=0)) == ({f"ex:S/ex:to/sh:{test}": broken} if broken else {})
+
+
+def test_one_row_of_a_start_leaves_a_task_for_bounds_of_one(spark, tmp_path):
+    spark.range(3000).selectExpr("id % 3 AS src", "id AS dst").write.parquet(f"{tmp_path}/to")
+    graph = PropertyGraph([NodeTable("H", spark.range(3)), NodeTable("X", spark.range(3000))], [RelTable("TO", "H", "X", spark.read.parquet(f"{tmp_path}/to"))])
+    text = HEAD + "ex:S sh:targetClass ex:H ; sh:property [ sh:path ex:to ; sh:maxCount 1 ] ."
+    df = Engine(graph).all_violations(compile_shapes([Document("s.ttl", text)], graph.snapshot()).rules)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and "count(distinct" not in plan and df.count() == 3
+
+
+SHARED = """ex:S sh:targetClass ex:Order ; sh:property [ sh:path ex:by ; sh:minCount 2 ; sh:maxCount 3 ; sh:class ex:Firm ; sh:node ex:Big ; sh:nodeKind sh:Literal ; sh:hasValue ex:3 ;
+ sh:qualifiedValueShape ex:Big ; sh:qualifiedMinCount 1 ; sh:qualifiedMaxCount 2 ] . ex:Big sh:property [ sh:path ex:size ; sh:minInclusive 50 ] . ex:by w:relationship "BY" ."""
+
+
+@pytest.fixture(scope="module")
+def trade(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("trade"))
+    spark.range(200).selectExpr("id % 50 AS src", "(id * 7 + id % 11) % 10 AS dst").write.parquet(f"{folder}/by")
+    spark.range(10).selectExpr("id", "id * 11 AS size").write.parquet(f"{folder}/firms")
+    orders, firms = spark.range(55), spark.read.parquet(f"{folder}/firms")
+    return PropertyGraph([NodeTable("Order", orders), NodeTable("Firm", firms)], [RelTable("BY", "Order", "Firm", spark.read.parquet(f"{folder}/by"))])
+
+
+def test_rules_on_a_path_share_it(spark, trade):
+    """Eight rules, one exchange of the relationships; the same rows as each rule alone."""
+    compiled = compile_shapes([Document("s.ttl", HEAD + SHARED)], trade.snapshot(), Options(node_key="id"))
+    rules = [r for r in compiled.rules if r.status == "compiled"]
+    assert len(rules) == 7
+    engine = Engine(trade, "id")
+    together = engine.fused(rules)
+    assert len(together) == 1
+    columns = ["rule_id", "focus_key", "value", "value_label", "value_key", "message", "details"]
+    rows = lambda df: sorted(str(tuple(r)) for r in df.select(*columns).collect())
+    alone = sorted(x for r in rules for x in rows(Engine(trade, "id").violations(r)))
+    df = together[0][1]
+    assert rows(df) == alone and len(alone) > 100
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
+    own = [x for x in final.splitlines() if re.search(r"Exchange hashpartitioning\(sid#\d+L?, \w+#\d+, eid#\d+L?", x)]
+    assert len([x for x in own if "ReusedExchange" not in x]) == 1 and len(own) == 2
+
+
+def test_values_alone_need_no_distinct_pairs(spark, trade):
+    text = HEAD + 'ex:by w:relationship "BY" . ex:S sh:targetClass ex:Order ; sh:property [ sh:path ex:by ; sh:in (ex:1 ex:2) ; sh:node [ sh:property [ sh:path ex:size ; sh:maxInclusive 50 ] ] ] .'
+    rules = compile_shapes([Document("s.ttl", text)], trade.snapshot(), Options(node_key="id")).rules
+    df = Engine(trade, "id").fused(rules)[0][1]
+    alone = [Engine(trade, "id").violations(r) for r in rules]
+    assert df.count() == sum(x.count() for x in alone) > 0
+
+
+def test_tables_of_repeated_paths_are_cleared(spark):
+    graph, *_ = network(spark, 9)
+    Paths(graph).pairs(Repeat(Rel(("TO",)), 1, 5), "A").count()
+    kept = paths._written[spark.sparkContext.applicationId]
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept[0])
+    there = lambda: path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert there()
+    paths.clear(spark)
+    assert not there() and spark.sparkContext.applicationId not in paths._written
