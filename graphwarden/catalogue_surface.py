@@ -19,6 +19,7 @@ from .plans.lower import Options
 from .plans.manifest import compile_shapes, load_manifest
 from .report import render, sarif
 from .runner import exit_code, validate
+from .sink import store, violations
 from .sources import ntriples
 from .sources.graph import NodeTable, PropertyGraph, RelTable, load_graph
 from .sources.retail import retail_graph
@@ -144,6 +145,15 @@ def schema_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, [(p["name"], p["type"]) for p in part["properties"]] + [("observed", ",".join(graph.observed()["Part.any"]))], "name string, type string")
 
 
+@query("SELECT 'BY_USER' AS type, CASE WHEN user_id <= 40 THEN 'Few' WHEN user_id IN (SELECT c_custkey FROM customer) THEN 'Customer' END AS \"to\", count(*) AS n FROM events GROUP BY ALL")
+def observed_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels at which relationships end, beside the declared one: the first forty customers are a table of their own."""
+    customer, events = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("customer", "events"))
+    nodes = [NodeTable("Customer", customer.where("c_custkey > 40"), "c_custkey"), NodeTable("Few", customer.where("c_custkey <= 40"), "c_custkey"), NodeTable("Event", events.withColumn("event_id", F.concat(F.lit("e"), "event_id")), "event_id")]
+    graph = PropertyGraph(nodes, [RelTable("BY_USER", "Event", "Customer", events.select(F.concat(F.lit("e"), "event_id").alias("src"), F.col("user_id").alias("dst")))])
+    return _facts(spark, [(x["type"], x["to"], x["rows"]) for x in graph.observed_endpoints()], "type string, to string, n long")
+
+
 # -- paths, targets and mappings
 @query(_found("ex:S/ex:inRegion|^ex:inNation/sh:maxCount", "Nation", "n_nationkey", "FROM nation WHERE 1 + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) > 60"))
 def path_many_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,6 +314,19 @@ def source_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _violations(spark, sf_dir, [_document(_TRIPLES)], ["rule_id", "focus_key"], graph=graph, node_key="@name")
 
 
+@query("SELECT 'ex:S/ex:l_discount/sh:maxInclusive' AS rule_id, CAST(l_orderkey AS VARCHAR) AS focus_start, CAST(l_partkey AS VARCHAR) AS focus_end, count(*) AS n FROM lineitem WHERE l_discount > 0.05 GROUP BY ALL UNION ALL "
+       "SELECT 'ex:T/ex:o_totalprice/sh:maxInclusive', NULL, CAST(o_orderkey AS VARCHAR), 1 FROM orders WHERE o_totalprice > 100000")
+def stored_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All violations written as a table, twice, and read again."""
+    graph, folder = retail_graph(spark, sf_dir), shared_folder(spark)
+    text = 'ex:S w:targetRelationship "CONTAINS" ; sh:property [ sh:path ex:l_discount ; sh:maxInclusive 0.05 ] . ex:T sh:targetClass ex:Order ; sh:property [ sh:path ex:o_totalprice ; sh:maxInclusive 100000 ] .'
+    c = compile_shapes([_document(text)], graph.snapshot())
+    for _ in range(2):
+        store(graph, c, folder, workers=2)
+    end = F.coalesce("focus_end", "focus_key").alias("focus_end")
+    return violations(spark, folder).groupBy("rule_id", "focus_start", end).agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- summaries and reports
 _RULES = "ex:S sh:targetClass ex:Customer ; sh:property [ sh:path ex:c_acctbal ; sh:minInclusive 0 ; sh:severity sh:Warning ] ; sh:property [ sh:path ex:c_mktsegment ; sh:maxLength 8 ] ; sh:property [ sh:path ex:c_name ; sh:minCount 1 ] ; sh:property [ sh:path ex:c_custkey ; sh:datatype xsd:long ] ."
 _COUNTED = """(SELECT 'ex:S/ex:c_acctbal/sh:minInclusive' AS rule_id, 'Warning' AS severity, count(*) AS n FROM customer WHERE c_acctbal < 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from contextlib import nullcontext
 from pathlib import Path
 
 from .errors import WardenError
@@ -12,6 +13,8 @@ from .plans.lower import Options
 from .plans.manifest import compile_shapes, load_manifest, read_snapshot
 from .report import render
 from .runner import exit_code, plans_text, validate
+from . import sink
+from .sink import store
 from .sources.graph import load_graph
 from .sources.ntriples import project, read
 
@@ -41,6 +44,7 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--limit", type=int, default=100, help="violations listed for each rule; 0: all")
     run.add_argument("--sample-size", type=int, default=5)
     run.add_argument("--timeout", type=float)
+    run.add_argument("--store", metavar="FOLDER", help="write all violations as a table there; json and sarif are streamed from it")
     run.add_argument("--workers", type=int, default=1, help="groups of rules that run at the same time")
     run.add_argument("--fail-on", choices=["violation", "warning", "info"], default="violation")
     plan = commands.add_parser("plan", help="print the physical plan of each group of rules")
@@ -48,7 +52,7 @@ def _parser() -> argparse.ArgumentParser:
     plan.add_argument("--graph", required=True)
     dump = commands.add_parser("schema", help="print a graph's schema snapshot")
     dump.add_argument("--graph", required=True)
-    dump.add_argument("--observed", action="store_true", help="also the types that occur in properties without a declared one (reads the data)")
+    dump.add_argument("--observed", action="store_true", help="also the types that occur in properties without a declared one, and the labels at which relationships start and end (reads the data)")
     dump.add_argument("-o", "--output")
     load = commands.add_parser("import", help="turn N-Triples into node and relationship tables and write their graph configuration")
     load.add_argument("triples", nargs="+")
@@ -100,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
         graph = load_graph(_session(), a.graph)
         if a.command == "schema":
             text = graph.snapshot().to_json()
-            _write((json.dumps({"schema": json.loads(text), "observedTypes": graph.observed()}, indent=2) if a.observed else text) + "\n", a.output)
+            _write((json.dumps({"schema": json.loads(text), "observedTypes": graph.observed(), "observedEndpoints": graph.observed_endpoints()}, indent=2) if a.observed else text) + "\n", a.output)
             return 0
         if a.command == "plan":
             schema = read_snapshot(a.schema) if a.schema else graph.snapshot()
@@ -110,6 +114,14 @@ def main(argv: list[str] | None = None) -> int:
             raise WardenError("give either shape files or a manifest")
         schema = read_snapshot(a.schema) if a.schema else graph.snapshot()
         compiled = load_manifest(Path(a.manifest).read_text(encoding="utf-8"), schema) if a.manifest else compile_shapes(a.shapes, schema, _options(a), a.ontology, _fetch)
+        if a.store:
+            report = store(graph, compiled, a.store, a.sample_size, a.timeout, a.workers)
+            if a.format in sink.FORMATS:
+                with open(a.output, "w", encoding="utf-8") if a.output else nullcontext(sys.stdout) as out:
+                    sink.stream(graph.spark, compiled, a.store, a.format, out.write)
+            else:
+                _write(render(report, a.format), a.output)
+            return exit_code(report, a.fail_on)
         report = validate(graph, compiled, a.limit or None, a.sample_size, a.timeout, a.workers)
         _write(render(report, a.format), a.output)
         return exit_code(report, a.fail_on)

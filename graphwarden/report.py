@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import xml.etree.ElementTree as ET
 from collections import defaultdict
+from collections.abc import Callable
 from itertools import groupby
 
 from .plans.manifest import VERSION
@@ -123,6 +124,20 @@ def sarif(report: Report) -> dict:
     return _Sarif(report).log()
 
 
+def sarif_parts(data: dict) -> tuple[str, str, Callable[[dict, dict], dict]]:
+    """For results that are written one after the other: the log's text before and after them, and what makes one of
+    a rule's and a violation's JSON. ``data``: a report's JSON."""
+    rules = [
+        RuleResult(r["name"], r["ruleId"], r["shape"], r["path"], r["constraint"], r["severity"], r["status"], r["message"], r["source"]["file"], r["source"]["line"], r["statusReason"], r["violationCount"])
+        for r in data["rules"]
+    ]
+    made, by = _Sarif(Report(rules, 0)), {r.rule_id: r for r in rules}
+    log = made.log()
+    log["runs"][0]["results"] = []
+    before, after = json.dumps(log, ensure_ascii=False).split('"results": []')
+    return f'{before}"results": [', f"]{after}\n", lambda r, v: made.result(by[r["ruleId"]], v)
+
+
 def _json(data: dict) -> str:
     return json.dumps(data, indent=2, ensure_ascii=False) + "\n"
 

@@ -87,7 +87,7 @@ def _skipped(r: Rule) -> tuple[str, str | None]:
     return "skipped", r.reason or r.status
 
 
-def _row(row, rule: Rule, node_key: str | None) -> dict:
+def as_violation(row, rule: Rule, node_key: str | None) -> dict:
     d = row.asDict()
     if any(f.kind == "relationships" for f in rule.focus):
         focus = {"type": d["focus_label"], "startKey": d["focus_start"], "endKey": d["focus_end"], "elementId": d["focus_id"]}
@@ -106,7 +106,7 @@ def focus_name(focus: dict) -> tuple[str, str]:
     return (focus["type"], f"{focus['startKey']}->{focus['endKey']}") if "type" in focus else (str(focus["label"]), str(focus["keyValue"]))
 
 
-def _cause(error: Exception) -> str:
+def cause(error: Exception) -> str:
     """The first line of what went wrong at the bottom of an error."""
     java = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
     while java is not None and java.getCause() is not None:
@@ -115,9 +115,18 @@ def _cause(error: Exception) -> str:
     return next((x for x in text.splitlines() if x.strip()), type(error).__name__)
 
 
+def blank_results(compiled: Compilation) -> dict[str, RuleResult]:
+    """The results of a run that has found nothing yet."""
+    results: dict[str, RuleResult] = {}
+    for r in compiled.rules:
+        status, reason = ("passed", None) if r.status == "compiled" else _skipped(r)
+        results[r.rule_id] = RuleResult(r.name, r.rule_id, r.shape, r.path, r.constraint, r.severity, status, r.message, r.file, r.line, reason)
+    return results
+
+
 def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 100, sample_size: int = 5, timeout: float | None = None, workers: int = 1) -> Report:
     """Run every rule. ``limit``: violations listed for each rule (None or 0: all, for graphs whose violations fit in
-    the driver; ``sources.sink`` writes them as a table instead); ``timeout``: seconds for each group of rules that
+    the driver; ``sink.store`` writes them as a table instead); ``timeout``: seconds for each group of rules that
     share a scan; ``workers``: groups that run at the same time, each from a thread of its own in a scheduler pool
     of its own. What is set for the calling thread (tags, descriptions) holds for all of them, so cancelling the
     caller's tag cancels them all; a group's timeout cancels that group's jobs alone."""
@@ -125,10 +134,7 @@ def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 10
     spark = graph.spark
     engine = lambda: Engine(graph, compiled.options.node_key, compiled.options.verbose)
     rules = {r.rule_id: r for r in compiled.rules}
-    results: dict[str, RuleResult] = {}
-    for r in compiled.rules:
-        status, reason = ("passed", None) if r.status == "compiled" else _skipped(r)
-        results[r.rule_id] = RuleResult(r.name, r.rule_id, r.shape, r.path, r.constraint, r.severity, status, r.message, r.file, r.line, reason)
+    results = blank_results(compiled)
 
     def run(group: list[Rule], plan) -> None:
         start = time.monotonic()
@@ -140,7 +146,7 @@ def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 10
             except Exception as error:
                 for r in group:
                     results[r.rule_id].status = "timeout" if bound.hit else "error"
-                    results[r.rule_id].status_reason = None if bound.hit else _cause(error)
+                    results[r.rule_id].status_reason = None if bound.hit else cause(error)
                 counts = None
             if counts is not None:
                 for r in group:
@@ -151,30 +157,30 @@ def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 10
                     try:
                         bound.check()
                         for row in (first_of_each(frame, limit) if limit else frame).collect():
-                            results[row["rule_id"]].violations.append(_row(row, rules[row["rule_id"]], compiled.options.node_key))
+                            results[row["rule_id"]].violations.append(as_violation(row, rules[row["rule_id"]], compiled.options.node_key))
                     except Exception as error:
                         for i in counts:
-                            results[i].status_reason = "timed out; violations are not listed" if bound.hit else f"violations are not listed: {_cause(error)}"
+                            results[i].status_reason = "timed out; violations are not listed" if bound.hit else f"violations are not listed: {cause(error)}"
         for r in group:
             x = results[r.rule_id]
             x.duration_ms = int((time.monotonic() - start) * 1000)
             x.violations.sort(key=lambda v: focus_name(v["focus"]) + (str(v["value"]),))
             x.sample = [v["focus"] for v in x.violations[:sample_size]]
 
-    at_once(spark, [lambda g=g, p=p: run(g, p) for g, p in _groups(engine, compiled.rules)], workers)
+    at_once(spark, [lambda g=g, p=p: run(g, p) for g, p in groups_of(engine, compiled.rules)], workers)
     return Report([results[r.rule_id] for r in compiled.rules], int((time.monotonic() - began) * 1000))
 
 
 def plans_text(graph: PropertyGraph, compiled: Compilation) -> str:
     """The physical plan of each group of rules, headed by the rules' names and ids."""
     out = []
-    for group, plan in _groups(lambda: Engine(graph, compiled.options.node_key, compiled.options.verbose), compiled.rules):
+    for group, plan in groups_of(lambda: Engine(graph, compiled.options.node_key, compiled.options.verbose), compiled.rules):
         out += [f"-- name: {r.name}\n-- ruleId: {r.rule_id}" for r in group]
         out.append(plan()._jdf.queryExecution().explainString(graph.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
     return "\n".join(out) + "\n"
 
 
-def _groups(engine: Callable[[], Engine], rules: list[Rule]):
+def groups_of(engine: Callable[[], Engine], rules: list[Rule]):
     """Groups of rules with a function that plans them, by an engine of its own; a plan that fails spoils its
     group only."""
     fused: dict[tuple, list[Rule]] = {}

@@ -4,8 +4,9 @@
 from __future__ import annotations
 
 import json
-from importlib import import_module
 from dataclasses import dataclass, field
+from functools import reduce
+from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,16 +129,33 @@ class PropertyGraph:
         return out
 
     def observed(self) -> dict[str, list[str]]:
-        """For each property without a declared type (``Label.name``), the types that occur in it."""
-        return {f"{n.label}.{p}": self.observed_types(n.label, p) for n in self.nodes for p, kind in sorted(n.properties.items()) if kind == "ANY" and isinstance(n.df.schema[p].dataType, VariantType)}
-
-    def observed_types(self, label: str, name: str) -> list[str]:
-        """Types that occur in a VARIANT column (one aggregate over it)."""
-        table = self.table(label)
-        if table is None:
-            raise SourceError(f"no node table {label}")
-        rows = table.df.select(F.schema_of_variant(column(name)).alias("t")).where("t IS NOT NULL").distinct().collect()
-        return sorted(r["t"] for r in rows)
+        """For each property without a declared type (``Label.name``), the types that occur in it: one aggregate a
+        table, over all its untyped columns. Objects and arrays are one type each, whatever is in them."""
+        out = {}
+        for t in self.nodes:
+            names = sorted(f.name for f in t.df.schema.fields if isinstance(f.dataType, VariantType))
+            if names:
+                kind = lambda c: F.regexp_replace(F.schema_of_variant(column(c)), "<.*$", "")
+                row = t.df.agg(*(F.collect_set(kind(c)) for c in names)).first()
+                out |= {f"{t.label}.{c}": sorted(set(found) - {"VOID"}) for c, found in zip(names, row)}
+        return out
+
+    def observed_endpoints(self) -> list[dict]:
+        """For each relationship table, the labels at whose nodes its rows start and end and how many rows those are:
+        declared, or found in other tables, or ``None`` where no table has the key. One job a table: both ends
+        are joined with the keys of all nodes; only counts by label reach the driver. A key that several tables
+        have counts for the declared one, or else for the first by name."""
+        out = []
+        for r in self.rels:
+            rows = r.df.select(column(r.src).cast("string").alias("src"), column(r.dst).cast("string").alias("dst"))
+            for end, declared in (("src", r.start), ("dst", r.end)):
+                first = F.when(F.col("label") == declared, F.lit(0)).otherwise(F.lit(1))
+                keys = [t.df.select(column(t.key).cast("string").alias(end), F.lit(t.label).alias("label")) for t in self.nodes]
+                found = reduce(DataFrame.unionAll, keys).where(F.col(end).isNotNull()).groupBy(end).agg(F.min(F.struct(first.alias("o"), "label")).alias(f"{end}_at"))
+                rows = rows.join(found, end, "left")
+            counts = rows.groupBy(F.col("src_at.label").alias("a"), F.col("dst_at.label").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+            out += [{"type": r.type, "declared": [r.start, r.end], "from": c.a, "to": c.b, "rows": c.n} for c in sorted(counts, key=lambda c: (str(c.a), str(c.b)))]
+        return out
 
 
 def registered(spark: SparkSession, name: str) -> str:
