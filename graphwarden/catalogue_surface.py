@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .database import Database
 from .errors import ClosedError
+from .layout import rewrite
 from .operators.paths import shared_folder
 from .operators.rules import Engine
 from .plans.lower import Options
@@ -327,6 +328,17 @@ def stored_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(spark, folder).groupBy("rule_id", "focus_start", end).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_found("ex:S/ex:suppliedBy/sh:maxCount", "Order", "o_orderkey", "FROM orders WHERE (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_orderkey = o_orderkey) > 2") + " UNION ALL "
+       + _found("ex:T/^ex:suppliedBy/sh:minCount", "Supplier", "s_suppkey", "FROM supplier WHERE (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_suppkey = s_suppkey) < 300"))
+def bucketed_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, suppliers and what joins them, rewritten in buckets by the keys that rules join on, both ways."""
+    graph = retail_graph(spark, sf_dir)
+    text = "ex:S sh:targetClass ex:Order ; sh:property [ sh:path ex:suppliedBy ; sh:class ex:Supplier ; sh:maxCount 2 ] . ex:T sh:targetClass ex:Supplier ; sh:property [ sh:path [ sh:inversePath ex:suppliedBy ] ; sh:minCount 300 ] ."
+    some = PropertyGraph([graph.table("Order"), graph.table("Supplier")], [r for r in graph.rels if r.type == "SUPPLIED_BY"])
+    c = compile_shapes([_document(text)], some.snapshot())
+    return Engine(rewrite(some, c, shared_folder(spark), buckets=8)).all_violations(c.rules).select(*_FOUND)
+
+
 # -- summaries and reports
 _RULES = "ex:S sh:targetClass ex:Customer ; sh:property [ sh:path ex:c_acctbal ; sh:minInclusive 0 ; sh:severity sh:Warning ] ; sh:property [ sh:path ex:c_mktsegment ; sh:maxLength 8 ] ; sh:property [ sh:path ex:c_name ; sh:minCount 1 ] ; sh:property [ sh:path ex:c_custkey ; sh:datatype xsd:long ] ."
 _COUNTED = """(SELECT 'ex:S/ex:c_acctbal/sh:minInclusive' AS rule_id, 'Warning' AS severity, count(*) AS n FROM customer WHERE c_acctbal < 0

@@ -68,7 +68,8 @@ class Paths:
                 continue
             s, e = (r.src, r.dst) if step.out else (r.dst, r.src)
             s, e = column(s).cast(self.graph.key_type(a)), column(e).cast(self.graph.key_type(b))
-            found.append(r.df.select(F.lit(a).alias("sl"), s.alias("sid"), F.lit(b).alias("el"), e.alias("eid")).where("sid IS NOT NULL AND eid IS NOT NULL"))
+            rows = r.inverse if r.inverse is not None and not step.out else r.df
+            found.append(rows.select(F.lit(a).alias("sl"), s.alias("sid"), F.lit(b).alias("el"), e.alias("eid")).where("sid IS NOT NULL AND eid IS NOT NULL"))
         return union(found) if found else self.empty(starts)
 
     def ends(self, step: Step, starts: set[str]) -> set[str]:

@@ -48,7 +48,8 @@ class NodeTable:
 @dataclass
 class RelTable:
     """Relationships of one type between two labels; src and dst hold the endpoints' keys. ``key``: a column
-    that identifies a relationship, where there is one."""
+    that identifies a relationship, where there is one. ``inverse``: the same rows laid out by dst, for paths that
+    go against the relationships."""
 
     type: str
     start: str
@@ -57,6 +58,7 @@ class RelTable:
     src: str = "src"
     dst: str = "dst"
     key: str | None = None
+    inverse: DataFrame | None = None
 
     def __post_init__(self) -> None:
         for c in (self.src, self.dst, *([self.key] if self.key else [])):
