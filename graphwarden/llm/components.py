@@ -35,4 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or now[0] == 0:
             break
         state = now
-    return up.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(up.select("v", "v").distinct().toDF("node", "root"))
+    out = up.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(up.select("v", "v").distinct().toDF("node", "root"))
+    out._written_at = up._written_at  # what it reads: can be discarded
+    return out

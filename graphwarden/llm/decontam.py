@@ -7,9 +7,10 @@ window's. Words that can't be part of a window are skipped beforehand: a window'
 are neighbours in some item too, so only runs of known neighbours are streamed.
 
 Benchmarks are dealt into shards of about ``SHARD_BYTES`` of whole items, whose automata are built by the
-executors and written; each is read and broadcast for a pass of its own over the documents, so the driver
-and a Python worker hold one at a time. Passes are narrow and chained: no text is shuffled, and the work
-grows with documents times shards. An item longer than a shard is a shard of its own size.
+executors and written; each is read and broadcast for a pass of its own over the documents. Of several shards,
+each pass is written before the next one begins: the driver, an executor and a Python worker hold one automaton
+at a time. Passes are narrow: no text is shuffled, and the work grows with documents times shards. An item
+longer than a shard is a shard of its own size.
 
 A null or empty text has no words. An item without words has no window; items that share an id count
 once, an item without an id is named "null". Repeated documents, null ids and extra columns don't
@@ -19,7 +20,7 @@ matter: rows are independent. A column named like a result is replaced by it.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import U64, Words, in_arrow, mix, quoted, row_blocks, text_bytes
-from .storage import materialize
+from .storage import discard, materialize
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
@@ -199,24 +200,32 @@ def _runs(member: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts, stops
 
 
-def shards(bench: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> Iterator[Broadcast]:
-    """The shards' automata (pickled), one after the other; one of no items if there is none."""
-    context = bench.sparkSession.sparkContext
-    items = bench.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // shard_bytes))
+class Shards:
+    """The shards' automata, built by the executors and written; iterating broadcasts (pickled) one after the other,
+    one of no items if there is none."""
 
-    def build(t: pa.Table) -> pa.Table:
-        found = sorted(zip(t.column("name").to_pylist(), t.column("text").to_pylist()))
-        return pa.table({"shard": t.column("shard").slice(0, 1), "automaton": pa.array([pickle.dumps(Index(found, window))], pa.binary())})
+    def __init__(self, bench: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES):
+        self.context, self.window = bench.sparkSession.sparkContext, window
+        items = bench.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
+        total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(1, -(-total // shard_bytes))
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(n)))
-    built = materialize(dealt.groupBy("shard").applyInArrow(build, "shard long, automaton binary"), "automata")
-    numbers = [r["shard"] for r in built.select("shard").orderBy("shard").collect()]
-    for k in numbers:
-        yield context.broadcast(bytes(built.where(F.col("shard") == k).first()["automaton"]))
-    if not numbers:
-        yield context.broadcast(pickle.dumps(Index([], window)))
+        def build(t: pa.Table) -> pa.Table:
+            found = sorted(zip(t.column("name").to_pylist(), t.column("text").to_pylist()))
+            return pa.table({"shard": t.column("shard").slice(0, 1), "automaton": pa.array([pickle.dumps(Index(found, window))], pa.binary())})
+
+        dealt = items.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(n)))
+        self.built = materialize(dealt.groupBy("shard").applyInArrow(build, "shard long, automaton binary"), "automata")
+        self.numbers = [r["shard"] for r in self.built.select("shard").orderBy("shard").collect()]
+
+    def __len__(self) -> int:
+        return max(1, len(self.numbers))
+
+    def __iter__(self) -> Iterator[Broadcast]:
+        for k in self.numbers:
+            yield self.context.broadcast(bytes(self.built.where(F.col("shard") == k).first()["automaton"]))
+        if not self.numbers:
+            yield self.context.broadcast(pickle.dumps(Index([], self.window)))
 
 
 _HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -225,10 +234,15 @@ _HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit (words in a window), items (ids of items with windows in the text,
     unordered) and hits (byte ranges of the maximal runs of hit words)."""
-    return _contamination(docs, shards(bench, window, shard_bytes))
+    parts = Shards(bench, window, shard_bytes)
+    out = _contamination(docs, parts)
+    discard(parts.built)
+    return out
 
 
-def _contamination(docs: DataFrame, parts: Iterable[Broadcast]) -> DataFrame:
+def _contamination(docs: DataFrame, parts: Shards) -> DataFrame:
+    """One pass for each shard. Of several, each pass is written before the next begins, so that a task has one
+    Python worker with one automaton, and the broadcast of the one before is gone."""
     own = ("n_words", "n_hit", "items", "hits")
     out = docs.drop(*own).select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast(_HITS).alias("hits"))
     keep = [c for c in out.columns if c not in own]
@@ -240,7 +254,12 @@ def _contamination(docs: DataFrame, parts: Iterable[Broadcast]) -> DataFrame:
                 for block in row_blocks(batch, "text"):
                     yield _scan(block, keep, index)
 
-        out = in_arrow(out, run, out.schema)
+        before, out = out, in_arrow(out, run, out.schema)
+        if len(parts) > 1:
+            out = materialize(out, "marked")
+            shared.destroy()
+            if hasattr(before, "_written_at"):
+                discard(before)
     return out
 
 
@@ -271,10 +290,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_c
     of their words hit are removed. Cutting a run out can bring the halves of another window together,
     so changed texts are scanned again until nothing is hit. Other columns stay; ``n_chars`` follows."""
     columns = docs.columns
-    parts = [*shards(bench, window, shard_bytes)]
+    parts = Shards(bench, window, shard_bytes)
     if len(parts) > 1:
         return _in_rounds(docs, parts, max_coverage)
-    shared = parts[0]
+    shared = next(iter(parts))
+    discard(parts.built)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pickle.loads(shared.value)
@@ -312,13 +332,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_c
     return in_arrow(docs, run, docs.schema)
 
 
-def _in_rounds(docs: DataFrame, parts: list[Broadcast], max_coverage: float) -> DataFrame:
+def _in_rounds(docs: DataFrame, parts: Shards, max_coverage: float) -> DataFrame:
     """The same over several shards: all shards mark the texts before any is cut, and only cut texts go into the
     next round."""
     columns = docs.columns
     # whatever their names are, the columns travel as one
     rows = docs.select(F.struct(*quoted(columns)).alias("row"), "text")
-    marked = materialize(_contamination(rows, parts), "marked")
+    marked = _contamination(rows, parts)
     out = [marked.where("n_hit = 0").select("row", "text", F.lit(False).alias("cut"))]
     todo = marked.where((F.col("n_hit") > 0) & (F.col("n_hit") <= max_coverage * F.col("n_words")))
 
@@ -331,9 +351,10 @@ def _in_rounds(docs: DataFrame, parts: list[Broadcast], max_coverage: float) ->
 
     while not todo.isEmpty():
         cut = in_arrow(todo.select("row", "text", "hits"), run, T.StructType([marked.schema["row"], marked.schema["text"]]))
-        again = materialize(_contamination(cut, parts), "marked")
+        again = _contamination(cut, parts)
         out.append(again.where("n_hit = 0").select("row", "text", F.lit(True).alias("cut")))
         todo = again.where("n_hit > 0")
+    discard(parts.built)
     every = reduce(DataFrame.unionAll, out)
     value = {c: F.col("row").getField(c) for c in columns}
     value["text"] = F.col("text")

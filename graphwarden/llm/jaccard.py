@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from .blocks import U64, Words, digests, in_arrow, minhash, mix, quoted, row_blocks, row_sum, shingles, text_bytes
 from .components import components
-from .storage import materialize
+from .storage import discard, materialize
 
 WORDS = 5
 THRESHOLD = (4, 5)  # 0.8
@@ -303,16 +303,16 @@ def _class_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     border = met.where("kind > 0").select("kind", "label", "low", "a").distinct()
     across = border.join(border.groupBy("kind", "label", "low").agg(F.min("a").alias("b")), ["kind", "label", "low"]).select("a", "b")
     groups = components(met.where("kind = 0").select("a", "b").unionAll(across))
-    member = materialize(groups.withColumnRenamed("node", "cls").join(sets, "cls").select("cls", "root", "copies", "size", "rep", "labels", "depth"), "members")
-    blocks = materialize(_blocks(member, "root").select("root", "nblk"), "blocks")
-    member = member.join(blocks, "root")
+    members = materialize(groups.withColumnRenamed("node", "cls").join(sets, "cls").select("cls", "root", "copies", "size", "rep", "labels", "depth"), "members")
+    blocks = materialize(_blocks(members, "root").select("root", "nblk"), "blocks")
+    member = members.join(blocks, "root")
     whole = member.where(F.col("nblk") <= SPREAD).select("cls", "rep", "copies", F.col("root").alias("node"), "nblk", F.lit(-1).alias("tree"), "labels")
     chained = materialize(member.where(F.col("nblk") > SPREAD).drop("nblk"), "chained")
-    parts = whole
+    parts, temporary = whole, [met, groups, members, blocks, chained]
     if not chained.isEmpty():
         prefixes = in_arrow(chained.select("labels", "depth", "cls"), _label_rows, _ROWS).select("tree", "label", "cls")
         nodes = prefixes.join(chained, "cls").withColumn("node", F.encode(F.hex("label"), "utf-8"))
-        sizes = materialize(_blocks(nodes, "node").where("n > 1").select("node", "nblk"), "nodes")
+        temporary.append(sizes := materialize(_blocks(nodes, "node").where("n > 1").select("node", "nblk"), "nodes"))
         parts = parts.unionAll(nodes.join(sizes, "node").select("cls", "rep", "copies", "node", "nblk", "tree", "labels"))
     places = parts.groupBy("rep").agg(F.collect_list(F.struct("cls", "copies", "node", "nblk", "tree", "labels")).alias("places"))
     texts = _texts(docs, key)
@@ -325,12 +325,16 @@ def _class_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = verified.groupBy("cls").agg(F.sum("links").alias("links"))
     info = sets.select("cls", "copies", "first_id", "rep").join(root, "cls", "left").join(links, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "cls")
-    info = materialize(info, "roots")
-    classes = materialize(info.groupBy("root").agg(F.min(order).alias("m"), F.sum("copies").alias("class_size")), "classes")
-    info = info.join(classes, "root").select(
+    roots = materialize(info, "roots")
+    classes = materialize(roots.groupBy("root").agg(F.min(order).alias("m"), F.sum("copies").alias("class_size")), "classes")
+    made = [sets, verified, large, roots, classes]
+    info = roots.join(classes, "root").select(
         "cls", F.col("m.first_id").alias("class_id"), "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("m.cls").alias("kept_cls"), "rep"
     )
-    return sig.select("doc_id", "cls", "th"), materialize(info, "classes")
+    info = materialize(info, "classes")
+    for df in (*temporary, *made):
+        discard(df)
+    return sig.select("doc_id", "cls", "th"), info
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -200,7 +200,8 @@ _TYPE = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES | NOTICES, text: str = "text", out: str = "licenses") -> DataFrame:
-    """``docs`` with the places of licenses in each text: array<struct<license, containment, start, end>>."""
+    """``docs`` with the places of licenses in the text, in its place: array<struct<license, containment, start, end>>.
+    All other columns pass through."""
     keep = [c for c in docs.columns if c not in (out, text)]
     kind = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, kind)])

@@ -38,7 +38,8 @@ def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """``df`` with each text's file (binary) and its size in bytes without padding (n_bytes)."""
+    """``df`` with each text's file (binary) in its place and its size in bytes without padding (n_bytes); all other
+    columns pass through."""
     keep = [c for c in df.columns if c not in (text, media, "n_bytes")]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())])
 

@@ -46,8 +46,11 @@ STAGES = {
     "decontaminate": lambda d, s: decontam.decontaminate(d, s["bench"]),
     "encode": lambda d, s: bpe.encode(d, bpe.vocabulary()).drop("ids", "n_tokens"),
     "score": lambda d, s: quality.add_score(d, quality.fit(d, s["labels"])).drop("score").withColumn("score", F.lit("q")).select(*blocks.quoted(d.columns)),
-    "licenses": lambda d, s: licenses.scan(d).drop("licenses").select(*blocks.quoted(d.columns)) if "text" in licenses.scan(d).columns else d,
-    "media": lambda d, s: media.decode(media.encode(d)).select(*blocks.quoted(c for c in d.columns if c != "text"), F.lit(None).cast("string").alias("text")).select(*blocks.quoted(d.columns)),
+}
+#: Operators that put their results in the place of the text: what comes back besides the other columns.
+WITHOUT_TEXT = {
+    "licenses": (lambda d: licenses.scan(d), {"licenses"}),
+    "media": (lambda d: media.encode(d), {"n_bytes", "media"}),
 }
 
 
@@ -74,6 +77,17 @@ def test_stages_keep_columns(name, docs, labels, bench):
     assert STAGES[name](docs.limit(0), {"labels": labels, "bench": bench}).collect() == []
 
 
+@pytest.mark.parametrize("name", WITHOUT_TEXT)
+def test_other_columns_pass_where_the_text_goes(name, docs):
+    apply, added = WITHOUT_TEXT[name]
+    out = apply(docs)
+    rest = [c for c in docs.columns if c != "text"]
+    assert set(rest) <= set(out.columns) and "text" not in out.columns and set(out.columns) - set(rest) >= added - set(rest)
+    rows = out.collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in ROWS) and all(r["cls"] == "q" and r["null text"] == "q" and r["a.b"] == "q" for r in rows)
+    assert apply(docs.limit(0)).collect() == []
+
+
 def test_values(docs, bench):
     e = hashlib.sha256(b"").hexdigest()
     r = {x.doc_id: x for x in bpe.round_trip_digests(docs).where("doc_id IN (2, 3, 4)").collect()}
