@@ -26,27 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{found}/graphwarden-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, written: list[str]) -> DataFrame:
     """Cut the lineage of an iteration with a table in the cluster's shared folder; it outlives lost executors, and
-    how many rows it has is in its footers."""
+    how many rows it has is in its footers. ``written`` gets its path."""
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables of repeated paths by application: plans that are lazy read them.
-_written: dict[str, list[str]] = {}
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete the tables of repeated paths, once no result that reads them is needed."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        found = spark._jvm.org.apache.hadoop.fs.Path(path)
-        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
-
-
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
 
@@ -54,6 +43,14 @@ def union(frames: list[DataFrame]) -> DataFrame:
 class Paths:
     def __init__(self, graph: PropertyGraph):
         self.graph = graph
+        self.written: list[str] = []
+
+    def clear(self) -> None:
+        """Delete the tables of repeated paths, once no frame that reads them is needed."""
+        spark = self.graph.spark
+        while self.written:
+            found = spark._jvm.org.apache.hadoop.fs.Path(self.written.pop())
+            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
     def empty(self, labels: set[str]) -> DataFrame:
         kind = self.graph.key_type(next(iter(labels), ""))
@@ -106,9 +103,9 @@ class Paths:
         every = labels | self.ends(Repeat(step.part, 1, step.most), labels)
         known = self.edges(step.part, every).distinct().withColumn("d", F.lit(1))
         if enough is not None:
-            known = cut(self._nearest(known, enough))
+            known = self._cut(self._nearest(known, enough))
         else:
-            known = cut(known)
+            known = self._cut(known)
         reached = 1
         while reached < step.most:
             more = min(reached, step.most - reached)
@@ -118,16 +115,19 @@ class Paths:
                 front = front.join(full, ["sl", "sid"], "left_anti")
             ahead = known.where(F.col("d") <= more).select(F.col("sl").alias("el"), F.col("sid").alias("eid"), F.col("el").alias("nl"), F.col("eid").alias("nid"), F.col("d").alias("nd"))
             new = front.join(ahead, ["el", "eid"]).groupBy("sl", "sid", F.col("nl").alias("el"), F.col("nid").alias("eid")).agg(F.min(F.col("d") + F.col("nd")).alias("d"))
-            new = cut(new.join(known, on, "left_anti"))
+            new = self._cut(new.join(known, on, "left_anti"))
             if new.isEmpty():
                 break
             known = known.unionAll(new)
             if enough is not None:
-                known = cut(self._nearest(known, enough))
+                known = self._cut(self._nearest(known, enough))
             reached += more
         found = known.where(F.col("sl").isin(*labels)).select(*on)
         return found.unionAll(self._nodes(labels)).distinct() if step.least == 0 else found
 
+    def _cut(self, df: DataFrame) -> DataFrame:
+        return cut(df, self.written)
+
     @staticmethod
     def _nearest(known: DataFrame, n: int) -> DataFrame:
         near = Window.partitionBy("sl", "sid").orderBy("d", "el", "eid")
@@ -168,9 +168,9 @@ class Paths:
         if step.most == 1:
             return seen
         on = ["sl", "sid", "el", "eid"]
-        front = seen = cut(seen)
+        front = seen = self._cut(seen)
         for _ in range(step.most - 1):
-            front = cut(self._join(front, hop).join(seen, on, "left_anti"))
+            front = self._cut(self._join(front, hop).join(seen, on, "left_anti"))
             if front.isEmpty():
                 break
             seen = seen.unionAll(front)

@@ -77,6 +77,10 @@ class Engine:
         self.graph, self.node_key, self.verbose, self.only = graph, node_key, verbose, only
         self.conditions = Conditions(graph, node_key)
 
+    def clear(self) -> None:
+        """Delete what repeated paths have written, once none of this engine's frames is needed."""
+        self.conditions.paths.clear()
+
     # -- focus
     def focus(self, rule: Rule) -> list[FocusTable]:
         if any(f.kind == "relationships" for f in rule.focus):

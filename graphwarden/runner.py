@@ -131,8 +131,7 @@ def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 10
     of its own. What is set for the calling thread (tags, descriptions) holds for all of them, so cancelling the
     caller's tag cancels them all; a group's timeout cancels that group's jobs alone."""
     began = time.monotonic()
-    spark = graph.spark
-    engine = lambda: Engine(graph, compiled.options.node_key, compiled.options.verbose)
+    spark, engines = graph.spark, []
     rules = {r.rule_id: r for r in compiled.rules}
     results = blank_results(compiled)
 
@@ -167,7 +166,15 @@ def validate(graph: PropertyGraph, compiled: Compilation, limit: int | None = 10
             x.violations.sort(key=lambda v: focus_name(v["focus"]) + (str(v["value"]),))
             x.sample = [v["focus"] for v in x.violations[:sample_size]]
 
-    at_once(spark, [lambda g=g, p=p: run(g, p) for g, p in groups_of(engine, compiled.rules)], workers)
+    def engine() -> Engine:
+        engines.append(Engine(graph, compiled.options.node_key, compiled.options.verbose))
+        return engines[-1]
+
+    try:
+        at_once(spark, [lambda g=g, p=p: run(g, p) for g, p in groups_of(engine, compiled.rules)], workers)
+    finally:
+        for e in engines:
+            e.clear()
     return Report([results[r.rule_id] for r in compiled.rules], int((time.monotonic() - began) * 1000))
 
 

@@ -105,8 +105,17 @@ def store(graph: PropertyGraph, compiled: Compilation, folder: str, limit: int =
             x = results[r.rule_id]
             x.duration_ms, x.sample = int((time.monotonic() - start) * 1000), [v["focus"] for v in x.violations]
 
-    engine = lambda: Engine(graph, compiled.options.node_key, compiled.options.verbose)
-    at_once(spark, [lambda g=g, p=p: run(g, p) for g, p in groups_of(engine, compiled.rules)], workers)
+    engines = []
+
+    def engine() -> Engine:
+        engines.append(Engine(graph, compiled.options.node_key, compiled.options.verbose))
+        return engines[-1]
+
+    try:
+        at_once(spark, [lambda g=g, p=p: run(g, p) for g, p in groups_of(engine, compiled.rules)], workers)
+    finally:
+        for e in engines:
+            e.clear()
     report = Report([results[r.rule_id] for r in compiled.rules], int((time.monotonic() - began) * 1000))
     _put(spark, f"{folder}/run.json", json.dumps({"finished": True, "report": report.to_dict()}))
     return report

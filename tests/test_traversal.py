@@ -136,10 +136,21 @@ def test_values_alone_need_no_distinct_pairs(spark, trade):
 
 def test_tables_of_repeated_paths_are_cleared(spark):
     graph, *_ = network(spark, 9)
-    Paths(graph).pairs(Repeat(Rel(("TO",)), 1, 5), "A").count()
-    kept = paths._written[spark.sparkContext.applicationId]
-    path = spark._jvm.org.apache.hadoop.fs.Path(kept[0])
-    there = lambda: path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    assert there()
-    paths.clear(spark)
-    assert not there() and spark.sparkContext.applicationId not in paths._written
+    own = Paths(graph)
+    own.pairs(Repeat(Rel(("TO",)), 1, 5), "A").count()
+    kept = list(own.written)
+    there = lambda p: (x := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(x)
+    assert len(kept) > 1 and all(map(there, kept))
+    own.clear()
+    assert not own.written and not any(map(there, kept))
+
+
+def test_a_run_leaves_no_tables(spark, monkeypatch):
+    graph, *_ = network(spark, 10)
+    made, before = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df, written: (before(df, written), made.append(written[-1]))[0])
+    text = HEAD + "ex:S sh:targetClass ex:A ; sh:property [ sh:path [ sh:oneOrMorePath ex:to ] ; sh:maxCount 3 ] ."
+    report = validate(graph, compile_shapes([Document("s.ttl", text)], graph.snapshot()))
+    assert report.complete and made
+    there = lambda p: (x := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(x)
+    assert not any(map(there, made))
