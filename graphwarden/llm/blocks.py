@@ -104,6 +104,23 @@ def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, typed).toDF(*out)
 
 
+class Seen:
+    """What a task has met lately: of equal values that come near each other only the first is new. It forgets
+    everything whenever it holds ``most`` values, so it is a saving, never a guarantee."""
+
+    def __init__(self, most: int = 1 << 17):
+        self.most, self.values = most, set()
+
+    def new(self, values: Iterable) -> list[bool]:
+        out = []
+        for v in values:
+            out.append(v not in self.values)
+            if len(self.values) >= self.most:
+                self.values.clear()
+            self.values.add(v)
+        return out
+
+
 def release() -> None:
     pa.default_memory_pool().release_unused()
     try:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import U64, Words, digests, in_arrow, minhash, mix, quoted, row_blocks, row_sum, shingles, text_bytes
+from .blocks import U64, Seen, Words, digests, in_arrow, minhash, mix, quoted, row_blocks, row_sum, shingles, text_bytes
 from .components import components
 from .storage import discard, materialize
 
@@ -267,18 +267,14 @@ def _blocks(rows: DataFrame, by: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame, key: Column) -> DataFrame:
-    """Compressed texts by the key and the text's hash, each once in a task."""
+    """Compressed texts by the key and the text's hash, equal ones near each other in a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        seen: set[tuple] = set()
+        seen = Seen()
         for batch in batches:
             for block in row_blocks(batch, "text"):
-                new = []
-                for x in zip(block.column("th").to_pylist(), block.column("k").to_pylist()):
-                    new.append(x not in seen)
-                    seen.add(x)
-                block = block.filter(pa.array(new))
+                block = block.filter(pa.array(seen.new(zip(block.column("th").to_pylist(), block.column("k").to_pylist()))))
                 z = [pack.compress(x.encode()) for x in block.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([block.column("th"), block.column("k"), pa.array(z, pa.binary())], names=["th", "k", "z"])
 

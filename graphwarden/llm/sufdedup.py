@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import U64, in_arrow, mix, powers, quoted, row_blocks, spans, text_bytes
+from .blocks import U64, Seen, in_arrow, mix, powers, quoted, row_blocks, spans, text_bytes
 from .storage import discard, materialize
 
 
@@ -186,20 +186,16 @@ def _whole(block: pa.RecordBatch, r: int, rule: Rule) -> pa.RecordBatch:
 
 
 def _packed(df: DataFrame, keep: list[str], once: bool = False) -> DataFrame:
-    """The kept columns and each text compressed (column z); ``once``: equal texts of a task only once."""
+    """The kept columns and each text compressed (column z); ``once``: equal texts near each other in a task only once."""
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("z", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        seen: set[bytes] = set()
+        seen = Seen()
         for batch in batches:
             for block in row_blocks(batch, "text"):
                 if once:
-                    fresh = []
-                    for d in block.column("dig").to_pylist():
-                        fresh.append(d not in seen)
-                        seen.add(d)
-                    block = block.filter(pa.array(fresh))
+                    block = block.filter(pa.array(seen.new(block.column("dig").to_pylist())))
                 z = pa.array([pack.compress((x or "").encode()) for x in block.column("text").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), z], names=[*keep, "z"])
 
@@ -399,13 +395,10 @@ def _repeats(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Ranges of window starts that are repeats: dig, spans array<struct<r, lo, hi>>; r is the rule's place."""
 
     def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen = Seen()  # a text that is met again after it was forgotten counts as another task's would
         for batch in batches:
             for block in row_blocks(batch, "text", BLOCK):
-                new = []
-                for d in block.column("dig").to_pylist():
-                    new.append(d not in seen)
-                    seen.add(d)
+                new = seen.new(block.column("dig").to_pylist())
                 again = block.filter(pa.array([not x for x in new]))
                 block = block.filter(pa.array(new))
                 for r, rule in enumerate(rules):

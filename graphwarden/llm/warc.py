@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import in_arrow, row_blocks
+from .blocks import Seen, in_arrow, row_blocks
 from .storage import shared_dir
 
 REVISIT_BYTES = 1000
@@ -54,16 +54,12 @@ def _urn(page_id: Column, sha1: Column) -> Column:
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Payloads that are new to this task, compressed."""
+    """Payloads compressed, equal ones near each other in a task once."""
     pack = zstandard.ZstdCompressor(level=3)
-    seen: set[bytes] = set()
+    seen = Seen()
     for batch in batches:
         for block in row_blocks(batch, "payload"):
-            new = []
-            for d in block.column("digest").to_pylist():
-                new.append(d not in seen)
-                seen.add(d)
-            block = block.filter(pa.array(new))
+            block = block.filter(pa.array(seen.new(block.column("digest").to_pylist())))
             z = [pack.compress(x) for x in block.column("payload").to_pylist()]
             yield pa.RecordBatch.from_arrays([block.column("digest"), pa.array(z, pa.binary())], names=["digest", "z"])
 
