@@ -318,9 +318,10 @@ def mine(rows: DataFrame) -> DataFrame:
         return spark.createDataFrame([], schema)
     parts = max(-(-n // RANGE), min(-(-n // BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     blocks = materialize(packed(valid, n, low, high, parts), "hilbert-blocks")
-    most = blocks.groupBy("part").agg(F.sum("n_anchors").alias("n")).agg(F.max("n")).first()[0]
+    most, last = blocks.groupBy("part").agg(F.sum("n_anchors").alias("n")).agg(F.max("n"), F.max("part")).first()
     if not most:
         return spark.createDataFrame([], schema)
+    parts = last + 1  # as many as were really made
     width = max(1, min(64, WINDOWS // most))
     anchors = materialize(first_windows(blocks), "anchors")
     found = search(blocks, anchors, True, parts, width)

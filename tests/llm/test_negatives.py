@@ -77,6 +77,16 @@ def test_small_tables(spark, rows):
     assert mined(spark, rows) == pairs(rows)
 
 
+def test_more_ranges_than_asked_for(spark, monkeypatch):
+    """A session may deal rows to more partitions than the operator asks for: none may be left out."""
+    rows = table(300, 4, 7)
+    kind = type(spark.range(1))
+    plain = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, n, *by: plain(self, max(n, 150), *by))
+    monkeypatch.setattr(hardneg, "BLOCK", 4)
+    assert mined(spark, rows) == pairs(rows)
+
+
 def test_other_columns(spark):
     df = spark.createDataFrame(table(120, 3, 4), SCHEMA).selectExpr("*", "1 AS score", "2 AS place", "'q' AS `a.b`")
     assert sorted(tuple(r)[:2] for r in hardneg.mine(df).collect()) == sorted(w[:2] for w in pairs(table(120, 3, 4)))
