@@ -44,7 +44,7 @@ from .storage import discard, materialize
 WORDS = 5
 THRESHOLD = (4, 5)  # 0.8
 TREES, DEEPEST, RECALL = 20, 8, 0.9999
-BLOCK_SETS, BLOCK_TEXT = 256, 8 << 20
+BLOCK_SETS, BLOCK_TEXT, BLOCK = 256, 4 << 20, 1 << 19
 SPREAD = 20
 _COLUMNS = 1 << 15
 _NO_ID = (1 << 63) - 1
@@ -110,7 +110,7 @@ def with_set(df: DataFrame, text: str = "text", out: str = "cls", trees: int = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in row_blocks(batch, text):
+            for block in row_blocks(batch, text, BLOCK):
                 w = Words(*text_bytes(block.column(text)))
                 columns = [*(block.column(c) for c in keep), _digest_column(w)]
                 if trees:

@@ -29,6 +29,8 @@ BITS = 22
 SIZES = (4, 5, 6)
 PER_CLASS = 1500
 THRESHOLD = 0.3
+#: Bytes of text whose n-grams are in a worker's memory at once.
+BLOCK = 1 << 19
 FOLDS, HELD_OUT = 4, 2
 #: Least ratio in units of its standard error.
 MIN_Z = 3.0
@@ -148,7 +150,7 @@ def add_score(df: DataFrame, model: Model, text: str = "text", out: str = "score
         model = shared.value
         among = model.among()
         for batch in batches:
-            for block in row_blocks(batch, text):
+            for block in row_blocks(batch, text, BLOCK):
                 score = score_block(*text_bytes(block.column(text)), model, among)
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), pa.array(score)], names=[*keep, out])
 
