@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
@@ -59,6 +59,17 @@ def keyed(kind: str, cast: str | None):
     return (lambda x: distinct_key(x, kind).cast(cast)) if cast else (lambda x: distinct_key(x, kind))
 
 
+def counted_up_to(rows: DataFrame, most: int, *what: str) -> DataFrame:
+    """sid and n: how many different ``what`` (never null) each start has, ``most`` for so many and more. Only the
+    first ``most`` of each start leave a task, and one exchange does: a rank limit works before and after it. Repeated
+    rows of those travel along. Beyond the ranks that Spark limits early, plain distinct counts: they spread a hub's
+    rows by what is counted."""
+    if most > int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return rows.groupBy("sid").agg(F.count_distinct(*what).alias("n"))
+    ranked = rows.withColumn("n", F.dense_rank().over(Window.partitionBy("sid").orderBy(*what))).where(F.col("n") <= most)
+    return ranked.groupBy("sid").agg(F.max("n").alias("n"))
+
+
 class Conditions:
     def __init__(self, graph: PropertyGraph, node_key: str | None = None):
         self.graph, self.paths, self.node_key = graph, Paths(graph), node_key
@@ -192,19 +203,21 @@ class Conditions:
             counted = self._ends_counted(pairs, t, e)
         else:
             rows = self._value_rows(e.source, t, e.filter)
-            counted = self.paths.pairs(e.source.hops, t.label).join(rows, ["el", "eid"]).groupBy("sid").agg(F.count_distinct("family", "v").alias("n"))
+            counted = self.paths.pairs(e.source.hops, t.label).join(rows, ["el", "eid"])
+            counted = counted_up_to(counted, e.n if e.least else e.n + 1, "family", "v")
         name = self.fresh()
         counted = counted.select(F.col("sid").alias(f"{name}k"), F.col("n").alias(name))
         n = F.coalesce(F.col(name), F.lit(0))
         return df.join(counted, F.col(ID) == F.col(f"{name}k"), "left").drop(f"{name}k"), (n >= e.n) if e.least else (n <= e.n)
 
     def _ends_counted(self, pairs: DataFrame, t: NodeTable, e: Count) -> DataFrame:
-        """sid and n, the number of different ends. Where only one or two matter, the least and the greatest tell:
-        one row of each start leaves a task, however many relationships a hub has."""
-        if (e.n if e.least else e.n + 1) == 2:
+        """sid and n, the number of different ends, as far as the bound asks for it. Where only one or two matter, the
+        least and the greatest tell: one row of each start leaves a task, however many relationships a hub has."""
+        wanted = e.n if e.least else e.n + 1
+        if wanted == 2:
             end = F.struct("el", "eid") if len(self.paths.ends(e.source.hops, {t.label})) > 1 else F.col("eid")
             return pairs.groupBy("sid").agg((F.min(end) != F.max(end)).cast("int").alias("n")).withColumn("n", F.col("n") + 1)
-        return pairs.groupBy("sid").agg(F.count_distinct("el", "eid").alias("n"))
+        return counted_up_to(pairs, wanted, "el", "eid")
 
     def _value_rows(self, source: Source, t: NodeTable, test: Expr) -> DataFrame:
         """el, eid, family, v (text) of the values at path ends that satisfy a test."""

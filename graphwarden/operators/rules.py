@@ -20,7 +20,7 @@ from ..functions.names import column
 from ..functions.tests import shown, value_condition
 from ..plans.ir import Bool, Count, Focus, Rel, Rule, Source, Step, closed_in, sources_of
 from ..sources.graph import NodeTable, PropertyGraph
-from .conditions import ID, Conditions, has_value, property_values, tester
+from .conditions import ID, Conditions, counted_up_to, has_value, property_values, tester
 from .paths import union
 
 KEY, LABEL, START, END, PROPERTIES = "__key", "__label", "__start", "__end", "__properties"
@@ -304,7 +304,7 @@ class Engine:
         wanted = [r.holds.n if r.holds.least else r.holds.n + 1 for _, r in counts]
         enough = max(wanted) if not values and all(r.holds.filter == Bool(True) for _, r in counts) else None
         pairs = c.paths.pairs(hops, t.label, enough).select("sid", "el", "eid")
-        pairs = pairs.distinct() if counts else pairs
+        pairs = pairs.distinct() if counts and enough is None else pairs
         filtered = [(k, r) for k, r in counts if r.holds.filter != Bool(True)]
         marked = pairs
         if filtered or values:
@@ -332,7 +332,10 @@ class Engine:
         found = []
         if counts:
             number = lambda k, r: F.count(F.lit(1)) if r.holds.filter == Bool(True) else F.count(F.when(F.col(f"f{k}"), 1)) if f"f{k}" in marked.columns else F.sum(F.lit(0))
-            counted = (marked if filtered else pairs).groupBy("sid").agg(*(number(k, r).alias(f"n{k}") for k, r in counts))
+            if enough is None:
+                counted = (marked if filtered else pairs).groupBy("sid").agg(*(number(k, r).alias(f"n{k}") for k, r in counts))
+            else:  # none of the rules tells more than so many ends apart
+                counted = counted_up_to(pairs, enough, "el", "eid").select("sid", *(F.col("n").alias(f"n{k}") for k, _ in counts))
             df = f.df.select(*CARRIED).join(counted, F.col(ID) == F.col("sid"), "left")
             n = lambda k: F.coalesce(F.col(f"n{k}"), F.lit(0))
             broken = [F.when(n(k) < r.holds.n if r.holds.least else n(k) > r.holds.n, F.lit(k)) for k, r in counts]

@@ -69,7 +69,7 @@ def test_starts_that_have_enough_stop(spark, enough, least):
         assert len(got[x]) <= enough + 1
 
 
-@pytest.mark.parametrize("bound", [0, 1, 2, 5])
+@pytest.mark.parametrize("bound", [0, 1, 2, 5, 1200])
 def test_bounded_counts(spark, bound):
     """Hubs, parallel relationships and ends of two labels, against plain counting."""
     rng = random.Random(bound)
@@ -93,6 +93,44 @@ def test_one_row_of_a_start_leaves_a_task_for_bounds_of_one(spark, tmp_path):
     assert "partial_min" in plan and "count(distinct" not in plan and df.count() == 3
 
 
+def shuffled(plan) -> list[int]:
+    """Rows written by the exchanges of a query that has run, in the order of its plan."""
+    nodes, out = [plan], []
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            nodes.append(node.plan())
+        else:
+            if name == "Exchange":
+                out.append(node.metrics().apply("shuffleRecordsWritten").value())
+            nodes += [node.children().apply(k) for k in range(node.children().size())]
+    return out
+
+
+@pytest.mark.parametrize("rules", ["sh:maxCount 4", "sh:minCount 5", "sh:minCount 3 ; sh:maxCount 4", "sh:qualifiedValueShape [ sh:class ex:X ] ; sh:qualifiedMaxCount 4"])
+def test_no_more_than_the_bound_and_one_leave_a_task(spark, tmp_path, rules):
+    """Three hubs of 5,000 ends, three starts of four: one exchange of the pairs, of five ends a start and task."""
+    hubs = spark.range(15000).selectExpr("id % 3 AS src", "id AS dst")
+    few = spark.range(12).selectExpr("3 + id % 3 AS src", "id AS dst")
+    hubs.unionAll(few).repartition(2, "dst").write.parquet(f"{tmp_path}/to")
+    graph = PropertyGraph([NodeTable("H", spark.range(7)), NodeTable("X", spark.range(15000))], [RelTable("TO", "H", "X", spark.read.parquet(f"{tmp_path}/to"))])
+    compiled = compile_shapes([Document("s.ttl", HEAD + f"ex:S sh:targetClass ex:H ; sh:property [ sh:path ex:to ; {rules} ] .")], graph.snapshot())
+    df = Engine(graph).all_violations(compiled.rules)
+    got = sorted((r.constraint.split(":")[-1].split("#")[-1], r.focus_key) for r in df.collect())
+    over, under = ["0", "1", "2"], ["3", "4", "5", "6"]
+    want = [k for k in (over if "axCount" in rules else [])] + {"sh:minCount 5": under, "sh:minCount 3 ; sh:maxCount 4": ["6"]}.get(rules, [])
+    assert sorted(k for _, k in got) == sorted(want)
+    tasks = spark.read.parquet(f"{tmp_path}/to").rdd.getNumPartitions()
+    if "qualified" not in rules:  # there the ends' own rows are exchanged too
+        rows = shuffled(df._jdf.queryExecution().executedPlan())
+        assert rows and max(rows) <= max(7, tasks * 6 * 5)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan and "count(distinct" not in plan
+
+
 SHARED = """ex:S sh:targetClass ex:Order ; sh:property [ sh:path ex:by ; sh:minCount 2 ; sh:maxCount 3 ; sh:class ex:Firm ; sh:node ex:Big ; sh:nodeKind sh:Literal ; sh:hasValue ex:3 ;
  sh:qualifiedValueShape ex:Big ; sh:qualifiedMinCount 1 ; sh:qualifiedMaxCount 2 ] . ex:Big sh:property [ sh:path ex:size ; sh:minInclusive 50 ] . ex:by w:relationship "BY" ."""
 
