@@ -8,8 +8,11 @@
    as a stream. Each set's matched prefix is shortened from the whole label on until any partner that a set
    of its size can have meets it in some trie with the target probability: sets of one to three shingles
    can only have equal ones and keep the whole label, those of six and seven match on 5 and 6 values, most
-   others on 4. Two sets meet where they share the longer one of their two prefixes; at each length, each
-   set is linked to the first one of its prefix.
+   others on 4. Where a prefix of ``HALF`` values is *crowded* (held by more than ``CROWD`` sets), nothing is
+   shortened: its sets match on whole labels there and stand in ``DEEP`` times as many further tries, which
+   deal the same values anew. Two sets that share a crowded prefix do so both, and meet with the target
+   probability again. Two sets meet where they share the longer one of their two prefixes; at each length,
+   each set is linked to the first one of its prefix.
 3. Sets that meet directly or through others form a candidate group. The pairs of a group that share a prefix
    of ``HALF`` values in some trie are verified exactly, in groups of any size. How their texts get together
    depends on the size alone: the texts of a group are fetched once, compressed; in a group of more blocks than
@@ -44,6 +47,7 @@ from .storage import discard, materialize
 WORDS = 5
 THRESHOLD = (4, 5)  # 0.8
 TREES, DEEPEST, RECALL = 20, 8, 0.9999
+CROWD, DEEP = 256, 4
 BLOCK_SETS, BLOCK_TEXT, BLOCK = 256, 4 << 20, 1 << 19
 SPREAD = 20
 _COLUMNS = 1 << 15
@@ -147,6 +151,31 @@ def _label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def deals(values: int, rounds: int = DEEP) -> np.ndarray:
+    """Further tries: in each round all values are dealt into labels, in an order of its own."""
+    rng = np.random.default_rng(values)
+    return np.concatenate([rng.permutation(values).reshape(-1, DEEPEST) for _ in range(rounds)])
+
+
+def _deep_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each set and further trie, matched on the whole label."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            trees = len(part.column("labels")[0].as_py()) // 16
+            halves = np.frombuffer(text_bytes(part.column("labels"))[0].tobytes(), "<u8").reshape(-1, trees, 2) ^ mix(np.arange(1, trees + 1, dtype=U64))[:, None]
+            digits = np.stack([(halves >> U64(16 * (HALF - 1 - j))) & U64(0xFFFF) for j in range(HALF)], axis=3).reshape(part.num_rows, -1)
+            dealt = digits[:, deals(digits.shape[1])].reshape(part.num_rows, -1, 2, HALF)
+            n = dealt.shape[1]
+            out = np.zeros(dealt.shape[:3], dtype=U64) ^ mix(np.arange(trees + 1, trees + n + 1, dtype=U64))[:, None]
+            for j in range(HALF):
+                out ^= dealt[..., j] << U64(16 * (HALF - 1 - j))
+            out = out.reshape(-1, 2).view("<i8")
+            columns = [np.tile(np.arange(trees, trees + n, dtype=np.int32), part.num_rows), out[:, 0].copy(), out[:, 1].copy(), np.full(len(out), DEEPEST, dtype=np.int32)]
+            cls = part.column("cls").take(pa.array(np.repeat(np.arange(part.num_rows), n)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), cls], names=["tree", "label", "low", "depth", "cls"])
+
+
 _ROWS = "tree int, label long, low long, depth int, cls binary"
 _MET = pa.schema([("kind", pa.int32()), ("label", pa.int64()), ("low", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -282,6 +311,19 @@ def _texts(docs: DataFrame, key: Column) -> DataFrame:
     return in_arrow(rows, run, "th long, k long, z binary")
 
 
+def _forest(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of all tries (label, low, depth, cls), and the written table of crowded prefixes."""
+    columns = ["label", "low", "depth", "cls"]
+    labels = in_arrow(sets.select("labels", "depth", "cls"), _label_rows, _ROWS)
+    crowded = materialize(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("label", F.lit(True).alias("crowded")), "crowded")
+    if crowded.isEmpty():
+        return labels.select(*columns), crowded
+    placed = labels.join(crowded, "label", "left").withColumn("depth", F.when(F.col("crowded"), F.lit(DEEPEST)).otherwise(F.col("depth")))
+    dense = labels.join(crowded, "label", "left_semi").select("cls").distinct()
+    deep = in_arrow(sets.join(dense, "cls", "left_semi").select("labels", "cls"), _deep_rows, _ROWS)
+    return placed.select(*columns).unionAll(deep.select(*columns)), crowded
+
+
 def _class_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' (doc_id, cls) and, for each set: class_id, class_size, n_links of its documents,
     and kept_cls, the set of the document that gives the class its id."""
@@ -293,7 +335,7 @@ def _class_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct(key.alias("k"), "th")).alias("rep"), F.max("size").alias("size"), F.max("labels").alias("labels"), F.max("depth").alias("depth")
         ), "sets",
     )
-    labels = in_arrow(sets.select("labels", "depth", "cls"), _label_rows, _ROWS).drop("tree")
+    labels, crowded = _forest(sets)
     sorted_ = labels.repartitionByRange("label", "low", "cls").sortWithinPartitions("label", "low", "cls")
     met = materialize(in_arrow(sorted_, _meetings, "kind int, label long, low long, a binary, b binary"), "meetings")
     border = met.where("kind > 0").select("kind", "label", "low", "a").distinct()
@@ -304,10 +346,11 @@ def _class_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     member = members.join(blocks, "root")
     whole = member.where(F.col("nblk") <= SPREAD).select("cls", "rep", "copies", F.col("root").alias("node"), "nblk", F.lit(-1).alias("tree"), "labels")
     chained = materialize(member.where(F.col("nblk") > SPREAD).drop("nblk"), "chained")
-    parts, temporary = whole, [met, groups, members, blocks, chained]
+    parts, temporary = whole, [crowded, met, groups, members, blocks, chained]
     if not chained.isEmpty():
         prefixes = in_arrow(chained.select("labels", "depth", "cls"), _label_rows, _ROWS).select("tree", "label", "cls")
-        nodes = prefixes.join(chained, "cls").withColumn("node", F.encode(F.hex("label"), "utf-8"))
+        # groups that share a crowded prefix stay apart, as smaller ones do
+        nodes = prefixes.join(chained, "cls").withColumn("node", F.concat(F.encode(F.hex("label"), "utf-8"), "root"))
         temporary.append(sizes := materialize(_blocks(nodes, "node").where("n > 1").select("node", "nblk"), "nodes"))
         parts = parts.unionAll(nodes.join(sizes, "node").select("cls", "rep", "copies", "node", "nblk", "tree", "labels"))
     places = parts.groupBy("rep").agg(F.collect_list(F.struct("cls", "copies", "node", "nblk", "tree", "labels")).alias("places"))

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphwarden.llm import bpe, chat, components, decontam, jaccard, jpeg, licenses, media, quality, registry, sufdedup, toxicity, warc
-from graphwarden.llm.blocks import FOLD, Words, shingles, text_bytes
+from graphwarden.llm.blocks import FOLD, Words, mix, shingles, text_bytes
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -366,6 +366,68 @@ def test_forest_recall():
         assert matched == jaccard.prefix_depth(least) and 1 - (1 - least**matched) ** jaccard.TREES >= jaccard.RECALL
 
 
+def test_recall_in_crowded_prefixes():
+    """Pairs at the threshold, value by value: missed where no whole label of all tries agrees."""
+    values = jaccard.TREES * jaccard.DEEPEST
+    tries = np.concatenate([np.arange(values).reshape(-1, jaccard.DEEPEST), jaccard.deals(values)])
+    assert len(tries) == jaccard.TREES * (1 + jaccard.DEEP) and all(np.bincount(tries.ravel()) == 1 + jaccard.DEEP)
+    rng, missed, pairs = np.random.default_rng(3), 0, 0
+    for _ in range(40):
+        equal = rng.random((5000, values)) < 0.8
+        missed += int((~equal[:, tries].all(2).any(1)).sum())
+        pairs += len(equal)
+    assert missed <= (1 - jaccard.RECALL) * pairs
+
+
+def test_further_tries_deal_the_same_values():
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(40)) for i in (1, 1, 2, 5)]
+    w = Words(*text_bytes(pa.array([t.encode() for t in texts], pa.binary())))
+    values = (mix(jaccard.minhash(*shingles(w.hash, w.rows, 5), 160).astype(np.uint64)) >> np.uint64(48)).astype(int)
+    labels = np.empty((4, 20, 2), "<u8")
+    for t in range(20):
+        for half in range(2):
+            packed = sum(values[:, 8 * t + 4 * half + j].astype(np.uint64) << np.uint64(16 * (3 - j)) for j in range(4))
+            labels[:, t, half] = packed ^ mix(np.array([t + 1], np.uint64))[0]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in labels], pa.binary()), pa.array([b"a", b"b", b"c", b"d"], pa.binary())], names=["labels", "cls"])
+    (out,) = jaccard._deep_rows([batch])
+    got = defaultdict(dict)
+    for r in out.to_pylist():
+        got[r["cls"]][r["tree"]] = r["label"], r["low"]
+    assert [len(v) for v in got.values()] == [80] * 4 and got[b"a"] == got[b"b"]
+    chosen = jaccard.deals(160)
+    for x, y, i, k in [(b"a", b"c", 0, 2), (b"c", b"d", 2, 3)]:
+        assert [got[x][t] == got[y][t] for t in range(20, 100)] == [(values[i][c] == values[k][c]).all() for c in chosen]
+    assert len({v for x in got[b"a"].values() for v in x}) == 160
+
+
+@pytest.mark.parametrize(("crowd", "spread"), [(1, 20), (2, 0), (12, 20)])
+def test_crowded_prefixes(spark, monkeypatch, crowd, spread):
+    """Whatever counts as crowded, the links are those of brute force."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "SPREAD", spread)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    rows = near_fixture(180, seed=21)
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in got.collect()) == near_classes(rows)
+
+
+def test_crowded_prefixes_are_matched_deeper(spark, monkeypatch):
+    """Sets that share one prefix of a few tries by a common passage no longer stand in one group."""
+    rng = random.Random(6)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, common + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(90))) for i in range(300)]
+    sizes = []
+    for crowd in (10**9, 4):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
+        seen, before = [], jaccard.components
+        monkeypatch.setattr(jaccard, "components", lambda edges, seen=seen, before=before: (out := before(edges), seen.append(out.groupBy("root").count().agg({"count": "max"}).first()[0] or 0))[0])
+        got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((r.doc_id, r.class_id, r.class_size, r.n_links) for r in got.collect()) == near_classes(rows)
+        monkeypatch.setattr(jaccard, "components", before)
+        sizes.append(seen[0])
+    assert sizes[0] > 100 > 4 * sizes[1], sizes
+
+
 def test_matched_prefixes_of_sets():
     texts = ["", "a", "a b c d e", "a b c d e f g h i j", " ".join("abcdefghijk"), "x " * 10, "x " * 400, " ".join(f"w{i}" for i in range(30))]
     w = Words(*text_bytes(pa.array([t.encode() for t in texts], pa.binary())))
